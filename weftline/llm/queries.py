@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import sentencepiece_codec
+from weftline.llm import language_id, sentencepiece_codec, suffix_tree_lm
 
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +26,23 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def id_crc(n: int) -> Column:
+    """The CRC-32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.filter(id_crc(5) != 0))
+    return language_id.predict(docs, net).select("doc_id", (id_crc(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), id_crc(7) != 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op7_suffix_tree_lm": op7_suffix_tree_lm,
 }
