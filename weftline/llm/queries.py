@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, sentencepiece_codec, suffix_tree_lm
+from weftline.llm import language_id, ngram_join, sentencepiece_codec, suffix_tree_lm
 
 ORACLES: dict[str, str] = {}
 
@@ -37,6 +37,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, net).select("doc_id", (id_crc(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"), id_crc(7) != 2)
 
@@ -44,5 +48,6 @@ def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_ngram_join": op4_ngram_join,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
 }
