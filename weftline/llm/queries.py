@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, ngram_join, sentencepiece_codec, suffix_tree_lm
+from weftline.llm import importance, language_id, ngram_join, sentencepiece_codec, suffix_tree_lm
 
 ORACLES: dict[str, str] = {}
 
@@ -45,9 +45,16 @@ def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"), id_crc(7) != 2)
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), good, importance.good_share(labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
+    "op10_importance": op10_importance,
 }
