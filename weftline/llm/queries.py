@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import importance, language_id, ngram_join, sentencepiece_codec, suffix_tree_lm, word_graph_dedup
+from weftline.llm import importance, language_id, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, word_graph_dedup
 
 ORACLES: dict[str, str] = {}
 
@@ -41,6 +41,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_word_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = word_graph_dedup.remove_earlier(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_word_graph_dedup": op6_word_graph_dedup,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op10_importance": op10_importance,
