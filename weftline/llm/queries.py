@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import disclosure, importance, language_id, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, word_graph_dedup
+from weftline.llm import disclosure, importance, language_id, latent_decontamination, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, word_graph_dedup
 
 ORACLES: dict[str, str] = {}
 
@@ -59,6 +59,10 @@ def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.digest(disclosure.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
@@ -73,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_word_graph_dedup": op6_word_graph_dedup,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op8_disclosure": op8_disclosure,
+    "op9_latent_decontamination": op9_latent_decontamination,
     "op10_importance": op10_importance,
 }
