@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import disclosure, importance, language_id, latent_decontamination, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, word_graph_dedup
+from weftline.llm import disclosure, importance, language_id, latent_decontamination, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, vector_graphs, word_graph_dedup
 
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +22,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_vector_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graphs.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model()))
 
@@ -71,6 +75,7 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_vector_graphs": op2_vector_graphs,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,
     "op5_suffix_dedup": op5_suffix_dedup,
