@@ -7,6 +7,7 @@ into tables by byte and by pair of bytes, so that a filter's outputs are sums of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,6 +165,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return ByteNet.fit(x, [lang for _, lang in got], seed=seed)
 
 
+def scores(net: ByteNet, tables: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probabilities (rows, languages), averaged over each row's windows by their bytes; zeros for an empty row."""
+    windows, rows, lengths = cut_windows(data, offsets, net.window)
+    sums = np.zeros((len(offsets) - 1, len(net.languages)))
+    np.add.at(sums, rows, net.probabilities(windows, tables) * lengths[:, None].astype(np.float64))
+    return sums / np.maximum(np.diff(offsets), 1)[:, None]
+
+
 def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row: the language with the largest probability, averaged over all windows of the
     whole text by their bytes, and that average. Of equal averages the first language in sorted order is taken.
@@ -176,10 +185,7 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
     def run(batch: pa.RecordBatch):
         model, tables = shared.value
         for lo, hi, data, offsets in slices(batch.column(1)):
-            windows, rows, lengths = cut_windows(data, offsets, model.window)
-            sums = np.zeros((hi - lo, len(model.languages)))
-            np.add.at(sums, rows, model.probabilities(windows, tables) * lengths[:, None].astype(np.float64))
-            mean = sums / np.maximum(np.diff(offsets), 1)[:, None]
+            mean = scores(model, tables, data, offsets)
             best = mean.argmax(1)
             yield {"doc_id": batch.column(0).slice(lo, hi - lo), "guess": pa.array([model.languages[k] for k in best]), "mean": np.clip(mean[np.arange(hi - lo), best], 0, 1), "letters": batch.column(2).slice(lo, hi - lo)}
 
@@ -188,3 +194,20 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
     out = map_arrow(rows, run, f"doc_id {kind}, guess string, mean double, letters boolean")
     return out.select("doc_id", F.when(F.col("letters"), F.col("guess")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letters"), F.col("mean")).otherwise(0.0).alias("score"))
 
+
+def accepted(docs: DataFrame, net: ByteNet, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and a language with the score least or more, as predict scores
+    it. Other columns pass through the tasks untouched, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
+    at, last = docs.columns.index(text_col), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, tables = shared.value
+        for batch in batches:
+            keep = [scores(model, tables, data, offsets).max(1) >= least for _, _, data, offsets in slices(batch.column(at))]
+            letters = batch.column(last).to_numpy(zero_copy_only=False)
+            mask = np.concatenate(keep) & letters if keep else letters
+            yield pa.RecordBatch.from_arrays(batch.columns[:last], schema=pa.schema(list(batch.schema)[:last])).filter(pa.array(mask.astype(bool)))
+
+    letters = F.coalesce(docs[f"`{text_col}`"].rlike(r"\p{L}"), F.lit(False))
+    return docs.select(*[docs[f"`{c}`"] for c in docs.columns], letters.alias("__letters")).mapInArrow(run, docs.schema)

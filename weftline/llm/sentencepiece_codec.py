@@ -242,7 +242,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 _loaded: dict = {}
 
 
-def digest(coded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encode_decode's rows."""
+def digest(coded: DataFrame, *more: str) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of encode_decode's rows, and the columns more."""
     sha: Column = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *more)
