@@ -133,8 +133,7 @@ def covered(part: pa.Table, window: int) -> dict:
 def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The numbered rows, and (id, tag, spans) of those with bytes to remove: spans of bytes, possibly overlapping."""
     rows = numbered(docs, id_col, text_col)
-    table = cut(run_table(rows, False, window, GRAM))
-    found = cut(classes(table))
+    found = cut(classes(rows, False, window, GRAM))
     texts = class_texts(rows, found.filter("variants > 1"), window)
     blocks = F.ceil(F.col("variants") / BLOCK).cast("int")
     block = F.pmod(F.col("whole"), blocks).cast("int")
@@ -164,13 +163,13 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) ->
             yield done(held)
 
     near = units.repartition("gram", "left", "right").sortWithinPartitions("gram", "left", "right").mapInArrow(scan, "gram bigint, whole bigint, spans array<struct<lo:int,hi:int>>")
-    near = near.groupBy("gram", "whole").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    near = near.groupBy("whole").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("windows") - 1 + window).alias("hi")))
-    known = found.select("gram", "whole", "times", "windows").join(near, ["gram", "whole"], "left")
-    known = known.select("gram", "whole", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
-    hits = table.join(known, ["gram", "whole"])
+    known = found.select("whole", "times", "windows").join(near, "whole", "left")
+    known = known.select("whole", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
+    hits = run_table(rows, False, window, GRAM).join(cut(known), "whole")
     placed = hits.select("id", "tag", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi"))).alias("spans"))
-    return rows, placed.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows, cut(placed.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,14 +7,15 @@ the same place make a run; windows that are equal lie in runs whose minimizers a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import cut, map_arrow
+from weftline.llm.frames import map_arrow
 from weftline.llm.tokens import TABLE, mix, prefix, signed, slices, span_hash, word_bounds, word_hashes
 
 NO_ID = -(1 << 63)
@@ -73,30 +74,50 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
+def batch_runs(batch: pa.RecordBatch, by_words: bool, window: int, gram: int) -> Iterator[tuple[int, Runs]]:
+    """The runs of the texts in column 2, slice by slice, with the slice's first row."""
+    for lo, _, data, offsets in slices(batch.column(2)):
+        if by_words:
+            starts, ends, first = word_bounds(data, offsets)
+            yield lo, runs(word_hashes(data, starts, ends), first, window, gram)
+        else:
+            yield lo, runs(TABLE[data], offsets, window, gram)
+
+
 def run_table(rows: DataFrame, by_words: bool, window: int, gram: int) -> DataFrame:
-    """(id, tag, start, windows, gram, whole) of all runs of rows(id, tag, text), over words or bytes."""
+    """(id, tag, start, windows, whole) of all runs of rows(id, tag, text), over words or bytes."""
 
     def find(batch: pa.RecordBatch):
-        for lo, hi, data, offsets in slices(batch.column(2)):
-            if by_words:
-                starts, ends, first = word_bounds(data, offsets)
-                r = runs(word_hashes(data, starts, ends), first, window, gram)
-            else:
-                r = runs(TABLE[data], offsets, window, gram)
+        for lo, r in batch_runs(batch, by_words, window, gram):
             at = pa.array(r.row + lo)
-            yield {"id": batch.column(0).take(at), "tag": batch.column(1).take(at), "start": r.start, "windows": r.count, "gram": signed(r.gram), "whole": signed(r.whole)}
+            yield {"id": batch.column(0).take(at), "tag": batch.column(1).take(at), "start": r.start, "windows": r.count, "whole": signed(r.whole)}
 
-    return map_arrow(rows, find, "id bigint, tag bigint, start int, windows int, gram bigint, whole bigint")
+    return map_arrow(rows, find, "id bigint, tag bigint, start int, windows int, whole bigint")
 
 
-def classes(table: DataFrame) -> DataFrame:
-    """(gram, whole, times, windows, id, tag, start, variants): equal runs as one row with the first of their places in the
-    order of id and start; variants says how many different runs the minimizer has. Equal runs are counted in the task before
-    the shuffle, so a passage that very many rows share costs a row for each task."""
-    each = table.groupBy("gram", "whole").agg(F.count("*").alias("times"), F.min("windows").alias("windows"), F.min(F.struct("id", "start", "tag")).alias("first"))
-    each = cut(each.select("gram", "whole", "times", "windows", "first.*"))
-    many = each.groupBy("gram").agg(F.count("*").alias("variants")).filter("variants > 1")
-    return each.join(many, "gram", "left").withColumn("variants", F.coalesce("variants", F.lit(1)))
+def classes(rows: DataFrame, by_words: bool, window: int, gram: int) -> DataFrame:
+    """(gram, whole, times, windows, id, tag, start, variants) of the runs that occur more than once or whose minimizer has
+    several surroundings. Equal runs are one row with the first of their places in the order of id and start; variants says
+    how many different runs the minimizer has. Equal runs of a batch are counted in the task, before the shuffle, so a passage
+    that very many rows share costs few rows for each task."""
+
+    def find(batch: pa.RecordBatch):
+        got = list(batch_runs(batch, by_words, window, gram))
+        if not got:
+            return
+        row = np.concatenate([r.row + lo for lo, r in got])
+        ids = batch.column(0).to_numpy()[row]
+        start, count, grams, whole = (np.concatenate([getattr(r, k) for _, r in got]) for k in ("start", "count", "gram", "whole"))
+        order = np.lexsort((start, ids, whole))
+        head = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]])) if len(order) else order
+        times = np.diff(np.append(head, len(order)))
+        first = order[head]
+        yield {"gram": signed(grams[first]), "whole": signed(whole[first]), "times": times, "windows": count[first], "id": ids[first], "tag": batch.column(1).take(pa.array(row[first])), "start": start[first]}
+
+    found = map_arrow(rows, find, "gram bigint, whole bigint, times bigint, windows int, id bigint, tag bigint, start int")
+    # One exchange, by minimizer, serves the classes and the count of their variants.
+    each = found.repartition("gram").groupBy("gram", "whole").agg(F.sum("times").alias("times"), F.min("windows").alias("windows"), F.min_by("tag", "id").alias("tag"), F.min_by("start", "id").alias("start"), F.min("id").alias("id"))
+    return each.withColumn("variants", F.count("*").over(Window.partitionBy("gram"))).filter("times > 1 or variants > 1")
 
 
 def opened(rows: DataFrame, of: DataFrame, fn, schema: str) -> DataFrame:

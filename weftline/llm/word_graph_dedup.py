@@ -18,11 +18,11 @@ from weftline.llm.frames import cut, map_arrow
 from weftline.llm.tokens import prefix, signed, slices, span_hash, word_bounds, word_hashes
 from weftline.llm.windows import NO_ID, classes, merged, numbered, opened, run_table
 
-GRAM = 10
+GRAM = 6
 
 
 def single_edges(rows: DataFrame, branching: DataFrame, window: int) -> DataFrame:
-    """(gram, whole, nth, edge, id, at): the edges of the paths in branching, with their place in the path's first text."""
+    """(whole, nth, edge, id, at): the edges of the paths in branching, with their place in the path's first text."""
 
     def cut_edges(batch: pa.RecordBatch):
         for lo, hi, data, offsets in slices(batch.column(1)):
@@ -37,32 +37,31 @@ def single_edges(rows: DataFrame, branching: DataFrame, window: int) -> DataFram
             at = begin[which] + nth
             place = first[row[which]] + at
             take = pa.array(which)
-            yield {"gram": flat.field("gram").take(take), "whole": flat.field("whole").take(take), "nth": nth, "edge": signed(span_hash(sums, place, place + window)), "id": batch.column(0).slice(lo, hi - lo).take(pa.array(row[which])), "at": at}
+            yield {"whole": flat.field("whole").take(take), "nth": nth, "edge": signed(span_hash(sums, place, place + window)), "id": batch.column(0).slice(lo, hi - lo).take(pa.array(row[which])), "at": at}
 
-    return opened(rows, branching, cut_edges, "gram bigint, whole bigint, nth int, edge bigint, id bigint, at int")
+    return opened(rows, branching, cut_edges, "whole bigint, nth int, edge bigint, id bigint, at int")
 
 
 def earlier_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The numbered rows, and (id, tag, spans) of those with words to remove: spans of words, possibly overlapping."""
     rows = numbered(docs, id_col, text_col)
-    table = cut(run_table(rows, True, window, GRAM))
-    paths = cut(classes(table))
+    paths = cut(classes(rows, True, window, GRAM))
     branching = paths.filter("variants > 1")
-    edges = cut(single_edges(rows, branching, window).dropDuplicates(["gram", "whole", "nth"]))
+    edges = cut(single_edges(rows, branching, window))
     firsts = edges.groupBy("edge").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     seen = edges.join(firsts, "edge").filter("first.id <> id or first.at <> at")
     # Neighbouring edges with neighbouring first places are one path.
-    order = Window.partitionBy("gram", "whole").orderBy("nth")
+    order = Window.partitionBy("whole").orderBy("nth")
     step = (F.lag("nth").over(order) == F.col("nth") - 1) & (F.lag("first.id").over(order) == F.col("first.id")) & (F.lag("first.at").over(order) == F.col("first.at") - 1)
     chained = seen.withColumn("head", F.when(F.coalesce(step, F.lit(False)), 0).otherwise(1)).withColumn("path", F.sum("head").over(order))
-    spans = chained.groupBy("gram", "whole", "path").agg(F.min("nth").alias("lo"), (F.max("nth") + window).alias("hi"))
-    spans = spans.groupBy("gram", "whole").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    known = cut(paths.select("gram", "whole", "times", F.col("id").alias("first_id"), F.col("start").alias("first_at")).join(spans, ["gram", "whole"], "left").filter("times > 1 or spans is not null"))
+    spans = chained.groupBy("whole", "path").agg(F.min("nth").alias("lo"), (F.max("nth") + window).alias("hi"))
+    spans = spans.groupBy("whole").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    known = cut(paths.select("whole", "times", F.col("id").alias("first_id"), F.col("start").alias("first_at")).join(spans, "whole", "left").filter("times > 1 or spans is not null"))
     later = (F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_at"))
     all_of_it = F.array(F.struct(F.lit(0).alias("lo"), (F.col("windows") - 1 + window).alias("hi")))
-    hits = table.join(known, ["gram", "whole"]).withColumn("spans", F.when(later, all_of_it).otherwise(F.col("spans"))).filter("spans is not null")
+    hits = run_table(rows, True, window, GRAM).join(known, "whole").withColumn("spans", F.when(later, all_of_it).otherwise(F.col("spans"))).filter("spans is not null")
     placed = hits.select("id", "tag", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi"))).alias("spans"))
-    return rows, placed.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows, cut(placed.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def remove_earlier(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
