@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.frames import map_arrow, pick
-from weftline.llm.tokens import LOWER, row_of, slices, word_bounds, word_hashes
+from weftline.llm.tokens import LOWER, SLICE_BYTES, row_of, slices, word_bounds
 
 BITS = 13
 PASSAGE = 32
@@ -32,11 +32,32 @@ ITEMS = 4096
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+TABLE32 = np.random.Generator(np.random.PCG64(17)).integers(1, 1 << 31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+BASE32, BACK32 = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        out = np.full(max(n, SLICE_BYTES + 1), base, np.uint32)
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out, dtype=np.uint32)
+    return _powers[base][:n]
+
+
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, without ASCII case and punctuation, and each row's first word."""
+    """Hashes of the words, without ASCII case and punctuation, and each row's first word. 32 bits are enough to tell the
+    words of an item and of a text's region apart, and halve the work."""
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets, APART)
-    return word_hashes(data, starts, ends), first
+    sums = np.zeros(len(data) + 1, np.uint32)
+    np.cumsum(TABLE32[data] * powers(BASE32, len(data)), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * powers(BACK32, len(data) + 1)[starts]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16)), first
 
 
 def pieces(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +69,7 @@ def pieces(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.uint16)
+    return (hashes >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -61,8 +82,10 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             heads, _ = pieces(first, PASSAGE)
             total += len(heads)
             which = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
-            pairs = np.unique((which << BITS) | bucket(h))
-            counts += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+            pairs = np.sort(((which << BITS) | bucket(h)).astype(np.uint32 if len(heads) < 1 << (32 - BITS) else np.uint64))
+            new = np.ones(len(pairs), bool)
+            new[1:] = pairs[1:] != pairs[:-1]
+            counts += np.bincount((pairs[new] & ((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
         some = np.flatnonzero(counts)
         yield {"b": np.append(some, -1), "n": np.append(counts[some], total)}
 
@@ -209,7 +232,8 @@ def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str,
             at = np.arange(len(heads))
             found = []
             for m, matrix in matrices.items():
-                starts = at[(at + m <= end) | (at == head_of[:-1][row])]
+                nth = at - head_of[:-1][row]
+                starts = at[(nth % max(1, m // 4) == 0) & (at + m <= end) | (nth == 0) | (at + m == end)]
                 z = (sums[np.minimum(starts + m, end[starts])] - sums[starts]).astype(np.float32)
                 z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
                 for part in range(0, len(z), 4096):
