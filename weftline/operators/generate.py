@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from weftline.functions import distributions as D
 from weftline.functions.generators import Context, generate
-from weftline.functions.rng import number, stream, uniform
+from weftline.functions.rng import SEP, fold_text, number, stream, uniform
 from weftline.plans.graph import build
 from weftline.plans.model import Field, Plan, Table, TablePlan, Timeline
 
-ROW = "__row"
+ROW, OWN = "__row", "__own"
 #: Parents of one block share a prefix sum; blocks are summed in turn.
 BLOCK = 1 << 16
 MONTH_MS = 86_400_000 * 30.436875
@@ -55,11 +55,15 @@ class Generator:
         if missing := [n for n in plan.tables if n not in self.graph.order]:
             raise GenerationError(f"tables in a cycle of foreign keys, or behind one: {', '.join(missing)}")
         self.made: dict[str, Made] = {}
+        self.own_row: Column | None = None
 
     # Expressions of a row's number
 
-    def cell(self, table: str, row: Column, column: str, *more: str) -> Column:
-        return stream(self.plan.seed, table, "__row__", row.cast("string"), *more, column) if not more else stream(self.plan.seed, table, "__row__", row.cast("string"), more[0], column, *more[1:])
+    def cell(self, table: str, row: Column, column: str, *retry: str) -> Column:
+        """The stream of a cell. For the table under way the part of the path up to the row is hashed once a row, not a cell."""
+        at = F.col(OWN) if row is self.own_row else stream(self.plan.seed, table, "__row__", row.cast("string"))
+        path = (retry[0], column, *retry[1:]) if retry else (column,)
+        return fold_text(at, SEP + SEP.join(path))
 
     def key(self, table: str, row: Column) -> Column:
         """The first key column of a table's row, from the row's number."""
@@ -177,8 +181,10 @@ class Generator:
     def table(self, name: str) -> DataFrame:
         t, table = self.plan.tables[name], self.plan.schema.tables[name]
         keys = [fk for fk in table.foreign_keys if fk.table != name]
+        self.own_row = None
         out = self.rows(t, table)
-        row = F.col(ROW)
+        out = out.withColumn(OWN, stream(self.plan.seed, name, "__row__", F.col(ROW).cast("string")))
+        row = self.own_row = F.col(ROW)
         for i, fk in enumerate(keys):
             out = out.withColumn(fk.columns[0], self.key(fk.table, F.col(f"__parent{i}")))
             for c, r in list(zip(fk.columns, fk.references, strict=True))[1:]:
@@ -190,9 +196,9 @@ class Generator:
         if t.timeline:
             n = self.frame_rows(out, t, keys)
             out = self.on_timeline(out, t, table, n)
-        bound = set(out.columns)
+        bound = set(out.columns) - {OWN}
         for layer in layers({c: f for c, f in t.fields.items() if c not in bound}):
-            have = {c: F.col(c) for c in out.columns}
+            have = {c: F.col(c) for c in out.columns if c != OWN}
             out = out.withColumns({c: self.personal(t, c, self.value(name, c, f, row, have), have) for c, f in layer.items()})
         blank = {}
         for c in table.columns:
@@ -213,7 +219,8 @@ class Generator:
             out = self.self_reference(out, name, own.columns[0], n or self.frame_rows(out, t, keys))
         extra = [c for c in ("__persona",) if c in out.columns]
         out = out.select(ROW, *[c.name for c in table.columns], *extra)
-        self.made[name] = Made(out, n)
+        simple = t.count_per_parent is None and len(keys) < 2 and isinstance(t.count, (int, float))
+        self.made[name] = Made(out, max(1, int(t.count)) if simple else n)
         return out
 
     def frame_rows(self, frame: DataFrame, t: TablePlan, keys: list) -> int:
@@ -226,7 +233,7 @@ class Generator:
                 o = p.overrides[column]
                 if isinstance(o, dict):
                     o = Field(o["kind"], {k: v for k, v in o.items() if k != "kind"} | o.get("params", {}))
-                new = self.value(t.table, column, o, F.col(ROW), have) if isinstance(o, Field) else F.lit(o)
+                new = self.value(t.table, column, o, self.own_row, have) if isinstance(o, Field) else F.lit(o)
                 value = F.when(F.col("__persona") == p.name, new).otherwise(value)
         return value
 
@@ -266,7 +273,7 @@ class Generator:
                 if attempt > TRIES:
                     raise GenerationError(f"{t.table}: no unique values for {', '.join(columns)} after {TRIES} tries")
                 marked = marked.checkpoint() if attempt % 5 == 0 and self.spark.sparkContext.getCheckpointDir() else marked
-                new = {c: F.when(F.col("__late"), self.value(t.table, c, t.fields[c], F.col(ROW), {x: F.col(x) for x in out.columns}, "__unique__", str(attempt))).otherwise(F.col(c)) for c in free}
+                new = {c: F.when(F.col("__late"), self.value(t.table, c, t.fields[c], self.own_row, {x: F.col(x) for x in out.columns}, "__unique__", str(attempt))).otherwise(F.col(c)) for c in free}
                 out = marked.withColumns(new | {"__again": F.when(F.col("__late"), attempt).otherwise(F.col("__again"))}).drop("__late")
             out = out.drop("__again")
         return out
