@@ -9,7 +9,43 @@ from pyspark.sql import functions as F
 
 from weftline.llm import disclosure, importance, language_id, latent_decontamination, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, vector_graphs, word_graph_dedup
 
-ORACLES: dict[str, str] = {}
+WORDS = r"[^\x20\x09-\x0D]+"
+#: SQL for the operators whose results are exact. Others are held against brute force, the library or held-out rows by tests.
+ORACLES: dict[str, str] = {
+    "op2_vector_graphs": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+pair AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.l > 0 AND b.l > 0 AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM reach r JOIN pair p ON r.y = p.x)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, r.c AS component_id, r.c = v.vec_id AS kept
+FROM v JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = v.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM pair GROUP BY x) c ON c.x = v.vec_id""",
+    "op4_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, coalesce(regexp_extract_all(text, '{WORDS}'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+pair AS (SELECT x, y FROM both_ JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE both_.n / (a.n + b.n - both_.n) >= 0.8),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, p.y FROM reach r JOIN pair p ON r.y = p.x)
+SELECT d.doc_id, CASE WHEN len(w) > 0 THEN min(d.doc_id) OVER (PARTITION BY text) ELSE d.doc_id END AS text_id, r.c AS class_id, coalesce(l.n, 0) AS n_links, r.c = d.doc_id AS kept
+FROM d JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM pair GROUP BY x) l ON l.x = d.doc_id""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS e FROM documents),
+byte_ AS (SELECT doc_id, e, unnest(range(octet_length(e))) AS p FROM d),
+win AS (SELECT doc_id, p, md5(array_slice(e, p + 1, p + 400)) AS k FROM byte_ WHERE octet_length(e) - p >= 400),
+again AS (SELECT doc_id, p FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT byte_.doc_id, byte_.p, hex(array_slice(e, byte_.p + 1, byte_.p + 1)) AS b, coalesce(max(again.p) OVER (PARTITION BY byte_.doc_id ORDER BY byte_.p) >= byte_.p - 399, false) AS gone FROM byte_ LEFT JOIN again USING (doc_id, p)),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM marked),
+sums AS (SELECT doc_id, count(*) FILTER (gone) AS r, count(*) FILTER (head) AS s, string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS left_ FROM edge GROUP BY 1)
+SELECT doc_id, octet_length(e) AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(left_, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)""",
+    "op6_word_graph_dedup": f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORDS}'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS later FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM ranked, (SELECT unnest(range(20)) AS j) WHERE later),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
