@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval, checked by longest common subsequences and answers.
 
-Passages of the corpus are rows of a TF-IDF matrix over hashed words. A randomised sketch of it, summed over all tasks, gives
+Passages of the corpus are rows of a TF-IDF matrix over hashed words. A randomised sketch of its rows, summed over all tasks, gives
 its leading right singular vectors and values; passages and benchmark items are compared by cosine in that space, scaled by
 the singular values. Windows of a text near an item are candidates; an item counts as contained if a large part of its words
 stands there in its order, and with them its answer, the words that tell it from other texts.
@@ -21,7 +21,10 @@ from weftline.llm.tokens import LOWER, SLICE_BYTES, row_of, slices, word_bounds
 
 BITS = 13
 PASSAGE = 32
-SKETCH, RANK = 48, 40
+#: Rows of the sketch, and the columns in which a row of the sums table holds them.
+SKETCH_BITS, WIDTH, RANK = 7, 32, 64
+SKETCH = 1 << SKETCH_BITS
+PARTS = SKETCH // WIDTH
 BLOCK = 8
 #: Windows in blocks of words; an item is looked for in the largest that is not longer than it.
 SCALES = (2, 4, 8)
@@ -45,6 +48,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def mix32(h: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 32 bits: every input bit moves every output bit."""
+    h = h ^ (h >> np.uint32(16))
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, without ASCII case and punctuation, and each row's first word. 32 bits are enough to tell the
     words of an item and of a text's region apart, and halve the work."""
@@ -52,12 +64,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, first = word_bounds(data, offsets, APART)
     sums = np.zeros(len(data) + 1, np.uint32)
     np.cumsum(TABLE32[data] * powers(BASE32, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(BACK32, len(data) + 1)[starts]
-    h ^= h >> np.uint32(16)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    return h ^ (h >> np.uint32(16)), first
+    return mix32((sums[ends] - sums[starts]) * powers(BACK32, len(data) + 1)[starts]), first
 
 
 def pieces(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +79,16 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The IDF of each bucket over all passages of docs(id, text)."""
-
-    def run(batch: pa.RecordBatch):
-        counts, total = np.zeros(1 << BITS, np.int64), 0
-        for _, _, data, offsets in slices(batch.column(1)):
-            h, first = split(data, offsets)
-            heads, _ = pieces(first, PASSAGE)
-            total += len(heads)
-            which = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
-            pairs = np.sort(((which << BITS) | bucket(h)).astype(np.uint32 if len(heads) < 1 << (32 - BITS) else np.uint64))
-            new = np.ones(len(pairs), bool)
-            new[1:] = pairs[1:] != pairs[:-1]
-            counts += np.bincount((pairs[new] & ((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-        some = np.flatnonzero(counts)
-        yield {"b": np.append(some, -1), "n": np.append(counts[some], total)}
-
-    got = map_arrow(docs, run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    counts = dict(zip(got["b"].to_pylist(), got["n"].to_pylist(), strict=True))
-    total = counts.pop(-1, 0)
-    n = np.zeros(1 << BITS)
-    n[list(counts)] = list(counts.values())
-    return np.log((1 + total) / (1 + n)) + 1e-3
+def block_vectors(word: np.ndarray, b: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sum of the words' vectors in each block of at most BLOCK words; word by word of all blocks, as that is fastest."""
+    ends = np.append(heads[1:], len(b))
+    out = word[b[heads]]
+    for k in range(1, BLOCK):
+        if (more := heads + k < ends).all():
+            out += word[b[heads + k]]
+        else:
+            out[more] += word[b[heads[more] + k]]
+    return out
 
 
 @dataclass
@@ -105,47 +99,62 @@ class LatentSpace:
     word: np.ndarray
 
     @classmethod
-    def fit(cls, docs: DataFrame, seed: int = 5) -> LatentSpace:
-        """Sketches C = A'A, A the passages' normalised TF-IDF rows, as C times a random matrix, and takes the eigenvectors of
-        its Nystroem approximation. Each task sums its part of the sketch, a table of fixed size, before the shuffle."""
-        idf = inverse_frequencies(docs)
-        omega = np.random.default_rng(seed).normal(size=(1 << BITS, SKETCH)).astype(np.float32)
-        shared = docs.sparkSession.sparkContext.broadcast((idf.astype(np.float32), omega))
-        fields = pa.schema([("b", pa.int32())] + [(f"v{j}", pa.float64()) for j in range(SKETCH)])
+    def fit(cls, docs: DataFrame) -> LatentSpace:
+        """The leading right singular vectors of the passages' TF-IDF rows A over all of docs(id, text), from a random sketch SA.
+
+        S adds every row of A, with a random sign, to one of SKETCH rows. IDF scales columns only, so one pass sums both the
+        sketch of the term counts and the passages that hold each bucket. Each task sums its part, a table of fixed size,
+        before the shuffle. Sign and row follow from id, place and words of a passage, not from the partition."""
+        fields = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("n", pa.int64())] + [(f"v{j}", pa.float32()) for j in range(WIDTH)])
+        keyed = docs.select(F.xxhash64("id").alias("key"), "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf, omega = shared.value
-            sums = np.zeros((1 << BITS, SKETCH))
+            sums, counts, total = np.zeros((1 << BITS) * SKETCH), np.zeros(1 << BITS, np.int64), 0
             for batch in batches:
-                for _, _, data, offsets in slices(batch.column(1)):
+                keys = batch.column(0).to_numpy().astype(np.uint32)
+                for lo, hi, data, offsets in slices(batch.column(1)):
                     h, first = split(data, offsets)
                     if not len(h):
                         continue
                     b = bucket(h)
-                    heads, _ = pieces(first, PASSAGE)
+                    heads, head_of = pieces(first, PASSAGE)
+                    total += len(heads)
                     sizes = np.diff(np.append(heads, len(h)))
-                    w = idf[b]
-                    norm = np.add.reduceat(w * w, heads)
-                    y = np.add.reduceat(w[:, None] * omega[b], heads) / norm[:, None]
-                    order = np.argsort(b, kind="stable")
-                    at = np.repeat(np.arange(len(heads)), sizes)[order]
-                    sorted_b = b[order]
-                    new = np.flatnonzero(np.concatenate([[True], sorted_b[1:] != sorted_b[:-1]]))
-                    sums[sorted_b[new]] += np.add.reduceat(w[order][:, None] * y[at], new)
-            some = np.flatnonzero(sums.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(sums[some, j]) for j in range(SKETCH)]], schema=fields)
-
-        schema = "b int, " + ", ".join(f"v{j} double" for j in range(SKETCH))
-        got = docs.mapInArrow(run, schema).groupBy("b").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(SKETCH)]).toArrow()
-        sketch = np.zeros((1 << BITS, SKETCH))
-        if len(got):
-            sketch[got["b"].to_numpy()] = np.stack([got[f"v{j}"].to_numpy() for j in range(SKETCH)], 1)
-        core = omega.astype(np.float64).T @ sketch
-        values, vectors = np.linalg.eigh((core + core.T) / 2)
-        good = values > max(values.max(), 1e-12) * 1e-9
-        left, singular, _ = np.linalg.svd(sketch @ vectors[:, good] / np.sqrt(values[good]), full_matrices=False) if good.any() else (np.zeros((1 << BITS, 0)), np.zeros(0), None)
-        keep = singular[:RANK] > (singular[0] if len(singular) else 0) * 1e-4
-        return cls(idf, (left[:, :RANK][:, keep] / singular[:RANK][keep] * idf[:, None]).astype(np.float32))
+                    which = np.repeat(np.arange(len(heads), dtype=np.uint64), sizes)
+                    pairs = np.sort((which << np.uint64(BITS)) | b)
+                    new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+                    at = (pairs[new] & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                    counts += np.bincount(at, minlength=1 << BITS)
+                    of = row_of(head_of)
+                    place = (np.arange(len(heads)) - head_of[:-1][of]).astype(np.uint32)
+                    drawn = mix32(np.add.reduceat(h, heads, dtype=np.uint32) ^ mix32(keys[lo:hi][of] + place * np.uint32(BASE32)))
+                    weight = np.where(drawn & 1, 1, -1) / np.sqrt(sizes)
+                    of = (pairs[new] >> np.uint64(BITS)).astype(np.int64)
+                    times = np.diff(np.append(new, len(pairs)))
+                    np.add.at(sums, at * SKETCH + (drawn >> np.uint32(32 - SKETCH_BITS))[of], times * weight[of])
+            some = np.flatnonzero(sums.reshape(-1, WIDTH).any(1))
+            held, n = some // PARTS, np.zeros(len(some), np.int64)
+            values = sums.reshape(-1, WIDTH)[some]
+            seen = np.flatnonzero(counts)
+            rows = np.concatenate([held, seen, [0]]).astype(np.int32)
+            part = np.concatenate([some % PARTS, np.full(len(seen), PARTS), [PARTS + 1]]).astype(np.int32)
+            n = np.concatenate([n, counts[seen], [total]])
+            values = np.concatenate([values, np.zeros((len(seen) + 1, WIDTH))]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(part), pa.array(n), *[pa.array(np.ascontiguousarray(values[:, j])) for j in range(WIDTH)]], schema=fields)
+
+        schema = "b int, part int, n bigint, " + ", ".join(f"v{j} float" for j in range(WIDTH))
+        got = keyed.mapInArrow(run, schema).groupBy("b", "part").agg(F.sum("n").alias("n"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(WIDTH)]).toArrow()
+        b, part, n = (got[c].to_numpy() for c in ("b", "part", "n"))
+        counts, total = np.zeros(1 << BITS), int(n[part == PARTS + 1].sum())
+        counts[b[part == PARTS]] = n[part == PARTS]
+        idf = np.log((1 + total) / (1 + counts)) + 1e-3
+        sketch = np.zeros((1 << BITS, PARTS, WIDTH))
+        inner = part < PARTS
+        sketch[b[inner], part[inner]] = np.stack([got[f"v{j}"].to_numpy()[inner] for j in range(WIDTH)], 1)
+        left, singular, _ = np.linalg.svd(sketch.reshape(1 << BITS, SKETCH) * idf[:, None], full_matrices=False)
+        power = singular[:RANK] ** 2 - (singular[RANK:] ** 2).mean()  # what the sketch adds to every direction taken off
+        keep = power > singular[0] ** 2 * 1e-8
+        return cls(idf, (left[:, :RANK][:, keep] / np.sqrt(power[keep]) * idf[:, None]).astype(np.float32))
 
 
 @dataclass
@@ -197,8 +206,8 @@ def items_of(benchmark: DataFrame, space: LatentSpace) -> Iterator[list[Item]]:
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = 0.5, subsequence: float = 0.6, answer: float = 0.5, space: LatentSpace | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer) of every text and benchmark item it contains, at least nearly.
 
-    Windows of the text whose cosine with the item reaches cosine are candidates; around the best of neighbouring windows the
-    share of the item's words in a longest common subsequence must reach subsequence, and the share of its answer words,
+    Windows of the text whose cosine with the item reaches cosine and that have room for its answer are candidates; around the
+    best of neighbouring ones the share of the item's words in a longest common subsequence must reach subsequence, and the share of its answer words,
     the rarest fifth, must reach answer. Items of fewer than LEAST_ITEM words or without text are not looked for. A null or
     empty text contains nothing. Rows are judged alone, so repeated rows repeat their hits; null ids are kept. Ids of items
     must be integers. An empty table on either side gives no rows; other columns are not read. The statistics come from all
@@ -214,62 +223,83 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
 
 def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str, cosine: float, subsequence: float, answer: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((items, space.word))
+    by_scale = {m: np.flatnonzero([x.scale == m for x in items]) for m in SCALES}
+    matrices = {m: np.stack([items[i].vector for i in which]).astype(np.float32).T for m, which in by_scale.items() if len(which)}
+    told = np.array(sorted((w, i) for i, x in enumerate(items) for w in x.answer), np.int64).reshape(-1, 2)
+    answers, head = np.unique(told[:, 0].astype(np.uint32), return_index=True)
+    holders = told[:, 1]
+    sizes = np.array([len(x.words) for x in items])
+    least = np.array([answer * len(x.answer) for x in items])
+    shared = rows.sparkSession.sparkContext.broadcast((items, space.word, by_scale, matrices, answers, np.append(head, len(told)), holders, sizes, least))
 
     def run(batch: pa.RecordBatch):
-        items, word = shared.value
-        by_scale = {m: [i for i, x in enumerate(items) if x.scale == m] for m in SCALES}
-        matrices = {m: np.stack([items[i].vector for i in which]).astype(np.float32).T for m, which in by_scale.items() if which}
+        items, word, by_scale, matrices, answers, head, holders, sizes, least = shared.value
+        known = np.zeros(1 << BITS, bool)
+        known[bucket(answers)] = True
         for lo, _, data, offsets in slices(batch.column(1)):
             h, first = split(data, offsets)
             if not len(h):
                 continue
+            b = bucket(h)
             heads, head_of = pieces(first, BLOCK)
-            vectors = np.add.reduceat(word[bucket(h)], heads)
+            vectors = block_vectors(word, b, heads)
             sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, 0, dtype=np.float64)])
+            places = answer_places(h, np.flatnonzero(known[b]), answers, head, holders)
             row = row_of(head_of)
             end = head_of[1:][row]
             at = np.arange(len(heads))
+            nth = at - head_of[:-1][row]
             found = []
             for m, matrix in matrices.items():
-                nth = at - head_of[:-1][row]
                 starts = at[(nth % max(1, m // 4) == 0) & (at + m <= end) | (nth == 0) | (at + m == end)]
                 z = (sums[np.minimum(starts + m, end[starts])] - sums[starts]).astype(np.float32)
                 z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
                 for part in range(0, len(z), 4096):
-                    near = z[part : part + 4096] @ matrix
-                    i, j = np.nonzero(near >= cosine)
-                    found += zip(row[starts[i + part]].tolist(), (np.array(by_scale[m])[j]).tolist(), starts[i + part].tolist(), near[i, j].tolist(), strict=True)
-            hits = []
-            for r, i, start, near in best_windows(found, items):
+                    near = (z[part : part + 4096] @ matrix).ravel()
+                    over = np.flatnonzero(near >= cosine)
+                    i, j = np.divmod(over, matrix.shape[1])
+                    start, item = starts[i + part], by_scale[m][j]
+                    begin = np.maximum(first[row[start]], heads[start] - sizes[item])
+                    stop = np.minimum(first[row[start] + 1], heads[start] + m * BLOCK + sizes[item])
+                    may = np.searchsorted(places, item * len(h) + stop) - np.searchsorted(places, item * len(h) + begin) >= least[item]
+                    found += zip(*(x[may].tolist() for x in (row[start], item, start, near[over], begin, stop)), strict=True)
+            best: dict = {}
+            for r, i, _, near, begin, stop in best_windows(found, items):
                 x = items[i]
-                begin = max(int(first[r]), int(heads[start]) - len(x.words))
-                region = h[begin : min(int(first[r + 1]), int(heads[start]) + x.scale * BLOCK + len(x.words))].tolist()
+                region = h[begin:stop].tolist()
                 held = len(x.answer.intersection(region)) / len(x.answer)
                 if held >= answer and (share := x.common(region) / len(x.words)) >= subsequence:
-                    hits.append((lo + r, x.key, near, share, held))
-            best: dict = {}
-            for hit in hits:
-                if hit[:2] not in best or hit[2:] > best[hit[:2]][2:]:
-                    best[hit[:2]] = hit
+                    best[r, i] = max(best.get((r, i), (0, 0, 0)), (near, share, held))
             if best:
                 columns = list(zip(*best.values(), strict=True))
-                yield {"doc_id": batch.column(0).take(pa.array(columns[0])), "item_id": list(columns[1]), "cosine": list(columns[2]), "subsequence": list(columns[3]), "answer": list(columns[4])}
+                yield {"doc_id": batch.column(0).take(pa.array([lo + r for r, _ in best])), "item_id": [items[i].key for _, i in best], "cosine": list(columns[0]), "subsequence": list(columns[1]), "answer": list(columns[2])}
 
     return map_arrow(rows, run, schema)
 
 
-def best_windows(found: list, items: list[Item]) -> Iterator[tuple[int, int, int, float]]:
-    """Of windows (row, item, start, cosine) that overlap, row and item alike, the one with the largest cosine."""
+def answer_places(h: np.ndarray, at: np.ndarray, answers: np.ndarray, head: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """item * len(h) + place, sorted, for every place (of those in at) of a word that is an answer word of the item."""
+    if not len(answers):
+        return np.zeros(0, np.int64)
+    which = np.minimum(np.searchsorted(answers, h[at]), len(answers) - 1)
+    same = answers[which] == h[at]
+    at, which = at[same], which[same]
+    counts = np.diff(head)[which]
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(holders[np.repeat(head[:-1][which], counts) + nth] * len(h) + np.repeat(at, counts))
+
+
+def best_windows(found: list, items: list[Item]) -> Iterator[tuple]:
+    """Of windows (row, item, start, cosine, ...) that overlap, row and item alike, the one with the largest cosine."""
     last = None
-    for r, i, start, near in sorted(found):
-        if last and last[:2] == (r, i) and start - last[2] < items[i].scale:
-            if near > last[3]:
-                last = (r, i, start, near)
+    for window in sorted(found):
+        if last and last[:2] == window[:2] and window[2] - last[2] < items[window[1]].scale:
+            if window[3] > last[3]:
+                last = window
             continue
         if last:
             yield last
-        last = (r, i, start, near)
+        last = window
     if last:
         yield last
 
