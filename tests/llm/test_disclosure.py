@@ -67,3 +67,17 @@ def test_odd_rows(odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[10] == "mail me at [EMAIL] or [PHONE] or [IP]" and texts[4] is None and texts[5] == ""
     assert disclosure.sanitise(no_docs).count() == 0
+
+
+def test_terms_of_classes_far_away_and_short(spark):
+    fill = "plain words about the weather and other notes on cooking and some lines about trains and a report on rivers that say little "
+    rows = [(i, f"Kai wrote to {name}@acme-labs.org {chr(97 + i) * 5} {fill}{fill}and unit X-7 agreed with kai") for i, name in enumerate(["ann", "ben", "cid", "dov"])]
+    rows += [(10 + i, f"{fill}{i}") for i in range(60)] + [(200, "kai was here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in disclosure.digest(disclosure.find_spans(table)).collect()}
+    for i in range(4):
+        text = rows[i][1]
+        for at, size in ((0, 3), (text.index("X-7"), 3), (text.rindex("kai"), 3)):
+            assert f"term:{at}:{at + size}" in got[i]
+        assert not any(f"term:{m.start()}:{m.end()}" in got[i] for m in re.finditer("weather|ann|acme|labs", text))
+    assert got[200] == [""]

@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus tells how strongly a term
-near an entity reveals it: the pointwise mutual information of entity and term, against the information content of the
-entity. A term that comes close to it stands for the entity wherever both appear; it is generalised, or removed where it
-reveals all of it.
+Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Most stand in one text only, so each
+also belongs to classes that recur: its domain, the parts of its local name, the prefixes of its number. The corpus tells how
+strongly a term in the text of an entity reveals it or a class of it: the pointwise mutual information of both, against the
+information content of the entity or class. A term that comes close to it stands for it wherever both appear in a text; it is
+generalised, or removed where it reveals all of it.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 #: A cheap test that a text must pass to be searched for a kind.
 HINTS = {"email": "@", "phone": "+"}
-#: Characters on either side of an entity in which terms are looked for.
+#: Characters on either side of an entity that are its surroundings.
 REACH = 80
-TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])\p{L}[\p{L}\p{M}]{3,}(?![\p{L}\p{M}\p{N}@_%+-]|\.[\p{L}\p{N}])"
+# A term is a run of letters, marks and digits, also with hyphens or apostrophes inside.
+LETTER, JOINT = r"[\p{L}\p{M}\p{N}]", "['\u2019-]"
+TERM = f"{LETTER}++(?:{JOINT}{LETTER}++)*+"
+#: What must not stand before and behind a string for it to be a term of the text.
+HEAD, TAIL = f"(?<!{LETTER})(?<!{LETTER}{JOINT})", f"(?!{LETTER})(?!{JOINT}{LETTER})"
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """support: different surroundings that must hold entity and term; generalise, remove: shares of the entity's information
+    """support: different surroundings that must hold entity (or class) and term; generalise, remove: shares of its information
     that a term must reveal."""
 
     support: int = 3
@@ -73,8 +78,9 @@ def is_kind(kind: str):
 
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, found) of every row: found has for each match of each kind its place among the kind's matches, the characters
-    between it and the one before, and its surroundings. row is a number of the row's own, fixed as this is written."""
+    """(row, id, text, found) of every row: found has for each match of each kind its place among the kind's matches, the characters
+    between it and the one before, and its surroundings; text is null where there is no match. row is a number of the row's
+    own, fixed as this is written."""
     text = docs[f"`{text_col}`"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[f"`{id_col}`"].alias("id"), text.alias("text"))
     hint = lambda k: F.contains("text", F.lit(HINTS[k])) if k in HINTS else F.col("text").rlike("[0-9]")
@@ -86,11 +92,11 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         n = F.size(f"m_{k}")
         zipped = F.arrays_zip(F.col(f"m_{k}"), F.slice(f"p_{k}", F.lit(1), n), F.slice(f"p_{k}", F.lit(2), n))  # with what is before and after
         each.append(F.coalesce(F.transform(F.when(n > 0, zipped), entry(k)), none))
-    return pieces.select("row", "id", F.concat(*each).alias("found"))
+    return pieces.select("row", "id", "text", F.concat(*each).alias("found")).withColumn("text", F.when(F.size("found") > 0, F.col("text")))
 
 
 def base_spans(seen: DataFrame) -> DataFrame:
-    """(row, kind, start, end, value, before, after): the valid matches, in characters; value is the entity, told apart from
+    """(row, kind, start, end, match, value, before, after): the valid matches, in characters; value is the entity, told apart from
     others regardless of case and punctuation."""
     rows = seen.select("row", F.inline("found"))
     order = Window.partitionBy("row", "kind").orderBy("nth")
@@ -100,35 +106,84 @@ def base_spans(seen: DataFrame) -> DataFrame:
     for k in PATTERNS:
         valid = F.when(F.col("kind") == k, is_valid(k)).otherwise(valid)
     value = F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(digits(F.col("match"))))
-    return placed.filter(valid).select("row", "kind", "start", "end", value.alias("value"), "before", "after")
-
-
-def near_terms(spans: DataFrame) -> DataFrame:
-    """(row, value, place, term, start, end): the words near each entity; place is a hash of the entity's surroundings, the
-    same for copies of a passage. A word that the edge of the surroundings may cut is left out."""
-    sides = spans.select("row", "value", F.xxhash64("before", "after").alias("place"), F.explode(F.array(F.struct(F.col("before").alias("side"), (F.col("start") - F.length("before")).alias("from"), F.lit(True).alias("left")), F.struct(F.col("after").alias("side"), F.col("end").alias("from"), F.lit(False).alias("left")))).alias("s"))
-    cut_up = sides.select("row", "value", "place", "s.*").withColumn("m", F.regexp_extract_all("side", F.lit(TERM), F.lit(0))).withColumn("p", F.split("side", TERM, -1))
-    whole = F.length("side") < REACH
-    walked = cut_up.filter("size(m) > 0").select("row", "value", "place", "from", "left", F.length("side").alias("size"), whole.alias("whole"), F.expr("aggregate(if(size(m) > 0, sequence(0, size(m) - 1), array()), cast(array() as array<struct<at:int,term:string>>), (acc, i) -> array_append(acc, named_struct('at', coalesce(try_element_at(acc, -1).at + length(try_element_at(acc, -1).term), 0) + length(get(p, i)), 'term', get(m, i))))").alias("t"))
-    each = walked.select("row", "value", "place", "from", "left", "size", "whole", F.inline("t"))
-    cut_off = ~F.col("whole") & F.when(F.col("left"), F.col("at") == 0).otherwise(F.col("at") + F.length("term") == F.col("size"))
-    return each.filter(~cut_off).select("row", "value", "place", F.lower("term").alias("term"), (F.col("from") + F.col("at")).alias("start"), (F.col("from") + F.col("at") + F.length("term")).alias("end"))
-
-
-def disclosing(docs: DataFrame, text_col: str, near: DataFrame, spans: DataFrame, limits: Thresholds) -> DataFrame:
-    """(value, term, reveals) of the pairs over the threshold: reveals is the share of the entity's information, PMI / IC.
-
-    Texts are the events: N of them, n(c) with the entity, n(t) with the term, n(c, t) with both near each other. A pair needs
-    the support of different surroundings, so that copies of one passage prove nothing."""
-    pairs = near.groupBy("value", "term").agg(F.count_distinct("place").alias("places"), F.count_distinct("row").alias("both")).filter(F.col("places") >= limits.support)
-    entities = spans.groupBy("value").agg(F.count_distinct("row").alias("n_value"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(docs[f"`{text_col}`"]), F.lit(r"\p{L}[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("term"))
+    return placed.filter(valid).select("row", "kind", "start", "end", "match", value.alias("value"), "before", "after")
+
+
+def classes() -> Column:
+    """The value and the classes it belongs to: domain and parts of the local name; network; number without its last digits;
+    issuer of a card."""
+    value = F.col("value")
+    rest = F.element_at(F.split(value, ":", 2), 2)
+    local, domain = F.substring_index(rest, "@", 1), F.substring_index(rest, "@", -1)
+    parts = F.transform(F.filter(F.split(local, "[._%+-]+"), lambda x: x != ""), lambda x: F.concat(F.lit("local:"), x))
+    of = F.when(F.col("kind") == "email", F.concat(F.array(value, F.concat(F.lit("domain:"), domain)), parts))
+    of = of.when(F.col("kind") == "ip", F.array(value, F.concat(F.lit("net3:"), F.substring_index(rest, ".", 3)), F.concat(F.lit("net2:"), F.substring_index(rest, ".", 2))))
+    of = of.when(F.col("kind") == "phone", F.array(value, F.concat(F.lit("line:"), F.expr("left(split(value, ':', 2)[1], length(value) - length(kind) - 5)")), F.concat(F.lit("area:"), F.expr("left(split(value, ':', 2)[1], length(value) - length(kind) - 8)"))))
+    return of.otherwise(F.array(value, F.concat(F.lit("issuer:"), F.left(rest, F.lit(6)))))
+
+
+def classed(spans: DataFrame, limits: Thresholds) -> DataFrame:
+    """(row, class, place, n_class, before, after) of every entity's classes that have the support at all, n_class the texts with
+    the class. class is a hash; place is a hash of an entity and its surroundings, the same for copies of a passage."""
+    each = spans.select("row", F.xxhash64("value", "before", "after").alias("place"), "before", "after", F.explode(F.array_distinct(F.transform(classes(), lambda c: F.xxhash64(c)))).alias("class"))
+    recurring = each.groupBy("class").agg(F.count_distinct("place").alias("places"), F.count_distinct("row").alias("n_class")).filter(F.col("places") >= limits.support)
+    return each.join(recurring.drop("places"), "class")
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def term_key(term: Column) -> Column:
+    return F.xxhash64(F.lower(term))
+
+
+def holding(seen: DataFrame, spans: DataFrame, named: DataFrame) -> DataFrame:
+    """(row, text, taken, held, terms) of every row with an entity of a class in named: taken are the places of its entities,
+    held its classes with one place each, and terms the different terms outside of its entities."""
+    held = named.groupBy("row", "class").agg(F.min("place").alias("place")).groupBy("row").agg(F.collect_list(F.struct("class", "place")).alias("held"))
+    taken = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("taken"), F.collect_set("match").alias("matches"))
+    rows = seen.filter("text is not null").select("row", "text").join(held, "row").join(taken, "row")
+    longest = F.array_sort("matches", lambda x, y: F.length(y) - F.length(x))
+    blank = F.concat(F.lit("\\Q"), F.array_join(longest, "\\E|\\Q"), F.lit("\\E"))
+    return rows.select("row", "text", "taken", "held", terms_of(F.regexp_replace("text", blank, F.lit(" "))).alias("terms"))
+
+
+def disclosing(docs: DataFrame, text_col: str, named: DataFrame, rows: DataFrame, limits: Thresholds) -> DataFrame:
+    """(class, term, reveals) of the pairs over the threshold: reveals is the share of the class's information, PMI / IC.
+
+    Texts are the events: N of them, n(c) with the class, n(t) with the term, n(c, t) with both. A pair needs the support of
+    different surroundings, so that copies of one passage prove nothing: every entity with the term in its surroundings is
+    one, and every text that holds both."""
+    keys = lambda side: F.transform(terms_of(F.col(side)), term_key)
+    # A word that the edge of the surroundings may cut is left out.
+    edge = f"[{LETTER[1:-1]}'\u2019-]+"
+    sides = named.select("class", "place", F.when(F.length("before") < REACH, F.col("before")).otherwise(F.regexp_replace("before", f"^{edge}", "")).alias("before"), F.when(F.length("after") < REACH, F.col("after")).otherwise(F.regexp_replace("after", f"{edge}$", "")).alias("after"))
+    near = sides.select("class", "place", F.explode(F.array_distinct(F.concat(keys("before"), keys("after")))).alias("term"), F.lit(0).alias("texts"))
+    whole = rows.select("held", F.explode(F.array_distinct(F.transform("terms", term_key))).alias("term")).select("term", F.inline("held")).select("class", "place", "term", F.lit(1).alias("texts"))
+    pairs = near.unionByName(whole).groupBy("class", "term").agg(F.count_distinct("place").alias("places"), F.sum("texts").alias("both")).filter((F.col("places") >= limits.support) & (F.col("both") > 0))
+    sizes = named.select("class", "n_class").distinct()
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(docs[f"`{text_col}`"], F.lit(TERM), F.lit(0)), term_key))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n"))  # one row
-    counted = pairs.join(entities, "value").join(terms, "term").crossJoin(F.broadcast(total))
-    bits = F.log2(F.col("n") / F.col("n_value"))
-    pmi = F.log2(F.col("n") * F.col("both") / (F.col("n_value") * F.greatest("n_term", "both")))
-    return counted.withColumn("reveals", F.when(bits > 0, pmi / bits).otherwise(0.0)).filter(F.col("reveals") >= limits.generalise).select("value", "term", "reveals")
+    counted = pairs.join(sizes, "class").join(terms, "term").crossJoin(F.broadcast(total))
+    bits = F.log2(F.col("n") / F.col("n_class"))
+    pmi = F.log2(F.col("n") * F.col("both") / (F.col("n_class") * F.greatest("n_term", "both")))
+    return counted.withColumn("reveals", F.when(bits > 0, pmi / bits).otherwise(0.0)).filter(F.col("reveals") >= limits.generalise).select("class", "term", "reveals")
+
+
+def term_spans(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(row, start, end, reveals) of every place of a term in the text of a row that holds a class it reveals, outside of the
+    row's entities."""
+    offered = rows.select("row", "held", F.explode("terms").alias("name")).select("row", "name", term_key(F.col("name")).alias("term"), F.explode("held.class").alias("class"))
+    hits = offered.join(told, ["class", "term"]).groupBy("row", "name").agg(F.max("reveals").alias("reveals"))
+    by_row = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("name", "reveals"))).alias("names"))
+    any_of = F.concat(F.lit(HEAD + "(?:"), F.array_join(F.map_keys("names"), "|"), F.lit(")" + TAIL))
+    cut_up = rows.join(by_row, "row").withColumn("p", F.split("text", any_of, -1)).withColumn("m", F.regexp_extract_all("text", any_of, F.lit(0)))
+    each = cut_up.select("row", "taken", "names", F.posexplode(F.arrays_zip("m", F.slice("p", F.lit(1), F.size("m")).alias("p"))).alias("nth", "x")).select("row", "taken", "nth", F.length("x.p").alias("gap"), F.length("x.m").alias("size"), F.element_at("names", F.col("x.m")).alias("reveals"))
+    order = Window.partitionBy("row").orderBy("nth")
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order)).withColumn("start", F.col("end") - F.col("size"))
+    return placed.filter("not exists(taken, s -> s.start < end and start < s.end)").select("row", "start", "end", "reveals")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Thresholds | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,9 +191,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     limits = limits or Thresholds()
     seen = cut(found(docs, id_col, text_col))
     spans = cut(base_spans(seen))
-    near = near_terms(spans)  # few and cheap beside the texts, so made twice and not written
-    told = disclosing(docs, text_col, near, spans, limits)
-    hits = near.join(told, ["value", "term"]).groupBy("row", "start", "end").agg(F.max("reveals").alias("reveals"))
+    named = cut(classed(spans, limits))
+    rows = cut(holding(seen, spans, named))
+    hits = term_spans(rows, cut(disclosing(docs, text_col, named, rows, limits)))
     terms = hits.select("row", F.lit("term").alias("kind"), "start", "end", F.when(F.col("reveals") >= limits.remove, "remove").otherwise("generalise").alias("action"))
     return seen.select("row", "id"), spans.select("row", "kind", "start", "end", F.lit("generalise").alias("action")).unionByName(terms)
 
@@ -147,7 +202,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, spans) of every row: spans is an array of (start, kind_no, end, kind, action) in characters, by start and kind.
 
     Base kinds are matched leftmost without overlap, each on its own, and matches that fail the kind's test are dropped;
-    spans of kind term are the words that disclose an entity near them. A null or empty text has no spans. Rows are told apart
+    spans of kind term are the words, wherever they stand in the text, that disclose one of its entities or a class of it. A null or empty text has no spans. Rows are told apart
     by a number of their own, so repeated rows and null ids are kept as they are; repeated texts count as texts, but not as
     support. An empty table gives no rows; other columns are not read. Memory follows the longest text."""
     rows, spans = find(docs, id_col, text_col, limits)
