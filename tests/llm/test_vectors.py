@@ -52,3 +52,31 @@ def test_odd_vectors(spark):
         assert by[1] == by[2] == by[3] == by[11] == (4, 1)
         assert all(by[k] == (0, k) for k in (4, 5, 6, 7, 8, 9, 10)) and by[None] == (0, None)
     assert V.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_rare_links_that_beams_do_not_reach(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(1200, 24)).astype(np.float32)
+    for i in range(0, 60, 2):
+        x[i + 1] = x[i] + 0.01
+    lost = V.near_pairs
+
+    def near_pairs(shard, queries, threshold, beam):  # a graph that leads no beam to any other vector
+        i, j = lost(shard, queries, threshold, V.SCAN)
+        ok = (beam > V.WIDEST) | (np.einsum("ij,ij->i", queries[i], shard.unit[j]) > 0.999999)
+        return i[ok], j[ok]
+
+    unit = V.unit_vectors(x)
+    shard = V.Shard(np.arange(1200), np.ones(1200, np.int64), x, unit, V.build(unit, np.arange(1200)))
+    monkeypatch.setattr(V, "near_pairs", near_pairs)
+    import pickle
+
+    import pyarrow as pa
+
+    index = pa.table({"blob": pa.array([pickle.dumps(shard)], pa.binary())})
+    asked = pa.table({"id": np.arange(1200), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
+    seen = V.audit(index, asked, 0.95)
+    sums = {c: sum(seen[c].to_pylist()) for c in ("links", *[f"found{b}" for b in V.BEAMS])}
+    assert len(seen) == 60 and sums["links"] == 60 and sums["found256"] == 0
+    assert V.narrowest({"vectors": 60} | sums, 1.0, 50) == V.SCAN and V.narrowest({"vectors": 60} | sums, 1.0, 61) is None
+    got = V.search(index, asked, 0.95, {24: V.SCAN}).to_pylist()
+    assert sum(r["n"] for r in got) == 60

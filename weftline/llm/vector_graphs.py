@@ -1,9 +1,9 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors are one from the start. Each shard's vectors are linked into a graph of layers; every vector then searches every
-shard's graph with a beam. Where a beam fills up with links it is widened, and at last the shard is scanned for that vector;
-in every unit of work some vectors are compared with the whole shard, and the beams of all widen until none of their links is
-missed. Links are decided by cosine in double precision; components are united over all shards.
+shard's graph with a beam. Where a beam fills up with links it is widened, and at last the shard is scanned for that vector.
+Before that, an audit compares blocks of vectors with all shards, until enough of them have links to others, and takes the
+narrowest beam that misses none of these; where no beam does, or links are too few to tell, shards are scanned. Links are decided by cosine in double precision; components are united over all shards.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ BUILD_BEAM = 40
 SHARD, LEAST_SHARDS, BLOCK = 50_000, 8, 8192
 #: A beam wider than this is no cheaper than a scan of the shard.
 WIDEST = 256
-AUDITED = 48
+#: The beams that an audit tries, and the vectors with links to others that it must have seen.
+BEAMS, ENOUGH = (16, 32, 64, 128, 256), 500
+SCAN = 2 * WIDEST
 SLACK = 1e-4
 
 
@@ -222,7 +224,60 @@ def near_pairs(shard: Shard, queries: np.ndarray, threshold: float, beam: int) -
     return tuple(np.concatenate(out, 1)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def search(index: pa.Table, asked: pa.Table, threshold: float, recall: float) -> pa.Table:
+def audit(index: pa.Table, asked: pa.Table, threshold: float) -> pa.Table:
+    """Of a block of queries and one shard: for every query with links in the shard to other vectors than itself, their number
+    and how many of them each of BEAMS finds."""
+    schema = pa.schema([("dims", pa.int32()), ("id", pa.int64()), ("links", pa.int64())] + [(f"found{b}", pa.int64()) for b in BEAMS])
+    if not len(index) or not len(asked):
+        return schema.empty_table()
+    shard: Shard = pickle.loads(index["blob"][0].as_py())
+    keys, raw = asked["id"].to_numpy(), stacked(asked["embedding"])
+    unit = unit_vectors(raw)
+
+    def links(beam: int) -> np.ndarray:
+        n = np.zeros(len(keys), np.int64)
+        for lo in range(0, len(keys), 1024):
+            i, j = near_pairs(shard, unit[lo : lo + 1024], threshold, beam)
+            for at in range(0, len(i), 100_000):
+                a, b = i[at : at + 100_000] + lo, j[at : at + 100_000]
+                n += np.bincount(a[(keys[a] != shard.keys[b]) & (cosines(raw[a], shard.raw[b]) >= threshold)], minlength=len(keys))
+        return n
+
+    true = links(SCAN)
+    if not true.any():
+        return schema.empty_table()
+    some = np.flatnonzero(true)
+    keys, raw, unit = keys[some], raw[some], unit[some]
+    columns = {"dims": np.full(len(some), raw.shape[1], np.int32), "id": keys, "links": true[some]} | {f"found{b}": links(b) for b in BEAMS}
+    return pa.table(columns, schema=schema)
+
+
+def narrowest(seen: dict, recall: float, enough: int) -> int | None:
+    """The beam that found the share recall of the links in an audit's sums; SCAN if none did, None if too few were seen."""
+    if seen["vectors"] < enough:
+        return None
+    return next((b for b in BEAMS if seen[f"found{b}"] >= recall * seen["links"]), SCAN)
+
+
+def choose_beams(offered, asked, blocks: int, dims: list[int], threshold: float, recall: float, enough: int = ENOUGH) -> dict[int, int]:
+    """The beam for the vectors of each length. Audits 1, 2, 4, ... of the blocks, dealt by a hash of the id, against all shards
+    until enough vectors have links; of a length with fewer in all blocks the shards are scanned."""
+    done, upto, sums = 0, 1, {d: {"vectors": 0, "links": 0} | {f"found{b}": 0 for b in BEAMS} for d in dims}
+    by, kind = ["dims", "shard", "block"], "dims int, id bigint, links bigint, " + ", ".join(f"found{b} bigint" for b in BEAMS)
+    while True:
+        low = [d for d in dims if sums[d]["vectors"] < enough]
+        if not low or done >= blocks:
+            return {d: narrowest(sums[d], recall, enough) or SCAN for d in dims}
+        part = lambda x: x.filter((F.col("block") >= done) & (F.col("block") < upto) & F.col("dims").isin(low))
+        rows = part(offered).groupBy(*by).cogroup(part(asked).groupBy(*by)).applyInArrow(lambda a, b: audit(a, b, threshold), kind)
+        names = ["links", *[f"found{b}" for b in BEAMS]]
+        for r in rows.groupBy("dims", "id").agg(*[F.sum(c).alias(c) for c in names]).groupBy("dims").agg(F.count("*").alias("vectors"), *[F.sum(c).alias(c) for c in names]).collect():
+            for c in ("vectors", *names):
+                sums[r["dims"]][c] += r[c]
+        done, upto = upto, min(2 * upto, max(blocks, upto))
+
+
+def search(index: pa.Table, asked: pa.Table, threshold: float, beams: dict[int, int]) -> pa.Table:
     """Of a block of queries and one shard: (id, n, root) of every query with links in the shard and every vector linked to:
     how many rows it links with here (queries only) and the smallest id that links join it with here."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
@@ -232,14 +287,7 @@ def search(index: pa.Table, asked: pa.Table, threshold: float, recall: float) ->
     keys = asked["id"].to_numpy()
     raw = stacked(asked["embedding"])
     unit = unit_vectors(raw)
-    sample = np.argsort(mix(keys.astype(np.uint64)))[:AUDITED]
-    true = set(zip(*(x.tolist() for x in np.nonzero(unit[sample] @ shard.unit.T >= threshold - SLACK)), strict=True))
-    beam = 16
-    while True:
-        i, j = near_pairs(shard, unit[sample], threshold, beam)
-        if beam > WIDEST or len(true & set(zip(i.tolist(), j.tolist(), strict=True))) >= recall * len(true):
-            break
-        beam *= 2
+    beam = beams[raw.shape[1]]
     link = Links(shard, keys)
     for lo in range(0, len(keys), 1024):
         i, j = near_pairs(shard, unit[lo : lo + 1024], threshold, beam)
@@ -309,8 +357,8 @@ def link(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, id_co
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own component, as
     does any with a null id (a null component). Vectors of different lengths do not link. Equal vectors, also under the same
     id, link with each other and are searched once. An empty table gives no rows; other columns are not read. Ids must be
-    integers. recall is the share of true links of the audited vectors that beams must find; cosines are never below the
-    threshold. Every vector searches every shard, so work grows with vectors times shards, and a shard holds up to SHARD."""
+    integers. recall is the share of the links of audited vectors to others, over all shards, that the beam must find; where an
+    audit of all vectors sees fewer than ENOUGH with links, all are scanned. Cosines are never below the threshold. Every vector searches every shard, so work grows with vectors times shards, and a shard holds up to SHARD."""
     v = vectors[f"`{vector_col}`"]
     rows = vectors.select(vectors[f"`{id_col}`"].cast("long").alias("id"), v.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -326,7 +374,9 @@ def link(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, id_co
     asked = single.select("dims", "id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     offered = index.select("dims", "shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     by = ["dims", "shard", "block"]
-    found = cut(offered.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda a, b: search(a, b, threshold, recall), "id bigint, n bigint, root bigint"))
+    lengths = sorted(r["dims"] for r in index.select("dims").distinct().collect())
+    beams = choose_beams(offered, asked, blocks, lengths, threshold, recall)
+    found = cut(offered.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda a, b: search(a, b, threshold, beams), "id bigint, n bigint, root bigint"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     result = single.select("digest", "id", "size").join(counts, "id", "left").join(joined, "id", "left")
