@@ -38,3 +38,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 1), (3, 1)}
     assert L.decontaminate(odd_docs, benchmark).count() == odd_docs.count() - 3
     assert L.contained(no_docs, benchmark).count() == 0 and L.contained(odd_docs, benchmark.limit(0)).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark, docs):
+    zh, th, short, mid = "请问中国的首都是哪一座城市？", "เมืองหลวงของประเทศไทย", "Zorblat quux!", "zarn obli vent kurm tesk bilo narp"
+    other = docs.orderBy("doc_id").first()["text"]
+    rows = [(90_001, f"{other} 前言。{zh}后记 {other}"), (90_002, f"xx{th} {other}"), (90_003, f"{other} zorblat, QUUX {other}"), (90_004, f"{other} {mid} {other}"), (90_005, "zorblat quuxes"), (90_006, "zorblat"), (90_007, "quux 请问")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    benchmark = spark.createDataFrame(list(enumerate([zh, th, short, mid])), "item_id int, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in L.contained(table, benchmark).collect()} == {(90_001, 0), (90_002, 1), (90_003, 2), (90_004, 3)}

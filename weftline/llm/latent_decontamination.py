@@ -3,7 +3,8 @@
 Passages of the corpus are rows of a TF-IDF matrix over hashed words. A randomised sketch of its rows, summed over all tasks, gives
 its leading right singular vectors and values; passages and benchmark items are compared by cosine in that space, scaled by
 the singular values. Windows of a text near an item are candidates; an item counts as contained if a large part of its words
-stands there in its order, and with them its answer, the words that tell it from other texts.
+stands there in its order, and with them its answer, the words that tell it from other texts. An item whose words stand in a
+text one by one is found whatever its length or cosine.
 """
 
 from __future__ import annotations
@@ -29,12 +30,20 @@ BLOCK = 8
 #: Windows in blocks of words; an item is looked for in the largest that is not longer than it.
 SCALES = (2, 4, 8)
 LEAST_ITEM = 5
+#: Words of an item, the rarest that stand together, by which its exact copies are found.
+ANCHOR = 5
 #: Items of one pass over the corpus; of more, a pass for each so many.
 ITEMS = 4096
 # ASCII characters that are neither letters nor digits part words.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+# Code points of scripts without spaces, whose characters are words of their own, and of punctuation.
+ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF))
+PUNCTUATION = ((0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+ANCHOR_MULTS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, ANCHOR, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 TABLE32 = np.random.Generator(np.random.PCG64(17)).integers(1, 1 << 31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 BASE32, BACK32 = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
 _powers: dict[int, np.ndarray] = {}
@@ -57,14 +66,49 @@ def mix32(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, without ASCII case and punctuation, and each row's first word. 32 bits are enough to tell the
-    words of an item and of a text's region apart, and halve the work."""
+def within(codes: np.ndarray, ranges: tuple) -> np.ndarray:
+    return np.any([(codes >= lo) & (codes <= hi) for lo, hi in ranges], 0)
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words and each row's first word; characters of scripts without spaces are words of their own."""
+    lead = np.flatnonzero(data >= 0xE0)
+    lead = lead[lead + 2 + (data[lead] >= 0xF0) < len(data)]
+    if not len(lead):
+        return word_bounds(data, offsets, APART)
+    long = data[lead] >= 0xF0
+    codes = ((data[lead].astype(np.int64) & 15) << 12) | ((data[lead + 1].astype(np.int64) & 63) << 6) | (data[lead + 2] & 63)
+    part = ~long & within(codes, PUNCTUATION)
+    alone = np.where(long, (data[lead] == 0xF0) & (data[lead + 1] >= 0xA0) & (data[lead + 1] < 0xB0), within(codes, ALONE) & ~part)
+    clean = data.copy()
+    for k in range(3):
+        clean[lead[part] + k] = 0x20
+    starts, ends, first = word_bounds(clean, offsets, APART)
+    if not alone.any():
+        return starts, ends, first
+    edges = np.union1d(lead[alone], (lead + 3 + long)[alone])
+    solid = np.append(~APART[clean], False)
+    starts, ends = np.union1d(starts, edges[solid[edges]]), np.union1d(ends, edges[(edges > 0) & solid[edges - 1]])
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def split_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, without ASCII case and punctuation, each row's first word, and the words' starts and ends. 32 bits
+    are enough to tell the words of an item and of a text's region apart, and halve the work."""
     data = LOWER[data]
-    starts, ends, first = word_bounds(data, offsets, APART)
+    starts, ends, first = bounds(data, offsets)
     sums = np.zeros(len(data) + 1, np.uint32)
     np.cumsum(TABLE32[data] * powers(BASE32, len(data)), out=sums[1:])
-    return mix32((sums[ends] - sums[starts]) * powers(BACK32, len(data) + 1)[starts]), first
+    return mix32((sums[ends] - sums[starts]) * powers(BACK32, len(data) + 1)[starts]), first, starts, ends
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return split_at(data, offsets)[:2]
+
+
+def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words as they are compared, a space between two."""
+    return b" ".join(LOWER[data[s:e]].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
 def pieces(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +203,16 @@ class LatentSpace:
 
 @dataclass
 class Item:
-    """A benchmark item: its id, words, answer words and vector of length 1."""
+    """A benchmark item: its id, words, answer words and vector of length 1; scale is 0 where it is looked for exactly only,
+    anchor the first of the words by which exact copies are found."""
 
     key: int
     words: list[int]
     answer: set[int]
     vector: np.ndarray
     scale: int
+    spelled: bytes = b""
+    anchor: int = 0
 
     def common(self, region: list[int]) -> int:
         """Length of the longest common subsequence with region; bit i of the masks is the item's word i."""
@@ -182,20 +229,22 @@ class Item:
 
 
 def items_of(benchmark: DataFrame, space: LatentSpace) -> Iterator[list[Item]]:
-    """The items of benchmark(id, text) with LEAST_ITEM words or more, in blocks of at most ITEMS."""
+    """The items of benchmark(id, text) that have a word, in blocks of at most ITEMS."""
     rows = benchmark.filter("id is not null and text is not null").select(F.col("id").cast("long"), "text").orderBy("id").toLocalIterator(prefetchPartitions=True)
     block: list[Item] = []
     for row in rows:
         data = np.frombuffer(row["text"].encode(), np.uint8)
-        h, _ = split(data, np.array([0, len(data)]))
-        if len(h) < LEAST_ITEM:
+        h, _, starts, ends = split_at(data, np.array([0, len(data)]))
+        if not len(h):
             continue
         b = bucket(h)
+        anchor = int(np.argmax(np.convolve(space.idf[b], np.ones(min(ANCHOR, len(h))), "valid")))
+        spelled = spelling(data, starts, ends)
         vector = space.word[b].sum(0)
         distinct, at = np.unique(h, return_index=True)
         rare = distinct[np.argsort(-space.idf[b[at]], kind="stable")][: max(2, -(-len(h) // 5))]
-        scale = max([m for m in SCALES if m * BLOCK <= len(h)], default=SCALES[0])
-        block.append(Item(row["id"], h.tolist(), set(rare.tolist()), vector / max(np.linalg.norm(vector), 1e-12), scale))
+        scale = max([m for m in SCALES if m * BLOCK <= len(h)], default=SCALES[0]) if len(h) >= LEAST_ITEM else 0
+        block.append(Item(row["id"], h.tolist(), set(rare.tolist()) if scale else set(), vector / max(np.linalg.norm(vector), 1e-12), scale, spelled, anchor))
         if len(block) == ITEMS:
             yield block
             block = []
@@ -208,7 +257,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
     Windows of the text whose cosine with the item reaches cosine and that have room for its answer are candidates; around the
     best of neighbouring ones the share of the item's words in a longest common subsequence must reach subsequence, and the share of its answer words,
-    the rarest fifth, must reach answer. Items of fewer than LEAST_ITEM words or without text are not looked for. A null or
+    the rarest fifth, must reach answer. A text that holds all words of an item one by one contains it in any case, with ones for
+    what was not measured; items of fewer than LEAST_ITEM words are looked for in this way only, and those without a word not
+    at all. A character of a script without spaces counts as a word. A null or
     empty text contains nothing. Rows are judged alone, so repeated rows repeat their hits; null ids are kept. Ids of items
     must be integers. An empty table on either side gives no rows; other columns are not read. The statistics come from all
     passages of docs; items go to the tasks in blocks of at most ITEMS, a pass over docs for each block."""
@@ -230,14 +281,14 @@ def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str,
     holders = told[:, 1]
     sizes = np.array([len(x.words) for x in items])
     least = np.array([answer * len(x.answer) for x in items])
-    shared = rows.sparkSession.sparkContext.broadcast((items, space.word, by_scale, matrices, answers, np.append(head, len(told)), holders, sizes, least))
+    shared = rows.sparkSession.sparkContext.broadcast((items, space.word, by_scale, matrices, answers, np.append(head, len(told)), holders, sizes, least, anchors_of(items)))
 
     def run(batch: pa.RecordBatch):
-        items, word, by_scale, matrices, answers, head, holders, sizes, least = shared.value
+        items, word, by_scale, matrices, answers, head, holders, sizes, least, anchors = shared.value
         known = np.zeros(1 << BITS, bool)
         known[bucket(answers)] = True
         for lo, _, data, offsets in slices(batch.column(1)):
-            h, first = split(data, offsets)
+            h, first, begins, ends = split_at(data, offsets)
             if not len(h):
                 continue
             b = bucket(h)
@@ -270,6 +321,10 @@ def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str,
                 held = len(x.answer.intersection(region)) / len(x.answer)
                 if held >= answer and (share := x.common(region) / len(x.words)) >= subsequence:
                     best[r, i] = max(best.get((r, i), (0, 0, 0)), (near, share, held))
+            for r, i, at in exact_copies(h, first, items, anchors):
+                stop = at + len(items[i].words)
+                if (r, i) not in best and spelling(data, begins[at:stop], ends[at:stop]) == items[i].spelled:
+                    best[r, i] = (1.0, 1.0, 1.0)
             if best:
                 columns = list(zip(*best.values(), strict=True))
                 yield {"doc_id": batch.column(0).take(pa.array([lo + r for r, _ in best])), "item_id": [items[i].key for _, i in best], "cosine": list(columns[0]), "subsequence": list(columns[1]), "answer": list(columns[2])}
@@ -277,6 +332,37 @@ def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str,
     return map_arrow(rows, run, schema)
 
 
+def anchors_of(items: list[Item]) -> tuple[np.ndarray, list]:
+    """Which upper halves of word hashes begin an anchor, and for each anchor length the sorted keys of the anchors and their items."""
+    begin, by_size = np.zeros(1 << 16, bool), {}
+    for i, x in enumerate(items):
+        words = np.array(x.words[x.anchor : x.anchor + ANCHOR], np.uint64)
+        begin[int(words[0]) >> 16] = True
+        by_size.setdefault(len(words), []).append((int((words * ANCHOR_MULTS[: len(words)]).sum(dtype=np.uint64)), i))
+    return begin, [(n, np.array([k for k, _ in sorted(both)], np.uint64), np.array([i for _, i in sorted(both)])) for n, both in sorted(by_size.items())]
+
+
+def exact_copies(h: np.ndarray, first: np.ndarray, items: list[Item], anchors: tuple[np.ndarray, list]) -> Iterator[tuple[int, int, int]]:
+    """(row, item, first word) of the places where the words h have all hashes of an item one by one."""
+    begin, tables = anchors
+    at = np.flatnonzero(begin[h >> np.uint32(16)])
+    for n, keys, which in tables:
+        at = at[at + n <= len(h)]  # sizes ascend
+        sums = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            sums += h[at + k].astype(np.uint64) * ANCHOR_MULTS[k]
+        lo, hi = np.searchsorted(keys, sums), np.searchsorted(keys, sums, "right")
+        for j in np.flatnonzero(hi > lo).tolist():
+            for i in which[lo[j] : hi[j]].tolist():
+                start = int(at[j]) - items[i].anchor
+                stop = start + len(items[i].words)
+                if start < 0 or stop > len(h):
+                    continue
+                row = int(np.searchsorted(first, start, "right")) - 1
+                if stop <= first[row + 1] and h[start:stop].tolist() == items[i].words:
+                    yield row, i, start
+
+
 def answer_places(h: np.ndarray, at: np.ndarray, answers: np.ndarray, head: np.ndarray, holders: np.ndarray) -> np.ndarray:
     """item * len(h) + place, sorted, for every place (of those in at) of a word that is an answer word of the item."""
     if not len(answers):
