@@ -1,8 +1,10 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and pairs of words are hashed into a fixed number of features. The target model counts features over texts that are
-labelled good, the raw model over all texts. A text's importance is its probability ratio under the two models; adding Gumbel
-noise to its logarithm and keeping the k largest draws k texts without replacement in proportion to their importance.
+labelled good, the raw model over all texts. A text's weight is not its probability ratio under the two models but tempered by
+length: the mean log ratio of its features, times EFFECTIVE. So the log ratio of a text of 500 features is multiplied by 0.12,
+that of one of 9 features by 6.7. Adding Gumbel noise to it and keeping the k largest draws k texts without replacement in
+proportion to these weights.
 """
 
 from __future__ import annotations
