@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import suffix_dedup, windows, word_graph_dedup
@@ -40,9 +42,10 @@ def test_words_same_as_brute_force(docs, texts):
     assert got == words_left(texts)
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_bytes_same_as_brute_force(spark, texts, monkeypatch, block):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+@pytest.mark.parametrize("most", [1024, 2])
+def test_bytes_same_as_brute_force(spark, texts, monkeypatch, most):
+    """most: classes of one key in a suffix array; with 2 nearly all meet by single windows."""
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
     some = texts[:60] + [(1000 + i, t[3:] + "x") for i, (_, t) in enumerate(texts[:8])] + [(2000, "ab" * 600), (2001, "z" * 900)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got} == bytes_left(some, 400)
@@ -62,10 +65,72 @@ def test_runs_meet_at_equal_windows():
     a, b, c = (rng.integers(0, 1 << 60, n, dtype=np.uint64) for n in (50, 40, 30))
     tokens = np.concatenate([a, b, c, b])
     r = windows.runs(tokens, np.array([0, 90, 160]), 20, 6)
-    inner = set(r.whole[r.row == 0].tolist()) & set(r.whole[r.row == 1].tolist())
+    whole = [tokens[lo:hi].tobytes() for lo, hi in zip(r.lo, r.hi, strict=True)]
+    inner = {w for w, row in zip(whole, r.row, strict=True) if row == 0} & {w for w, row in zip(whole, r.row, strict=True) if row == 1}
     assert r.count.sum() == 71 + 51 and inner
 
 
+@pytest.mark.parametrize("most", [1024, 2])
+def test_zero_bytes(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefgh") for _ in range(420))
+    some = [(i, letters + "\0" * i) for i in range(5)] + [(10 + i, "\0" * (398 + i)) for i in range(6)]
+    some += [(20 + i, "".join(rng.choice("\0\0\0a") for _ in range(rng.randrange(380, 460)))) for i in range(4)]
+    some += [(30 + i, letters[i:] + "\0" * rng.randrange(9) + letters[: 400 - i] + "\0x") for i in range(12)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got} == bytes_left(some, 400)
+
+
+def test_a_key_of_many_texts(spark):
+    """A passage of 300 bytes with 1500 different ones around it, some of them alike: more than MOST, and as many in a lighter one."""
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    middle, other = draw(300), draw(320)
+    some = [(i, draw(250) + middle + draw(250)) for i in range(1500)] + [(2000 + i, draw(250) + other + draw(250)) for i in range(300)]
+    some += [(3000 + i, draw(20) + some[i][1][200:650] + draw(9)) for i in (3, 4, 1600, 1700)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got} == bytes_left(some, 400)
+
+
+def test_suffix_array_of_several_texts():
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = [bytes(rng.choice([0, 0, 97, 98]) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 5))]
+        offsets = np.cumsum([0] + [len(t) for t in texts])
+        text, starts = np.frombuffer(b"".join(texts), np.uint8), np.arange(offsets[-1])
+        ends = offsets[1:][np.searchsorted(offsets, starts, "right") - 1]
+        order, common = suffix_dedup.suffix_array(text, starts, ends)
+        got = [text[starts[i] : ends[i]].tobytes() for i in order]
+        assert got == sorted(got)
+        for a, b, n in zip(got, got[1:], common[1:], strict=False):
+            assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+def test_colliding_hashes_keep_texts_apart(monkeypatch):
+    monkeypatch.setattr(windows, "span_hash", lambda sums, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = [" ".join(f"{k}{i}" for i in range(30)) for k in "abab"]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "tag": [0] * 4, "text": texts})
+    for by_words, window, gram in ((True, 20, 6), (False, 40, 8)):
+        [(_, r, h)] = windows.batch_runs(batch, by_words, window, gram)
+        by_row = [{tuple(x) for x, row in zip(h.tolist(), r.row, strict=True) if row == k} for k in range(4)]
+        assert by_row[0] == by_row[2] and by_row[1] == by_row[3] and not by_row[0] & by_row[1]
+
+
+def test_words_of_repeated_ids(spark):
+    rng = random.Random(7)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, own = draw(30), draw(40)
+    rows = [(1, " ".join(draw(5) + common)), (1, " ".join(draw(9) + common)), (2, " ".join(common)), (3, " ".join(own)), (3, " ".join(own))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for parts in (1, 5):
+        got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in word_graph_dedup.remove_earlier(table.repartition(parts)).collect())
+        assert want in (None, got)
+        want = got
+    assert sum(r[2] for r in got if r[0] == 1) == 30 and (2, 30, 30) in got and got.count((3, 40, 0)) == 2
+
+
 def test_odd_rows(odd_docs, no_docs):
     for got in (word_graph_dedup.remove_earlier(odd_docs), suffix_dedup.remove_repeats(odd_docs)):
         assert got.count() == odd_docs.count()
