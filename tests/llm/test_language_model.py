@@ -1,9 +1,10 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import queries, suffix_tree_lm
@@ -14,34 +15,103 @@ def tokens(t):
     return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [None]
 
 
-def test_base_and_model(docs, texts):
+def teaches(k):
+    return zlib.crc32(str(k).encode()) % 7 != 2
+
+
+def test_base_and_counts(docs, texts):
     counts = Counter()
     for k, t in texts:
-        if zlib.crc32(str(k).encode()) % 7 != 2:
+        if teaches(k):
             counts.update(tokens(t))
     n, v = sum(counts.values()), len(counts)
     got = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, queries.id_crc(7) != 2).collect()}
-    model = base = 0.0
     for k, t in texts:
         r, w = got[k], tokens(t)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(counts[x] > 0 for x in w), n, zlib.crc32(str(k).encode()) % 7 == 2)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(counts[x] > 0 for x in w), n, not teaches(k))
         assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs_tol=1e-6)
-        if not r["held_out"]:
-            model, base = model + r["score"], base + r["base_score"]
-    assert model > base  # what the tree says of spellings helps
-
-
-def test_symbols_and_tree():
-    data = np.frombuffer(b"Ab c", np.uint8)
-    starts, ends, first = word_bounds(data, np.array([0, 4, 4]))
-    codes, heads = suffix_tree_lm.symbols(LOWER[data], starts, ends, first)
-    assert bytes((codes & np.uint64(255)).astype(np.uint8)) == b"ab c \n\n" and heads.tolist() == [0, 3, 5, 6]
-    rows = [(0, 0, 97, 6), (0, 0, 98, 4), (1, 97, 98, 4)]
-    tree = suffix_tree_lm.SuffixTree.build(rows)
-    p = 10 ** tree.table.astype(float)
-    assert np.allclose(p.sum(1), 1) and len(p) == 2
-    a_then_b, b_then_b = tree.score(np.array([(97 << 8) | 98, (98 << 8) | 98], np.uint64))
-    assert a_then_b > b_then_b
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_model_beats_base_on_held_out_texts(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    sums = suffix_tree_lm.score(docs, queries.id_crc(7) != 2).groupBy("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).collect()
+    assert len(sums) == 2
+    for r in sums:
+        assert r["model"] / r["n"] > r["base"] / r["n"] + (0.3 if r["held_out"] else 0)
+
+
+def plain_score(texts, train, least=8, divergence=0.005, evidence=12.0):
+    """The model by dictionaries and one symbol at a time."""
+    depth, head = suffix_tree_lm.DEPTH, suffix_tree_lm.HEAD
+
+    def symbols(t):
+        before, out = b"\n" * depth, []
+        for w in tokens(t):
+            spelled = b"\n" if w is None else w + b" "
+            for i in range(len(spelled) if w is None else min(head, len(spelled))):
+                out.append(((before + spelled[:i])[-depth:], spelled[i]))
+            before = (before + spelled)[-depth:]
+        return out
+
+    counts = [defaultdict(Counter) for _ in range(depth + 1)]
+    words = Counter(w for t in train for w in tokens(t) if w is not None and len(w) >= head)
+    for t in train:
+        for context, x in symbols(t):
+            for d in range(depth + 1):
+                counts[d][context[depth - d :]][x] += 1
+    tree = set()
+    for d in range(1, depth + 1):
+        for context, c in counts[d].items():
+            up, n = counts[d - 1][context[1:]], sum(c.values())
+            kl = sum(k / n * math.log(k / n / (up[x] / sum(up.values()))) for x, k in c.items())
+            if n >= least and kl >= divergence and kl * n >= evidence:
+                tree |= {context[i:] for i in range(d)}
+
+    def p(context, x):
+        if not context:
+            c = counts[0][b""]
+            return (c[x] + 1) / (sum(c.values()) + 256)
+        c = counts[len(context)][context]
+        return (c[x] + len(c) * p(context[1:], x)) / (sum(c.values()) + len(c))
+
+    begun = defaultdict(list)
+    for w, n in words.items():
+        begun[w[:head]].append(n)
+    out = []
+    for t in texts:
+        s = 0.0
+        for context, x in symbols(t):
+            state = next((context[i:] for i in range(depth) if context[i:] in tree), b"")
+            s += math.log10(p(state, x))
+        for w in tokens(t)[:-1]:
+            if len(w) >= head and (b := begun.get(w[:head])):
+                s += math.log10((words[w] or len(b)) / (sum(b) + len(b)))
+        out.append(s)
+    return out, len(tree)
+
+
+@pytest.mark.parametrize("part", [2_000_000, 150])
+def test_same_as_plain_tree(spark, texts, monkeypatch, part):
+    """part: entries of a part of the tree; with 150 there are many parts."""
+    monkeypatch.setattr(suffix_tree_lm, "PART", part)
+    some = [(k, t[:1500]) for k, t in texts[:60]] + [(900, "A b"), (901, ""), (902, None), (903, "zz\u00e9 \U0001f600 a")]
+    want, states = plain_score([t for _, t in some], [t for k, t in some if k % 3])
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame(some, "doc_id long, text string"), F.col("doc_id") % 3 != 0).collect()}
+    assert states > 50 and all(math.isclose(got[k], w, abs_tol=1e-6) for (k, _), w in zip(some, want, strict=True))
+
+
+def test_more_text_grows_a_larger_tree(spark):
+    sizes = [suffix_tree_lm.tree_rows(suffix_tree_lm.statistics(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text", F.lit(True).alias("teaches"))).filter(F.col("kind") == suffix_tree_lm.GRAM).select("key", "n")).select("depth", "context").distinct().count() for sf in ("sf0.001", "sf0.01")]
+    assert sizes[1] > 2 * sizes[0]
+
+
+def test_symbols():
+    data = np.frombuffer(b"Abc d", np.uint8)
+    starts, ends, first = word_bounds(data, np.array([0, 5, 5]))
+    codes, of = suffix_tree_lm.symbols(LOWER[data], starts, ends, first)
+    got = sorted((int(r), (int(c) >> 8).to_bytes(7, "big"), int(c) & 255) for c, r in zip(codes, of, strict=True))
+    assert got == sorted([(0, b"\n" * 7, 97), (0, b"\n" * 6 + b"a", 98), (0, b"\n\n\nabc ", 100), (0, b"\n\nabc d", 32), (0, b"\nabc d ", 10), (1, b"\n" * 7, 10)])
 
 
 def test_odd_rows(odd_docs, no_docs):
