@@ -60,11 +60,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[1]["class_id"] == by[2]["class_id"] == by[3]["class_id"] == 1 and by[1]["n_links"] == 2
     assert by[8]["n_links"] == 1 and by[None]["class_id"] is None
     assert all(by[k]["class_id"] == k and by[k]["n_links"] == 0 for k in (4, 5, 6, 7))
-    kept = ngram_join.keep_first(odd_docs, linked)
-    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 8, 10, 11, 12]
+    kept = ngram_join.keep_first(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 10, 11, 12]
+    assert ngram_join.keep_first(no_docs).count() == 0
     assert ngram_join.link(no_docs).count() == 0
 
 
 def test_bands():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 192
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "new"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (3, near(b)), (4, "alone here"), (None, near(b)), (5, " "), (5, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in ngram_join.link(table).collect())
+    assert got == [(0, 0, 0, 0), (1, 1, 1, 1), (1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (3, 3, 1, 2), (4, 4, 4, 0), (5, 5, 5, 0), (5, 5, 5, 0)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.keep_first(table).collect())
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, "alone here"), (0, near(b)), (5, " "), (5, " ")])

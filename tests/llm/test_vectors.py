@@ -1,4 +1,8 @@
+import pickle
+
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from weftline.llm import vector_graphs as V
 
@@ -54,29 +58,61 @@ def test_odd_vectors(spark):
     assert V.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_rare_links_that_beams_do_not_reach(spark, monkeypatch):
-    x = np.random.default_rng(5).normal(size=(1200, 24)).astype(np.float32)
-    for i in range(0, 60, 2):
-        x[i + 1] = x[i] + 0.01
-    lost = V.near_pairs
+def lost_graph(x):
+    """A shard, and a search that leads no beam to any vector but the query itself."""
+    unit = V.unit_vectors(x)
+    shard = V.Shard(np.arange(len(x)), np.ones(len(x), np.int64), x, unit, V.build(unit, np.arange(len(x))))
+    real = V.near_pairs
 
-    def near_pairs(shard, queries, threshold, beam):  # a graph that leads no beam to any other vector
-        i, j = lost(shard, queries, threshold, V.SCAN)
-        ok = (beam > V.WIDEST) | (np.einsum("ij,ij->i", queries[i], shard.unit[j]) > 0.999999)
+    def near_pairs(shard, queries, threshold, beam):
+        i, j = real(shard, queries, threshold, V.SCAN)
+        ok = (beam > V.WIDEST) | (np.einsum("ij,ij->i", queries[i], shard.unit[j]) > 0.9999)
         return i[ok], j[ok]
 
-    unit = V.unit_vectors(x)
-    shard = V.Shard(np.arange(1200), np.ones(1200, np.int64), x, unit, V.build(unit, np.arange(1200)))
+    return shard, near_pairs
+
+
+def test_audit_sees_what_beams_do_not_reach(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(1200, 24)).astype(np.float32)
+    for i in range(0, 60, 2):
+        x[i + 1] = x[i] + 0.01
+    shard, near_pairs = lost_graph(x)
+    true, found = V.audit(shard, 0.95)
+    assert true >= V.AUDIT and V.narrowest(true, found, 1.0) < V.SCAN  # links are rare, but those drawn for the audit are not
     monkeypatch.setattr(V, "near_pairs", near_pairs)
-    import pickle
-
-    import pyarrow as pa
-
-    index = pa.table({"blob": pa.array([pickle.dumps(shard)], pa.binary())})
-    asked = pa.table({"id": np.arange(1200), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
-    seen = V.audit(index, asked, 0.95)
-    sums = {c: sum(seen[c].to_pylist()) for c in ("links", *[f"found{b}" for b in V.BEAMS])}
-    assert len(seen) == 60 and sums["links"] == 60 and sums["found256"] == 0
-    assert V.narrowest({"vectors": 60} | sums, 1.0, 50) == V.SCAN and V.narrowest({"vectors": 60} | sums, 1.0, 61) is None
-    got = V.search(index, asked, 0.95, {24: V.SCAN}).to_pylist()
-    assert sum(r["n"] for r in got) == 60
+    true, found = V.audit(shard, 0.95)
+    assert true >= V.AUDIT and found[256] < 0.1 * true and V.narrowest(true, found, 1.0) == V.SCAN
+    rows = [{"unit": 1, "key": None, "embedding": None, "blob": pickle.dumps(shard)}] + [{"unit": 1, "key": i, "embedding": v.tolist(), "blob": None} for i, v in enumerate(x)] + [{"unit": 2, "key": 5, "embedding": x[5].tolist(), "blob": None}]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("unit", pa.int64()), ("key", pa.int64()), ("embedding", pa.list_(pa.float32())), ("blob", pa.binary())]))
+    for parts in ([batch], [batch.slice(0, 1), batch.slice(1, 500), batch.slice(501)]):
+        assert sum(sum(b["n"].to_pylist()) for b in map(pa.Table.from_batches, ([b] for b in V.search(iter(parts), 0.95)))) == 60
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    x = clumps(300, 8, 4)
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 120, 300)
+    rows = [(int(k), v.tolist()) for k, v in zip(ids, x, strict=True)] + [(4, [5.0, 5.0, 5.0]), (4, [5.0, 5.0, 5.01]), (1, [1.0, 0.0]), (1, [0.0, 1.0])]
+    got = V.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    true = brute(range(300), x.astype(float))
+    label = {}
+    for i, (_, c) in true.items():
+        label[c] = min(label.get(c, 1 << 60), int(ids[i]))
+    want = [(int(ids[i]), n, label[c]) for i, (n, c) in true.items()] + [(4, 1, 4), (4, 1, 4), (1, 0, 1), (1, 0, 1)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("dims", [24, 48])
+def test_recall_on_many_clusters(dims):
+    """A shard of which a half is in clusters of some hundred, with links of all strengths: the audited beam against brute force."""
+    x = clumps(6000, dims, 9)
+    shard, _ = lost_graph(x)
+    true, found = V.audit(shard, 0.95)
+    shard.beam = V.narrowest(true, found, 1.0)
+    i, j = V.near_pairs(shard, shard.unit, 0.95, shard.beam)
+    want = np.argwhere(shard.unit @ shard.unit.T >= 0.95)
+    got = set((i[i != j] * 6000 + j[i != j]).tolist())
+    links = [a * 6000 + b for a, b in want.tolist() if a != b]
+    share = sum(k in got for k in links) / len(links)
+    print(f"recall {share} of {len(links)} links, beam {shard.beam}")
+    assert len(links) > 1000 and share >= 0.999

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not set_dir:
         set_dir = sc.getCheckpointDir()
     if not set_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="weftline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(set_dir)
@@ -92,8 +94,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     Each round hands every id the smallest label of its neighbours and then the label of its label, so that chains halve.
     Labels are aggregated before the shuffle, so that an id with very many links costs one row for each task. Every round's
-    labels are written to the shared folder, by a task for each LABELS of them, as a round of small files costs more than its
-    rows. Ends when a round changes nothing; links that lead to themselves are allowed."""
+    labels are written to the shared folder, dealt anew to a task for each LABELS of them, as a round of small files costs more
+    than its rows. Ends when a round changes nothing; links that lead to themselves are allowed."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
     tasks = 1 + labels.count() // LABELS
@@ -101,8 +103,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
         own = labels.join(near, labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("up"), F.col("label").alias("top"))
-        nxt = cut(own.join(up, own.label == up.up, "left").select("id", F.coalesce("top", "label").alias("label"), (F.coalesce("top", "label") < F.col("old")).alias("moved")).coalesce(tasks))
+        nxt = cut(own.join(up, own.label == up.up, "left").select("id", F.coalesce("top", "label").alias("label"), (F.coalesce("top", "label") < F.col("old")).alias("moved")).repartition(tasks))
         labels = nxt.select("id", "label")
         if nxt.filter("moved").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def named_components(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, component, name) for every id of links(a, b): name is the smallest of the names(id, name) in its component."""
+    of = components(links)
+    named = cut(of.join(names, "id"))
+    return named.select("id", "component").join(named.groupBy("component").agg(F.min("name").alias("name")), "component").select("id", "component", "name")

@@ -12,10 +12,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import components, cut, lists, map_arrow
+from weftline.llm.frames import cut, lists, map_arrow, named_components
 from weftline.llm.tokens import ngrams, signed, slices, word_bounds, word_hashes
 
 #: A bucket of more classes than this is taken in blocks of BLOCK.
@@ -54,7 +54,7 @@ def band_hashes(grams: np.ndarray, rows: np.ndarray, n: int, bands: int, width:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
-    """(id, digest, bands): the digest tells equal texts; texts without a word get no bands."""
+    """(row, id, digest, bands): the digest tells equal texts; texts without a word get no bands."""
 
     def run(batch: pa.RecordBatch):
         for lo, hi, data, offsets in slices(batch.column(1)):
@@ -62,10 +62,13 @@ def signatures(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
             grams, rows = ngrams(word_hashes(data, starts, ends), first, n, short=True)
             found = band_hashes(grams, rows, hi - lo, bands, width)
             some = np.diff(first) > 0
-            yield {"id": batch.column(0).slice(lo, hi - lo), "digest": batch.column(2).slice(lo, hi - lo), "bands": lists(signed(found[some].ravel()), some * bands)}
+            yield {"row": batch.column(3).slice(lo, hi - lo), "id": batch.column(0).slice(lo, hi - lo), "digest": batch.column(2).slice(lo, hi - lo), "bands": lists(signed(found[some].ravel()), some * bands)}
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs.select("id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")), run, f"id {kind}, digest binary, bands array<bigint>")
+    return map_arrow(docs.select("id", "text", digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row")), run, "row bigint, id bigint, digest binary, bands array<bigint>")
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,33 +142,27 @@ def block_links(block: pa.Table, n: int, threshold: float) -> pa.Table:
     return pa.table({"id": ids[some], "root": label[some], "n": (link @ size.astype(np.float64)).astype(np.int64)[some]})
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """(doc_id, text_id, class_id, n_links) of every row: text_id is the smallest id with the same text, class_id the
-    smallest id that links reach, n_links the number of other rows whose texts have a Jaccard similarity of threshold or more
-    on the sets of their n-word sequences, copies included. Nothing below the threshold links; of pairs at it the share
-    recall is found, of more similar ones more. A text of fewer than n words counts as one sequence.
-
-    Ids must be integers. A row without a word (null, empty, white space) links with nothing and is its own class; so is,
-    under a null class, a row with a null id. Rows that repeat an id and a text count as copies. An empty table gives no rows;
-    other columns are not read. Work grows with the number of links between different texts, as they are counted one by one
-    inside tasks; rows that are shuffled grow with the number of texts and, for a bucket of g texts, with g * g / BLOCK."""
+def linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(row, id, digest) of every row, the digest null where it links with nothing; and the classes of equal texts: (digest, key,
+    text_id, size, n_links, root, class_id). key is one of the class's rows, and what links are made of, as ids may repeat; root
+    is the smallest key and class_id the smallest id that links reach."""
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
     bands, width = choose_bands(threshold, recall)
     signed_rows = cut(signatures(rows, n, bands, width))
-    classes = cut(signed_rows.filter("size(bands) > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("text_id"), F.count("*").alias("size")))
-    firsts = signed_rows.filter("size(bands) > 0 and id is not null").select("id", "bands", F.col("digest").alias("own")).dropDuplicates(["id", "own"]).join(classes, (F.col("id") == F.col("text_id")) & (F.col("own") == F.col("digest"))).select("id", "size", "bands", "digest")
-    firsts = cut(firsts)
-    cells = firsts.select("id", F.posexplode("bands").alias("band", "hash"))
+    able = signed_rows.filter("size(bands) > 0 and id is not null")
+    classes = cut(able.groupBy("digest").agg(F.min("id").alias("text_id"), F.min("row").alias("key"), F.count("*").alias("size")))
+    firsts = cut(able.select(F.col("row").alias("key"), "bands").join(classes, "key").select("key", "text_id", "size", "bands", "digest"))
+    cells = firsts.select("key", F.posexplode("bands").alias("band", "hash"))
     buckets = cells.groupBy("band", "hash").agg(F.count("*").alias("members")).filter("members > 1")
     members = cut(cells.join(buckets, ["band", "hash"]))
-    large = members.groupBy("id").agg(F.bit_or(F.expr(f"if(members > {FEW}, shiftleft(1L, band), 0L)")).alias("large"))
-    texts = rows.withColumn("own", F.unhex(F.md5(F.col("text").cast("binary"))))
-    known = cut(firsts.join(large, "id").withColumnRenamed("digest", "own").join(texts, ["id", "own"]).dropDuplicates(["id"]).drop("own"))
+    large = members.groupBy("key").agg(F.bit_or(F.expr(f"if(members > {FEW}, shiftleft(1L, band), 0L)")).alias("large"))
+    texts = rows.select(F.col("id").alias("text_id"), digest(F.col("text")).alias("digest"), "text")
+    known = cut(firsts.join(large, "key").join(texts, ["text_id", "digest"]).dropDuplicates(["key"]).select("key", "size", "bands", "large", "text"))
 
     # Buckets of few classes: candidate pairs, each once.
-    few = members.filter(F.col("members") <= FEW).select("band", "hash", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["band", "hash"]).filter("a < b").select("a", "b").distinct()
-    of = lambda s: known.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bands", "large", "text")])
+    few = members.filter(F.col("members") <= FEW).select("band", "hash", "key")
+    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), ["band", "hash"]).filter("a < b").select("a", "b").distinct()
+    of = lambda s: known.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bands", "large", "text")])
     both = pairs.join(of("a"), "a").join(of("b"), "b").filter("not exists(sequence(0, size(bands_a) - 1), k -> bands_a[k] = bands_b[k] and (shiftright(large_a, k) & 1) = 1)")
 
     def verify(batch: pa.RecordBatch):
@@ -177,21 +174,43 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     small = cut(map_arrow(both.select("a", "b", "size_a", "size_b", "text_a", "text_b"), verify, "a bigint, b bigint, size_a bigint, size_b bigint"))
 
     # Large buckets: every two of their blocks.
-    blocked = members.filter(F.col("members") > FEW).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = blocked.select("band", "hash", "id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "hash", "id", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
-    filled = units.join(known, "id").select("band", "hash", "left", "right", "id", "part", "size", "bands", "large", "text")
+    blocked = members.filter(F.col("members") > FEW).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    units = blocked.select("band", "hash", "key", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "hash", "key", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
+    filled = units.join(known, "key").select("band", "hash", "left", "right", F.col("key").alias("id"), "part", "size", "bands", "large", "text")
     blocks = cut(filled.groupBy("band", "hash", "left", "right").applyInArrow(lambda t: block_links(t, n, threshold), "id bigint, root bigint, n bigint"))
 
-    counts = small.select(F.col("a").alias("id"), F.col("size_b").alias("n")).union(small.select("b", "size_a")).union(blocks.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(small.select("a", "b").union(blocks.select("id", "root")))
-    result = classes.join(counts, F.col("text_id") == F.col("id"), "left").drop("id").join(joined, F.col("text_id") == F.col("id"), "left")
-    result = result.select("digest", "text_id", F.coalesce("component", "text_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = signed_rows.withColumn("digest", F.when(F.size("bands") > 0, F.col("digest"))).join(result, "digest", "left")
-    alone = F.col("id").isNull() | (F.size("bands") <= 0)
-    return out.select(F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("text_id")).alias("text_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    counts = small.select(F.col("a").alias("key"), F.col("size_b").alias("n")).union(small.select("b", "size_a")).union(blocks.select("id", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+    joined = named_components(small.select("a", "b").union(blocks.select("id", "root")), classes.select(F.col("key").alias("id"), F.col("text_id").alias("name"))).withColumnRenamed("id", "key")
+    result = classes.join(counts, "key", "left").join(joined, "key", "left")
+    result = result.select("digest", "key", "text_id", "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "key").alias("root"), F.coalesce("name", "text_id").alias("class_id"))
+    return signed_rows.select("row", "id", F.when((F.size("bands") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")), result
+
 
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """(doc_id, text_id, class_id, n_links) of every row: text_id is the smallest id with the same text, class_id the
+    smallest id that links reach, n_links the number of other rows whose texts have a Jaccard similarity of threshold or more
+    on the sets of their n-word sequences, copies included. Nothing below the threshold links; of pairs at it the share
+    recall is found, of more similar ones more. A text of fewer than n words counts as one sequence.
 
-def keep_first(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, that are the first of their class, and those that no class holds (null ids)."""
-    lost = linked.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(lost, id_col, "left_anti")
+    Ids must be integers. A row without a word (null, empty, white space) links with nothing and is its own class; so is,
+    under a null class, a row with a null id. Rows that repeat a text, with the same id or another, count as copies; rows that
+    repeat an id with other texts are told apart, and each links as its own text does. An empty table gives no rows;
+    other columns are not read. Work grows with the number of links between different texts, as they are counted one by one
+    inside tasks; rows that are shuffled grow with the number of texts and, for a bucket of g texts, with g * g / BLOCK."""
+    rows, classes = linked(docs, id_col, text_col, n, threshold, recall)
+    out = rows.join(classes.select("digest", "text_id", "class_id", "n_links"), "digest", "left")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("text_id", "id").alias("text_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each class of linked texts: one with the smallest id, of several texts
+    under that id the one with the smallest digest, and of rows that repeat both any one.
+
+    Rows that link with nothing stay as they are: those without a word and those with a null id, also where they repeat. Other
+    columns may have any names; a null in them changes nothing. An empty table gives no rows."""
+    _, classes = linked(docs, id_col, text_col, n, threshold, recall)
+    winners = classes.groupBy("root").agg(F.min(F.struct("text_id", "digest")).alias("first")).select("first.text_id", "first.digest")
+    text, id_ = docs[f"`{text_col}`"], docs[f"`{id_col}`"]
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), id_.cast("long").alias("text_id"), digest(text).alias("digest"), (id_.isNotNull() & F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).alias("able"))
+    kept = whole.filter("able").dropDuplicates(["text_id", "digest"]).join(winners, ["text_id", "digest"], "left_semi")
+    return kept.select("doc").union(whole.filter("not able").select("doc")).select("doc.*")

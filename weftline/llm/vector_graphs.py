@@ -1,14 +1,17 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
-Equal vectors are one from the start. Each shard's vectors are linked into a graph of layers; every vector then searches every
-shard's graph with a beam. Where a beam fills up with links it is widened, and at last the shard is scanned for that vector.
-Before that, an audit compares blocks of vectors with all shards, until enough of them have links to others, and takes the
-narrowest beam that misses none of these; where no beam does, or links are too few to tell, shards are scanned. Links are decided by cosine in double precision; components are united over all shards.
+Equal vectors are one from the start. Each shard's vectors are linked into a graph of layers. An audit then asks the graph for
+vectors of the shard and for new ones drawn near them, between the threshold and the vector itself, so that there are links to
+find however rare they are among the vectors; a scan of the shard gives the truth, and the beam is widened until the audit
+passes. Where no beam passes, the shard is scanned for every vector. Every vector searches every shard: the vectors stream past
+a graph that a task has loaded once. Where a beam fills up with links it is widened, and at last the shard is scanned for that
+vector. Links are decided by cosine in double precision; components are united over all shards.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import components, cut
+from weftline.llm.frames import cut, named_components
 from weftline.llm.tokens import mix
 
 DEGREE = 12
 BUILD_BEAM = 40
-#: Shards are as many as keep one within SHARD vectors, LEAST_SHARDS at least; queries go in blocks of about BLOCK.
-SHARD, LEAST_SHARDS, BLOCK = 50_000, 8, 8192
+#: Shards are as many as keep one within SHARD vectors, LEAST_SHARDS at least.
+SHARD, LEAST_SHARDS = 50_000, 8
 #: A beam wider than this is no cheaper than a scan of the shard.
 WIDEST = 256
-#: The beams that an audit tries, and the vectors with links to others that it must have seen.
-BEAMS, ENOUGH = (16, 32, 64, 128, 256), 500
+#: The beams that an audit tries, and the vectors of a shard that it asks for, each as it is and with a new one near it.
+BEAMS, AUDIT = (16, 32, 64, 128, 256), 512
 SCAN = 2 * WIDEST
 SLACK = 1e-4
 
@@ -179,13 +182,14 @@ def descend(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, start
 
 @dataclass
 class Shard:
-    """keys, how many equal vectors each stands for, the vectors as they are and at length 1, and the graph."""
+    """keys, how many equal vectors each stands for, the vectors as they are and at length 1, the graph, and the beam it needs."""
 
     keys: np.ndarray
     sizes: np.ndarray
     raw: np.ndarray
     unit: np.ndarray
     layers: list[Layer]
+    beam: int = SCAN
 
 
 def unit_vectors(raw: np.ndarray) -> np.ndarray:
@@ -224,75 +228,54 @@ def near_pairs(shard: Shard, queries: np.ndarray, threshold: float, beam: int) -
     return tuple(np.concatenate(out, 1)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def audit(index: pa.Table, asked: pa.Table, threshold: float) -> pa.Table:
-    """Of a block of queries and one shard: for every query with links in the shard to other vectors than itself, their number
-    and how many of them each of BEAMS finds."""
-    schema = pa.schema([("dims", pa.int32()), ("id", pa.int64()), ("links", pa.int64())] + [(f"found{b}", pa.int64()) for b in BEAMS])
-    if not len(index) or not len(asked):
-        return schema.empty_table()
-    shard: Shard = pickle.loads(index["blob"][0].as_py())
-    keys, raw = asked["id"].to_numpy(), stacked(asked["embedding"])
-    unit = unit_vectors(raw)
+def audit(shard: Shard, threshold: float) -> tuple[int, dict[int, int]]:
+    """The links that a scan finds in the shard, and how many of them each of BEAMS finds, for up to AUDIT of its vectors and as many
+    new ones at cosines between the threshold and 0.999 to them. A vector's link with itself does not count."""
+    some = np.argsort(mix(shard.keys.astype(np.uint64)), kind="stable")[:AUDIT]
+    own = shard.unit[some]
+    rng = np.random.default_rng(3)
+    aside = rng.normal(size=own.shape)
+    aside -= (aside * own).sum(1, keepdims=True) * own
+    far = np.linalg.norm(aside, axis=1, keepdims=True)
+    t = rng.uniform(threshold, max(threshold, 0.999), (len(own), 1))
+    new = np.where(far > 1e-9, t * own + np.sqrt(1 - t * t) * aside / np.maximum(far, 1e-9), own).astype(np.float32)
+    queries, self_ = np.concatenate([own, new]), np.concatenate([some, np.full(len(new), -1)])
 
     def links(beam: int) -> np.ndarray:
-        n = np.zeros(len(keys), np.int64)
-        for lo in range(0, len(keys), 1024):
-            i, j = near_pairs(shard, unit[lo : lo + 1024], threshold, beam)
-            for at in range(0, len(i), 100_000):
-                a, b = i[at : at + 100_000] + lo, j[at : at + 100_000]
-                n += np.bincount(a[(keys[a] != shard.keys[b]) & (cosines(raw[a], shard.raw[b]) >= threshold)], minlength=len(keys))
-        return n
+        i, j = near_pairs(shard, queries, threshold, beam)
+        return np.unique(i[self_[i] != j] * len(shard.keys) + j[self_[i] != j])
 
     true = links(SCAN)
-    if not true.any():
-        return schema.empty_table()
-    some = np.flatnonzero(true)
-    keys, raw, unit = keys[some], raw[some], unit[some]
-    columns = {"dims": np.full(len(some), raw.shape[1], np.int32), "id": keys, "links": true[some]} | {f"found{b}": links(b) for b in BEAMS}
-    return pa.table(columns, schema=schema)
-
-
-def narrowest(seen: dict, recall: float, enough: int) -> int | None:
-    """The beam that found the share recall of the links in an audit's sums; SCAN if none did, None if too few were seen."""
-    if seen["vectors"] < enough:
-        return None
-    return next((b for b in BEAMS if seen[f"found{b}"] >= recall * seen["links"]), SCAN)
-
-
-def choose_beams(offered, asked, blocks: int, dims: list[int], threshold: float, recall: float, enough: int = ENOUGH) -> dict[int, int]:
-    """The beam for the vectors of each length. Audits 1, 2, 4, ... of the blocks, dealt by a hash of the id, against all shards
-    until enough vectors have links; of a length with fewer in all blocks the shards are scanned."""
-    done, upto, sums = 0, 1, {d: {"vectors": 0, "links": 0} | {f"found{b}": 0 for b in BEAMS} for d in dims}
-    by, kind = ["dims", "shard", "block"], "dims int, id bigint, links bigint, " + ", ".join(f"found{b} bigint" for b in BEAMS)
-    while True:
-        low = [d for d in dims if sums[d]["vectors"] < enough]
-        if not low or done >= blocks:
-            return {d: narrowest(sums[d], recall, enough) or SCAN for d in dims}
-        part = lambda x: x.filter((F.col("block") >= done) & (F.col("block") < upto) & F.col("dims").isin(low))
-        rows = part(offered).groupBy(*by).cogroup(part(asked).groupBy(*by)).applyInArrow(lambda a, b: audit(a, b, threshold), kind)
-        names = ["links", *[f"found{b}" for b in BEAMS]]
-        for r in rows.groupBy("dims", "id").agg(*[F.sum(c).alias(c) for c in names]).groupBy("dims").agg(F.count("*").alias("vectors"), *[F.sum(c).alias(c) for c in names]).collect():
-            for c in ("vectors", *names):
-                sums[r["dims"]][c] += r[c]
-        done, upto = upto, min(2 * upto, max(blocks, upto))
-
-
-def search(index: pa.Table, asked: pa.Table, threshold: float, beams: dict[int, int]) -> pa.Table:
-    """Of a block of queries and one shard: (id, n, root) of every query with links in the shard and every vector linked to:
-    how many rows it links with here (queries only) and the smallest id that links join it with here."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
-    if not len(index) or not len(asked):
-        return schema.empty_table()
-    shard: Shard = pickle.loads(index["blob"][0].as_py())
-    keys = asked["id"].to_numpy()
-    raw = stacked(asked["embedding"])
-    unit = unit_vectors(raw)
-    beam = beams[raw.shape[1]]
-    link = Links(shard, keys)
-    for lo in range(0, len(keys), 1024):
-        i, j = near_pairs(shard, unit[lo : lo + 1024], threshold, beam)
-        link.add(i + lo, j, raw, threshold)
-    return pa.table(link.rows(), schema=schema)
+    return len(true), {b: len(np.intersect1d(true, links(b))) for b in BEAMS}
+
+
+def narrowest(true: int, found: dict[int, int], recall: float) -> int:
+    """The first beam that found the share recall of the true links; SCAN where none did."""
+    return next((b for b in BEAMS if found[b] >= recall * true), SCAN)
+
+
+def search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (unit, key, embedding, blob), sorted by unit with the unit's graph first: (id, n, root) of every query with links in
+    the graph's shard and every vector linked to: how many rows it links with (queries only) and the smallest key that links
+    join it with, among the queries of one batch and the shard."""
+    unit, shard = None, None
+    for batch in batches:
+        units = batch.column(0).to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]])) if len(units) else []
+        for lo, hi in zip(heads, [*heads[1:], len(units)], strict=True):
+            if units[lo] != unit:
+                unit, blob = units[lo], batch.column(3)[int(lo)].as_py()
+                shard = pickle.loads(blob) if blob is not None else None
+                lo += blob is not None
+            if shard is None or lo == hi:
+                continue
+            part = batch.slice(lo, hi - lo)
+            raw, link = stacked(part.column(2)), Links(shard, part.column(1).to_numpy())
+            of_unit = unit_vectors(raw)
+            for at in range(0, len(raw), 1024):
+                i, j = near_pairs(shard, of_unit[at : at + 1024], threshold, shard.beam)
+                link.add(i + at, j, raw, threshold)
+            yield pa.RecordBatch.from_pydict(link.rows(), schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
 
 class Links:
@@ -337,17 +320,20 @@ class Links:
         return {"id": self.ids[at], "n": n[at], "root": low[root]}
 
 
-def stacked(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def stacked(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def make_shard(part: pa.Table) -> pa.Table:
-    part = part.sort_by("id")
+def make_shard(part: pa.Table, threshold: float, recall: float) -> pa.Table:
+    part = part.sort_by("key")
     raw = stacked(part["embedding"])
-    unit, keys = unit_vectors(raw), part["id"].to_numpy()
-    blob = pickle.dumps(Shard(keys, part["size"].to_numpy(), raw, unit, build(unit, keys)), protocol=5)
-    return pa.table({"dims": part["dims"].slice(0, 1), "shard": part["shard"].slice(0, 1), "blob": pa.array([blob], pa.binary())})
+    unit, keys = unit_vectors(raw), part["key"].to_numpy()
+    shard = Shard(keys, part["size"].to_numpy(), raw, unit, build(unit, keys))
+    true, found = audit(shard, threshold)
+    shard.beam = narrowest(true, found, recall)
+    columns = {"dims": part["dims"].slice(0, 1), "shard": part["shard"].slice(0, 1), "beam": np.array([shard.beam], np.int32), "links": np.array([true]), "found": np.array([found.get(shard.beam, true)])}
+    return pa.table(columns | {"blob": pa.array([pickle.dumps(shard, protocol=5)], pa.binary())})
 
 
 def link(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -356,30 +342,33 @@ def link(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, id_co
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own component, as
     does any with a null id (a null component). Vectors of different lengths do not link. Equal vectors, also under the same
-    id, link with each other and are searched once. An empty table gives no rows; other columns are not read. Ids must be
-    integers. recall is the share of the links of audited vectors to others, over all shards, that the beam must find; where an
-    audit of all vectors sees fewer than ENOUGH with links, all are scanned. Cosines are never below the threshold. Every vector searches every shard, so work grows with vectors times shards, and a shard holds up to SHARD."""
+    id, link with each other and are searched once; rows that repeat an id with other vectors are told apart. An empty table
+    gives no rows; other columns are not read. Ids must be integers. recall is the share of the links of the audited vectors
+    that a shard's beam must find; where none does, the shard is scanned. Cosines are never below the threshold. Every vector
+    searches every shard, so work grows with vectors times shards, and a shard holds up to SHARD; a graph is sent as often as it
+    takes to occupy the cluster, not once for each block of vectors."""
     v = vectors[f"`{vector_col}`"]
-    rows = vectors.select(vectors[f"`{id_col}`"].cast("long").alias("id"), v.alias("embedding"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), vectors[f"`{id_col}`"].cast("long").alias("id"), v.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     # -0.0 is made 0.0, so that equal vectors have equal digests.
-    told = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float") if dict(vectors.dtypes)[vector_col] == "array<float>" else x + 0.0)).withColumn("digest", F.when(usable, F.struct(F.xxhash64("embedding").alias("a"), F.hash("embedding").alias("b"))))
+    told = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float") if dict(vectors.dtypes)[vector_col] == "array<float>" else x + 0.0)).withColumn("digest", F.when(usable, F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))))
     told = cut(told)
-    single = cut(told.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.first("embedding").alias("embedding")).withColumn("dims", F.size("embedding")))
-    n = single.count()
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD)), max(1, -(-n // BLOCK))
-    sharded = single.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    index = cut(sharded.select("dims", "shard", "id", "size", "embedding").groupBy("dims", "shard").applyInArrow(make_shard, "dims int, shard int, blob binary"))
-    asked = single.select("dims", "id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    offered = index.select("dims", "shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    by = ["dims", "shard", "block"]
-    lengths = sorted(r["dims"] for r in index.select("dims").distinct().collect())
-    beams = choose_beams(offered, asked, blocks, lengths, threshold, recall)
-    found = cut(offered.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda a, b: search(a, b, threshold, beams), "id bigint, n bigint, root bigint"))
+    single = cut(told.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("row").alias("key"), F.count("*").alias("size"), F.first("embedding").alias("embedding")).withColumn("dims", F.size("embedding")))
+    shards = max(LEAST_SHARDS, -(-single.count() // SHARD))
+    copies = max(1, -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // shards))
+    sharded = single.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    index = cut(sharded.select("dims", "shard", "key", "size", "embedding").groupBy("dims", "shard").applyInArrow(lambda t: make_shard(t, threshold, recall), "dims int, shard int, beam int, links bigint, found bigint, blob binary"))
+    unit = lambda copy: ((F.col("dims").cast("long") * shards + F.col("shard")) * copies + copy).alias("unit")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    kind = single.schema["embedding"].dataType
+    offered = index.withColumn("copy", each(copies)).select(unit(F.col("copy")), F.lit(None).cast("long").alias("key"), F.lit(None).cast(kind).alias("embedding"), "blob")
+    asked = single.withColumn("shard", each(shards)).select(unit(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(copies))), "key", "embedding", F.lit(None).cast("binary").alias("blob"))
+    streamed = offered.union(asked).repartition("unit").sortWithinPartitions("unit", F.col("key").asc_nulls_first())
+    found = cut(streamed.mapInArrow(lambda batches: search(batches, threshold), "id bigint, n bigint, root bigint"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    result = single.select("digest", "id", "size").join(counts, "id", "left").join(joined, "id", "left")
-    result = result.select("digest", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("links"))
+    joined = named_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), single.select(F.col("key").alias("id"), F.col("id").alias("name")))
+    result = single.select("digest", F.col("id").alias("own"), F.col("key").alias("id"), "size").join(counts, "id", "left").join(joined, "id", "left")
+    result = result.select("digest", F.coalesce("name", "own").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("links"))
     out = told.select("id", "digest").join(result, "digest", "left")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
