@@ -1,10 +1,9 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and pairs of words are hashed into a fixed number of features. The target model counts features over texts that are
-labelled good, the raw model over all texts. A text's weight is not its probability ratio under the two models but tempered by
-length: the mean log ratio of its features, times EFFECTIVE. So the log ratio of a text of 500 features is multiplied by 0.12,
-that of one of 9 features by 6.7. Adding Gumbel noise to it and keeping the k largest draws k texts without replacement in
-proportion to these weights.
+labelled good, the raw model over all texts. A text's importance weight is the ratio of its probabilities under the two: the log
+ratios of its features, summed. Adding Gumbel noise to the log weight and keeping the k largest draws k texts without
+replacement in proportion to these weights.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from weftline.llm.frames import cut, map_arrow
 from weftline.llm.tokens import LOWER, ngrams, row_of, slices, word_bounds, word_hashes
 
 FEATURES = 1 << 14
-#: A text's mean log ratio of a feature counts as that of so many features: else long texts would win or lose by length alone.
-EFFECTIVE = 60
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +53,8 @@ def log_ratios(docs: DataFrame, targets: np.ndarray) -> np.ndarray:
     return np.log(counts[0] / counts[1])
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(id, n_features, log_weight) of every row of docs(id, text)."""
+def weigh(docs: DataFrame, ratios: np.ndarray, temper: float) -> DataFrame:
+    """(id, n_features, log_weight) of every row of docs(id, text): the sum of its features' log ratios, times temper."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batch: pa.RecordBatch):
@@ -65,7 +62,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             rows, which = features(data, offsets)
             n = np.bincount(rows, minlength=hi - lo)
             sums = np.bincount(rows, shared.value[which], minlength=hi - lo)
-            yield {"id": batch.column(0).slice(lo, hi - lo), "n_features": n, "log_weight": sums / np.maximum(n, 1) * EFFECTIVE}
+            yield {"id": batch.column(0).slice(lo, hi - lo), "n_features": n, "log_weight": sums * temper}
 
     return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n_features bigint, log_weight double")
 
@@ -101,18 +98,18 @@ def top_k(rows: DataFrame, k: int, bins: int = 4096, few: int = 1000) -> Column:
     return (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (F.col("id") <= F.lit(last["id"])))
 
 
-def resample(docs: DataFrame, good_ids: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text", most_targets: int = 20_000, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, good_ids: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text", most_targets: int = 20_000, seed: int = 7, temper: float = 1.0) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_key, selected) of every row: share of the rows with words are selected.
 
     good_ids (doc_id) names labelled good texts; at most most_targets of them, by a hash of the id, make the target model, the
-    one thing that is fitted on a sample. The raw model counts every text. Of equal keys the smaller id is selected. A text
+    one thing that is fitted on a sample. temper is a power of the weights; 1 draws by the ratio itself. The raw model counts every text. Of equal keys the smaller id is selected. A text
     that is null or has no word has no features, a null key and is never selected; so is a row with a null id. Rows that
     repeat an id get the same noise. With no good id the models differ by nothing but smoothing. An empty table gives no rows;
     other columns are not read. Ids must be integers."""
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
     chosen = good_ids.select(F.col(good_ids.columns[0]).cast("long").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(most_targets)
     targets = np.sort(chosen.toArrow()["id"].to_numpy())
-    weighed = weigh(rows, log_ratios(rows, targets))
+    weighed = weigh(rows, log_ratios(rows, targets), temper)
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = cut(weighed.withColumn("key", F.when(F.col("id").isNotNull() & (F.col("n_features") > 0), F.col("log_weight") - F.log(-F.log(uniform)))))
     able = keyed.filter("key is not null")
