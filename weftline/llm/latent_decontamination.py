@@ -2,7 +2,8 @@
 
 Passages of the corpus are rows of a TF-IDF matrix over hashed words. A randomised sketch of its rows, summed over all tasks, gives
 its leading right singular vectors and values; passages and benchmark items are compared by cosine in that space, scaled by
-the singular values. Windows of a text near an item are candidates; an item counts as contained if a large part of its words
+the singular values. An index of the items' answer words leaves the windows that have room for an answer; those of them near
+the item by cosine are candidates; an item counts as contained if a large part of its words
 stands there in its order, and with them its answer, the words that tell it from other texts. An item whose words stand in a
 text one by one is found whatever its length or cosine.
 """
@@ -30,10 +31,12 @@ BLOCK = 8
 #: Windows in blocks of words; an item is looked for in the largest that is not longer than it.
 SCALES = (2, 4, 8)
 LEAST_ITEM = 5
+#: The cosine of a window and an item that makes them candidates.
+COSINE = 0.3
 #: Words of an item, the rarest that stand together, by which its exact copies are found.
 ANCHOR = 5
-#: Items of one pass over the corpus; of more, a pass for each so many.
-ITEMS = 4096
+#: Items of one pass over the corpus, 300 bytes and their words each; of more, a pass for each so many.
+ITEMS = 65_536
 # ASCII characters that are neither letters nor digits part words.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -123,18 +126,6 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
-def block_vectors(word: np.ndarray, b: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """The sum of the words' vectors in each block of at most BLOCK words; word by word of all blocks, as that is fastest."""
-    ends = np.append(heads[1:], len(b))
-    out = word[b[heads]]
-    for k in range(1, BLOCK):
-        if (more := heads + k < ends).all():
-            out += word[b[heads + k]]
-        else:
-            out[more] += word[b[heads[more] + k]]
-    return out
-
-
 @dataclass
 class LatentSpace:
     """word: what a word of each bucket adds to a window's vector, IDF and scaling included."""
@@ -252,7 +243,7 @@ def items_of(benchmark: DataFrame, space: LatentSpace) -> Iterator[list[Item]]:
         yield block
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = 0.5, subsequence: float = 0.6, answer: float = 0.5, space: LatentSpace | None = None) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, subsequence: float = 0.6, answer: float = 0.5, space: LatentSpace | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer) of every text and benchmark item it contains, at least nearly.
 
     Windows of the text whose cosine with the item reaches cosine and that have room for its answer are candidates; around the
@@ -262,7 +253,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     at all. A character of a script without spaces counts as a word. A null or
     empty text contains nothing. Rows are judged alone, so repeated rows repeat their hits; null ids are kept. Ids of items
     must be integers. An empty table on either side gives no rows; other columns are not read. The statistics come from all
-    passages of docs; items go to the tasks in blocks of at most ITEMS, a pass over docs for each block."""
+    passages of docs; items go to the tasks in blocks of at most ITEMS, a pass over docs for each block. Of two texts that
+    repeat an id each has its own hits."""
     rows = pick(docs, id=id_col, text=text_col)
     space = space or LatentSpace.fit(rows)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -274,17 +266,15 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
 
 def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str, cosine: float, subsequence: float, answer: float) -> DataFrame:
-    by_scale = {m: np.flatnonzero([x.scale == m for x in items]) for m in SCALES}
-    matrices = {m: np.stack([items[i].vector for i in which]).astype(np.float32).T for m, which in by_scale.items() if len(which)}
     told = np.array(sorted((w, i) for i, x in enumerate(items) for w in x.answer), np.int64).reshape(-1, 2)
     answers, head = np.unique(told[:, 0].astype(np.uint32), return_index=True)
-    holders = told[:, 1]
-    sizes = np.array([len(x.words) for x in items])
-    least = np.array([answer * len(x.answer) for x in items])
-    shared = rows.sparkSession.sparkContext.broadcast((items, space.word, by_scale, matrices, answers, np.append(head, len(told)), holders, sizes, least, anchors_of(items)))
+    matrix = np.stack([x.vector for x in items]).astype(np.float32)
+    shared = rows.sparkSession.sparkContext.broadcast((items, space.word, matrix, answers, np.append(head, len(told)), told[:, 1], anchors_of(items), answer))
 
     def run(batch: pa.RecordBatch):
-        items, word, by_scale, matrices, answers, head, holders, sizes, least, anchors = shared.value
+        items, word, matrix, answers, head, holders, anchors, answer = shared.value
+        sizes, scales = np.array([len(x.words) for x in items]), np.array([x.scale for x in items])
+        least = np.maximum(np.ceil([answer * len(x.answer) - 1e-9 for x in items]), 1).astype(np.int64)
         known = np.zeros(1 << BITS, bool)
         known[bucket(answers)] = True
         for lo, _, data, offsets in slices(batch.column(1)):
@@ -292,28 +282,15 @@ def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str,
             if not len(h):
                 continue
             b = bucket(h)
-            heads, head_of = pieces(first, BLOCK)
-            vectors = block_vectors(word, b, heads)
-            sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, 0, dtype=np.float64)])
-            places = answer_places(h, np.flatnonzero(known[b]), answers, head, holders)
-            row = row_of(head_of)
-            end = head_of[1:][row]
-            at = np.arange(len(heads))
-            nth = at - head_of[:-1][row]
+            item, place = answer_places(h, np.flatnonzero(known[b]), answers, head, holders)
+            row, item, start = windows_with_answers(item, place, first, sizes, scales, least)
             found = []
-            for m, matrix in matrices.items():
-                starts = at[(nth % max(1, m // 4) == 0) & (at + m <= end) | (nth == 0) | (at + m == end)]
-                z = (sums[np.minimum(starts + m, end[starts])] - sums[starts]).astype(np.float32)
-                z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
-                for part in range(0, len(z), 4096):
-                    near = (z[part : part + 4096] @ matrix).ravel()
-                    over = np.flatnonzero(near >= cosine)
-                    i, j = np.divmod(over, matrix.shape[1])
-                    start, item = starts[i + part], by_scale[m][j]
-                    begin = np.maximum(first[row[start]], heads[start] - sizes[item])
-                    stop = np.minimum(first[row[start] + 1], heads[start] + m * BLOCK + sizes[item])
-                    may = np.searchsorted(places, item * len(h) + stop) - np.searchsorted(places, item * len(h) + begin) >= least[item]
-                    found += zip(*(x[may].tolist() for x in (row[start], item, start, near[over], begin, stop)), strict=True)
+            for part in range(0, len(row), 4096):
+                r, i, at = row[part : part + 4096], item[part : part + 4096], start[part : part + 4096]
+                stop = np.minimum(at + scales[i] * BLOCK, first[r + 1])
+                near = np.einsum("ij,ij->i", window_vectors(word, b, at, stop), matrix[i])
+                ok = near >= cosine
+                found += zip(*(x[ok].tolist() for x in (r, i, at, near, np.maximum(first[r], at - sizes[i]), np.minimum(first[r + 1], at + scales[i] * BLOCK + sizes[i]))), strict=True)
             best: dict = {}
             for r, i, _, near, begin, stop in best_windows(found, items):
                 x = items[i]
@@ -332,6 +309,42 @@ def search(rows: DataFrame, items: list[Item], space: LatentSpace, schema: str,
     return map_arrow(rows, run, schema)
 
 
+def windows_with_answers(item: np.ndarray, place: np.ndarray, first: np.ndarray, sizes: np.ndarray, scales: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, first word) of the windows near which at least least[item] answer words of the item stand: the candidates that an
+    index of the answer words leaves for the comparison of vectors. item, place: the answer words found, sorted.
+
+    A window has scales[item] * BLOCK words and begins at a step of a quarter of its blocks; near it means up to sizes[item]
+    words further on either side, within the row. As the answer is asked for in any case, no other window can be a hit."""
+    last = np.arange(len(item)) + least[item] - 1
+    ok = last < len(item)
+    head, last = np.flatnonzero(ok), last[ok]
+    lo, hi, i = place[head], place[last], item[head]
+    row = np.searchsorted(first, lo, "right") - 1
+    width = scales[i] * BLOCK
+    ok = (item[last] == i) & (hi < first[row + 1]) & (hi - lo < width + 2 * sizes[i])
+    lo, hi, i, row, width = lo[ok], hi[ok], i[ok], row[ok], width[ok]
+    base, words = first[row], first[row + 1] - first[row]
+    step = np.maximum(scales[i] // 4, 1) * BLOCK
+    final = np.maximum(-(-words // BLOCK) * BLOCK - width, 0)  # where the last whole window begins
+    nth = np.maximum(-(-(hi - width - sizes[i] + 1 - base) // step), 0)
+    upto = np.minimum((lo + sizes[i] - base) // step, final // step)
+    count = np.maximum(upto - nth + 1, 0)
+    which = np.repeat(np.arange(len(count)), count)
+    starts = (nth[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)) * step[which]
+    ends_too = np.flatnonzero((final % step != 0) & (final <= lo + sizes[i] - base) & (final + width + sizes[i] > hi - base))
+    which, starts = np.concatenate([which, ends_too]), np.concatenate([starts, final[ends_too]])
+    got = np.unique(np.stack([i[which], base[which] + starts, row[which]]), axis=1)
+    return got[2], got[0], got[1]
+
+
+def window_vectors(word: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The vectors, of length 1, of the words in each window."""
+    size = stop - start
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out = np.add.reduceat(word[b[at]], np.cumsum(size) - size, axis=0) if len(size) else np.zeros((0, word.shape[1]), np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
+
+
 def anchors_of(items: list[Item]) -> tuple[np.ndarray, list]:
     """Which upper halves of word hashes begin an anchor, and for each anchor length the sorted keys of the anchors and their items."""
     begin, by_size = np.zeros(1 << 16, bool), {}
@@ -363,23 +376,23 @@ def exact_copies(h: np.ndarray, first: np.ndarray, items: list[Item], anchors: t
                     yield row, i, start
 
 
-def answer_places(h: np.ndarray, at: np.ndarray, answers: np.ndarray, head: np.ndarray, holders: np.ndarray) -> np.ndarray:
-    """item * len(h) + place, sorted, for every place (of those in at) of a word that is an answer word of the item."""
+def answer_places(h: np.ndarray, at: np.ndarray, answers: np.ndarray, head: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place), sorted, for every place (of those in at) of a word that is an answer word of the item."""
     if not len(answers):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     which = np.minimum(np.searchsorted(answers, h[at]), len(answers) - 1)
     same = answers[which] == h[at]
     at, which = at[same], which[same]
     counts = np.diff(head)[which]
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.sort(holders[np.repeat(head[:-1][which], counts) + nth] * len(h) + np.repeat(at, counts))
+    return tuple(np.divmod(np.sort(holders[np.repeat(head[:-1][which], counts) + nth] * len(h) + np.repeat(at, counts)), len(h)))
 
 
 def best_windows(found: list, items: list[Item]) -> Iterator[tuple]:
     """Of windows (row, item, start, cosine, ...) that overlap, row and item alike, the one with the largest cosine."""
     last = None
     for window in sorted(found):
-        if last and last[:2] == window[:2] and window[2] - last[2] < items[window[1]].scale:
+        if last and last[:2] == window[:2] and window[2] - last[2] < items[window[1]].scale * BLOCK:
             if window[3] > last[3]:
                 last = window
             continue
@@ -390,8 +403,10 @@ def best_windows(found: list, items: list[Item]) -> Iterator[tuple]:
         yield last
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, whose text contains no benchmark item; rows with a null id are judged by their text's
-    hits under a null id, so they stay only if no null id has a hit."""
-    bad = contained(docs, benchmark, id_col, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["__bad"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, whose text contains no benchmark item. Every row is judged by its own text, also where ids
+    repeat or are null; rows that repeat both go or stay together. A null or empty text stays. Other columns may have any names."""
+    text = docs[f"`{text_col}`"]
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.struct(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("tag")).alias("key"), text.alias("text"))
+    bad = contained(whole, benchmark, "key", "text", **how).select(F.col("doc_id.id").alias("bad_id"), F.col("doc_id.tag").alias("bad_tag")).distinct()
+    return whole.join(bad, whole["key.id"].eqNullSafe(bad["bad_id"]) & (whole["key.tag"] == bad["bad_tag"]), "left_anti").select("doc.*")
