@@ -59,3 +59,16 @@ def test_odd_rows(odd_docs, no_docs):
         assert r["ids"] == theirs.encode(texts[r["doc_id"]])
         assert r["decoded"] == theirs.decode(r["ids"])
     assert digest(encode_decode(no_docs, MODEL)).count() == 0
+
+
+def test_table_of_words_is_bounded(monkeypatch):
+    import weftline.llm.sentencepiece_codec as C
+
+    monkeypatch.setattr(C, "WORDS_BYTES", 5000)
+    blob = open(MODEL, "rb").read()
+    ours, theirs = PieceModel(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+    for k in range(30):
+        texts = [f"word{k} and other{k} words", f"{k}" * 3000, "and words"]
+        _, ids, _, _ = ours.encode([t.encode() for t in texts])
+        assert ids.tolist() == [i for t in texts for i in theirs.encode(t)]
+        assert ours.held <= 5000 and not any(len(w) > C.LONG for w in ours.words)

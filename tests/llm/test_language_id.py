@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id, queries
@@ -21,3 +22,23 @@ def test_odd_rows(odd_docs, no_docs):
     kept = language_id.accepted(odd_docs, net, 0.0)
     assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 7, 8, None, 10, 11}
     assert language_id.predict(no_docs, language_id.fit(no_docs)).count() == 0
+
+
+def test_long_texts_in_parts(spark, docs, monkeypatch):
+    """A text of many parts of windows scores as its windows do one by one; columns may have any names."""
+    monkeypatch.setattr(language_id, "AT_ONCE", 3)
+    net = language_id.fit(docs, per_language=20)
+    t = "".join(r["text"] for r in docs.limit(30).collect()).encode()
+    data, offsets = np.frombuffer(t, np.uint8), np.array([0, 10, 10, len(t) - 5, len(t)])
+    got = language_id.scores(net, net.tables(), data, offsets)
+    for i in range(4):
+        part = data[offsets[i] : offsets[i + 1]]
+        want = np.zeros(len(net.languages))
+        for at in range(0, len(part), net.window):
+            w = np.zeros((1, net.window), np.uint8)
+            w[0, : len(part[at : at + net.window])] = part[at : at + net.window]
+            want += net.probabilities(w, net.tables())[0] * len(part[at : at + net.window])
+        assert np.allclose(got[i], want / max(len(part), 1))
+    table = docs.select("doc_id", "text", F.lit(1).alias("__letters"), F.lit(None).cast("string").alias("letters"))
+    kept = language_id.accepted(table, net, 0.0)
+    assert kept.columns == table.columns and kept.count() > 100

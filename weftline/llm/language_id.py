@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weftline.llm.frames import map_arrow, pick
 from weftline.llm.tokens import slices
@@ -121,19 +122,24 @@ class ByteNet:
         return prob / prob.sum(1, keepdims=True)
 
 
-def cut_windows(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every row's bytes in consecutive windows, the last one filled with zeros; each window's row and its bytes."""
-    sizes = np.diff(offsets)
-    counts = -(-sizes // window)
-    rows = np.repeat(np.arange(len(sizes)), counts)
-    nth = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = offsets[:-1][rows] + nth * window
-    lengths = np.minimum(window, offsets[1:][rows] - starts)
-    at = starts[:, None] + np.arange(window)
-    out = np.zeros((len(rows), window), np.uint8)
-    inside = np.arange(window) < lengths[:, None]
-    out[inside] = data[at[inside]]
-    return out, rows, lengths
+#: Windows that are cut and scored at once, so that memory does not follow the longest text.
+AT_ONCE = 4096
+
+
+def cut_windows(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every row's bytes in consecutive windows, the last one filled with zeros: in parts of at most AT_ONCE windows, their bytes, each
+    one's row and its length."""
+    counts = -(-np.diff(offsets) // window)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    for lo in range(0, int(before[-1]), AT_ONCE):
+        nth = np.arange(lo, min(lo + AT_ONCE, int(before[-1])))
+        rows = np.searchsorted(before, nth, "right") - 1
+        starts = offsets[:-1][rows] + (nth - before[rows]) * window
+        lengths = np.minimum(window, offsets[1:][rows] - starts)
+        out = np.zeros((len(rows), window), np.uint8)
+        inside = np.arange(window) < lengths[:, None]
+        out[inside] = data[(starts[:, None] + np.arange(window))[inside]]
+        yield out, rows, lengths
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 600, windows_each: int = 6, window: int = 256, seed: int = 1) -> ByteNet:
@@ -153,12 +159,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
 
     def spread(batch: pa.RecordBatch):
         for lo, hi, data, offsets in slices(batch.column(0)):
-            cut, of, lengths = cut_windows(data, offsets, window)
-            full = np.bincount(of, minlength=hi - lo)
-            nth = np.arange(len(of)) - (np.cumsum(full) - full)[of]
-            step = np.maximum(1, -(-full // windows_each))[of]
-            keep = nth % step == 0
-            yield {"lang": batch.column(1).slice(lo, hi - lo).take(pa.array(of[keep])), "bytes": pa.array([w.tobytes() for w in cut[keep]], pa.binary())}
+            full, done = -(-np.diff(offsets) // window), 0
+            for cut, of, _ in cut_windows(data, offsets, window):
+                nth = done + np.arange(len(of)) - (np.cumsum(full) - full)[of]
+                keep = nth % np.maximum(1, -(-full // windows_each))[of] == 0
+                done += len(of)
+                yield {"lang": batch.column(1).slice(lo, hi - lo).take(pa.array(of[keep])), "bytes": pa.array([w.tobytes() for w in cut[keep]], pa.binary())}
 
     got = sorted((bytes(r["bytes"]), r["lang"]) for r in map_arrow(chosen, spread, "lang string, bytes binary").collect())
     x = np.frombuffer(b"".join(b for b, _ in got), np.uint8).reshape(-1, window)
@@ -167,9 +173,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
 
 def scores(net: ByteNet, tables: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probabilities (rows, languages), averaged over each row's windows by their bytes; zeros for an empty row."""
-    windows, rows, lengths = cut_windows(data, offsets, net.window)
     sums = np.zeros((len(offsets) - 1, len(net.languages)))
-    np.add.at(sums, rows, net.probabilities(windows, tables) * lengths[:, None].astype(np.float64))
+    for windows, rows, lengths in cut_windows(data, offsets, net.window):
+        np.add.at(sums, rows, net.probabilities(windows, tables) * lengths[:, None].astype(np.float64))
     return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
@@ -179,7 +185,7 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
 
     A text that is null, empty or without a letter gets 'und' and the score 0. Repeated rows and ids, null ids and any other
     columns are allowed: rows are handled alone and only the two named columns are read. An empty table gives no rows. A very
-    long text is cut into windows like any other. The net, a few MB whatever the table, is sent to the executors."""
+    long text is cut into windows like any other, AT_ONCE of them at a time. The net, a few MB whatever the table, is sent to the executors."""
     shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
 
     def run(batch: pa.RecordBatch):
@@ -210,4 +216,5 @@ def accepted(docs: DataFrame, net: ByteNet, least: float, text_col: str = "text"
             yield pa.RecordBatch.from_arrays(batch.columns[:last], schema=pa.schema(list(batch.schema)[:last])).filter(pa.array(mask.astype(bool)))
 
     letters = F.coalesce(docs[f"`{text_col}`"].rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*[docs[f"`{c}`"] for c in docs.columns], letters.alias("__letters")).mapInArrow(run, docs.schema)
+    named = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)], letters.alias("letters"))
+    return named.mapInArrow(run, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])).toDF(*docs.columns)

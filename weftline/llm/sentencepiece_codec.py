@@ -25,8 +25,9 @@ SPACE_BYTES = SPACE.encode()
 REPLACEMENT = b"\xef\xbf\xbd"
 # Kinds of pieces in the public model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Entries of a task's table of words already merged; it is emptied when full.
-WORDS_KEPT = 500_000
+#: Bytes of a task's table of words already merged, about 200 for an entry beside its own; it is emptied when full. Longer words
+#: than LONG are merged anew each time.
+WORDS_BYTES, LONG = 150_000_000, 1000
 
 
 class CharacterMap:
@@ -91,6 +92,7 @@ class PieceModel:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     # Normalisation
 
@@ -152,23 +154,33 @@ class PieceModel:
     # Merging
 
     def learn(self, words: set[str]) -> None:
-        """Merges the words that the table does not have yet."""
+        """Merges the words that the table does not have yet. Those in use stay until they are used."""
         if new := [w for w in words if w not in self.words]:
             ids = self.merger.encode(new, num_threads=1)
             raw = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
             at = 0
             for w, x in zip(new, ids, strict=True):
                 self.words[w] = raw[at : (at := at + 4 * len(x))]
+                self.held += 200 + 4 * len(w) + 4 * len(x)
+
+    def forget(self, words: set[str]) -> None:
+        """Drops the long ones of words, and all words once they take more than WORDS_BYTES."""
+        for w in words:
+            if len(w) > LONG and w in self.words:
+                self.held -= 200 + 4 * len(w) + len(self.words.pop(w))
+        if self.held > WORDS_BYTES:
+            self.words.clear()
+            self.held = 0
 
     def encode(self, texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
         """How many pieces each text has, and of all pieces the ids, first bytes and ends in their sources."""
         shown = [self.normalise(t) for t in texts]
         cuts = [self.cuts.findall(s.decode()) for s, _ in shown]
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        self.learn(set().union(*cuts))
+        distinct = set().union(*cuts)
+        self.learn(distinct)
         known = self.words
         ids = np.frombuffer(b"".join([known[w] for words in cuts for w in words]), np.int32)
+        self.forget(distinct)
         ends = np.cumsum(self.sizes[ids], dtype=np.int64)
         bounds = np.cumsum([0, *(len(s) for s, _ in shown)])
         last = np.searchsorted(ends, bounds[1:], "right")  # pieces up to the end of each text
