@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from weftline.llm import disclosure
 
@@ -28,6 +32,10 @@ def check(rows, got):
         assert by[k]["base_sha256"] == hashlib.sha256(base(t or "").encode()).hexdigest(), t
 
 
+def terms(t):
+    return re.findall(r"[^\W_]+(?:['\u2019-][^\W_]+)*", t or "")
+
+
 def test_same_as_plain_patterns(spark, docs, texts):
     rng = random.Random(3)
     parts = ["a@b.co", "x", "@", "1.2.3.4", ".", "+", "+1 (555) 123-4567", "4111 1111 1111 1111", "4111111111111111", " ", "-", "é", "\U0001f600", "999.1.1.1", "_", "a.b", "0", "12", "\n", "00001.2.3.4"]
@@ -81,3 +89,65 @@ def test_terms_of_classes_far_away_and_short(spark):
             assert f"term:{at}:{at + size}" in got[i]
         assert not any(f"term:{m.start()}:{m.end()}" in got[i] for m in re.finditer("weather|ann|acme|labs", text))
     assert got[200] == [""]
+
+
+def test_shares_by_brute_force(spark, docs):
+    """Which terms disclose, by counting: every class with its surroundings and texts, every term of them, PMI over information."""
+    limits = disclosure.Thresholds(support=2, generalise=0.3)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    seen = disclosure.cut(disclosure.found(docs, "doc_id", "text"))
+    spans = disclosure.cut(disclosure.base_spans(seen))
+    named = disclosure.cut(disclosure.classed(spans, limits))
+    holding = disclosure.cut(disclosure.holding(seen, spans, named))
+    told = disclosure.disclosing(docs, "text", named, holding, limits)
+    got = {(r["class"], r["term"]): r["reveals"] for r in told.collect()}
+    key = {w: None for _, t in rows for w in terms(t)}
+    hashed = spark.createDataFrame([(w,) for w in key], "w string").selectExpr("w", "xxhash64(lower(w)) as k").collect()
+    key = {r["w"]: r["k"] for r in hashed}
+    texts = {r["row"]: r["text"] for r in seen.collect()}
+    n, n_term = len(rows), Counter(k for _, t in rows for k in {key[w] for w in terms(t)})
+    held, places, both = defaultdict(set), defaultdict(set), Counter()
+    for r in named.collect():
+        held[r["class"]].add(r["row"])
+    matches = defaultdict(set)
+    for r in spans.collect():
+        matches[r["row"]].add(r["match"])
+    for c, of in held.items():
+        one = {}
+        for r in named.filter(F.col("class") == c).collect():
+            one[r["row"]] = min(r["place"], one.get(r["row"], r["place"]))
+            before, after = r["before"], r["after"]
+            before = before if len(before) < disclosure.REACH else re.sub(r"^(?:[^\W_]|['\u2019-])+", "", before)
+            after = after if len(after) < disclosure.REACH else re.sub(r"(?:[^\W_]|['\u2019-])+$", "", after)
+            for w in {*terms(before), *terms(after)}:
+                places[c, key.get(w, w)].add(r["place"])
+        for row in of:
+            text = texts[row]
+            for m in sorted(matches[row], key=len, reverse=True):
+                text = text.replace(m, " ")
+            for k in {key.get(w, w) for w in terms(text)}:
+                places[c, k].add(one[row])
+                both[c, k] += 1
+    want = {}
+    for (c, k), p in places.items():
+        if len(p) >= limits.support and both[c, k] and len(held[c]) < n:
+            share = math.log2(n * both[c, k] / (len(held[c]) * max(n_term[k], both[c, k]))) / math.log2(n / len(held[c]))
+            if share >= limits.generalise:
+                want[c, k] = share
+    assert want and set(got) == set(want) and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
+
+
+def test_terms_occur_on_the_tables(spark):
+    """With the default thresholds the method adds spans to rows with personal data, and to no others."""
+    got = disclosure.digest(disclosure.find_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).collect()
+    marked = [r for r in got if "term:" in r["spans"]]
+    print(f"{len(marked)} rows with terms")
+    assert marked and all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] > 0 for r in marked)
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(1, "write to joe@example.com now", "a", "k"), (None, None, None, None), (1, "", "b", "l")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __tag string, cuts string")
+    clean = disclosure.sanitise(table)
+    assert clean.columns == table.columns
+    assert sorted(map(str, clean.collect())) == sorted(map(str, spark.createDataFrame([(1, "write to [EMAIL] now", "a", "k"), *rows[1:]], table.schema).collect()))

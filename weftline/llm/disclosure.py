@@ -42,7 +42,7 @@ class Thresholds:
     that a term must reveal."""
 
     support: int = 3
-    generalise: float = 0.8
+    generalise: float = 0.5
     remove: float = 0.999
 
 
@@ -163,8 +163,10 @@ def disclosing(docs: DataFrame, text_col: str, named: DataFrame, rows: DataFrame
     whole = rows.select("held", F.explode(F.array_distinct(F.transform("terms", term_key))).alias("term")).select("term", F.inline("held")).select("class", "place", "term", F.lit(1).alias("texts"))
     pairs = near.unionByName(whole).groupBy("class", "term").agg(F.count_distinct("place").alias("places"), F.sum("texts").alias("both")).filter((F.col("places") >= limits.support) & (F.col("both") > 0))
     sizes = named.select("class", "n_class").distinct()
+    # Only the terms of pairs are counted in all texts; they are written, so that Spark knows their size when it plans the join.
+    pairs = cut(pairs)
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(docs[f"`{text_col}`"], F.lit(TERM), F.lit(0)), term_key))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n"))  # one row
     counted = pairs.join(sizes, "class").join(terms, "term").crossJoin(F.broadcast(total))
     bits = F.log2(F.col("n") / F.col("n_class"))
@@ -229,19 +231,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     """docs with every span of find_spans replaced in text_col: entities by their kind in brackets, terms by [TERM] or, where
     they reveal all of an entity, by nothing. Overlapping spans are replaced as one, under the kind of the first.
 
-    Rows that share id and text get the same spans; a null text stays null; all columns are kept."""
-    tagged = docs.withColumn("__tag", F.xxhash64(docs[f"`{text_col}`"]))
-    rows, spans = find(tagged.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col("__tag").alias("tag")).alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", limits)
+    Rows that share id and text get the same spans; a null text stays null; all columns are kept, whatever their names. An empty
+    table gives no rows."""
+    text = docs[f"`{text_col}`"]
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.struct(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("tag")).alias("key"), text.alias("text"))
+    rows, spans = find(whole.select("key", "text"), "key", "text", limits)
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("head", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("island", F.sum("head").over(order))
     joined = islands.groupBy("row", "island").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.min_by(F.struct("kind", "action"), F.struct("start", "end", "kind")).alias("as"))
     put = F.when(F.col("as.action") == "remove", "").otherwise(F.concat(F.lit("["), F.upper("as.kind"), F.lit("]")))
     by_row = joined.select("row", "lo", "hi", put.alias("put")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "put"))).alias("cuts"))
-    keyed = rows.join(by_row, "row").groupBy("id").agg(F.first("cuts").alias("__cuts")).select(F.col("id.id").alias("__id"), F.col("id.tag").alias("__of"), "__cuts")
-    both = tagged.join(keyed, tagged[f"`{id_col}`"].eqNullSafe(keyed["__id"]) & tagged["__tag"].eqNullSafe(keyed["__of"]), "left")
-    text = F.col(f"`{text_col}`")
-    pieces = F.transform("__cuts", lambda c, i: F.concat(F.substring(text, F.when(i > 0, F.get("__cuts", i - 1)["hi"]).otherwise(0) + 1, c["lo"] - F.when(i > 0, F.get("__cuts", i - 1)["hi"]).otherwise(0)), c["put"]))
-    last = F.substring(text, F.element_at("__cuts", -1)["hi"] + 1, F.length(text))
-    clean = F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), last))
-    return both.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = rows.join(by_row, "row").groupBy("id").agg(F.first("cuts").alias("cuts")).select(F.col("id.id").alias("of_id"), F.col("id.tag").alias("of_tag"), "cuts")
+    both = whole.join(keyed, whole["key.id"].eqNullSafe(keyed["of_id"]) & (whole["key.tag"] == keyed["of_tag"]), "left")
+    before = lambda i: F.when(i > 0, F.get("cuts", i - 1)["hi"]).otherwise(0)
+    pieces = F.transform("cuts", lambda c, i: F.concat(F.substring(F.col("text"), before(i) + 1, c["lo"] - before(i)), c["put"]))
+    last = F.substring("text", F.element_at("cuts", -1)["hi"] + 1, F.length("text"))
+    clean = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), last))
+    return both.select(*[(clean if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
