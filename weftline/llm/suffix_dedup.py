@@ -33,7 +33,7 @@ PACKED = 7
 
 def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rank of each key, 1 and up, equal keys alike; a rank counts the smaller keys. And which keys are not alone."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
     sizes = np.diff(np.append(head, len(key)))
@@ -49,20 +49,19 @@ def rankings(text: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     byte. Doubles until no two places are alike or the longest text is compared. Only places that are still alike are sorted."""
     n = len(text)
     at = np.arange(n, dtype=np.int32)
+    left, symbol = end - at, np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(PACKED, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(PACKED):
-        key <<= np.uint64(9)
-        inside = at + k < end
-        key[inside] |= text[at[inside] + k].astype(np.uint64) + np.uint64(1)
+        key = key << np.uint64(9) | np.where(left > k, symbol[k : k + n], np.uint64(0))
     rank, tied = ranked(key)
-    levels, width, longest = [rank], PACKED, int((end - at).max())
+    levels, width, longest = [rank], PACKED, int(left.max())
     while len(tied) and width < longest:
         behind = tied + width
         inside = behind < end[tied]
         nxt = np.zeros(len(tied), np.uint64)
         nxt[inside] = rank[behind[inside]]
         old = rank[tied].astype(np.uint64)
-        order = np.argsort(old << np.uint64(32) | nxt, kind="stable")
+        order = np.argsort(old << np.uint64(32) | nxt)
         old, nxt = old[order].astype(np.int64), nxt[order]
         places = np.arange(len(order))
         group = np.concatenate([[True], old[1:] != old[:-1]])
@@ -143,7 +142,7 @@ def maximal_repeats(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, firs
 
 
 def class_texts(rows: DataFrame, of: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, windows, left, right, n_left, n_right, text) of classes, text from the first place where they stand."""
+    """(h1, h2, windows, lead, left, right, n_left, n_right, text) of classes, text from the first place where they stand."""
 
     def take(batch: pa.RecordBatch):
         for lo, hi, data, offsets in slices(batch.column(2)):
@@ -153,15 +152,14 @@ def class_texts(rows: DataFrame, of: DataFrame, window: int) -> DataFrame:
             row = np.repeat(np.arange(hi - lo), asked.value_lengths().to_numpy())
             at = offsets[row] + flat.field("start").to_numpy()
             end = at + flat.field("windows").to_numpy() - 1 + window
-            yield {k: flat.field(k) for k in ("h1", "h2", "windows", "left", "right", "n_left", "n_right")} | {"text": pa.array([raw[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())}
+            yield {k: flat.field(k) for k in ("h1", "h2", "windows", "lead", "left", "right", "n_left", "n_right")} | {"text": pa.array([raw[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())}
 
-    return opened(rows, of, take, "h1 bigint, h2 bigint, windows int, left bigint, right bigint, n_left bigint, n_right bigint, text binary")
+    return opened(rows, of, take, "h1 bigint, h2 bigint, windows int, lead int, left bigint, right bigint, n_left bigint, n_right bigint, text binary")
 
 
 def covered(part: pa.Table, window: int) -> dict:
-    """Of classes (h1, h2, windows, text), those with repeated windows: (h1, h2, spans) of the bytes they cover."""
-    _, keep = np.unique(np.stack([part["h1"].to_numpy(), part["h2"].to_numpy()]), axis=1, return_index=True)
-    part = part.take(pa.array(np.sort(keep)))
+    """Of parts of classes (key, h1, h2, skip, windows, text), those with repeated windows: (h1, h2, spans) of the bytes of the class
+    that they cover."""
     texts = part["text"].combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     text = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -186,16 +184,20 @@ def covered(part: pa.Table, window: int) -> dict:
     row = np.searchsorted(offsets, lo, "right") - 1
     got = np.bincount(row, minlength=len(count))
     some = np.flatnonzero(got)
-    spans = pa.StructArray.from_arrays([pa.array((lo - offsets[row]).astype(np.int32)), pa.array((hi - offsets[row]).astype(np.int32))], ["lo", "hi"])
+    base = offsets[row] - part["skip"].to_numpy()[row]
+    spans = pa.StructArray.from_arrays([pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], ["lo", "hi"])
     take = pa.array(some)
     return {"h1": part["h1"].take(take), "h2": part["h2"].take(take), "spans": lists(spans, got[some])}
 
 
 def by_arrays(texts: DataFrame, window: int) -> DataFrame:
     """(h1, h2, spans) of the classes that share windows with others of a key that has at most MOST: by suffix arrays of the
-    texts of neighbouring keys."""
-    sides = F.array(F.struct(F.col("left").alias("key"), F.col("n_left").alias("n")), F.struct(F.bitwise_not("right").alias("key"), F.col("n_right").alias("n")))
-    keyed = texts.withColumn("side", F.explode(F.filter(sides, lambda x: x["n"].between(2, MOST)))).select("side.key", "h1", "h2", "windows", "text")
+    texts of neighbouring keys. Windows that reach half their rest to the left of the minimizer meet by their left key, the
+    others by their right one; a text is cut to what these windows cover, and skip says how much of it is cut off before."""
+    lefts = F.least(F.greatest(F.col("lead") - (window - GRAM) // 2 + 1, F.lit(0)), F.col("windows"))  # windows of the first kind
+    side = lambda key, n, skip, count: F.struct(key.alias("key"), F.col(n).alias("n"), skip.cast("int").alias("skip"), count.cast("int").alias("windows"))
+    sides = F.array(side(F.col("left"), "n_left", F.lit(0), lefts), side(F.bitwise_not("right"), "n_right", lefts, F.col("windows") - lefts))
+    keyed = texts.withColumn("side", F.explode(F.filter(sides, lambda x: x["n"].between(2, MOST) & (x["windows"] > 0)))).select("side.key", "h1", "h2", "side.skip", "side.windows", F.expr(f"substring(text, side.skip + 1, side.windows + {window - 1})").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,7 +210,7 @@ def by_arrays(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             heads = np.flatnonzero(np.concatenate([[len(keys) > 0 and last != keys[0]], keys[1:] != keys[:-1]]))
-            sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch.column(4)).to_numpy().astype(np.int64))])
+            sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch.column(5)).to_numpy().astype(np.int64))])
             lo = 0
             for head in heads.tolist():  # an array ends between two keys only
                 if size + sizes[head] - sizes[lo] >= ARRAY_BYTES:

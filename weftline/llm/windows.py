@@ -26,12 +26,13 @@ NO_ID = -(1 << 63)
 @dataclass
 class Runs:
     """row: the row of each run; start: its first window's first token, counted in the row; count: how many windows it has;
-    gram: hash of the minimizer; left, right: hashes of the minimizer with half of what a window has beside it, on the left and
+    lead: tokens from there to the minimizer; gram: hash of the minimizer; left, right: hashes of the minimizer with half of what a window has beside it, on the left and
     on the right, 0 where the run does not reach so far; lo, hi: the run's tokens, counted in the slice."""
 
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
+    lead: np.ndarray
     gram: np.ndarray
     left: np.ndarray
     right: np.ndarray
@@ -54,7 +55,7 @@ def runs(tokens: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Runs
     n = len(tokens)
     none = np.zeros(0, np.int64)
     if n < window or not (np.diff(bounds) >= window).any():
-        return Runs(none, none, none, *[none.astype(np.uint64)] * 3, none, none)
+        return Runs(none, none, none, none, *[none.astype(np.uint64)] * 3, none, none)
     sums = prefix(tokens)
     at = np.arange(n - gram + 1)
     grams = span_hash(sums, at, at + gram)
@@ -73,7 +74,7 @@ def runs(tokens: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Runs
     before, after = anchor - begin >= half, end - anchor >= gram + half
     left = np.where(before, span_hash(sums, np.where(before, anchor - half, anchor), anchor + gram) | np.uint64(1), np.uint64(0))
     right = np.where(after, span_hash(sums, anchor, np.where(after, anchor + gram + half, anchor)) | np.uint64(1), np.uint64(0))
-    return Runs(row, begin - bounds[:-1][row], count, grams[anchor], left, right, begin, end)
+    return Runs(row, begin - bounds[:-1][row], count, anchor - begin, grams[anchor], left, right, begin, end)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,7 +123,7 @@ def run_table(rows: DataFrame, by_words: bool, window: int, gram: int) -> DataFr
 
 
 def classes(rows: DataFrame, by_words: bool, window: int, gram: int) -> DataFrame:
-    """(h1, h2, times, windows, place, left, right, n_left, n_right) of the runs that occur more than once or that may share a
+    """(h1, h2, times, windows, lead, place, left, right, n_left, n_right) of the runs that occur more than once or that may share a
     window with others. Equal runs are one row; place (id, tag, start) is the first of their places.
 
     A window that two different runs share has the minimizer in it, and at least half of the rest lies to the left of it or to
@@ -136,26 +137,26 @@ def classes(rows: DataFrame, by_words: bool, window: int, gram: int) -> DataFram
             return
         row, h = np.concatenate([r.row + lo for lo, r, _ in got]), np.concatenate([h for _, _, h in got])
         ids, tags = (batch.column(i).to_numpy()[row] for i in (0, 1))
-        start, count, grams, left, right = (np.concatenate([getattr(r, k) for _, r, _ in got]) for k in ("start", "count", "gram", "left", "right"))
+        start, count, lead, grams, left, right = (np.concatenate([getattr(r, k) for _, r, _ in got]) for k in ("start", "count", "lead", "gram", "left", "right"))
         order = np.lexsort((start, tags, ids, h[:, 1], h[:, 0]))
         sorted_h = h[order]
         head = np.flatnonzero(np.concatenate([[True], (sorted_h[1:] != sorted_h[:-1]).any(1)])) if len(order) else order
         times = np.diff(np.append(head, len(order)))
         first = order[head]
-        yield {"gram": signed(grams[first]), "h1": h[first, 0], "h2": h[first, 1], "times": times, "windows": count[first], "id": ids[first], "tag": tags[first], "start": start[first], "left": signed(left[first]), "right": signed(right[first])}
+        yield {"gram": signed(grams[first]), "h1": h[first, 0], "h2": h[first, 1], "times": times, "windows": count[first], "lead": lead[first], "id": ids[first], "tag": tags[first], "start": start[first], "left": signed(left[first]), "right": signed(right[first])}
 
-    found = map_arrow(rows, find, "gram bigint, h1 bigint, h2 bigint, times bigint, windows int, id bigint, tag bigint, start int, left bigint, right bigint")
+    found = map_arrow(rows, find, "gram bigint, h1 bigint, h2 bigint, times bigint, windows int, lead int, id bigint, tag bigint, start int, left bigint, right bigint")
     # One exchange, by minimizer, serves the classes and the counts of their neighbours.
-    each = found.repartition("gram").groupBy("gram", "h1", "h2").agg(F.sum("times").alias("times"), *[F.min(c).alias(c) for c in ("windows", "left", "right")], F.min(F.struct("id", "tag", "start")).alias("place"))
+    each = found.repartition("gram").groupBy("gram", "h1", "h2").agg(F.sum("times").alias("times"), *[F.min(c).alias(c) for c in ("windows", "lead", "left", "right")], F.min(F.struct("id", "tag", "start")).alias("place"))
     near = lambda side: F.when(F.col(side) != 0, F.count("*").over(Window.partitionBy("gram", side))).otherwise(0).alias(f"n_{side}")
-    return each.select("h1", "h2", "times", "windows", "place", "left", "right", near("left"), near("right")).filter("times > 1 or n_left > 1 or n_right > 1")
+    return each.select("h1", "h2", "times", "windows", "lead", "place", "left", "right", near("left"), near("right")).filter("times > 1 or n_left > 1 or n_right > 1")
 
 
 def opened(rows: DataFrame, of: DataFrame, fn, schema: str) -> DataFrame:
     """Maps the texts at whose first place classes of the table of stand: fn gets batches (id, tag, text, asked) with the classes
     asked for in each row, and gives columns. The requests of one row are gathered; they are fewer than its tokens. Rows that
     repeat id and text are opened once."""
-    asked = of.groupBy("place.id", "place.tag").agg(F.collect_list(F.struct("h1", "h2", F.col("place.start").alias("start"), "windows", "left", "right", "n_left", "n_right")).alias("asked"))
+    asked = of.groupBy("place.id", "place.tag").agg(F.collect_list(F.struct("h1", "h2", F.col("place.start").alias("start"), "windows", "lead", "left", "right", "n_left", "n_right")).alias("asked"))
     joined = asked.join(rows.dropDuplicates(["id", "tag"]), ["id", "tag"]).select("id", "tag", "text", "asked")
     return map_arrow(joined, fn, schema)
 
