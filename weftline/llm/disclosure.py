@@ -163,10 +163,10 @@ def disclosing(docs: DataFrame, text_col: str, named: DataFrame, rows: DataFrame
     whole = rows.select("held", F.explode(F.array_distinct(F.transform("terms", term_key))).alias("term")).select("term", F.inline("held")).select("class", "place", "term", F.lit(1).alias("texts"))
     pairs = near.unionByName(whole).groupBy("class", "term").agg(F.count_distinct("place").alias("places"), F.sum("texts").alias("both")).filter((F.col("places") >= limits.support) & (F.col("both") > 0))
     sizes = named.select("class", "n_class").distinct()
-    # Only the terms of pairs are counted in all texts; they are written, so that Spark knows their size when it plans the join.
     pairs = cut(pairs)
+    # Counted before anything is joined: a task has each term once, so what is shuffled grows with the vocabulary, not the texts.
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(docs[f"`{text_col}`"], F.lit(TERM), F.lit(0)), term_key))).alias("term"))
-    terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n"))  # one row
     counted = pairs.join(sizes, "class").join(terms, "term").crossJoin(F.broadcast(total))
     bits = F.log2(F.col("n") / F.col("n_class"))
