@@ -91,47 +91,30 @@ def test_terms_of_classes_far_away_and_short(spark):
     assert got[200] == [""]
 
 
-def test_shares_by_brute_force(spark, docs):
-    """Which terms disclose, by counting: every class with its surroundings and texts, every term of them, PMI over information."""
+def test_shares_by_brute_force(spark):
+    """Which terms disclose, by counting in plain Python: the sentences of every class, every term of them, PMI over information."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     limits = disclosure.Thresholds(support=2, generalise=0.3)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    seen = disclosure.cut(disclosure.found(docs, "doc_id", "text"))
-    spans = disclosure.cut(disclosure.base_spans(seen))
+    spans = disclosure.cut(disclosure.base_spans(disclosure.cut(disclosure.found(docs.filter("text is not null"), "doc_id", "text"))))
     named = disclosure.cut(disclosure.classed(spans, limits))
-    holding = disclosure.cut(disclosure.holding(seen, spans, named))
-    told = disclosure.disclosing(docs, "text", named, holding, limits)
-    got = {(r["class"], r["term"]): r["reveals"] for r in told.collect()}
-    key = {w: None for _, t in rows for w in terms(t)}
-    hashed = spark.createDataFrame([(w,) for w in key], "w string").selectExpr("w", "xxhash64(lower(w)) as k").collect()
+    got = {(r["class"], r["term"]): r["reveals"] for r in disclosure.disclosing(docs, "text", named, limits).collect()}
+    hashed = spark.createDataFrame([(w,) for w in {w for _, t in rows for w in terms(t)}], "w string").selectExpr("w", "xxhash64(lower(w)) as k").collect()
     key = {r["w"]: r["k"] for r in hashed}
-    texts = {r["row"]: r["text"] for r in seen.collect()}
     n, n_term = len(rows), Counter(k for _, t in rows for k in {key[w] for w in terms(t)})
-    held, places, both = defaultdict(set), defaultdict(set), Counter()
-    for r in named.collect():
-        held[r["class"]].add(r["row"])
-    matches = defaultdict(set)
     for r in spans.collect():
-        matches[r["row"]].add(r["match"])
-    for c, of in held.items():
-        one = {}
-        for r in named.filter(F.col("class") == c).collect():
-            one[r["row"]] = min(r["place"], one.get(r["row"], r["place"]))
-            before, after = r["before"], r["after"]
-            before = before if len(before) < disclosure.REACH else re.sub(r"^(?:[^\W_]|['\u2019-])+", "", before)
-            after = after if len(after) < disclosure.REACH else re.sub(r"(?:[^\W_]|['\u2019-])+$", "", after)
-            for w in {*terms(before), *terms(after)}:
-                places[c, key.get(w, w)].add(r["place"])
-        for row in of:
-            text = texts[row]
-            for m in sorted(matches[row], key=len, reverse=True):
-                text = text.replace(m, " ")
-            for k in {key.get(w, w) for w in terms(text)}:
-                places[c, k].add(one[row])
-                both[c, k] += 1
+        assert not re.search(r"[.!?]", r["sentence"]) and r["sentence"].count("\n") == 1
+    places, texts, of = defaultdict(set), defaultdict(set), defaultdict(set)
+    for r in named.collect():
+        of[r["class"]].add(r["row"])
+        for k in {key[w] for w in terms(r["sentence"])}:
+            places[r["class"], k].add(r["place"])
+            texts[r["class"], k].add(r["row"])
+    both, n_class = {x: len(t) for x, t in texts.items()}, {c: len(t) for c, t in of.items()}
     want = {}
     for (c, k), p in places.items():
-        if len(p) >= limits.support and both[c, k] and len(held[c]) < n:
-            share = math.log2(n * both[c, k] / (len(held[c]) * max(n_term[k], both[c, k]))) / math.log2(n / len(held[c]))
+        if len(p) >= limits.support and n_class[c] < n:
+            share = math.log2(n * both[c, k] / (n_class[c] * n_term[k])) / math.log2(n / n_class[c])
             if share >= limits.generalise:
                 want[c, k] = share
     assert want and set(got) == set(want) and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)

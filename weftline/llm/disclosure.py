@@ -2,7 +2,7 @@
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Most stand in one text only, so each
 also belongs to classes that recur: its domain, the parts of its local name, the prefixes of its number. The corpus tells how
-strongly a term in the text of an entity reveals it or a class of it: the pointwise mutual information of both, against the
+strongly a term in a sentence of an entity reveals it or a class of it: the pointwise mutual information of both, against the
 information content of the entity or class. A term that comes close to it stands for it wherever both appear in a text; it is
 generalised, or removed where it reveals all of it.
 """
@@ -42,7 +42,7 @@ class Thresholds:
     that a term must reveal."""
 
     support: int = 3
-    generalise: float = 0.5
+    generalise: float = 0.3
     remove: float = 0.999
 
 
@@ -69,8 +69,11 @@ def is_valid(kind: str) -> Column:
 
 
 def entry(kind: str):
-    """What found keeps of a match, from the match and the texts before and after it."""
-    return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["1"]).alias("gap"), x[f"m_{kind}"].alias("match"), F.right(x["1"], F.lit(REACH)).alias("before"), F.left(x["2"], F.lit(REACH)).alias("after"))
+    """What found keeps of a match, from the match and the texts before and after it: its surroundings and its sentence, which goes
+    on to the next full stop, exclamation mark, question mark or line break on either side, however far they are."""
+    stops = lambda x: F.translate(x, "!?\n", "...")
+    sentence = lambda x: F.concat_ws("\n", F.substring_index(stops(x["1"]), ".", -1), F.substring_index(stops(x["2"]), ".", 1))
+    return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["1"]).alias("gap"), x[f"m_{kind}"].alias("match"), F.right(x["1"], F.lit(REACH)).alias("before"), F.left(x["2"], F.lit(REACH)).alias("after"), sentence(x).alias("sentence"))
 
 
 def is_kind(kind: str):
@@ -79,14 +82,14 @@ def is_kind(kind: str):
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, text, found) of every row: found has for each match of each kind its place among the kind's matches, the characters
-    between it and the one before, and its surroundings; text is null where there is no match. row is a number of the row's
+    between it and the one before, its surroundings and its sentence; text is null where there is no match. row is a number of the row's
     own, fixed as this is written."""
     text = docs[f"`{text_col}`"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[f"`{id_col}`"].alias("id"), text.alias("text"))
     hint = lambda k: F.contains("text", F.lit(HINTS[k])) if k in HINTS else F.col("text").rlike("[0-9]")
     matches = rows.select("*", *[F.when(hint(k), F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"m_{k}") for k, p in PATTERNS.items()])
     pieces = matches.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"p_{k}") for k, p in PATTERNS.items()])
-    none = F.expr("array()").cast("array<struct<kind:string,nth:int,gap:int,match:string,before:string,after:string>>")
+    none = F.expr("array()").cast("array<struct<kind:string,nth:int,gap:int,match:string,before:string,after:string,sentence:string>>")
     each = []
     for k in PATTERNS:
         n = F.size(f"m_{k}")
@@ -96,7 +99,7 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def base_spans(seen: DataFrame) -> DataFrame:
-    """(row, kind, start, end, match, value, before, after): the valid matches, in characters; value is the entity, told apart from
+    """(row, kind, start, end, match, value, before, after, sentence): the valid matches, in characters; value is the entity, told apart from
     others regardless of case and punctuation."""
     rows = seen.select("row", F.inline("found"))
     order = Window.partitionBy("row", "kind").orderBy("nth")
@@ -106,7 +109,7 @@ def base_spans(seen: DataFrame) -> DataFrame:
     for k in PATTERNS:
         valid = F.when(F.col("kind") == k, is_valid(k)).otherwise(valid)
     value = F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(digits(F.col("match"))))
-    return placed.filter(valid).select("row", "kind", "start", "end", "match", value.alias("value"), "before", "after")
+    return placed.filter(valid).select("row", "kind", "start", "end", "match", value.alias("value"), "before", "after", "sentence")
 
 
 def classes() -> Column:
@@ -123,9 +126,9 @@ def classes() -> Column:
 
 
 def classed(spans: DataFrame, limits: Thresholds) -> DataFrame:
-    """(row, class, place, n_class, before, after) of every entity's classes that have the support at all, n_class the texts with
+    """(row, class, place, n_class, sentence) of every entity's classes that have the support at all, n_class the texts with
     the class. class is a hash; place is a hash of an entity and its surroundings, the same for copies of a passage."""
-    each = spans.select("row", F.xxhash64("value", "before", "after").alias("place"), "before", "after", F.explode(F.array_distinct(F.transform(classes(), lambda c: F.xxhash64(c)))).alias("class"))
+    each = spans.select("row", F.xxhash64("value", "before", "after").alias("place"), "sentence", F.explode(F.array_distinct(F.transform(classes(), lambda c: F.xxhash64(c)))).alias("class"))
     recurring = each.groupBy("class").agg(F.count_distinct("place").alias("places"), F.count_distinct("row").alias("n_class")).filter(F.col("places") >= limits.support)
     return each.join(recurring.drop("places"), "class")
 
@@ -149,19 +152,14 @@ def holding(seen: DataFrame, spans: DataFrame, named: DataFrame) -> DataFrame:
     return rows.select("row", "text", "taken", "held", terms_of(F.regexp_replace("text", blank, F.lit(" "))).alias("terms"))
 
 
-def disclosing(docs: DataFrame, text_col: str, named: DataFrame, rows: DataFrame, limits: Thresholds) -> DataFrame:
+def disclosing(docs: DataFrame, text_col: str, named: DataFrame, limits: Thresholds) -> DataFrame:
     """(class, term, reveals) of the pairs over the threshold: reveals is the share of the class's information, PMI / IC.
 
-    Texts are the events: N of them, n(c) with the class, n(t) with the term, n(c, t) with both. A pair needs the support of
-    different surroundings, so that copies of one passage prove nothing: every entity with the term in its surroundings is
-    one, and every text that holds both."""
-    keys = lambda side: F.transform(terms_of(F.col(side)), term_key)
-    # A word that the edge of the surroundings may cut is left out.
-    edge = f"[{LETTER[1:-1]}'\u2019-]+"
-    sides = named.select("class", "place", F.when(F.length("before") < REACH, F.col("before")).otherwise(F.regexp_replace("before", f"^{edge}", "")).alias("before"), F.when(F.length("after") < REACH, F.col("after")).otherwise(F.regexp_replace("after", f"{edge}$", "")).alias("after"))
-    near = sides.select("class", "place", F.explode(F.array_distinct(F.concat(keys("before"), keys("after")))).alias("term"), F.lit(0).alias("texts"))
-    whole = rows.select("held", F.explode(F.array_distinct(F.transform("terms", term_key))).alias("term")).select("term", F.inline("held")).select("class", "place", "term", F.lit(1).alias("texts"))
-    pairs = near.unionByName(whole).groupBy("class", "term").agg(F.count_distinct("place").alias("places"), F.sum("texts").alias("both")).filter((F.col("places") >= limits.support) & (F.col("both") > 0))
+    Texts are the events: N of them, n(c) with the class, n(t) with the term, n(c, t) where both share a sentence. A pair needs the
+    support of entities with different surroundings, so that copies of one passage prove nothing."""
+    keys = F.transform(terms_of(F.col("sentence")), term_key)
+    told = named.select("row", "class", "place", F.explode(keys).alias("term"))
+    pairs = told.groupBy("class", "term").agg(F.count_distinct("place").alias("places"), F.count_distinct("row").alias("both")).filter(F.col("places") >= limits.support)
     sizes = named.select("class", "n_class").distinct()
     pairs = cut(pairs)
     # Counted before anything is joined: a task has each term once, so what is shuffled grows with the vocabulary, not the texts.
@@ -195,7 +193,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     spans = cut(base_spans(seen))
     named = cut(classed(spans, limits))
     rows = cut(holding(seen, spans, named))
-    hits = term_spans(rows, cut(disclosing(docs, text_col, named, rows, limits)))
+    hits = term_spans(rows, cut(disclosing(docs, text_col, named, limits)))
     terms = hits.select("row", F.lit("term").alias("kind"), "start", "end", F.when(F.col("reveals") >= limits.remove, "remove").otherwise("generalise").alias("action"))
     return seen.select("row", "id"), spans.select("row", "kind", "start", "end", F.lit("generalise").alias("action")).unionByName(terms)
 
