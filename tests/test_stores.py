@@ -72,3 +72,25 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     rows = generate_stream.unique_within(generate_stream.generated(source, plan, "t"), ["email"])
     rows.writeStream.format("memory").queryName("made").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("made").select("id", "email").exceptAll(generate_tables(spark, plan)["t"]).isEmpty() and spark.table("made").count() == 30
+
+
+def test_all_tables_or_none(spark, tmp_path):
+    path, schema = str(tmp_path / "whole"), Schema.of(*[Table(n, (Column("a", "integer"),)) for n in ("one", "two")])
+    stores.write_tables(spark, {"one": spark.range(3).toDF("a"), "two": spark.range(4).toDF("a")}, schema, path)
+    bad = spark.range(9).selectExpr("raise_error('no') as a")
+    with pytest.raises(Exception, match="no"):
+        stores.write_tables(spark, {"one": spark.range(5).toDF("a"), "two": bad}, schema, path, "truncate")
+    assert spark.read.parquet(f"{path}/one").count() == 3 and spark.read.parquet(f"{path}/two").count() == 4
+    assert sorted(p.name for p in (tmp_path / "whole").iterdir()) == ["one", "two"]
+    assert stores.write_tables(spark, {"one": spark.range(5).toDF("a"), "two": spark.range(6).toDF("a")}, schema, path, "truncate") == {"one": 5, "two": 6}
+    assert spark.read.parquet(f"{path}/one").count() == 5 and sorted(p.name for p in (tmp_path / "whole").iterdir()) == ["one", "two"]
+
+
+def test_running_rows_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stores, "BLOCK", 4)
+    rows = [(i, "ab"[i % 3 == 0] if i % 7 else None, i % 5) for i in range(60)]
+    got = stores.running_rows(spark.createDataFrame(rows, "n long, table string, rows long"), "n").collect()
+    want, sums = {}, {}
+    for n, t, r in rows:
+        sums[t] = want[n] = sums.get(t, 0) + r
+    assert {r["n"]: r["written"] for r in got} == want and len(got) == 60

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from weftline.functions import distributions as D
 from weftline.functions import words
 from weftline.functions.generators import Context, generate, pick
-from weftline.functions.rng import stream, uniform
+from weftline.functions.rng import number, stream, uniform
 from weftline.operators import anonymize, quality
-from weftline.operators.generate import Generator, inverse_growth, seasonal_weight
+from weftline.operators.generate import Generator, generate_tables, inverse_growth, seasonal_weight
 from weftline.plans import drift, graph, sql
 from weftline.plans.build import as_field, build_plan, preflight
-from weftline.plans.model import Check, Column, Field, ForeignKey, Plan, Schema, Table, TablePlan, Timeline
+from weftline.plans.model import Check, Column, Field, ForeignKey, Persona, Plan, Schema, Table, TablePlan, Timeline
 from weftline.plans.registry import query, table
 from weftline.plans.semantic import analyze, coverage
 from weftline.sources import catalog, stores
@@ -139,24 +139,6 @@ def fanout_children(spark, sf_dir):
     return out.select(F.col("__parent0").alias("parent"), F.col("__row").alias("child"), F.col("__k").alias("nth"))
 
 
-@query("fanout_personas", "SELECT parent, floor(floor(u2 * 5 + 1) * CASE WHEN v < 0.2 THEN 3.0 ELSE 1.0 END + 0.5)::BIGINT AS n FROM (SELECT a.c_custkey AS parent, a.u1 AS u2, b.u1 AS v FROM " + sql.draws("customer", "c_custkey", ("'42'", "'orders'", "'__parent__'", "'customer'", "c_custkey::VARCHAR")) + " a JOIN " + sql.draws("customer", "c_custkey", ("'42'", "'customer'", "'__persona__'", "c_custkey::VARCHAR")) + " b USING (c_custkey))")
-def fanout_personas(spark, sf_dir):
-    row = F.col("c_custkey").cast("string")
-    persona = D.weighted(stream(SEED, "customer", "__persona__", row), {"big": 0.2, "small": 0.8})
-    n = D.uniform_int(stream(SEED, "orders", "__parent__", "customer", row), 1, 5)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent"), D.half_up(n * F.when(persona == "big", 3.0).otherwise(1.0)).alias("n"))
-
-
-@query("junction_pairs", "SELECT p AS part_row, (start + k * 7) % size AS supplier_row FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT p_partkey AS p, least(floor(u1 * 4)::BIGINT + 1, (SELECT count(*) FROM supplier)) AS n, floor(u2 * (SELECT count(*) FROM supplier))::BIGINT AS start, (SELECT count(*) FROM supplier) AS size FROM " + sql.draws("part", "p_partkey", ("'42'", "'part_supplier'", "'__junction__'", "p_partkey::VARCHAR"), 2) + "))")
-def junction_pairs(spark, sf_dir):
-    """Pairs without repetition: for each part, steps of a stride that shares no factor with the number of suppliers."""
-    size = table(spark, sf_dir, "supplier").count()
-    row = F.col("p_partkey")
-    s = stream(SEED, "part_supplier", "__junction__", row.cast("string"))
-    each = table(spark, sf_dir, "part").select(row.alias("part_row"), F.least(D.uniform_int(s, 1, 4), F.lit(size)).alias("n"), F.floor(uniform(s, 2) * float(size)).alias("start"))
-    return each.select("part_row", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("part_row", F.pmod(F.col("start") + F.col("k") * 7, F.lit(size)).alias("supplier_row"))
-
-
 MONTHS = (1735689600000 - 1704067200000) / (86_400_000 * 30.436875)
 
 
@@ -169,37 +151,98 @@ def timeline_growth(spark, sf_dir):
     return orders.select("o_orderkey", F.round(inverse_growth(line("linear", 0), q), 6).alias("linear"), F.round(inverse_growth(line("compound", 0.15), q), 6).alias("compound"), F.round(inverse_growth(line("scurve", 0.6), q), 6).alias("scurve"))
 
 
-@query("churn_times", f"SELECT o_orderkey, CASE WHEN gone < 1009843200000 THEN floor(gone)::BIGINT END AS left_ms FROM (SELECT o_orderkey, epoch_ms(o_orderdate) + -ln(greatest(1 - u1, 1e-16)) / 0.05 * (86400000 * 30.436875::DOUBLE) AS gone FROM {sql.draws('orders', 'o_orderkey, o_orderdate', (chr(39) + '42' + chr(39), chr(39) + 'orders' + chr(39), chr(39) + '__churn__' + chr(39), 'o_orderkey::VARCHAR'))})")
-def churn_times(spark, sf_dir):
-    life = D.exponential(stream(SEED, "orders", "__churn__", F.col("o_orderkey").cast("string")), 0.05) * (86_400_000 * 30.436875)
-    gone = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + life
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(gone < 1009843200000, F.floor(gone)).alias("left_ms"))
-
-
 @query("seasonal_revenue", "SELECT month(o_orderdate)::INT AS month, count(*) AS n, round(sum(CASE month(o_orderdate) WHEN 1 THEN 0.7 WHEN 2 THEN 0.85 WHEN 10 THEN 0.8 WHEN 11 THEN 1.8 WHEN 12 THEN 2.0 ELSE 1.0 END), 4) AS weight FROM orders GROUP BY 1")
 def seasonal_revenue(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return orders.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum(seasonal_weight(F.col("o_orderdate"))), 4).alias("weight"))
 
 
-@query("null_injection", "SELECT c_custkey, CASE WHEN u1 >= 0.15 THEN c_name END AS c_name FROM " + sql.draws("customer", "c_custkey, c_name", ("'42'", "'customer'", "'__nullable__'", "'c_name'", "c_custkey::VARCHAR")))
+# The engine: a small plan with as many rows as the tables have, made by the generator; the SQL is written apart from it.
+
+
+def engine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the plan: customers (personas, a timeline, churn, nulls, rows that are set, a reference to another customer), orders
+    (fan-out with cascades and churn), parts, suppliers, and the pairs of parts and suppliers."""
+    c = Column
+    schema = Schema.of(
+        Table("customer", (c("id", "integer", primary=True), c("score", "integer", nullable=True), c("tier", "string"), c("referrer", "integer", nullable=True), c("created_at", "timestamp"), c("deleted_at", "timestamp", nullable=True)), ("id",), (ForeignKey(("referrer",), "customer", ("id",)),)),
+        Table("orders", (c("id", "integer", primary=True), c("customer_id", "integer")), ("id",), (ForeignKey(("customer_id",), "customer", ("id",)),)),
+        Table("part", (c("id", "integer", primary=True),), ("id",)),
+        Table("supplier", (c("id", "integer", primary=True), c("nation_id", "integer")), ("id",), (ForeignKey(("nation_id",), "nation", ("id",)),)),
+        Table("nation", (c("id", "integer", primary=True),), ("id",)),
+        Table("part_supplier", (c("part_id", "integer"), c("supplier_id", "integer")), ("part_id", "supplier_id"), (ForeignKey(("part_id",), "part", ("id",)), ForeignKey(("supplier_id",), "supplier", ("id",)))),
+    )
+    rows = {n: table(spark, sf_dir, n).count() for n in {"customer": ("customer", "orders"), "orders": ("customer", "orders"), "supplier": ("supplier", "nation"), "part_supplier": ("part", "supplier", "nation")}[name] if n != "orders"}
+    number = {"id": Field("row-number")}
+    big = Persona("big", 0.2, {"tier": "gold"}, {"orders": 3.0})
+    plans = [
+        TablePlan("customer", rows.get("customer"), number | {"score": Field("row-number", null_probability=0.15), "tier": Field("constant", {"value": "plain"})}, personas=(big, Persona("small", 0.8)), timeline=Timeline(TIME[0], TIME[1], jitter=0.02), churn_rate=0.05, rows=({"tier": "FIRST"}, {"tier": "SECOND", "score": -1})),
+        TablePlan("orders", 0, number, count_per_parent={"kind": "uniformInt", "min": 1, "max": 5}),
+        TablePlan("part", rows.get("part"), number),
+        TablePlan("supplier", rows.get("supplier"), number),
+        TablePlan("nation", rows.get("nation"), number),
+        TablePlan("part_supplier", 0, {}),
+    ]
+    return generate_tables(spark, Plan(schema, {t.table: t for t in plans}, SEED), [name])[name]
+
+
+TIME = (1704067200000, 1735689600000)
+MONTH = 86_400_000 * 30.436875
+PARENTS = ("'42'", "'orders'", "'__parent__'", "'customer'", "i::VARCHAR")
+#: Customers by row number i, with the share q of the time at which they came and when they left.
+CUSTOMERS = "(SELECT c_custkey AS i, (SELECT count(*) FROM customer) AS n FROM customer)"
+CAME = f"(SELECT i, n, floor({TIME[0]}.0 + greatest(0, least(1, i / (n - 1)::DOUBLE + (u1 - 0.5) * 0.02)) * {float(TIME[1] - TIME[0])!r})::BIGINT AS came FROM {sql.draws(CUSTOMERS, 'i, n', (chr(39) + '42' + chr(39), chr(39) + 'customer' + chr(39), chr(39) + '__timeline__' + chr(39), 'i::VARCHAR'))})"
+LEFT = f"(SELECT i, n, came, CASE WHEN gone < {TIME[1]} THEN floor(gone)::BIGINT END AS gone FROM (SELECT i, n, came, came + -ln(greatest(1 - u1, 1e-16)) / 0.05 * {MONTH!r}::DOUBLE AS gone FROM {sql.draws(CAME, 'i, n, came', (chr(39) + '42' + chr(39), chr(39) + 'customer' + chr(39), chr(39) + '__churn__' + chr(39), 'i::VARCHAR'))}))"
+BIG = f"(SELECT i, u1 < 0.2 AS big FROM {sql.draws(CUSTOMERS, 'i', (chr(39) + '42' + chr(39), chr(39) + 'customer' + chr(39), chr(39) + '__persona__' + chr(39), 'i::VARCHAR'))})"
+
+
+@query("churn_times", f"SELECT i + 1 AS id, came AS came_ms, gone AS left_ms FROM {LEFT}")
+def churn_times(spark, sf_dir):
+    made = engine(spark, sf_dir, "customer")
+    return made.select(F.col("id").cast("long").alias("id"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("came_ms"), F.unix_millis(F.col("deleted_at").cast("timestamp")).alias("left_ms"))
+
+
+@query("null_injection", "SELECT i + 1 AS id, CASE WHEN i = 1 THEN -1 WHEN u1 >= 0.15 THEN i + 1 END AS score FROM " + sql.draws(CUSTOMERS, "i", ("'42'", "'customer'", "'__nullable__'", "'score'", "i::VARCHAR")))
 def null_injection(spark, sf_dir):
-    u = uniform(stream(SEED, "customer", "__nullable__", "c_name", F.col("c_custkey").cast("string")))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(u >= 0.15, F.col("c_name")).alias("c_name"))
+    return engine(spark, sf_dir, "customer").select(F.col("id").cast("long").alias("id"), F.col("score").cast("long").alias("score"))
 
 
-@query("row_overrides", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'FIRST' WHEN 1 THEN 'SECOND' ELSE r_name END AS r_name FROM region")
+@query("row_overrides", f"SELECT i + 1 AS id, CASE WHEN i = 0 THEN 'FIRST' WHEN i = 1 THEN 'SECOND' WHEN big THEN 'gold' ELSE 'plain' END AS tier FROM {BIG}")
 def row_overrides(spark, sf_dir):
+    return engine(spark, sf_dir, "customer").select(F.col("id").cast("long").alias("id"), "tier")
+
+
+@query("row_patches", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'FIRST' WHEN 1 THEN 'SECOND' ELSE r_name END AS r_name FROM region")
+def row_patches(spark, sf_dir):
     fixed = spark.createDataFrame([(0, "FIRST"), (1, "SECOND")], "r_regionkey int, r_name string")
     return stores.patch(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), fixed, "r_regionkey")
 
 
-@query("self_reference", "SELECT i AS c_row, (i + 1 + floor(u1 * (n - 1))::BIGINT) % n AS other FROM (SELECT c_custkey AS i, u1, (SELECT count(*) FROM customer) AS n FROM " + sql.draws("customer", "c_custkey", ("'42'", "'customer'", "'__selfref__'", "c_custkey::VARCHAR")) + ")")
+@query("self_reference", "SELECT i + 1 AS id, (i + 1 + floor(u1 * (n - 1))::BIGINT) % n + 1 AS referrer FROM " + sql.draws(CUSTOMERS, "i, n", ("'42'", "'customer'", "'__selfref__'", "i::VARCHAR")))
 def self_reference(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer")
-    n, row = customers.count(), F.col("c_custkey")
-    step = F.floor(uniform(stream(SEED, "customer", "__selfref__", row.cast("string"))) * float(n - 1))
-    return customers.select(row.alias("c_row"), F.pmod(row + 1 + step, F.lit(n)).alias("other"))
+    return engine(spark, sf_dir, "customer").select(F.col("id").cast("long").alias("id"), F.col("referrer").cast("long").alias("referrer"))
+
+
+@query("fanout_personas", f"SELECT i + 1 AS customer_id, CASE WHEN gone IS NULL THEN k ELSE greatest(1, floor(k * least(1.0, (gone - came) / greatest({TIME[1]} - came, 1)::DOUBLE) + 0.5)) END::BIGINT AS n FROM (SELECT i, floor((floor(u1 * 5) + 1) * CASE WHEN big THEN 3.0 ELSE 1.0 END + 0.5) AS k FROM {sql.draws(CUSTOMERS, 'i', PARENTS)} JOIN {BIG} USING (i)) JOIN {LEFT} USING (i)")
+def fanout_personas(spark, sf_dir):
+    """Orders of each customer: the persona's factor, tapered by churn."""
+    return engine(spark, sf_dir, "orders").groupBy(F.col("customer_id").cast("long").alias("customer_id")).agg(F.count("*").alias("n"))
+
+
+STRIDE = f"(SELECT min(x) FROM (SELECT unnest(range(1, 2 * (SELECT count(*) FROM supplier) + 2)) AS x) WHERE x >= 1 + floor({number(SEED, 'part_supplier', '__stride__')!r}::DOUBLE * (SELECT count(*) FROM supplier)) AND gcd(x, (SELECT count(*) FROM supplier)) = 1)"
+PARTS = "(SELECT p_partkey AS p, (SELECT count(*) FROM supplier) AS size FROM part)"
+
+
+@query("junction_pairs", f"SELECT p + 1 AS part_id, (start + k * {STRIDE}) % size + 1 AS supplier_id FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT a.p, a.size, least(floor(a.u1 * 5)::BIGINT + 1, a.size) AS n, floor(b.u1 * a.size)::BIGINT AS start FROM {sql.draws(PARTS, 'p, size', (chr(39) + '42' + chr(39), chr(39) + 'part_supplier' + chr(39), chr(39) + '__parent__' + chr(39), chr(39) + 'part' + chr(39), 'p::VARCHAR'))} a JOIN {sql.draws(PARTS, 'p', (chr(39) + '42' + chr(39), chr(39) + 'part_supplier' + chr(39), chr(39) + '__junction__' + chr(39), 'p::VARCHAR'))} b USING (p)))")
+def junction_pairs(spark, sf_dir):
+    """Pairs without repetition: for each part, steps of a stride that shares no factor with the number of suppliers."""
+    return engine(spark, sf_dir, "part_supplier").select(F.col("part_id").cast("long").alias("part_id"), F.col("supplier_id").cast("long").alias("supplier_id"))
+
+
+@query("engine_fk_pick", "SELECT r + 1 AS id, floor(u1 * (SELECT count(*) FROM nation))::BIGINT + 1 AS nation_id FROM " + sql.draws("(SELECT s_suppkey AS r FROM supplier)", "r", ("'42'", "'supplier'", "'__parent__'", "'nation'", "r::VARCHAR")))
+def engine_fk_pick(spark, sf_dir):
+    """A reference computed from the parent's row number, without a join."""
+    return engine(spark, sf_dir, "supplier").select(F.col("id").cast("long").alias("id"), F.col("nation_id").cast("long").alias("nation_id"))
 
 
 @query("unique_conflicts", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
@@ -209,11 +252,10 @@ def unique_conflicts(spark, sf_dir):
 
 @query("generated_shop")
 def generated_shop(spark, sf_dir):
-    """Row counts, orphans and repeated keys of a generated shop of six tables."""
+    """Row counts, orphans and repeated keys of a generated shop of six tables, as large as the tables of the folder."""
     from weftline.plans.shop import shop_plan
-    from weftline.operators.generate import generate_tables
 
-    plan = shop_plan(600, 300, 180)
+    plan = shop_plan(*(table(spark, sf_dir, n).count() for n in ("customer", "part", "supplier")))
     made = generate_tables(spark, plan)
     report = quality.reference_report(made, plan.schema).groupBy("child").agg(F.sum("n_orphans").alias("orphans"))
     keys = quality.union_all([quality.key_violations(made[n], list(t.primary_key)).agg(F.count("*").alias("repeated")).withColumn("table", F.lit(n)) for n, t in plan.schema.tables.items()])
@@ -344,7 +386,7 @@ def anonymize_customer(spark, sf_dir):
 @query("progress_rows", "SELECT event_id, event_type, sum(1) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS written FROM events")
 def progress_rows(spark, sf_dir):
     batches = table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(1).cast("long").alias("rows"))
-    return stores.running_rows(batches, ["event_id"], "event_type").select("event_id", "event_type", "written")
+    return stores.running_rows(batches, "event_id", "event_type").select("event_id", "event_type", "written")
 
 
 @query("upsert_customers", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment FROM customer")

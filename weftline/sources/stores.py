@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -32,9 +33,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Schema, path: str, mode: str = "fresh", kind: str = "parquet", **options) -> dict[str, int]:
     """Writes each table under path, parents first, and returns how many rows each got.
 
-    fresh: an error, before anything is written, if any table has rows; truncate: what is there goes, children first;
-    append: adds. A table's files appear as a whole when its write commits. Counts come with the write, not from another
-    pass."""
+    fresh: an error, before anything is written, if any table has rows; truncate: what is there is replaced; append: adds.
+    fresh and truncate give all tables or none: they are written to a folder beside, which takes the old one's place, table by
+    table, when all of them are whole; if anything fails, the old tables stand as before. append adds to a table as a whole when
+    its write commits. Counts come with the write, not from another pass."""
     if mode not in ("fresh", "truncate", "append") or kind not in FORMATS:
         raise ValueError(f"no mode {mode!r} or format {kind!r}")
     order = [n for n in build(schema).order if n in tables] + [n for n in tables if n not in schema.tables]
@@ -43,16 +45,30 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Sche
         for n in there:
             if count := spark.read.format(kind).load(f"{path}/{n}").count():
                 raise WriteError(f"{n} has {count} rows; use truncate or append")
-    if mode in ("truncate", "fresh"):
-        for n in reversed(there):
-            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    counts = {}
-    for n in order:
-        seen = Observation(f"rows of {n}")
-        df = tables[n].observe(seen, F.count(F.lit(1)).alias("n"))
-        (encoded(df) if kind == "csv" else df).write.format(kind).options(**options).mode("append").save(f"{path}/{n}")
-        counts[n] = seen.get["n"]
+    counts, fs = {}, spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    beside = f"{path}/.writing-{uuid.uuid4().hex}"
+    target = path if mode == "append" else f"{beside}/new"
+    moved: list[tuple[str, str]] = []
+    try:
+        for n in order:
+            seen = Observation(f"rows of {n}")
+            df = tables[n].observe(seen, F.count(F.lit(1)).alias("n"))
+            (encoded(df) if kind == "csv" else df).write.format(kind).options(**options).mode("append").save(f"{target}/{n}")
+            counts[n] = seen.get["n"]
+        if mode != "append":
+            fs.mkdirs(at(f"{beside}/old"))
+            for n in order:
+                for a, b in ([(f"{path}/{n}", f"{beside}/old/{n}")] if n in there else []) + [(f"{target}/{n}", f"{path}/{n}")]:
+                    if not fs.rename(at(a), at(b)):
+                        raise WriteError(f"{a} could not be moved to {b}")
+                    moved.append((a, b))
+    except BaseException:
+        for a, b in reversed(moved):
+            fs.rename(at(b), at(a))
+        raise
+    finally:
+        fs.delete(at(beside), True)
     return counts
 
 
@@ -76,9 +92,21 @@ def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in base.columns])
 
 
-def running_rows(batches: DataFrame, order: list[str], table: str = "table", rows: str = "rows") -> DataFrame:
-    """Progress: the rows written of each table after each batch."""
-    return batches.withColumn("written", F.sum(rows).over(Window.partitionBy(table).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+#: Values of the order column whose rows share a running sum.
+BLOCK = 1 << 14
+
+
+def running_rows(batches: DataFrame, order: str, table: str = "table", rows: str = "rows") -> DataFrame:
+    """Progress: the rows written of each table after each batch; order is the number of a batch.
+
+    Sums by table and block of numbers are few and taken before the shuffle; a block starts with the sum of those before it, and
+    only within a block is a running sum taken. So a table with very many batches is no one task's work."""
+    blocked = batches.withColumn("__block", F.floor(F.col(order) / BLOCK))
+    sums = blocked.groupBy(F.col(table).alias("__of"), F.col("__block").alias("__at")).agg(F.sum(rows).alias("__sum"))
+    starts = sums.withColumn("__from", F.sum("__sum").over(Window.partitionBy("__of").orderBy("__at")) - F.col("__sum"))
+    within = Window.partitionBy(table, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocked.join(starts, F.col(table).eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__at")))
+    return placed.withColumn("written", F.col("__from") + F.sum(rows).over(within)).drop("__block", "__of", "__at", "__sum", "__from")
 
 
 @dataclass(frozen=True)
