@@ -27,7 +27,7 @@ REPLACEMENT = b"\xef\xbf\xbd"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes of a task's table of words already merged, about 200 for an entry beside its own; it is emptied when full. Longer words
 #: than LONG are merged anew each time.
-WORDS_BYTES, LONG = 150_000_000, 1000
+WORDS_BYTES, LONG = 60_000_000, 1000
 
 
 class CharacterMap:
