@@ -14,7 +14,7 @@ from weftline.plans.semantic import analyze
 
 # Meanings of columns that say something about a person, and hints at a database in production.
 SENSITIVE = {"email", "phone", "firstName", "lastName", "fullName", "street", "city", "state", "zip", "country", "ip", "url", "image", "longText", "latitude", "longitude"}
-PRODUCTION = [r"prod", r"\blive\b", r"rds\.amazonaws", r"\.azure\.", r"cloudsql"]
+PRODUCTION = [r"(?<![a-z])prod(uction)?(?![a-z])", r"\blive\b", r"rds\.amazonaws", r"\.azure\.", r"cloudsql"]
 
 
 def looks_like_production(address: str) -> bool:
@@ -38,6 +38,10 @@ def anonymize(df: DataFrame, replace: dict[str, str], seed: int, reference_ms: i
     return df.withColumns({c: new(c, k) for c, k in replace.items()})
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in the order of a hash of key and seed: the same rows whenever it runs, by a top-n of each task."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)
+def sample(df: DataFrame, key: str | list[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows in the order of a hash of key and seed: the same rows whenever it runs, by a top-n of each task. A key of several
+    columns may hold nulls, structs, maps and arrays."""
+    kinds = dict(df.dtypes)
+    texts = [F.to_json(c) if kinds[c].startswith(("struct", "map", "array")) else F.col(c).cast("string") for c in ([key] if isinstance(key, str) else key)]
+    ties = [F.col(key)] if isinstance(key, str) else texts
+    return df.orderBy(F.md5(F.concat_ws(":", *texts, F.lit(str(seed)))), *ties).limit(n)

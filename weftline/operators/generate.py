@@ -8,6 +8,7 @@ no key is shuffled or collected. Only fan-out, whose children are numbered in se
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from weftline.functions import distributions as D
 from weftline.functions.generators import Context, generate
 from weftline.functions.rng import SEP, fold_text, number, stream, uniform
 from weftline.plans.graph import build
+from weftline.plans.hooks import through
 from weftline.plans.model import Field, Plan, Table, TablePlan, Timeline
 
 ROW, OWN = "__row", "__own"
@@ -25,6 +27,7 @@ ROW, OWN = "__row", "__own"
 BLOCK = 1 << 16
 MONTH_MS = 86_400_000 * 30.436875
 TRIES = 50
+# Shares of nulls by logical type, for the null probability "by type"; 0.15 for the others.
 DEFAULT_NULLS = {"boolean": 0.05, "string": 0.15, "float": 0.1, "integer": 0.1, "timestamp": 0.05, "date": 0.05, "uuid": 0.02}
 CHURNED = ("deactivated_at", "deleted_at", "deactivatedAt", "deletedAt")
 CREATED = ("created_at", "createdAt")
@@ -205,7 +208,7 @@ class Generator:
             f = t.fields.get(c.name)
             p = f.null_probability if f and f.null_probability else 0.0
             if c.nullable and c.name in out.columns and not p and self.plan.null_probability and f and f.source != "config":
-                p = self.plan.null_probability
+                p = DEFAULT_NULLS.get(c.type, 0.15) if self.plan.null_probability == "by type" else self.plan.null_probability
             if c.name not in out.columns:
                 blank[c.name] = F.lit(None).cast(c.spark_type)
             elif p > 0:
@@ -308,15 +311,31 @@ def inverse_growth(line: Timeline, q: Column) -> Column:
     if not months > 0:
         raise ValueError("a timeline must end after it starts")
     if line.growth == "linear":
-        return q
+        g = line.total_growth
+        return q if g == 1 else (F.sqrt(1 + (g * g - 1) * q) - 1) / (g - 1)
     if line.growth == "compound":
         k = math.log1p(line.rate) * months
         return q if k == 0 else F.log(1 + q * (math.exp(k) - 1)) / k
     if line.growth == "scurve":
-        k = 10 * line.rate if line.rate else 5.0
-        low, high = 1 / (1 + math.exp(k / 2)), 1 / (1 + math.exp(-k / 2))
+        k, low, high = line.curve
         p = F.lit(low) + q * (high - low)
-        return F.least(F.greatest(0.5 - F.log(1 / p - 1) / k, F.lit(0.0)), F.lit(1.0))
+        return F.least(F.greatest(line.inflection - F.log(1 / p - 1) / k, F.lit(0.0)), F.lit(1.0))
+    raise ValueError(f"unknown growth {line.growth!r}")
+
+
+def growth(line: Timeline, at: Column) -> Column:
+    """The share of its total that growth has reached at a share of the time span; inverse_growth turned round."""
+    t = F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0))
+    months = (line.end_ms - line.start_ms) / MONTH_MS
+    if line.growth == "linear":
+        g = line.total_growth
+        return (2 * t + (g - 1) * t * t) / (g + 1)
+    if line.growth == "compound":
+        k = math.log1p(line.rate) * months
+        return t if k == 0 else (F.exp(t * k) - 1) / (math.exp(k) - 1)
+    if line.growth == "scurve":
+        k, low, high = line.curve
+        return (1 / (1 + F.exp((line.inflection - t) * k)) - low) / (high - low)
     raise ValueError(f"unknown growth {line.growth!r}")
 
 
@@ -324,15 +343,19 @@ def inverse_growth(line: Timeline, q: Column) -> Column:
 SEASON = {1: 0.7, 2: 0.85, 10: 0.8, 11: 1.8, 12: 2.0}
 
 
-def seasonal_weight(time: Column) -> Column:
+def seasonal_weight(time: Column, weight: Callable[[Column], Column] | None = None) -> Column:
+    """The weight of a time by the year's weights, or by a function of the time; 1 where that gives null."""
+    if weight:
+        return F.coalesce(weight(time).cast("double"), F.lit(1.0))
     month, out = F.month(time), F.lit(1.0)
     for m, w in SEASON.items():
         out = F.when(month == m, F.lit(w)).otherwise(out)
     return out
 
 
-def generate_tables(spark: SparkSession, plan: Plan, tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """The plan's tables; with tables, those and whatever they refer to."""
+def generate_tables(spark: SparkSession, plan: Plan, tables: list[str] | None = None, plugins: Sequence = ()) -> dict[str, DataFrame]:
+    """The plan's tables; with tables, those and whatever they refer to. Plugins see the plan before and the tables after."""
+    plan = through(plugins, "before_generate", plan)
     if tables is not None:
         wanted, todo = set(), list(tables)
         while todo:
@@ -340,7 +363,7 @@ def generate_tables(spark: SparkSession, plan: Plan, tables: list[str] | None =
                 wanted.add(name)
                 todo += [fk.table for fk in plan.schema.tables[name].foreign_keys]
         plan = Plan(plan.schema, {n: t for n, t in plan.tables.items() if n in wanted}, plan.seed, plan.reference_ms, plan.null_probability)
-    return Generator(spark, plan).run()
+    return through(plugins, "after_generate", Generator(spark, plan).run())
 
 
 def preview(spark: SparkSession, plan: Plan, n: int) -> dict[str, DataFrame]:

@@ -94,18 +94,22 @@ def build_plan(schema: Schema, config: dict | None = None, least: float = 0.6) -
             elif not c.nullable:
                 issues.append(f"{name}.{c.name}: no generator for a column that may not be null")
         personas = tuple(Persona(p["name"], p["weight"], p.get("overrides", {}), p.get("cascades", {})) for p in own.get("personas", ()))
-        line = own.get("timeline")
-        plans[name] = TablePlan(name, own.get("count", 10), fields, own.get("parent"), own.get("countPerParent"), personas, Timeline(**line) if line else None, own.get("churnRate"), tuple(own.get("rows", ())))
+        line = Timeline(**own["timeline"]) if own.get("timeline") else None
+        count = own.get("count", 10)
+        if count == "timeline" and not line:
+            issues.append(f"{name}: a count by a timeline that there is not")
+        count = line.rows if line and count == "timeline" else count
+        plans[name] = TablePlan(name, count, fields, own.get("parent"), own.get("countPerParent"), personas, line, own.get("churnRate"), tuple(own.get("rows", ())))
     if issues:
         raise PlanError(issues)
     return Plan(schema, plans, config.get("seed", 42), config.get("referenceMs", 1_720_000_000_000), config.get("nullProbability"))
 
 
-def with_unresolved(plan: Plan, fields: dict[tuple[str, str], Field]) -> Plan:
-    """The plan with fields added that it does not have."""
-    tables = dict(plan.tables)
+def with_unresolved(plan: Plan, fields: dict[tuple[str, str], Field], opted_in: Iterable[str] = ()) -> Plan:
+    """The plan with fields added that it does not have; of the tables opted in, if any are named."""
+    tables, opted_in = dict(plan.tables), set(opted_in)
     for (t, c), f in fields.items():
-        if c not in tables[t].fields:
+        if c not in tables[t].fields and (not opted_in or t in opted_in):
             tables[t] = replace(tables[t], fields={**tables[t].fields, c: f})
     return replace(plan, tables=tables)
 

@@ -65,6 +65,13 @@ def describe(rows: list) -> str:
     return "\n".join(f"{sign(r['change'])} {r['table']}{'.' + (r['column'] or '') if r['column'] else ''}: {r['change']}" + (f" ({r['was']} -> {r['now']})" if sign(r["change"]) == "~" else "") for r in rows)
 
 
+def annotations(rows: list, file: str = "weftline.json") -> str:
+    """The differences as errors that a build service shows beside the file."""
+    # What the service's syntax gives another meaning, and how it is written instead.
+    escape = lambda s: s.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    return "\n".join(f"::error file={file},line=1,title=Schema drift: {r['change']}::{escape(describe([r]))}" for r in rows)
+
+
 @dataclass(frozen=True)
 class Drift:
     proceed: bool

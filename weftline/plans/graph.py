@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.plans.model import Schema, Table
 
@@ -114,11 +115,64 @@ def target_of(column: str, tables: list[str]) -> str | None:
     return next((names[n] for n in (stem, plural(stem), stem.removesuffix("s")) if n in names), None)
 
 
+def leaves(shape: T.DataType, at: str = "") -> list[str]:
+    """The paths of all fields, [] behind an array of objects; a {"$oid"} or {"$date"} is one value."""
+    if isinstance(shape, T.ArrayType) and isinstance(shape.elementType, T.StructType):
+        return leaves(shape.elementType, f"{at}[]")
+    if isinstance(shape, T.StructType) and not wrapped(shape):
+        return [x for f in shape.fields for x in leaves(f.dataType, f"{at}.{f.name}" if at else f.name)]
+    return [at]
+
+
+def wrapped(shape: T.DataType) -> bool:
+    return isinstance(shape, T.StructType) and shape.names in (["$oid"], ["$date"])
+
+
+def at_path(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
+    """The value at a dotted path and its type. Behind an array it is the array of all values; a column whose name is the whole
+    path comes first."""
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    if path in df.columns:
+        return unwrap(quoted(path), df.schema[path].dataType)
+    first, *rest = path.replace("[]", "").split(".")
+    value, kind = quoted(first), df.schema[first].dataType
+    for part in rest:
+        many = isinstance(kind, T.ArrayType)
+        inner = (kind.elementType if many else kind)[part].dataType
+        value = value.getField(part)
+        value, kind = (F.flatten(F.array_compact(value)), inner) if many and isinstance(inner, T.ArrayType) else (value, T.ArrayType(inner) if many else inner)
+    return unwrap(value, kind)
+
+
+def unwrap(value: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if not wrapped(inner):
+        return value, kind
+    plain = inner.fields[0].dataType
+    return value.getField(inner.names[0]), T.ArrayType(plain) if isinstance(kind, T.ArrayType) else plain
+
+
+def distinct_at(df: DataFrame, path: str) -> tuple[DataFrame, T.DataType]:
+    """The distinct values at a path as column v, without null, and their type; an array stands for its elements, an object for its
+    JSON text."""
+    value, kind = at_path(df, path)
+    if isinstance(kind, T.ArrayType):
+        value, kind = F.explode(value), kind.elementType
+    out = df.select(value.alias("v"))
+    if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+        out, kind = out.select(F.to_json("v").alias("v")), T.StringType()
+    return out.filter("v is not null").distinct(), kind
+
+
 def inclusion(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """(n_distinct, n_found, ratio): how many of the child's distinct values the parent's key has. Both sides are made
-    distinct before they meet, so a value that very many rows share is one row."""
-    values = child.select(F.col(column).alias("v")).filter("v is not null").distinct()
-    keys = parent.select(F.col(key).alias("k")).filter("k is not null").distinct()
+    distinct before they meet, so a value that very many rows share is one row. Both may be paths into objects and arrays; values
+    of different types are compared as texts."""
+    values, a = distinct_at(child, column)
+    keys, b = distinct_at(parent, key)
+    if a != b and not all(isinstance(x, T.NumericType) for x in (a, b)):
+        values, keys = (df.select(F.col("v").cast("string").alias("v")) for df in (values, keys))
+    keys = keys.withColumnRenamed("v", "k")
     joined = values.join(keys, values.v == keys.k, "left").agg(F.count("*").alias("n_distinct"), F.count("k").alias("n_found"))
     return joined.withColumn("ratio", F.when(F.col("n_distinct") > 0, F.col("n_found") / F.col("n_distinct")))
 
@@ -128,7 +182,7 @@ def inferred_keys(tables: dict[str, DataFrame], keys: dict[str, str], least: flo
     in its key to the share least or more."""
     out = None
     for name, df in tables.items():
-        for column in df.columns:
+        for column in leaves(df.schema):
             parent = target_of(column, [t for t in tables if t in keys])
             if parent and (parent, keys[parent]) != (name, column):
                 one = inclusion(df, column, tables[parent], keys[parent]).select(F.lit(name).alias("child"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), F.lit(keys[parent]).alias("key"), "n_distinct", "n_found", "ratio")

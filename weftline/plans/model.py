@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
@@ -145,13 +146,32 @@ class Persona:
 
 @dataclass(frozen=True)
 class Timeline:
-    """Row i of n falls where growth has reached the share i / (n - 1) of its total between start and end, in milliseconds."""
+    """Row i of n falls where growth has reached the share i / (n - 1) of its total between start and end, in milliseconds.
+
+    compound grows by rate a month; linear ends at total_growth times the rows a month that it starts with; scurve is steepest at
+    inflection, a share of the time, with steepness (10 * rate where none is given)."""
 
     start_ms: int
     end_ms: int
     growth: str = "linear"
     rate: float = 0.1
     jitter: float = 0.01
+    total_growth: float = 1.0
+    steepness: float | None = None
+    inflection: float = 0.5
+
+    @property
+    def curve(self) -> tuple[float, float, float]:
+        """Of an scurve: its steepness, and the logistic function at start and end."""
+        k = self.steepness or 10 * self.rate or 5.0
+        return k, 1 / (1 + math.exp(k * self.inflection)), 1 / (1 + math.exp(k * (self.inflection - 1)))
+
+    @property
+    def rows(self) -> int:
+        """How many rows the growth gives that starts with one a month."""
+        months = math.ceil((self.end_ms - self.start_ms) / (86_400_000 * 30.436875))
+        total = {"compound": sum((1 + self.rate) ** m for m in range(months)), "linear": (1 + self.total_growth) / 2 * months, "scurve": months}[self.growth]
+        return max(1, int(total + 0.5))
 
 
 @dataclass(frozen=True)
@@ -173,7 +193,8 @@ class Plan:
     tables: dict[str, TablePlan]
     seed: int = 42
     reference_ms: int = 1_720_000_000_000
-    null_probability: float | None = None
+    #: For inferred columns that may be null: a share, or "by type".
+    null_probability: float | str | None = None
 
     def scaled(self, total: int, target: str | None = None) -> Plan:
         """Numeric counts scaled so that they sum to total, one row at least; target limits it to one table."""

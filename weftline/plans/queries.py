@@ -10,7 +10,7 @@ from weftline.functions import words
 from weftline.functions.generators import Context, generate, pick
 from weftline.functions.rng import number, stream, uniform
 from weftline.operators import anonymize, quality
-from weftline.operators.generate import Generator, generate_tables, inverse_growth, seasonal_weight
+from weftline.operators.generate import Generator, generate_tables, growth, inverse_growth, seasonal_weight
 from weftline.plans import drift, graph, sql
 from weftline.plans.build import as_field, build_plan, preflight
 from weftline.plans.model import Check, Column, Field, ForeignKey, Persona, Plan, Schema, Table, TablePlan, Timeline
@@ -146,11 +146,27 @@ MONTHS = (1735689600000 - 1704067200000) / (86_400_000 * 30.436875)
 def timeline_growth(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     n = orders.count()
-    line = lambda growth, rate: Timeline(1704067200000, 1735689600000, growth, rate)
+    line = lambda kind, rate: Timeline(1704067200000, 1735689600000, kind, rate)
     q = F.col("o_orderkey") / float(n - 1)  # order keys are dense from 0
     return orders.select("o_orderkey", F.round(inverse_growth(line("linear", 0), q), 6).alias("linear"), F.round(inverse_growth(line("compound", 0.15), q), 6).alias("compound"), F.round(inverse_growth(line("scurve", 0.6), q), 6).alias("scurve"))
 
 
+@query("timeline_models", "SELECT o_orderkey, round((sqrt(1 + 8 * q) - 1) / 2, 6) AS tripled, round(least(greatest(0.3 - ln(1 / (lo + q * (hi - lo)) - 1) / 8.0, 0), 1), 6) AS early, round((2 * q + 2 * q * q) / 4, 6) AS grown FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) / ((SELECT count(*) FROM orders) - 1)::DOUBLE AS q, 1 / (1 + exp(8 * 0.3::DOUBLE)) AS lo, 1 / (1 + exp(8 * -0.7::DOUBLE)) AS hi FROM orders)")
+def timeline_models(spark, sf_dir):
+    """Linear growth to three times the start, an early scurve, and how far the first has come at a share of the time."""
+    orders = table(spark, sf_dir, "orders")
+    line = lambda kind, **more: Timeline(1704067200000, 1735689600000, kind, **more)
+    q = F.col("o_orderkey") / float(orders.count() - 1)  # order keys are dense from 0
+    return orders.select("o_orderkey", F.round(inverse_growth(line("linear", total_growth=3), q), 6).alias("tripled"), F.round(inverse_growth(line("scurve", steepness=8, inflection=0.3), q), 6).alias("early"), F.round(growth(line("linear", total_growth=3), q), 6).alias("grown"))
+
+
+@query("infer_nested", "SELECT count(DISTINCT l_partkey) AS n_distinct, count(DISTINCT p_partkey) AS n_found, count(DISTINCT p_partkey) / count(DISTINCT l_partkey)::DOUBLE AS ratio FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def infer_nested(spark, sf_dir):
+    """Inclusion of a reference that lies in objects of an array: the parts of orders that hold their items."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.struct(F.col("l_partkey").alias("key")).alias("part"))).alias("items"))
+    return graph.inclusion(orders, "items[].part.key", table(spark, sf_dir, "part"), "p_partkey")
+
+
 @query("seasonal_revenue", "SELECT month(o_orderdate)::INT AS month, count(*) AS n, round(sum(CASE month(o_orderdate) WHEN 1 THEN 0.7 WHEN 2 THEN 0.85 WHEN 10 THEN 0.8 WHEN 11 THEN 1.8 WHEN 12 THEN 2.0 ELSE 1.0 END), 4) AS weight FROM orders GROUP BY 1")
 def seasonal_revenue(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

@@ -110,9 +110,20 @@ def time_rule(c: Column, t: Table, s: Schema) -> Guess | None:
 def place_rule(c: Column, t: Table, s: Schema) -> Guess | None:
     if c.type != "float":
         return None
-    if re.fullmatch(r"(.*_)?lat(itude)?", c.name, re.I):
-        return ("latitude", 0.95, "lat-lng-pair", {"axis": "lat"})
-    return ("longitude", 0.95, "lat-lng-pair", {"axis": "lng"}) if re.fullmatch(r"(.*_)?(lng|lon|longitude)", c.name, re.I) else None
+    place = lambda name: (m[1] or "", "lat" if m[2] else "lng") if (m := re.fullmatch(r"(.*_)?(?:(lat(?:itude)?)|lng|lon|longitude)", name, re.I)) else None
+    own = place(c.name)
+    if not own:
+        return None
+    prefix, axis = own
+    other = next((x.name for x in t.columns if x.type == "float" and place(x.name) == (prefix, "lng" if axis == "lat" else "lat")), None)
+    return ("latitude" if axis == "lat" else "longitude", 0.95 if other else 0.85, "lat-lng-pair", {"axis": axis} | ({"pair": other} if other else {}))
+
+
+NAMED_IP = named(r"ip_address|ipv4|ipv6|^ip$", TEXT, "ip", 0.95, "ip")
+
+
+def ip_rule(c: Column, t: Table, s: Schema) -> Guess | None:
+    return NAMED_IP(c, t, s) or (("ip", 0.9, "ip", {}) if c.native.lower() in ("inet", "cidr") else None)
 
 
 def slug_rule(c: Column, t: Table, s: Schema) -> Guess | None:
@@ -135,6 +146,7 @@ def rating_rule(c: Column, t: Table, s: Schema) -> Guess | None:
     return ("rating", 0.85, "bounded-integer", bounds(t, c.name) or {"min": 1, "max": 5})
 
 
+# Priorities, name patterns, confidences and what they stand for.
 #: The rules by priority.
 RULES: list[tuple[int, Callable[[Column, Table, Schema], Guess | None]]] = [
     (100, enum_rule),
@@ -155,7 +167,7 @@ RULES: list[tuple[int, Callable[[Column, Table, Schema], Guess | None]]] = [
     (79, named(r"zip|postal", TEXT, "zip", 0.95, "zip")),
     (79, named(r"country", TEXT, "country", 0.95, "country")),
     (78, named(r"url|website|domain|link|href", TEXT, "url", 0.95, "url")),
-    (77, named(r"ip_address|ipv4|ipv6|^ip$", TEXT, "ip", 0.95, "ip")),
+    (77, ip_rule),
     (76, place_rule),
     (75, slug_rule),
     (74, named(r"avatar|photo|image|picture|thumbnail", TEXT, "image", 0.9, "imageUrl")),

@@ -122,17 +122,48 @@ CATALOG = {
 }
 
 
+#: What databases tell in their own way: Postgres the labels of its enums and a column's type by its own name; MySQL its types in
+#: full, and what a foreign key refers to beside the key. MySQL's names would come in capitals without an alias.
+MYSQL_COLUMNS = "table_name column_name ordinal_position data_type is_nullable column_default character_maximum_length numeric_precision numeric_scale".split()
+DIALECTS = {
+    "postgresql": {
+        "columns": CATALOG["columns"].replace("data_type,", "data_type, udt_name AS native,"),
+        "enums": "SELECT t.typname AS type_name, e.enumlabel AS label, e.enumsortorder AS place FROM pg_type t JOIN pg_enum e ON e.enumtypid = t.oid JOIN pg_namespace n ON n.oid = t.typnamespace WHERE n.nspname = '{schema}'",
+    },
+    "mysql": {
+        "columns": f"SELECT {', '.join(f'{c} AS {c}' for c in MYSQL_COLUMNS)}, column_type AS native FROM information_schema.columns WHERE table_schema = '{{schema}}'",
+        "keys": "SELECT c.table_name AS table_name, c.constraint_name AS constraint_name, c.constraint_type AS constraint_type, k.column_name AS column_name, k.ordinal_position AS ordinal_position FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k ON c.constraint_schema = k.constraint_schema AND c.constraint_name = k.constraint_name AND c.table_name = k.table_name WHERE c.table_schema = '{schema}' AND c.constraint_type IN ('PRIMARY KEY', 'UNIQUE', 'FOREIGN KEY')",
+        "references": "SELECT r.constraint_name AS constraint_name, k.referenced_table_name AS table_name, k.referenced_column_name AS column_name, k.ordinal_position AS ordinal_position, r.delete_rule AS delete_rule, r.update_rule AS update_rule FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON r.constraint_schema = k.constraint_schema AND r.constraint_name = k.constraint_name AND r.table_name = k.table_name WHERE r.constraint_schema = '{schema}'",
+        "checks": "SELECT t.table_name AS table_name, c.constraint_name AS constraint_name, c.check_clause AS check_clause FROM information_schema.check_constraints c JOIN information_schema.table_constraints t ON c.constraint_schema = t.constraint_schema AND c.constraint_name = t.constraint_name WHERE t.table_schema = '{schema}' AND t.constraint_type = 'CHECK'",
+    },
+}
+
+
 @source("jdbc")
-def from_jdbc(spark: SparkSession, url: str, schema: str = "public", **options: str) -> Schema:
-    """Tables of a database with an information schema, by four queries. No driver is at hand here, so this path is not tested
+def from_jdbc(spark: SparkSession, url: str, schema: str | None = None, **options: str) -> Schema:
+    """Tables of a database with an information schema, by a query for each kind of thing; the schema is public, with MySQL the
+    database of the address, where none is named. No driver is at hand here, so this path is not tested
     against a database; assemble(), which it ends in, is."""
     read = lambda q: [r.asDict() for r in spark.read.format("jdbc").options(url=url, query=q.format(schema=schema), **options).load().collect()]  # noqa: E731  a catalogue is small
-    return assemble({k: read(q) for k, q in CATALOG.items()}, dialect=url.split(":")[1] if ":" in url else "jdbc")
+    dialect = url.split(":")[1] if ":" in url else "jdbc"
+    schema = schema or (re.sub(r".*/|\?.*", "", url) if dialect == "mysql" else "public")
+    return assemble({k: read(q) for k, q in (CATALOG | DIALECTS.get(dialect, {})).items()}, dialect)
 
 
 def assemble(rows: dict[str, list[dict]], dialect: str = "jdbc") -> Schema:
     """A schema from the rows of the catalogue queries."""
     ordered = lambda xs: sorted(xs, key=lambda r: r["ordinal_position"])
+    labels: dict[str, tuple] = {}
+    for r in sorted(rows.get("enums", ()), key=lambda r: r["place"]):
+        labels[r["type_name"]] = (*labels.get(r["type_name"], ()), r["label"])
+
+    def typed(r: dict) -> tuple[str, str, tuple[str, ...]]:
+        """A column's logical type, native type and enum labels."""
+        native = r.get("native") or r["data_type"]
+        if native in labels:
+            return "enum", native, labels[native]
+        return ("array" if r["data_type"] == "ARRAY" else logical_type(native)), native, enum_values(native) if native.lower().startswith("enum(") else ()
+
     constraints: dict[tuple, list[dict]] = {}
     for r in rows["keys"]:
         constraints.setdefault((r["table_name"], r["constraint_name"], r["constraint_type"]), []).append(r)
@@ -148,7 +179,7 @@ def assemble(rows: dict[str, list[dict]], dialect: str = "jdbc") -> Schema:
         key = next((c for k, c in own.items() if k[2] == "PRIMARY KEY"), ())
         unique = tuple(c for k, c in sorted(own.items()) if k[2] == "UNIQUE")
         keys = tuple(ForeignKey(c, t[0]["table_name"], tuple(r["column_name"] for r in ordered(t)), t[0]["delete_rule"], t[0]["update_rule"]) for k, c in sorted(own.items()) if k[2] == "FOREIGN KEY" and (t := targets.get(k[1])))
-        columns = tuple(Column(r["column_name"], logical_type(r["data_type"]), r["data_type"], r["is_nullable"] == "YES", r["column_name"] in key, (r["column_name"],) in unique or key == (r["column_name"],), r["column_default"], enum_values(r["data_type"]) if r["data_type"].lower().startswith("enum") else (), r["character_maximum_length"], r["numeric_precision"], r["numeric_scale"]) for r in ordered(by_table[name]))
+        columns = tuple(Column(r["column_name"], *typed(r)[:2], r["is_nullable"] == "YES", r["column_name"] in key, (r["column_name"],) in unique or key == (r["column_name"],), r["column_default"], typed(r)[2], r["character_maximum_length"], r["numeric_precision"], r["numeric_scale"]) for r in ordered(by_table[name]))
         out.append(Table(name, columns, key, keys, unique, tuple(Check(r["constraint_name"], r["check_clause"]) for r in rows["checks"] if r["table_name"] == name)))
     return Schema.of(*out, dialect=dialect)
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.graph import build
+from weftline.plans.hooks import through
 from weftline.plans.model import Schema, schema_hash
 
 FORMATS = ("parquet", "json", "csv", "orc")
@@ -30,13 +32,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Schema, path: str, mode: str = "fresh", kind: str = "parquet", **options) -> dict[str, int]:
+def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Schema, path: str, mode: str = "fresh", kind: str = "parquet", plugins: Sequence = (), progress: Callable[[str, int], bool | None] | None = None, **options) -> dict[str, int]:
     """Writes each table under path, parents first, and returns how many rows each got.
 
     fresh: an error, before anything is written, if any table has rows; truncate: what is there is replaced; append: adds.
     fresh and truncate give all tables or none: they are written to a folder beside, which takes the old one's place, table by
     table, when all of them are whole; if anything fails, the old tables stand as before. append adds to a table as a whole when
-    its write commits. Counts come with the write, not from another pass."""
+    its write commits. Counts come with the write, not from another pass.
+
+    Plugins see each table before and after. progress hears of every table and its rows; if it says False, the run ends and, but
+    for append, nothing has changed."""
     if mode not in ("fresh", "truncate", "append") or kind not in FORMATS:
         raise ValueError(f"no mode {mode!r} or format {kind!r}")
     order = [n for n in build(schema).order if n in tables] + [n for n in tables if n not in schema.tables]
@@ -53,9 +58,11 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Sche
     try:
         for n in order:
             seen = Observation(f"rows of {n}")
-            df = tables[n].observe(seen, F.count(F.lit(1)).alias("n"))
+            df = through(plugins, "before_insert", tables[n], n).observe(seen, F.count(F.lit(1)).alias("n"))
             (encoded(df) if kind == "csv" else df).write.format(kind).options(**options).mode("append").save(f"{target}/{n}")
             counts[n] = seen.get["n"]
+            if progress and progress(n, counts[n]) is False:
+                raise WriteError(f"stopped after {n}")
         if mode != "append":
             fs.mkdirs(at(f"{beside}/old"))
             for n in order:
@@ -69,6 +76,8 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Sche
         raise
     finally:
         fs.delete(at(beside), True)
+    for n in order:
+        through(plugins, "after_insert", counts[n], n)
     return counts
 
 
@@ -158,6 +167,13 @@ def import_bundle(spark: SparkSession, path: str, schema: Schema, force: bool =
     return out
 
 
+def bundles(spark: SparkSession, root: str) -> DataFrame:
+    """(name, version, created) of the bundles under root/name/version, of each name the last version first, as texts sort."""
+    found = spark.read.text(f"{root}/*/*/manifest", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("created"))
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)/manifest/[^/]+$", i)
+    return found.select(part(1).alias("name"), part(2).alias("version"), "created").orderBy("name", F.desc("version"))
+
+
 def load_config(path: str) -> dict:
     """A JSON configuration; none where there is no file. WEFTLINE_URL overrides where it connects to."""
     config = {}
