@@ -26,6 +26,8 @@ ROW, OWN = "__row", "__own"
 #: Parents of one block share a prefix sum; blocks are summed in turn.
 BLOCK = 1 << 16
 MONTH_MS = 86_400_000 * 30.436875
+#: Rows of a table that a join may broadcast.
+SMALL = 200_000
 TRIES = 50
 # Shares of nulls by logical type, for the null probability "by type"; 0.15 for the others.
 DEFAULT_NULLS = {"boolean": 0.05, "string": 0.15, "float": 0.1, "integer": 0.1, "timestamp": 0.05, "date": 0.05, "uuid": 0.02}
@@ -257,30 +259,55 @@ class Generator:
         return out
 
     def unique(self, out: DataFrame, t: TablePlan, table: Table) -> DataFrame:
-        """Rows that repeat the values of a unique constraint, all but the first, draw them again until none is left."""
+        """Rows that repeat the values of a unique constraint, all but the first, draw them again until none is left.
+
+        Only the constraint's columns are shuffled to find repeats, and only the rows that repeat are drawn again, so that a
+        round costs what it still has to change; a table without repeats keeps its plan."""
         keyed = {c for fk in table.foreign_keys for c in fk.columns}
         constraints = [u for u in [*table.unique, *[(c.name,) for c in table.columns if c.unique and not c.primary]] if not set(u) <= keyed]
         for columns in constraints:
             free = [c for c in columns if c in t.fields and t.fields[c].kind not in ("row-number", "derived", "constant")]
-            if not free or all(t.fields[c].kind in ("uuid",) for c in free):
-                continue
-            order = Window.partitionBy(*columns).orderBy("__again", ROW)
-            complete = F.lit(True)
-            for c in columns:
-                complete &= F.col(c).isNotNull()
-            out = out.withColumn("__again", F.lit(0))
-            for attempt in range(1, TRIES + 2):
-                marked = out.withColumn("__late", F.when(complete, F.row_number().over(order) > 1).otherwise(F.lit(False)))
-                if marked.filter("__late").isEmpty():
-                    break
-                if attempt > TRIES:
-                    raise GenerationError(f"{t.table}: no unique values for {', '.join(columns)} after {TRIES} tries")
-                marked = marked.checkpoint() if attempt % 5 == 0 and self.spark.sparkContext.getCheckpointDir() else marked
-                new = {c: F.when(F.col("__late"), self.value(t.table, c, t.fields[c], self.own_row, {x: F.col(x) for x in out.columns}, "__unique__", str(attempt))).otherwise(F.col(c)) for c in free}
-                out = marked.withColumns(new | {"__again": F.when(F.col("__late"), attempt).otherwise(F.col("__again"))}).drop("__late")
-            out = out.drop("__again")
+            if free and not all(t.fields[c].kind in ("uuid",) for c in free):
+                out = self.redrawn(out, t, columns, free)
         return out
 
+    def redrawn(self, out: DataFrame, t: TablePlan, columns: Sequence[str], free: list[str]) -> DataFrame:
+        """out with the free columns of a constraint drawn again where its columns repeat an earlier row's values."""
+        complete = F.lit(True)
+        for c in columns:
+            complete &= F.col(c).isNotNull()
+        repeats = F.row_number().over(Window.partitionBy(*columns).orderBy(ROW)) > 1
+        used = out.filter(complete).select(ROW, *columns)
+        late = self.held(used.withColumn("__late", repeats).filter("__late").select(ROW))
+        if late.isEmpty():
+            return out
+        taken = used.join(self.sized(late), ROW, "left_anti").select(*columns)
+        rows, changes = out.join(self.sized(late), ROW, "left_semi"), None
+        for attempt in range(1, TRIES + 1):
+            have = {x: F.col(x) for x in rows.columns}
+            drawn = self.held(rows.withColumns({c: self.value(t.table, c, t.fields[c], self.own_row, have, "__unique__", str(attempt)) for c in free}))
+            again = drawn.filter(complete).withColumn("__late", repeats)
+            met = taken.join(self.sized(drawn.select(*columns)), list(columns), "left_semi").distinct().withColumn("__met", F.lit(True))
+            late = self.held(again.join(met, list(columns), "left").filter("__late or __met").select(ROW))
+            settled = drawn.join(self.sized(late), ROW, "left_anti").select(ROW, *free)
+            changes = settled if changes is None else changes.unionByName(settled)
+            if late.isEmpty():
+                changes = self.sized(changes.select(F.col(ROW).alias("__changed"), *[F.col(c).alias(f"__new_{c}") for c in free]))
+                kept = [F.when(F.col("__changed").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in free else F.col(c) for c in out.columns]
+                return out.join(changes, out[ROW] == F.col("__changed"), "left").select(*kept)
+            taken = taken.unionByName(drawn.join(self.sized(late), ROW, "left_anti").filter(complete).select(*columns))
+            rows = drawn.join(self.sized(late), ROW, "left_semi")
+        raise GenerationError(f"{t.table}: no unique values for {', '.join(columns)} after {TRIES} tries")
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """df, computed once: in the checkpoint folder if the session has one, else kept by the executors."""
+        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.persist()
+
+    @staticmethod
+    def sized(df: DataFrame) -> DataFrame:
+        """df, broadcast if it has at most SMALL rows."""
+        return F.broadcast(df) if df.count() <= SMALL else df
+
     def self_reference(self, out: DataFrame, name: str, column: str, n: int) -> DataFrame:
         """Another row's key: never the row's own, unless there is but one."""
         row = F.col(ROW)
