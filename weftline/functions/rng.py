@@ -34,15 +34,15 @@ def fnv(text: str, state: int = OFFSET) -> int:
     return state
 
 
-def step(state: Column, unit: Column) -> Column:
-    return (state.bitwiseXOR(unit) * F.lit(PRIME).cast("long")).bitwiseAND(F.lit(MASK))
+def step(state: Column, unit: Column | int) -> Column:
+    return (state.bitwiseXOR(unit) * PRIME).bitwiseAND(MASK)
 
 
 def fold_text(state: Column | int, text: str) -> Column:
     """state after the characters of a fixed text."""
     out = F.lit(state).cast("long") if isinstance(state, int) else state
     for u in units(text):
-        out = step(out, F.lit(u).cast("long"))
+        out = step(out, u)
     return out
 
 
@@ -67,21 +67,21 @@ def stream(seed: int | str, *path: str | Column) -> Column:
 
 def multiply(a: Column, b: Column) -> Column:
     """The low 32 bits of a product of 32-bit numbers, without leaving 64."""
-    low = a.bitwiseAND(F.lit(0xFFFF)) * b
-    high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit(0xFFFF)) * 65536
-    return (low + high).bitwiseAND(F.lit(MASK))
+    low = a.bitwiseAND(0xFFFF) * b
+    high = (F.shiftright(a, 16) * b).bitwiseAND(0xFFFF) * 65536
+    return (low + high).bitwiseAND(MASK)
 
 
 def bits(state: Column, draw: int = 1) -> Column:
     """The 32-bit output of the stream's draw, counted from 1."""
-    jumped = (state + F.lit(draw * STEP & MASK).cast("long")).bitwiseAND(F.lit(MASK))
-    turn = lambda t: (t + multiply(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK))
+    jumped = (state + (draw * STEP & MASK)).bitwiseAND(MASK)
+    turn = lambda t: (t + multiply(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK)
     return let(let(let(jumped, lambda s: s.bitwiseXOR(F.shiftright(s, 15))), turn), lambda t: t.bitwiseXOR(F.shiftright(t, 14)))
 
 
 def uniform(state: Column, draw: int = 1) -> Column:
     """A double in [0, 1)."""
-    return bits(state, draw) / F.lit(4294967296.0)
+    return bits(state, draw) / 4294967296.0
 
 
 def number(seed: int | str, *path: str) -> float:
