@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import quality
-from weftline.operators.generate import GenerationError, generate_tables, preview
+from weftline.operators.generate import GenerationError, Generator, generate_tables, preview
 from weftline.plans.build import build_plan
 from weftline.plans.model import Column, ForeignKey, Schema, Table
 from weftline.plans.shop import shop_plan
@@ -68,6 +68,26 @@ def test_personas_timeline_churn_nulls_and_rows(spark):
     assert visits.agg(F.min("id"), F.max("id"), F.count_distinct("id")).first()[:] == (1, n, n)
 
 
+def test_redraws_follow_the_plain_rule(spark):
+    """Of equal values the first row's stays; the others draw again, and yield to whatever stands already, round by round."""
+    schema = Schema.of(Table("t", (Column("id", "integer", primary=True), Column("code", "integer", unique=True)), ("id",)))
+    plan = build_plan(schema, {"tables": {"t": {"count": 60, "columns": {"code": {"kind": "uniformInt", "min": 1, "max": 120}}}}, "seed": 3})
+    g, field = Generator(spark, plan), plan.tables["t"].fields["code"]
+    draws = [g.value("t", "code", field, F.col("id"), {}, *(("__unique__", str(k)) if k else ())).alias(f"v{k}") for k in range(9)]
+    drawn = {r["id"]: r for r in spark.range(60).select("id", *draws).collect()}
+    settled, waiting = {}, sorted(drawn)
+    for k in range(9):
+        again = []
+        for r in waiting:
+            if drawn[r][f"v{k}"] in settled.values():
+                again.append(r)
+            else:
+                settled[r] = drawn[r][f"v{k}"]
+        waiting = again
+    assert not waiting and any(settled[r] != drawn[r]["v0"] for r in settled)
+    assert {r["id"] - 1: r["code"] for r in generate_tables(spark, plan)["t"].collect()} == settled
+
+
 def test_unique_values_are_drawn_again_or_raise(spark):
     schema = Schema.of(Table("t", (Column("id", "integer", primary=True), Column("code", "integer", unique=True)), ("id",)))
     plan = lambda most, count: build_plan(schema, {"tables": {"t": {"count": count, "columns": {"code": {"kind": "uniformInt", "min": 1, "max": most}}}}})

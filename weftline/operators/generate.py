@@ -26,7 +26,7 @@ ROW, OWN = "__row", "__own"
 #: Parents of one block share a prefix sum; blocks are summed in turn.
 BLOCK = 1 << 16
 MONTH_MS = 86_400_000 * 30.436875
-#: Rows of a table that a join may broadcast.
+#: Rows of a table that a join of redrawn values may broadcast.
 SMALL = 200_000
 TRIES = 50
 # Shares of nulls by logical type, for the null probability "by type"; 0.15 for the others.
@@ -279,35 +279,32 @@ class Generator:
         repeats = F.row_number().over(Window.partitionBy(*columns).orderBy(ROW)) > 1
         used = out.filter(complete).select(ROW, *columns)
         late = self.held(used.withColumn("__late", repeats).filter("__late").select(ROW))
-        if late.isEmpty():
+        n = first = late.count()
+        if not n:
             return out
-        taken = used.join(self.sized(late), ROW, "left_anti").select(*columns)
-        rows, changes = out.join(self.sized(late), ROW, "left_semi"), None
+        small = lambda df, size: F.broadcast(df) if size <= SMALL else df
+        taken = self.held(used.join(small(late, n), ROW, "left_anti").select(*columns))
+        rows, changes = out.join(small(late, n), ROW, "left_semi"), None
         for attempt in range(1, TRIES + 1):
             have = {x: F.col(x) for x in rows.columns}
             drawn = self.held(rows.withColumns({c: self.value(t.table, c, t.fields[c], self.own_row, have, "__unique__", str(attempt)) for c in free}))
-            again = drawn.filter(complete).withColumn("__late", repeats)
-            met = taken.join(self.sized(drawn.select(*columns)), list(columns), "left_semi").distinct().withColumn("__met", F.lit(True))
-            late = self.held(again.join(met, list(columns), "left").filter("__late or __met").select(ROW))
-            settled = drawn.join(self.sized(late), ROW, "left_anti").select(ROW, *free)
-            changes = settled if changes is None else changes.unionByName(settled)
-            if late.isEmpty():
-                changes = self.sized(changes.select(F.col(ROW).alias("__changed"), *[F.col(c).alias(f"__new_{c}") for c in free]))
+            met = taken.join(small(drawn.select(*columns), n), list(columns), "left_semi").distinct().withColumn("__met", F.lit(True))
+            marked = self.held(drawn.withColumn("__late", repeats).join(met, list(columns), "left").withColumn("__late", F.col("__late") & complete | F.coalesce("__met", F.lit(False))).drop("__met"))
+            n = marked.filter("__late").count()
+            settled = marked.filter("not __late")
+            changed = settled.select(F.col(ROW).alias("__changed"), *[F.col(c).alias(f"__new_{c}") for c in free])
+            changes = changed if changes is None else changes.unionByName(changed)
+            if not n:
                 kept = [F.when(F.col("__changed").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in free else F.col(c) for c in out.columns]
-                return out.join(changes, out[ROW] == F.col("__changed"), "left").select(*kept)
-            taken = taken.unionByName(drawn.join(self.sized(late), ROW, "left_anti").filter(complete).select(*columns))
-            rows = drawn.join(self.sized(late), ROW, "left_semi")
+                return out.join(small(changes, first), out[ROW] == F.col("__changed"), "left").select(*kept)
+            taken = taken.unionByName(settled.filter(complete).select(*columns))
+            rows = marked.filter("__late").select(*out.columns)
         raise GenerationError(f"{t.table}: no unique values for {', '.join(columns)} after {TRIES} tries")
 
     def held(self, df: DataFrame) -> DataFrame:
         """df, computed once: in the checkpoint folder if the session has one, else kept by the executors."""
         return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.persist()
 
-    @staticmethod
-    def sized(df: DataFrame) -> DataFrame:
-        """df, broadcast if it has at most SMALL rows."""
-        return F.broadcast(df) if df.count() <= SMALL else df
-
     def self_reference(self, out: DataFrame, name: str, column: str, n: int) -> DataFrame:
         """Another row's key: never the row's own, unless there is but one."""
         row = F.col(ROW)
