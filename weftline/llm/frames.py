@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_rows(df: DataFrame) -> DataFrame:
+    """cut, with the place of each row: file (in the order of the tasks that wrote them) and row (its number in the file).
+
+    The places stay the same however often and in whatever splits the table is read."""
+    part = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    file = part(r"^part-(\d+)") * 100_000 + part(r"-c(\d+)")
+    return cut(df).select("*", file.alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def ascii_words(text: Column) -> Column:
+    """The runs of letters, digits and characters beyond ASCII of a text, with only A-Z lower-cased; none for null.
+
+    Words of ASCII alone are lower-cased as a whole, others letter by letter, since lower() knows more letters than A-Z."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return F.transform(found, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, upper, upper.lower())))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:
     """mapInArrow over batches; fn returns columns by name, or yields several such sets."""
     fields = df.sparkSession.createDataFrame([], schema).schema

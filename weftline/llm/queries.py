@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import disclosure, importance, language_id, latent_decontamination, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, vector_graphs, word_graph_dedup
+from weftline.llm import bucket_resampling, disclosure, importance, language_id, latent_decontamination, lexical_search, ngram_join, sentencepiece_codec, suffix_dedup, suffix_tree_lm, vector_graphs, virtual_slots, word_graph_dedup
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Lower-cased words of op11 and op13, and a word's CRC-32, in DuckDB.
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
 #: SQL for the operators whose results are exact. Others are held against brute force, the library or held-out rows by tests.
 ORACLES: dict[str, str] = {
     "op2_vector_graphs": """
@@ -45,6 +48,26 @@ gone AS (SELECT DISTINCT doc_id, i + j AS p FROM ranked, (SELECT unnest(range(20
 words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_lexical_search": f"""
+WITH tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS w FROM documents) GROUP BY ALL),
+long_ AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+all_ AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM long_),
+q AS (SELECT item_id, w, count(*) AS c FROM (SELECT item_id, unnest({TERMS}) AS w FROM benchmark) GROUP BY ALL),
+weight AS (SELECT w, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, all_ GROUP BY 1),
+score AS (SELECT item_id, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // len))))::BIGINT AS score FROM q JOIN tf USING (w) JOIN weight USING (w) JOIN long_ USING (doc_id), all_ GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM score WHERE score > 0) WHERE rank <= 10""",
+    "op13_bucket_resampling": f"""
+WITH d AS (SELECT doc_id, {TERMS} AS ws FROM documents),
+docs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+item AS (SELECT unnest({TERMS}) AS w FROM benchmark),
+word AS (SELECT w, {CRC} % 10000 AS b FROM (SELECT w FROM docs UNION SELECT w FROM item)),
+raw AS (SELECT b, sum(c)::BIGINT AS s FROM docs JOIN word USING (w) GROUP BY 1),
+target AS (SELECT b, count(*) AS t FROM item JOIN word USING (w) GROUP BY 1),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM raw) + 10000)::DOUBLE / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000)::DOUBLE)))::BIGINT AS gain FROM raw LEFT JOIN target USING (b)),
+sums AS (SELECT doc_id, sum(c * gain)::BIGINT AS weight FROM docs JOIN word USING (w) JOIN gain USING (b) GROUP BY 1),
+scored AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN sums USING (doc_id)),
+nth AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM nth) // 100 THEN rank END AS rank FROM scored LEFT JOIN nth USING (doc_id)""",
 }
 
 
@@ -109,6 +132,18 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), good, importance.good_share(labels))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_slots.shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op13_bucket_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bucket_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_vector_graphs": op2_vector_graphs,
@@ -120,4 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_disclosure": op8_disclosure,
     "op9_latent_decontamination": op9_latent_decontamination,
     "op10_importance": op10_importance,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_virtual_slots": op12_virtual_slots,
+    "op13_bucket_resampling": op13_bucket_resampling,
 }
