@@ -57,10 +57,16 @@ def totals(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def gains(raw: np.ndarray, target: np.ndarray) -> list[int]:
+def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """A thousandth's floor of each bucket's log ratio, both counts raised by one."""
     s, t = int(raw.sum()), int(target.sum())
-    return [math.floor(1000 * math.log((b + 1) * (s + BUCKETS) / ((a + 1) * (t + BUCKETS)))) for a, b in zip(raw.tolist(), target.tolist(), strict=True)]
+    return np.array([math.floor(1000 * math.log((b + 1) * (s + BUCKETS) / ((a + 1) * (t + BUCKETS)))) for a, b in zip(raw.tolist(), target.tolist(), strict=True)])
+
+
+def summed(gain: np.ndarray) -> Column:
+    """The sum of the gains of a row's buckets; the gains are one literal of the plan."""
+    literal = F.lit(gain)
+    return F.aggregate("buckets", F.lit(0).cast("long"), lambda total, b: total + F.element_at(literal, b + F.lit(1)))
 
 
 def noise(doc_id: Column, seed: int) -> Column:
@@ -102,8 +108,7 @@ def resample(docs: DataFrame, targets: DataFrame, percent: int = 10, id_col: str
     leaves only the documents' own counts; other columns are not read."""
     rows = bucketed(docs, id_col, text_col, most)
     target = bucketed(targets, target_col, target_col, most)
-    literal = F.split(F.lit(",".join(map(str, gains(totals(rows), totals(target))))), ",").cast("array<bigint>")  # folded to one literal
-    weight = F.aggregate("buckets", F.lit(0).cast("long"), lambda total, b: total + F.element_at(literal, b + F.lit(1)))
+    weight = summed(gains(totals(rows), totals(target)))
     scored = cut_rows(rows.select("doc_id", "n_words", F.size("buckets").cast("long").alias("n_features"), weight.alias("weight")).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)))
     able = (F.col("n_words") >= least) & F.col("score").isNotNull()
     n = scored.filter(F.col("n_words") >= least).count()
