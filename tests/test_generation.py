@@ -70,8 +70,8 @@ def test_personas_timeline_churn_nulls_and_rows(spark):
 
 def test_redraws_follow_the_plain_rule(spark):
     """Of equal values the first row's stays; the others draw again, and yield to whatever stands already, round by round."""
-    schema = Schema.of(Table("t", (Column("id", "integer", primary=True), Column("code", "integer", unique=True)), ("id",)))
-    plan = build_plan(schema, {"tables": {"t": {"count": 60, "columns": {"code": {"kind": "uniformInt", "min": 1, "max": 120}}}}, "seed": 3})
+    schema = Schema.of(Table("t", (Column("id", "integer", primary=True), Column("code", "integer"), Column("side")), ("id",), unique=(("code", "side"),)))
+    plan = build_plan(schema, {"tables": {"t": {"count": 60, "columns": {"code": {"kind": "uniformInt", "min": 1, "max": 120}, "side": {"kind": "constant", "value": "left"}}}}, "seed": 3})
     g, field = Generator(spark, plan), plan.tables["t"].fields["code"]
     draws = [g.value("t", "code", field, F.col("id"), {}, *(("__unique__", str(k)) if k else ())).alias(f"v{k}") for k in range(9)]
     drawn = {r["id"]: r for r in spark.range(60).select("id", *draws).collect()}

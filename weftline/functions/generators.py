@@ -31,17 +31,19 @@ class Kind:
     types: tuple[str, ...]
     #: How many different values it can give; None if without bound, -1 if unknown.
     distinct: Callable[[dict], int | None]
+    #: Its nth value, from 0, all different: what a unique column is made of. None if values cannot be numbered.
+    nth: Callable[[dict, Column], Column] | None = None
 
 
 KINDS: dict[str, Kind] = {}
 
 
-def register(*names: str, types: tuple[str, ...] = ("*",), distinct: Callable[[dict], int | None] = lambda p: -1):
-    """Registers a generator under its names."""
+def register(*names: str, types: tuple[str, ...] = ("*",), distinct: Callable[[dict], int | None] = lambda p: -1, nth: Callable[[dict, Column], Column] | None = None):
+    """Registers a generator under its names. With nth, distinct must say exactly how many values there are."""
 
     def add(fn):
         for name in names:
-            KINDS[name] = Kind(fn, types, distinct)
+            KINDS[name] = Kind(fn, types, distinct, nth)
         return fn
 
     return add
@@ -58,10 +60,45 @@ def pick(state: Column, values: list, draw: int = 1) -> Column:
     return F.element_at(F.lit(values), (F.floor(uniform(state, draw) * len(values)) + 1).cast("int"))
 
 
+def digits(n: Column, *bases: int) -> list[Column]:
+    """The digits of a number below the product of the bases, the highest first."""
+    out = []
+    for b in reversed(bases):
+        out.append(n % b)
+        n = ((n - n % b) / b).cast("long")
+    return out[::-1]
+
+
+def at(values: list, n: Column) -> Column:
+    return F.element_at(F.lit(values), (n + 1).cast("int"))
+
+
 def hex8(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x)), 8, "0")
 
 
+NAMES = (words.FIRST, words.LAST)
+LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def email_of(first: Column, last: Column, tag: Column, domain: Column) -> Column:
+    return F.concat(F.lower(first), F.lit("."), F.lower(last), hex8(tag), F.lit("@"), domain)
+
+
+def nth_email(params: dict, n: Column) -> Column:
+    first, last, domain, tag = digits(n, len(words.FIRST), len(words.LAST), len(words.DOMAINS), 1 << 32)
+    return email_of(at(words.FIRST, first), at(words.LAST, last), tag, at(words.DOMAINS, domain))
+
+
+def phone_of(first: Column, last: Column) -> Column:
+    return F.concat(F.lit("+1-555-"), F.lpad(first.cast("string"), 3, "0"), F.lit("-"), F.lpad(last.cast("string"), 4, "0"))
+
+
+def nth_ip(params: dict, n: Column) -> Column:
+    first, *rest = digits(n, 254, 255, 255, 255)
+    return F.concat_ws(".", (first + 1).cast("string"), *[d.cast("string") for d in rest])
+
+
 @register("uuid", types=("uuid", "string"), distinct=lambda p: None)
 def uuid(params: dict, state: Column, context: Context) -> Column:
     """Four draws give 32 hexadecimal digits; the version digit is 4 and a fifth draw gives the variant digit."""
@@ -70,7 +107,7 @@ def uuid(params: dict, state: Column, context: Context) -> Column:
     return let(F.concat(*[hex8(bits(state, k)) for k in range(1, 5)]), dashed)
 
 
-@register("weighted-categorical", "enum", types=("string", "enum"), distinct=lambda p: len(p.get("values") or p.get("enumValues") or ()))
+@register("weighted-categorical", "enum", types=("string", "enum"), distinct=lambda p: len(set(p.get("values") or p.get("enumValues") or ())), nth=lambda p, n: at(list(dict.fromkeys(p.get("values") or p.get("enumValues"))), n))
 def categorical(params: dict, state: Column, context: Context) -> Column:
     """values: a mapping of weights, or a list of equals (with weights, a list, if given); enumValues: a list of equals."""
     values = params.get("values") or params.get("enumValues")
@@ -81,12 +118,12 @@ def categorical(params: dict, state: Column, context: Context) -> Column:
     return weighted(state, values)
 
 
-@register("bounded-integer", "uniformInt", types=("integer", "float"), distinct=lambda p: p.get("max", 100) - p.get("min", 0) + 1)
+@register("bounded-integer", "uniformInt", types=("integer", "float"), distinct=lambda p: p.get("max", 100) - p.get("min", 0) + 1, nth=lambda p, n: n + p.get("min", 0))
 def bounded_integer(params: dict, state: Column, context: Context) -> Column:
     return uniform_int(state, params.get("min", 0), params.get("max", 100))
 
 
-@register("quantity", "number.int", types=("integer",), distinct=lambda p: p.get("max", 10) - p.get("min", 1) + 1)
+@register("quantity", "number.int", types=("integer",), distinct=lambda p: p.get("max", 10) - p.get("min", 1) + 1, nth=lambda p, n: n + p.get("min", 1))
 def quantity(params: dict, state: Column, context: Context) -> Column:
     return uniform_int(state, params.get("min", 1), params.get("max", 10))
 
@@ -116,7 +153,7 @@ def zipf_kind(params: dict, state: Column, context: Context) -> Column:
     return zipf(state, params.get("n", 10), params.get("s", 1.0))
 
 
-@register("boolean", "boolean-skewed", types=("boolean", "integer"), distinct=lambda p: 2)
+@register("boolean", "boolean-skewed", types=("boolean", "integer"), distinct=lambda p: 2, nth=lambda p, n: n == 1)
 def boolean(params: dict, state: Column, context: Context) -> Column:
     return uniform(state) < float(params.get("probability", params.get("skew", 0.5)))
 
@@ -166,29 +203,29 @@ def constant(params: dict, state: Column, context: Context) -> Column:
     return F.lit(params.get("value"))
 
 
-@register("firstName", "person.firstName", types=("string",), distinct=lambda p: len(words.FIRST))
+@register("firstName", "person.firstName", types=("string",), distinct=lambda p: len(words.FIRST), nth=lambda p, n: at(words.FIRST, n))
 def first_name(params: dict, state: Column, context: Context) -> Column:
     return pick(state, words.FIRST)
 
 
-@register("lastName", "person.lastName", types=("string",), distinct=lambda p: len(words.LAST))
+@register("lastName", "person.lastName", types=("string",), distinct=lambda p: len(words.LAST), nth=lambda p, n: at(words.LAST, n))
 def last_name(params: dict, state: Column, context: Context) -> Column:
     return pick(state, words.LAST)
 
 
-@register("fullName", "person.fullName", types=("string",), distinct=lambda p: len(words.FIRST) * len(words.LAST))
+@register("fullName", "person.fullName", types=("string",), distinct=lambda p: len(words.FIRST) * len(words.LAST), nth=lambda p, n: F.concat_ws(" ", *map(at, NAMES, digits(n, *map(len, NAMES)))))
 def full_name(params: dict, state: Column, context: Context) -> Column:
     return F.concat_ws(" ", pick(state, words.FIRST, 1), pick(state, words.LAST, 2))
 
 
-@register("email", "internet.email", types=("string",), distinct=lambda p: None)
+@register("email", "internet.email", types=("string",), distinct=lambda p: len(words.FIRST) * len(words.LAST) * len(words.DOMAINS) << 32, nth=nth_email)
 def email(params: dict, state: Column, context: Context) -> Column:
-    return F.concat(F.lower(pick(state, words.FIRST, 1)), F.lit("."), F.lower(pick(state, words.LAST, 2)), hex8(bits(state, 3)), F.lit("@"), pick(state, words.DOMAINS, 4))
+    return email_of(pick(state, words.FIRST, 1), pick(state, words.LAST, 2), bits(state, 3), pick(state, words.DOMAINS, 4))
 
 
-@register("phone", "phone.number", types=("string",), distinct=lambda p: None)
+@register("phone", "phone.number", types=("string",), distinct=lambda p: 10_000_000, nth=lambda p, n: phone_of(*digits(n, 1000, 10_000)))
 def phone(params: dict, state: Column, context: Context) -> Column:
-    return F.concat(F.lit("+1-555-"), F.lpad(uniform_int(state, 0, 999, 1).cast("string"), 3, "0"), F.lit("-"), F.lpad(uniform_int(state, 0, 9999, 2).cast("string"), 4, "0"))
+    return phone_of(uniform_int(state, 0, 999, 1), uniform_int(state, 0, 9999, 2))
 
 
 @register("street", "location.streetAddress", types=("string",))
@@ -196,12 +233,12 @@ def street(params: dict, state: Column, context: Context) -> Column:
     return F.concat_ws(" ", uniform_int(state, 1, 999, 1).cast("string"), pick(state, words.STREETS, 2), F.lit("Street"))
 
 
-@register("city", "location.city", types=("string",), distinct=lambda p: len(words.CITIES))
+@register("city", "location.city", types=("string",), distinct=lambda p: len(words.CITIES), nth=lambda p, n: at([c[0] for c in words.CITIES], n))
 def city(params: dict, state: Column, context: Context) -> Column:
     return pick(state, [c[0] for c in words.CITIES])
 
 
-@register("state", "location.state", types=("string",), distinct=lambda p: len(words.STATES))
+@register("state", "location.state", types=("string",), distinct=lambda p: len(words.STATES), nth=lambda p, n: at(words.STATES, n))
 def state_name(params: dict, state: Column, context: Context) -> Column:
     return pick(state, words.STATES)
 
@@ -211,7 +248,7 @@ def country(params: dict, state: Column, context: Context) -> Column:
     return pick(state, sorted({c[2] for c in words.CITIES}))
 
 
-@register("zip", "location.zipCode", types=("string",), distinct=lambda p: 100_000)
+@register("zip", "location.zipCode", types=("string",), distinct=lambda p: 100_000, nth=lambda p, n: F.lpad(n.cast("string"), 5, "0"))
 def zip_code(params: dict, state: Column, context: Context) -> Column:
     return F.lpad(uniform_int(state, 0, 99_999).cast("string"), 5, "0")
 
@@ -226,7 +263,7 @@ def image_url(params: dict, state: Column, context: Context) -> Column:
     return F.concat(F.lit("https://"), pick(state, words.DOMAINS, 1), F.lit("/"), hex8(bits(state, 2)), F.lit(".png"))
 
 
-@register("ip", "internet.ip", types=("string",), distinct=lambda p: None)
+@register("ip", "internet.ip", types=("string",), distinct=lambda p: 254 * 255**3, nth=nth_ip)
 def ip(params: dict, state: Column, context: Context) -> Column:
     return F.concat_ws(".", *[uniform_int(state, 1 if k == 1 else 0, 254, k).cast("string") for k in range(1, 5)])
 
@@ -237,15 +274,14 @@ def long_text(params: dict, state: Column, context: Context) -> Column:
     return F.concat(F.initcap(pick(state, words.WORDS, 1)), F.lit(" "), F.concat_ws(" ", *[pick(state, words.WORDS, k) for k in range(2, n + 1)]), F.lit("."))
 
 
-@register("word", "lorem.word", "commerce.productName", types=("string",), distinct=lambda p: len(words.WORDS) ** 2)
+@register("word", "lorem.word", "commerce.productName", types=("string",), distinct=lambda p: len(words.WORDS) ** 2, nth=lambda p, n: F.concat_ws(" ", *[F.initcap(at(words.WORDS, d)) for d in digits(n, *[len(words.WORDS)] * 2)]))
 def word(params: dict, state: Column, context: Context) -> Column:
     return F.concat_ws(" ", F.initcap(pick(state, words.WORDS, 1)), F.initcap(pick(state, words.WORDS, 2)))
 
 
-@register("sku", "string.alphanumeric", types=("string",), distinct=lambda p: min(36 ** int(p.get("length", 8)), 2**53 - 1))
+@register("sku", "string.alphanumeric", types=("string",), distinct=lambda p: min(36 ** int(p.get("length", 8)), 2**53), nth=lambda p, n: F.concat(*[F.substring(F.lit(LETTERS), (d + 1).cast("int"), F.lit(1)) for d in digits(n, *[36] * int(p.get("length", 8)))]))
 def alphanumeric(params: dict, state: Column, context: Context) -> Column:
-    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.concat(*[F.substring(F.lit(letters), uniform_int(state, 1, 36, k).cast("int"), F.lit(1)) for k in range(1, int(params.get("length", 8)) + 1)])
+    return F.concat(*[F.substring(F.lit(LETTERS), uniform_int(state, 1, 36, k).cast("int"), F.lit(1)) for k in range(1, int(params.get("length", 8)) + 1)])
 
 
 @register("geo.city", types=("*",))
@@ -257,6 +293,17 @@ def geo_city(params: dict, state: Column, context: Context) -> Column:
     return F.element_at(rows, uniform_int(state, 1, len(pool)).cast("int"))
 
 
+def unique_value(kind: str, params: dict[str, Any], n: Column) -> Column:
+    """The nth value of a kind whose values can be numbered; n is computed once."""
+    return let(n, lambda i: KINDS[kind.removeprefix("faker.")].nth(params, i))
+
+
+def numbered_values(kind: str, params: dict) -> int | None:
+    """How many values a kind has whose values can be numbered; None of other kinds."""
+    found = KINDS.get(kind.removeprefix("faker."))
+    return found.distinct(params) if found and found.nth else None
+
+
 def distinct_values(kind: str, params: dict) -> int | None:
     """An estimate of how many values a generator has: None without bound, -1 unknown."""
     return KINDS[kind].distinct(params) if kind in KINDS else -1

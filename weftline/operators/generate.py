@@ -2,7 +2,9 @@
 
 Every cell is a pure function of its row's number, so tables are ranges of numbers with expressions on top. A foreign key
 draws its parent's row number and computes the parent's key from it by the parent's own expression; nothing is looked up, and
-no key is shuffled or collected. Only fan-out, whose children are numbered in sequence, and unique constraints shuffle.
+no key is shuffled or collected. Unique columns are permutations of row numbers, mapped to values, so that they need no look at
+other rows. Only fan-out, whose children are numbered in sequence, and unique constraints over several columns, or over values
+that cannot be numbered, shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import distributions as D
-from weftline.functions.generators import Context, generate
+from weftline.functions.generators import Context, generate, numbered_values, unique_value
+from weftline.functions.permute import MOST, permuted
 from weftline.functions.rng import SEP, fold_text, number, stream, uniform
 from weftline.plans.graph import build
 from weftline.plans.hooks import through
@@ -45,6 +48,8 @@ class Made:
 
     frame: DataFrame
     rows: int | None
+    #: (__parent0, __n) of a table whose rows are counted by parent: their sum is the number of rows.
+    counts: DataFrame | None = None
 
 
 def range_of(spark: SparkSession, n: int) -> DataFrame:
@@ -83,6 +88,9 @@ class Generator:
         column = self.plan.schema.tables[table].column(name)
         if f.kind == "row-number":
             out = row + 1
+        elif not retry and (size := self.capacity(table, name)):
+            at = permuted(row, size, self.plan.seed, table, "__unique__", name)
+            out = F.when(row < size, unique_value(f.kind, f.params, at)).otherwise(F.raise_error(F.lit(f"{table}.{name}: more rows than the {size} values of a unique column")))
         elif f.kind == "fk-reference":
             target = f.params["referencedTable"]
             out = self.key(target, self.pick(target, self.cell(table, row, name)))
@@ -91,12 +99,36 @@ class Generator:
         kind = column.spark_type
         return out if f.kind in ("geo.city",) or isinstance(kind, T.ArrayType) else out.cast(kind)
 
-    def pick(self, table: str, state: Column) -> Column:
-        """A row number of a table, uniformly."""
+    def capacity(self, table: str, name: str) -> int | None:
+        """How many values a unique column has that takes each once at most, by the permuted number of its row; None if it is not
+        made so: values that cannot be numbered, that personas or rows set, or fewer values than rows of which some are null."""
+        t, schema = self.plan.tables[table], self.plan.schema.tables[table]
+        f = t.fields.get(name)
+        size = numbered_values(f.kind, f.params) if f and schema.has_unique([name]) else None
+        if not size or any(name in p.overrides for p in t.personas) or any(name in r for r in t.rows):
+            return None
+        size = min(size, MOST)
+        if self.simple(t, schema) and int(t.count) > size:
+            if self.null_share(t, schema.column(name)):
+                return None
+            raise GenerationError(f"{table}: no unique values for {name}: {int(t.count)} rows and {size} values")
+        return size
+
+    def simple(self, t: TablePlan, table: Table) -> bool:
+        """Whether the plan says how many rows there are."""
+        keys = [fk for fk in table.foreign_keys if fk.table != table.name]
+        return t.count_per_parent is None and len(keys) < 2 and isinstance(t.count, (int, float))
+
+    def size(self, table: str) -> int:
+        """How many rows a table has; those of a table by parent are summed, not made."""
         made = self.made[table]
         if made.rows is None:
-            made.rows = made.frame.count()
-        return F.floor(uniform(state) * float(made.rows)).cast("long")
+            made.rows = made.frame.count() if made.counts is None else made.counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+        return made.rows
+
+    def pick(self, table: str, state: Column) -> Column:
+        """A row number of a table, uniformly."""
+        return F.floor(uniform(state) * float(self.size(table))).cast("long")
 
     # Rows
 
@@ -152,21 +184,20 @@ class Generator:
 
     def fan_out(self, t: TablePlan, table: Table) -> DataFrame:
         parent = t.parent or next(fk.table for fk in table.foreign_keys if fk.table != table.name)
-        return self.numbered(self.children(t, parent, 1)).drop("__k")
+        self.counts = self.children(t, parent, 1)
+        return self.numbered(self.counts).drop("__k")
 
     def pairs(self, t: TablePlan, table: Table, keys: list) -> DataFrame:
         """Rows of a table with several parents: for each row of the first a number of rows of the second, all different if
         the two are a key, and any row of the others. The different ones step through the second table by a stride that
         shares no factor with its size, from a random start."""
         first, second = keys[0].table, keys[1].table
-        made = self.made[second]
-        if made.rows is None:
-            made.rows = made.frame.count()
-        size = made.rows
+        size = self.size(second)
         counts = self.children(t, first, {"kind": "uniformInt", "min": 1, "max": 5})
         distinct = table.has_unique(keys[0].columns + keys[1].columns)
         if distinct:
             counts = counts.withColumn("__n", F.least("__n", F.lit(size)))
+        self.counts = counts
         out = self.numbered(counts)
         if distinct:
             stride = 1 + int(number(self.plan.seed, t.table, "__stride__") * size)
@@ -186,8 +217,9 @@ class Generator:
     def table(self, name: str) -> DataFrame:
         t, table = self.plan.tables[name], self.plan.schema.tables[name]
         keys = [fk for fk in table.foreign_keys if fk.table != name]
-        self.own_row = None
+        self.own_row = self.counts = None
         out = self.rows(t, table)
+        self.made[name] = Made(out, max(1, int(t.count)) if self.simple(t, table) else None, self.counts)
         out = out.withColumn(OWN, stream(self.plan.seed, name, "__row__", F.col(ROW).cast("string")))
         row = self.own_row = F.col(ROW)
         for i, fk in enumerate(keys):
@@ -197,20 +229,15 @@ class Generator:
         out = out.drop(*[f"__parent{i}" for i in range(len(keys))])
         if t.personas:
             out = out.withColumn("__persona", D.weighted(stream(self.plan.seed, name, "__persona__", row.cast("string")), {p.name: p.weight for p in t.personas}))
-        n = None
         if t.timeline:
-            n = self.frame_rows(out, t, keys)
-            out = self.on_timeline(out, t, table, n)
+            out = self.on_timeline(out, t, table, self.size(name))
         bound = set(out.columns) - {OWN}
         for layer in layers({c: f for c, f in t.fields.items() if c not in bound}):
             have = {c: F.col(c) for c in out.columns if c != OWN}
             out = out.withColumns({c: self.personal(t, c, self.value(name, c, f, row, have), have) for c, f in layer.items()})
         blank = {}
         for c in table.columns:
-            f = t.fields.get(c.name)
-            p = f.null_probability if f and f.null_probability else 0.0
-            if c.nullable and c.name in out.columns and not p and self.plan.null_probability and f and f.source != "config":
-                p = DEFAULT_NULLS.get(c.type, 0.15) if self.plan.null_probability == "by type" else self.plan.null_probability
+            p = self.null_share(t, c) if c.name in out.columns else 0.0
             if c.name not in out.columns:
                 blank[c.name] = F.lit(None).cast(c.spark_type)
             elif p > 0:
@@ -221,16 +248,19 @@ class Generator:
         out = self.unique(out, t, table)
         own = next((fk for fk in table.foreign_keys if fk.table == name), None)
         if own:
-            out = self.self_reference(out, name, own.columns[0], n or self.frame_rows(out, t, keys))
+            out = self.self_reference(out, name, own.columns[0], self.size(name))
         extra = [c for c in ("__persona",) if c in out.columns]
         out = out.select(ROW, *[c.name for c in table.columns], *extra)
-        simple = t.count_per_parent is None and len(keys) < 2 and isinstance(t.count, (int, float))
-        self.made[name] = Made(out, max(1, int(t.count)) if simple else n)
+        self.made[name].frame = out
         return out
 
-    def frame_rows(self, frame: DataFrame, t: TablePlan, keys: list) -> int:
-        simple = t.count_per_parent is None and len(keys) < 2 and isinstance(t.count, (int, float))
-        return max(1, int(t.count)) if simple else frame.count()
+    def null_share(self, t: TablePlan, column) -> float:
+        """The share of a column's values that become null: its own, or for inferred columns that may be null the plan's."""
+        f = t.fields.get(column.name)
+        share = f.null_probability if f and f.null_probability else 0.0
+        if column.nullable and not share and self.plan.null_probability and f and f.source != "config":
+            share = DEFAULT_NULLS.get(column.type, 0.15) if self.plan.null_probability == "by type" else self.plan.null_probability
+        return share
 
     def personal(self, t: TablePlan, column: str, value: Column, have: dict[str, Column]) -> Column:
         for p in t.personas:
@@ -264,7 +294,8 @@ class Generator:
         Only the constraint's columns are shuffled to find repeats, and only the rows that repeat are drawn again, so that a
         round costs what it still has to change; a table without repeats keeps its plan."""
         keyed = {c for fk in table.foreign_keys for c in fk.columns}
-        constraints = [u for u in [*table.unique, *[(c.name,) for c in table.columns if c.unique and not c.primary]] if not set(u) <= keyed]
+        settled = {c for c in t.fields if self.capacity(t.table, c)}
+        constraints = [u for u in [*table.unique, *[(c.name,) for c in table.columns if c.unique and not c.primary]] if not set(u) <= keyed and not set(u) & settled]
         for columns in constraints:
             free = [c for c in columns if c in t.fields and t.fields[c].kind not in ("row-number", "derived", "constant")]
             if free and not all(t.fields[c].kind in ("uuid",) for c in free):
@@ -277,7 +308,7 @@ class Generator:
         for c in columns:
             complete &= F.col(c).isNotNull()
         repeats = F.row_number().over(Window.partitionBy(*columns).orderBy(ROW)) > 1
-        used = out.filter(complete).select(ROW, *columns)
+        used, self.kept = out.filter(complete).select(ROW, *columns), []
         late = self.held(used.withColumn("__late", repeats).filter("__late").select(ROW))
         n = first = late.count()
         if not n:
@@ -295,6 +326,11 @@ class Generator:
             changed = settled.select(F.col(ROW).alias("__changed"), *[F.col(c).alias(f"__new_{c}") for c in free])
             changes = changed if changes is None else changes.unionByName(changed)
             if not n:
+                rounds, self.kept = self.kept, []
+                changes = self.held(changes)
+                if changes.count() and rounds:  # what is left are the changed rows
+                    for df in rounds:
+                        df.unpersist()
                 kept = [F.when(F.col("__changed").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in free else F.col(c) for c in out.columns]
                 return out.join(small(changes, first), out[ROW] == F.col("__changed"), "left").select(*kept)
             taken = taken.unionByName(settled.filter(complete).select(*columns))
@@ -302,8 +338,12 @@ class Generator:
         raise GenerationError(f"{t.table}: no unique values for {', '.join(columns)} after {TRIES} tries")
 
     def held(self, df: DataFrame) -> DataFrame:
-        """df, computed once: in the checkpoint folder if the session has one, else kept by the executors."""
-        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.persist()
+        """df, computed once: in the checkpoint folder if the session has one, else kept by the executors until the constraint is
+        settled."""
+        if self.spark.sparkContext.getCheckpointDir():
+            return df.checkpoint()
+        self.kept.append(df.persist())
+        return df
 
     def self_reference(self, out: DataFrame, name: str, column: str, n: int) -> DataFrame:
         """Another row's key: never the row's own, unless there is but one."""

@@ -183,18 +183,18 @@ def engine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = Schema.of(
         Table("customer", (c("id", "integer", primary=True), c("score", "integer", nullable=True), c("tier", "string"), c("referrer", "integer", nullable=True), c("created_at", "timestamp"), c("deleted_at", "timestamp", nullable=True)), ("id",), (ForeignKey(("referrer",), "customer", ("id",)),)),
         Table("orders", (c("id", "integer", primary=True), c("customer_id", "integer")), ("id",), (ForeignKey(("customer_id",), "customer", ("id",)),)),
-        Table("part", (c("id", "integer", primary=True),), ("id",)),
+        Table("part", (c("id", "integer", primary=True), c("code", "integer", unique=True), c("sku", unique=True)), ("id",)),
         Table("supplier", (c("id", "integer", primary=True), c("nation_id", "integer")), ("id",), (ForeignKey(("nation_id",), "nation", ("id",)),)),
         Table("nation", (c("id", "integer", primary=True),), ("id",)),
         Table("part_supplier", (c("part_id", "integer"), c("supplier_id", "integer")), ("part_id", "supplier_id"), (ForeignKey(("part_id",), "part", ("id",)), ForeignKey(("supplier_id",), "supplier", ("id",)))),
     )
-    rows = {n: table(spark, sf_dir, n).count() for n in {"customer": ("customer", "orders"), "orders": ("customer", "orders"), "supplier": ("supplier", "nation"), "part_supplier": ("part", "supplier", "nation")}[name] if n != "orders"}
+    rows = {n: table(spark, sf_dir, n).count() for n in {"customer": ("customer", "orders"), "orders": ("customer", "orders"), "part": ("part",), "supplier": ("supplier", "nation"), "part_supplier": ("part", "supplier", "nation")}[name] if n != "orders"}
     number = {"id": Field("row-number")}
     big = Persona("big", 0.2, {"tier": "gold"}, {"orders": 3.0})
     plans = [
         TablePlan("customer", rows.get("customer"), number | {"score": Field("row-number", null_probability=0.15), "tier": Field("constant", {"value": "plain"})}, personas=(big, Persona("small", 0.8)), timeline=Timeline(TIME[0], TIME[1], jitter=0.02), churn_rate=0.05, rows=({"tier": "FIRST"}, {"tier": "SECOND", "score": -1})),
         TablePlan("orders", 0, number, count_per_parent={"kind": "uniformInt", "min": 1, "max": 5}),
-        TablePlan("part", rows.get("part"), number),
+        TablePlan("part", rows.get("part"), number | {"code": Field("uniformInt", {"min": 1, "max": UNIQUE}), "sku": Field("sku", {"length": 5})}),
         TablePlan("supplier", rows.get("supplier"), number),
         TablePlan("nation", rows.get("nation"), number),
         TablePlan("part_supplier", 0, {}),
@@ -261,6 +261,17 @@ def engine_fk_pick(spark, sf_dir):
     return engine(spark, sf_dir, "supplier").select(F.col("id").cast("long").alias("id"), F.col("nation_id").cast("long").alias("nation_id"))
 
 
+UNIQUE = 10_000_000
+
+
+@query("unique_codes", f"SELECT p + 1 AS id, x + 1 AS code, (SELECT count(*) FROM part) AS codes, (SELECT count(*) FROM part) AS skus FROM {sql.permuted('(SELECT p_partkey AS p FROM part)', 'p', UNIQUE, ('42', 'part', '__unique__', 'code'))}")
+def unique_codes(spark, sf_dir):
+    """Unique numbers and texts: a permutation of the row's number, mapped to values; and how many different ones there are."""
+    made = engine(spark, sf_dir, "part")
+    different = made.agg(F.count_distinct("code").alias("codes"), F.count_distinct("sku").alias("skus"))
+    return made.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).join(F.broadcast(different))
+
+
 @query("unique_conflicts", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def unique_conflicts(spark, sf_dir):
     return quality.key_violations(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.generators import Context, generate
-from weftline.functions.rng import stream
+from weftline.operators.generate import Generator
 from weftline.plans.model import Plan
 
 
@@ -17,16 +16,9 @@ def row_stream(spark: SparkSession, rows_per_second: int) -> DataFrame:
 def generated(rows: DataFrame, plan: Plan, table: str) -> DataFrame:
     """The cells of a table without foreign keys for rows(value: row number, timestamp), streaming or not. Without state: a
     restarted stream gives the same rows again."""
-    t, schema = plan.tables[table], plan.schema.tables[table]
-    out = rows.withColumnRenamed("value", "__row")
-    cells = {}
-    for c, f in t.fields.items():
-        if f.kind == "row-number":
-            cells[c] = F.col("__row") + 1
-        else:
-            state = stream(plan.seed, table, "__row__", F.col("__row").cast("string"), c)
-            cells[c] = generate(f.kind, f.params, state, Context(plan.reference_ms)).cast(schema.column(c).spark_type)
-    return out.withColumns(cells).select("timestamp", *cells)
+    engine = Generator(rows.sparkSession, plan)
+    cells = {c: engine.value(table, c, f, F.col("__row"), {}) for c, f in plan.tables[table].fields.items()}
+    return rows.withColumnRenamed("value", "__row").withColumns(cells).select("timestamp", *cells)
 
 
 def unique_within(rows: DataFrame, columns: list[str], late: str = "10 minutes") -> DataFrame:
