@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.rng import let, uniform
+from weftline.functions.rng import State, let, uniform
 
 DAY_MS = 86_400_000
 
@@ -18,15 +18,15 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def uniform_int(state: Column, low: int, high: int, draw: int = 1) -> Column:
+def uniform_int(state: Column | State, low: int, high: int, draw: int = 1) -> Column:
     return (F.floor(uniform(state, draw) * float(high - low + 1)) + F.lit(low)).cast("long")
 
 
-def uniform_real(state: Column, low: float, high: float, draw: int = 1) -> Column:
+def uniform_real(state: Column | State, low: float, high: float, draw: int = 1) -> Column:
     return uniform(state, draw) * (high - low) + low
 
 
-def weighted(state: Column, weights: Mapping[str, float], draw: int = 1) -> Column:
+def weighted(state: Column | State, weights: Mapping[str, float], draw: int = 1) -> Column:
     """A key with probability in proportion to its weight, in the mapping's order."""
     total = math.fsum(weights.values())
     if not weights or not total > 0:
@@ -45,7 +45,7 @@ def weighted(state: Column, weights: Mapping[str, float], draw: int = 1) -> Colu
     return let(uniform(state, draw), choice)
 
 
-def pareto_int(state: Column, low: float, high: float, alpha: float, draw: int = 1) -> Column:
+def pareto_int(state: Column | State, low: float, high: float, alpha: float, draw: int = 1) -> Column:
     """Bounded Pareto, rounded."""
     if not (0 < low <= high and alpha > 0):
         raise ValueError("pareto needs 0 < low <= high and a positive alpha")
@@ -53,13 +53,13 @@ def pareto_int(state: Column, low: float, high: float, alpha: float, draw: int =
     return F.least(F.greatest(half_up(x), F.lit(math.ceil(low))), F.lit(math.floor(high))).cast("long")
 
 
-def exponential(state: Column, rate: float, draw: int = 1) -> Column:
+def exponential(state: Column | State, rate: float, draw: int = 1) -> Column:
     if not rate > 0:
         raise ValueError("the rate must be positive")
     return -F.log(F.greatest(1 - uniform(state, draw), F.lit(1e-16))) / rate
 
 
-def normal(state: Column, mean: float, sd: float, draw: int = 1) -> Column:
+def normal(state: Column | State, mean: float, sd: float, draw: int = 1) -> Column:
     """Takes two draws; none if sd is 0."""
     if sd == 0:
         return F.lit(float(mean))
@@ -67,7 +67,7 @@ def normal(state: Column, mean: float, sd: float, draw: int = 1) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(state, draw + 1)) * sd + mean
 
 
-def zipf(state: Column, n: int, s: float, draw: int = 1) -> Column:
+def zipf(state: Column | State, n: int, s: float, draw: int = 1) -> Column:
     """A rank from 1 to n with probability in proportion to rank ** -s. The distribution function is made once, on the driver;
     n is a parameter of the plan, not of the data."""
     parts = [k**-s for k in range(1, n + 1)]
@@ -78,14 +78,14 @@ def zipf(state: Column, n: int, s: float, draw: int = 1) -> Column:
     return let(uniform(state, draw), lambda u: F.least(F.size(F.filter(F.lit(cdf), lambda x: x <= u)) + 1, F.lit(n)).cast("long"))
 
 
-def recency(state: Column, days: float, skew: str, reference_ms: int, draw: int = 1) -> Column:
+def recency(state: Column | State, days: float, skew: str, reference_ms: int, draw: int = 1) -> Column:
     """Milliseconds since the epoch within days before the reference: skewed towards it, away from it, or uniform."""
     both = lambda: uniform(state, draw) * uniform(state, draw + 1)
     share = {"recent": both, "old": lambda: 1 - both(), "uniform": lambda: uniform(state, draw)}[skew]()
     return F.floor(F.lit(float(reference_ms)) - share * (days * DAY_MS)).cast("long")
 
 
-def count_of(spec, state: Column) -> Column:
+def count_of(spec, state: Column | State) -> Column:
     """A number of rows by a specification: a number, or a mapping with kind and parameters."""
     if isinstance(spec, (int, float)):
         return F.lit(int(spec)).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import words
 from weftline.functions.distributions import exponential, half_up, normal, pareto_int, recency, uniform_int, uniform_real, weighted, zipf
-from weftline.functions.rng import bits, let, uniform
+from weftline.functions.rng import State, bits, let, uniform
 
 WEEK_MS = 7 * 86_400_000
 
@@ -49,11 +49,14 @@ def register(*names: str, types: tuple[str, ...] = ("*",), distinct: Callable[[d
     return add
 
 
-def generate(kind: str, params: dict[str, Any], state: Column, context: Context) -> Column:
+def generate(kind: str, params: dict[str, Any], state: Column | State, context: Context) -> Column:
     name = kind.removeprefix("faker.") if kind.startswith("faker.") else kind
     if name not in KINDS:
         raise ValueError(f"unknown generator {kind!r}")
-    return let(state, lambda s: KINDS[name].make(params, s, context))
+    make = KINDS[name].make
+    if isinstance(state, State):  # generators from elsewhere get the column itself
+        return make(params, state if make.__module__ == __name__ and name != "derived" else state.column, context)
+    return let(state, lambda s: make(params, s, context))
 
 
 def pick(state: Column, values: list, draw: int = 1) -> Column:
@@ -103,8 +106,8 @@ def nth_ip(params: dict, n: Column) -> Column:
 def uuid(params: dict, state: Column, context: Context) -> Column:
     """Four draws give 32 hexadecimal digits; the version digit is 4 and a fifth draw gives the variant digit."""
     variant = F.substring(F.lit("89ab"), (F.floor(uniform(state, 5) * 4) + 1).cast("int"), F.lit(1))
-    dashed = lambda h: F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    return let(F.concat(*[hex8(bits(state, k)) for k in range(1, 5)]), dashed)
+    first, second, third, fourth = (hex8(bits(state, k)) for k in range(1, 5))
+    return F.concat_ws("-", first, F.substring(second, 1, 4), F.concat(F.lit("4"), F.substring(second, 6, 3)), F.concat(variant, F.substring(third, 2, 3)), F.concat(F.substring(third, 5, 4), fourth))
 
 
 @register("weighted-categorical", "enum", types=("string", "enum"), distinct=lambda p: len(set(p.get("values") or p.get("enumValues") or ())), nth=lambda p, n: at(list(dict.fromkeys(p.get("values") or p.get("enumValues"))), n))

@@ -8,6 +8,7 @@ The part of the path that is the same for all rows is hashed on the driver; draw
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,25 @@ OFFSET, PRIME, STEP, MASK = 2166136261, 16777619, 0x6D2B79F5, 0xFFFFFFFF
 SEP = "\0"
 
 
+@dataclass(frozen=True)
+class State:
+    """A stream's state that stands in a column of its own. What is drawn from it is plain arithmetic on that column, which the
+    engine compiles, and of which it computes common parts once."""
+
+    name: str
+
+    @property
+    def column(self) -> Column:
+        return F.col(self.name)
+
+
+@dataclass(frozen=True)
+class Digits:
+    """A part of a stream's path: the decimal digits of a column of whole numbers, none negative."""
+
+    name: str
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body names it; without it expressions would grow as powers."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -53,13 +73,13 @@ def fold_column(state: Column | int, column: Column) -> Column:
     return F.aggregate(letters, start, lambda h, c: step(h, F.ascii(c).cast("long")))
 
 
-def stream(seed: int | str, *path: str | Column) -> Column:
-    """The state of the stream with this path; parts may be columns."""
+def stream(seed: int | str, *path: str | Column | Digits) -> Column:
+    """The state of the stream with this path; parts may be columns, or digits of columns."""
     state: Column | int = fnv(str(seed))
     for part in path:
-        if isinstance(part, Column):
+        if isinstance(part, (Column, Digits)):
             state = fnv(SEP, state) if isinstance(state, int) else fold_text(state, SEP)
-            state = fold_column(state, part)
+            state = fold_column(state, F.col(part.name) if isinstance(part, Digits) else part)
         else:
             state = fnv(SEP + part, state) if isinstance(state, int) else fold_text(state, SEP + part)
     return F.lit(state).cast("long") if isinstance(state, int) else state
@@ -72,14 +92,16 @@ def multiply(a: Column, b: Column) -> Column:
     return (low + high).bitwiseAND(MASK)
 
 
-def bits(state: Column, draw: int = 1) -> Column:
+def bits(state: Column | State, draw: int = 1) -> Column:
     """The 32-bit output of the stream's draw, counted from 1."""
-    jumped = (state + (draw * STEP & MASK)).bitwiseAND(MASK)
+    leaf = isinstance(state, State)
+    once = (lambda value, body: body(value)) if leaf else let
+    jumped = ((state.column if leaf else state) + (draw * STEP & MASK)).bitwiseAND(MASK)
     turn = lambda t: (t + multiply(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK)
-    return let(let(let(jumped, lambda s: s.bitwiseXOR(F.shiftright(s, 15))), turn), lambda t: t.bitwiseXOR(F.shiftright(t, 14)))
+    return once(once(once(jumped, lambda s: s.bitwiseXOR(F.shiftright(s, 15))), turn), lambda t: t.bitwiseXOR(F.shiftright(t, 14)))
 
 
-def uniform(state: Column, draw: int = 1) -> Column:
+def uniform(state: Column | State, draw: int = 1) -> Column:
     """A double in [0, 1)."""
     return bits(state, draw) / 4294967296.0
 

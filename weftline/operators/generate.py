@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from weftline.functions import distributions as D
 from weftline.functions.generators import Context, generate, numbered_values, unique_value
 from weftline.functions.permute import MOST, permuted
-from weftline.functions.rng import SEP, fold_text, number, stream, uniform
+from weftline.functions.rng import SEP, Digits, State, fold_text, number, stream, uniform
 from weftline.plans.graph import build
 from weftline.plans.hooks import through
 from weftline.plans.model import Field, Plan, Table, TablePlan, Timeline
@@ -69,22 +69,34 @@ class Generator:
 
     # Expressions of a row's number
 
-    def cell(self, table: str, row: Column, column: str, *retry: str) -> Column:
-        """The stream of a cell. For the table under way the part of the path up to the row is hashed once a row, not a cell."""
-        at = F.col(OWN) if row is self.own_row else stream(self.plan.seed, table, "__row__", row.cast("string"))
+    def cell(self, table: str, row: Column | str, column: str, *retry: str) -> Column:
+        """The stream of a cell; row is a number or the name of a column of numbers. For the table under way the part of the path up
+        to the row is hashed once a row, not a cell."""
         path = (retry[0], column, *retry[1:]) if retry else (column,)
-        return fold_text(at, SEP + SEP.join(path))
+        if row == ROW if isinstance(row, str) else row is self.own_row:
+            return fold_text(F.col(OWN), SEP + SEP.join(path))
+        if isinstance(row, str):
+            return stream(self.plan.seed, table, "__row__", Digits(row), *path)
+        return fold_text(stream(self.plan.seed, table, "__row__", row.cast("string")), SEP + SEP.join(path))
+
+    def by_row(self, *path: str, row: str = ROW) -> Column:
+        """The stream whose path ends with the digits of a column."""
+        return stream(self.plan.seed, *path, Digits(row))
+
+    def key_name(self, table: str) -> str:
+        t = self.plan.schema.tables[table]
+        return t.primary_key[0] if t.primary_key else t.columns[0].name
 
     def key(self, table: str, row: Column) -> Column:
         """The first key column of a table's row, from the row's number."""
-        t = self.plan.schema.tables[table]
-        name = t.primary_key[0] if t.primary_key else t.columns[0].name
+        name = self.key_name(table)
         f = self.plan.tables[table].fields.get(name)
         if f is None:
             raise GenerationError(f"{table}.{name}: a key that other tables refer to needs a generator")
         return self.value(table, name, f, row, {})
 
-    def value(self, table: str, name: str, f: Field, row: Column, columns: dict[str, Column], *retry: str) -> Column:
+    def value(self, table: str, name: str, f: Field, row: Column, columns: dict[str, Column], *retry: str, state: State | None = None) -> Column:
+        """A cell; state, if given, is its stream."""
         column = self.plan.schema.tables[table].column(name)
         if f.kind == "row-number":
             out = row + 1
@@ -93,12 +105,26 @@ class Generator:
             out = F.when(row < size, unique_value(f.kind, f.params, at)).otherwise(F.raise_error(F.lit(f"{table}.{name}: more rows than the {size} values of a unique column")))
         elif f.kind == "fk-reference":
             target = f.params["referencedTable"]
-            out = self.key(target, self.pick(target, self.cell(table, row, name)))
+            out = self.key(target, self.pick(target, state or self.cell(table, row, name)))
         else:
-            out = generate(f.kind, f.params, self.cell(table, row, name, *retry), Context(self.plan.reference_ms, columns))
+            out = generate(f.kind, f.params, state or self.cell(table, row, name, *retry), Context(self.plan.reference_ms, columns))
         kind = column.spark_type
         return out if f.kind in ("geo.city",) or isinstance(kind, T.ArrayType) else out.cast(kind)
 
+    def referred(self, out: DataFrame, column: str, table: str, name: str, row: str) -> DataFrame:
+        """out with a column of another table's row, whose number is the column row: its stream first, then what is drawn from it."""
+        state = State("__state")
+        with_state = out.withColumn(state.name, self.cell(table, row, name))
+        f = self.plan.tables[table].fields.get(name)
+        if f is None:
+            raise GenerationError(f"{table}.{name}: a key that other tables refer to needs a generator")
+        return with_state.withColumn(column, self.value(table, name, f, F.col(row), {}, state=state)).drop(state.name)
+
+    def drawn_parent(self, out: DataFrame, column: str, table: str, *path: str) -> DataFrame:
+        """out with a row number of a table, drawn from the stream of path and the row."""
+        state = State("__state")
+        return out.withColumn(state.name, self.by_row(*path)).withColumn(column, self.pick(table, state)).drop(state.name)
+
     def capacity(self, table: str, name: str) -> int | None:
         """How many values a unique column has that takes each once at most, by the permuted number of its row; None if it is not
         made so: values that cannot be numbered, that personas or rows set, or fewer values than rows of which some are null."""
@@ -126,7 +152,7 @@ class Generator:
             made.rows = made.frame.count() if made.counts is None else made.counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
         return made.rows
 
-    def pick(self, table: str, state: Column) -> Column:
+    def pick(self, table: str, state: Column | State) -> Column:
         """A row number of a table, uniformly."""
         return F.floor(uniform(state) * float(self.size(table))).cast("long")
 
@@ -142,7 +168,7 @@ class Generator:
         n = max(1, int(D.most(t.count))) if isinstance(t.count, (int, float)) else self.drawn(t)
         out = range_of(self.spark, n)
         if keys:
-            out = out.withColumn("__parent0", self.pick(keys[0].table, stream(self.plan.seed, t.table, "__parent__", keys[0].table, F.col(ROW).cast("string"))))
+            out = self.drawn_parent(out, "__parent0", keys[0].table, t.table, "__parent__", keys[0].table)
         return out
 
     def drawn(self, t: TablePlan) -> int:
@@ -152,9 +178,9 @@ class Generator:
 
     def children(self, t: TablePlan, parent: str, default) -> DataFrame:
         """(__parent0, __n): how many children each row of the parent has; personas multiply, churn tapers."""
-        p = self.made[parent].frame
+        p = self.made[parent].frame.withColumn("__state", self.by_row(t.table, "__parent__", parent))
         row = F.col(ROW)
-        n = D.count_of(t.count_per_parent if t.count_per_parent is not None else default, stream(self.plan.seed, t.table, "__parent__", parent, row.cast("string"))).cast("double")
+        n = D.count_of(t.count_per_parent if t.count_per_parent is not None else default, State("__state")).cast("double")
         factors = {x.name: x.cascades[t.table] for x in self.plan.tables[parent].personas if t.table in x.cascades}
         if factors:
             by = F.lit(1.0)
@@ -203,13 +229,13 @@ class Generator:
             stride = 1 + int(number(self.plan.seed, t.table, "__stride__") * size)
             while math.gcd(stride, size) != 1:
                 stride += 1
-            start = F.floor(uniform(stream(self.plan.seed, t.table, "__junction__", F.col("__parent0").cast("string"))) * float(size)).cast("long")
-            other = F.pmod(start + F.col("__k") * F.lit(stride), F.lit(size))
+            start = F.floor(uniform(State("__state")) * float(size)).cast("long")
+            drawn = out.withColumn("__state", self.by_row(t.table, "__junction__", row="__parent0"))
+            out = drawn.withColumn("__parent1", F.pmod(start + F.col("__k") * F.lit(stride), F.lit(size))).drop("__state")
         else:
-            other = self.pick(second, stream(self.plan.seed, t.table, "__junction__", F.col(ROW).cast("string")))
-        out = out.withColumn("__parent1", other)
+            out = self.drawn_parent(out, "__parent1", second, t.table, "__junction__")
         for i, fk in enumerate(keys[2:], 2):
-            out = out.withColumn(f"__parent{i}", self.pick(fk.table, stream(self.plan.seed, t.table, "__parent__", fk.table, F.col(ROW).cast("string"))))
+            out = self.drawn_parent(out, f"__parent{i}", fk.table, t.table, "__parent__", fk.table)
         return out.drop("__k")
 
     # Columns
@@ -220,28 +246,31 @@ class Generator:
         self.own_row = self.counts = None
         out = self.rows(t, table)
         self.made[name] = Made(out, max(1, int(t.count)) if self.simple(t, table) else None, self.counts)
-        out = out.withColumn(OWN, stream(self.plan.seed, name, "__row__", F.col(ROW).cast("string")))
+        out = out.withColumn(OWN, self.by_row(name, "__row__"))
         row = self.own_row = F.col(ROW)
         for i, fk in enumerate(keys):
-            out = out.withColumn(fk.columns[0], self.key(fk.table, F.col(f"__parent{i}")))
+            out = self.referred(out, fk.columns[0], fk.table, self.key_name(fk.table), f"__parent{i}")
             for c, r in list(zip(fk.columns, fk.references, strict=True))[1:]:
-                out = out.withColumn(c, self.value(fk.table, r, self.plan.tables[fk.table].fields[r], F.col(f"__parent{i}"), {}))
+                out = self.referred(out, c, fk.table, r, f"__parent{i}")
         out = out.drop(*[f"__parent{i}" for i in range(len(keys))])
         if t.personas:
-            out = out.withColumn("__persona", D.weighted(stream(self.plan.seed, name, "__persona__", row.cast("string")), {p.name: p.weight for p in t.personas}))
+            out = out.withColumn("__persona", D.weighted(self.by_row(name, "__persona__"), {p.name: p.weight for p in t.personas}))
         if t.timeline:
             out = self.on_timeline(out, t, table, self.size(name))
         bound = set(out.columns) - {OWN}
         for layer in layers({c: f for c, f in t.fields.items() if c not in bound}):
             have = {c: F.col(c) for c in out.columns if c != OWN}
-            out = out.withColumns({c: self.personal(t, c, self.value(name, c, f, row, have), have) for c, f in layer.items()})
+            states = {c: State(f"__state{i}") for i, c in enumerate(layer)}
+            out = out.withColumns({s.name: self.cell(name, ROW, c) for c, s in states.items()})
+            out = out.withColumns({c: self.personal(t, c, self.value(name, c, f, row, have, state=states[c]), have) for c, f in layer.items()})
+            out = out.drop(*[s.name for s in states.values()])
         blank = {}
         for c in table.columns:
             p = self.null_share(t, c) if c.name in out.columns else 0.0
             if c.name not in out.columns:
                 blank[c.name] = F.lit(None).cast(c.spark_type)
             elif p > 0:
-                blank[c.name] = F.when(uniform(stream(self.plan.seed, name, "__nullable__", c.name, row.cast("string"))) >= p, F.col(c.name))
+                blank[c.name] = F.when(uniform(self.by_row(name, "__nullable__", c.name)) >= p, F.col(c.name))
         out = out.withColumns(blank) if blank else out
         for i, fixed in enumerate(t.rows):
             out = out.withColumns({c: F.when(row == i, F.lit(v).cast(table.column(c).spark_type)).otherwise(F.col(c)) for c, v in fixed.items()})
@@ -274,7 +303,7 @@ class Generator:
 
     def on_timeline(self, out: DataFrame, t: TablePlan, table: Table, n: int) -> DataFrame:
         """Times of creation along the growth curve, and of leaving after an exponential life."""
-        state = stream(self.plan.seed, t.table, "__timeline__", F.col(ROW).cast("string"))
+        out, state = out.withColumn("__state", self.by_row(t.table, "__timeline__")), State("__state")
         q = F.lit(0.0) if n <= 1 else F.col(ROW) / float(n - 1)
         q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), q + (uniform(state) - 0.5) * t.timeline.jitter))
         ms = F.lit(float(t.timeline.start_ms)) + inverse_growth(t.timeline, q) * float(t.timeline.end_ms - t.timeline.start_ms)
@@ -283,10 +312,11 @@ class Generator:
             out = out.withColumn(created, F.timestamp_millis(F.floor(ms).cast("long")).cast(table.column(created).spark_type))
         left = next((c for c in CHURNED if table.column(c)), None)
         if left and created and t.churn_rate:
-            life = D.exponential(stream(self.plan.seed, t.table, "__churn__", F.col(ROW).cast("string")), t.churn_rate) * MONTH_MS
+            out = out.withColumn("__state", self.by_row(t.table, "__churn__"))
+            life = D.exponential(State("__state"), t.churn_rate) * MONTH_MS
             gone = F.unix_millis(F.col(created).cast("timestamp")) + life
             out = out.withColumn(left, F.when(gone < t.timeline.end_ms, F.timestamp_millis(F.floor(gone).cast("long"))).cast(table.column(left).spark_type))
-        return out
+        return out.drop("__state")
 
     def unique(self, out: DataFrame, t: TablePlan, table: Table) -> DataFrame:
         """Rows that repeat the values of a unique constraint, all but the first, draw them again until none is left.
@@ -348,8 +378,10 @@ class Generator:
     def self_reference(self, out: DataFrame, name: str, column: str, n: int) -> DataFrame:
         """Another row's key: never the row's own, unless there is but one."""
         row = F.col(ROW)
-        step = F.floor(uniform(stream(self.plan.seed, name, "__selfref__", row.cast("string"))) * float(max(n - 1, 1))).cast("long")
-        return out.withColumn(column, self.key(name, F.pmod(row + 1 + step, F.lit(n)) if n > 1 else row))
+        out = out.withColumn("__state", self.by_row(name, "__selfref__"))
+        step = F.floor(uniform(State("__state")) * float(max(n - 1, 1))).cast("long")
+        out = out.withColumn("__other", F.pmod(row + 1 + step, F.lit(n)) if n > 1 else row).drop("__state")
+        return self.referred(out, column, name, self.key_name(name), "__other").drop("__other")
 
     def run(self) -> dict[str, DataFrame]:
         for name in self.graph.order:
