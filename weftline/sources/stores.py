@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -14,14 +13,11 @@ from pyspark.sql import functions as F
 from weftline.plans.graph import build
 from weftline.plans.hooks import through
 from weftline.plans.model import Schema, schema_hash
+from weftline.sources.commits import Commit, Files, WriteError, recover
 
 FORMATS = ("parquet", "json", "csv", "orc")
 
 
-class WriteError(RuntimeError):
-    pass
-
-
 def encoded(df: DataFrame) -> DataFrame:
     """For text formats: structs, maps and arrays as JSON."""
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "map", "array")) else F.col(c) for c, t in df.dtypes])
@@ -35,56 +31,113 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Schema, path: str, mode: str = "fresh", kind: str = "parquet", plugins: Sequence = (), progress: Callable[[str, int], bool | None] | None = None, **options) -> dict[str, int]:
     """Writes each table under path, parents first, and returns how many rows each got.
 
-    fresh: an error, before anything is written, if any table has rows; truncate: what is there is replaced; append: adds.
-    fresh and truncate give all tables or none: they are written to a folder beside, which takes the old one's place, table by
-    table, when all of them are whole; if anything fails, the old tables stand as before. append adds to a table as a whole when
-    its write commits. Counts come with the write, not from another pass.
+    fresh: an error, before anything is written, if any table has rows; truncate: what is there is replaced; append: adds. All
+    tables or none are written: they go to a folder beside and, when all of them are whole, into place by a commit that a lost
+    driver cannot leave half done for good: the next write, or recover(spark, path), finishes it. If anything fails, the old tables
+    stand as before. Counts come with the write, not from another pass. One writer at a time may use a path.
 
-    Plugins see each table before and after. progress hears of every table and its rows; if it says False, the run ends and, but
-    for append, nothing has changed."""
+    Plugins see each table before and after. progress hears of every table and its rows; if it says False, the run ends and
+    nothing has changed."""
     if mode not in ("fresh", "truncate", "append") or kind not in FORMATS:
         raise ValueError(f"no mode {mode!r} or format {kind!r}")
+    recover(spark, path)
     order = [n for n in build(schema).order if n in tables] + [n for n in tables if n not in schema.tables]
-    there = [n for n in order if exists(spark, f"{path}/{n}")]
     if mode == "fresh":
-        for n in there:
-            if count := spark.read.format(kind).load(f"{path}/{n}").count():
+        for n in order:
+            if exists(spark, f"{path}/{n}") and (count := spark.read.format(kind).load(f"{path}/{n}").count()):
                 raise WriteError(f"{n} has {count} rows; use truncate or append")
-    counts, fs = {}, spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    beside = f"{path}/.writing-{uuid.uuid4().hex}"
-    target = path if mode == "append" else f"{beside}/new"
-    moved: list[tuple[str, str]] = []
+    counts, files = {}, Files(spark, path)
+    commit = Commit(files, path)
     try:
         for n in order:
             seen = Observation(f"rows of {n}")
             df = through(plugins, "before_insert", tables[n], n).observe(seen, F.count(F.lit(1)).alias("n"))
-            (encoded(df) if kind == "csv" else df).write.format(kind).options(**options).mode("append").save(f"{target}/{n}")
+            (encoded(df) if kind == "csv" else df).write.format(kind).options(**options).save(f"{commit.new}/{n}")
             counts[n] = seen.get["n"]
             if progress and progress(n, counts[n]) is False:
                 raise WriteError(f"stopped after {n}")
-        if mode != "append":
-            fs.mkdirs(at(f"{beside}/old"))
-            for n in order:
-                for a, b in ([(f"{path}/{n}", f"{beside}/old/{n}")] if n in there else []) + [(f"{target}/{n}", f"{path}/{n}")]:
-                    if not fs.rename(at(a), at(b)):
-                        raise WriteError(f"{a} could not be moved to {b}")
-                    moved.append((a, b))
     except BaseException:
-        for a, b in reversed(moved):
-            fs.rename(at(b), at(a))
+        files.delete(commit.beside)
         raise
-    finally:
-        fs.delete(at(beside), True)
+    commit.finish(order, add=mode == "append")
     for n in order:
         through(plugins, "after_insert", counts[n], n)
     return counts
 
 
-def write_jdbc(tables: dict[str, DataFrame], schema: Schema, url: str, mode: str = "append", batch: int = 5000, **options: str) -> None:
-    """The same to a database, parents first. No driver is at hand here, so this is not tested against a database."""
-    for n in [n for n in build(schema).order if n in tables]:
-        encoded(tables[n]).write.format("jdbc").options(url=url, dbtable=n, batchsize=str(batch), truncate="true", **options).mode("overwrite" if mode == "truncate" else "append" if mode == "append" else "errorifexists").save()
+STAGED = "__new"
+
+
+def write_jdbc(tables: dict[str, DataFrame], schema: Schema, url: str, mode: str = "append", batch: int = 5000, **options: str) -> dict[str, int]:
+    """The same to a database, and how many rows each table got: all tables or none, parents first.
+
+    Executors fill a table of its own, named with __new, beside each; one transaction then empties the tables, if mode is
+    truncate, and copies all of them, so that the database does the work and either commits it or not. fresh: an error if a table has
+    rows. Tables that are not there are made from the first rows' types. Quotes in names follow the database's own rules."""
+    order = [n for n in build(schema).order if n in tables] + [n for n in tables if n not in schema.tables]
+    spark = next(iter(tables.values())).sparkSession
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    if options.get("driver"):
+        jvm.org.apache.spark.util.Utils.classForName(options["driver"], True, False)
+    dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    name = dialect.quoteIdentifier
+    there, counts = set(), {}
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+
+        def run(text: str) -> int:
+            statement = connection.createStatement()
+            try:
+                return statement.executeUpdate(text)
+            finally:
+                statement.close()
+
+        def size(table: str) -> int | None:
+            """Rows of a table, None if there is none."""
+            statement = connection.createStatement()
+            try:
+                found = statement.executeQuery(f"SELECT count(*) FROM {name(table)}")
+                found.next()
+                return found.getLong(1)
+            except Exception:
+                connection.rollback()
+                return None
+            finally:
+                statement.close()
+
+        for n in order:
+            if (rows := size(n)) is not None:
+                there.add(n)
+                if rows and mode == "fresh":
+                    raise WriteError(f"{n} has {rows} rows; use truncate or append")
+        connection.commit()
+        for n in order:
+            target = encoded(tables[n]).write.format("jdbc").options(url=url, dbtable=name(n + STAGED), batchsize=str(batch), **options)
+            target.mode("overwrite").save()
+            if n not in there:
+                encoded(tables[n]).limit(0).write.format("jdbc").options(url=url, dbtable=name(n), **options).save()
+        try:
+            if mode == "truncate":
+                for n in reversed(order):
+                    run(f"DELETE FROM {name(n)}")
+            for n in order:
+                columns = ", ".join(map(name, tables[n].columns))
+                counts[n] = run(f"INSERT INTO {name(n)} ({columns}) SELECT {columns} FROM {name(n + STAGED)}")
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+    finally:
+        for n in order:
+            if size(n + STAGED) is not None:
+                run(f"DROP TABLE {name(n + STAGED)}")
+        connection.commit()
+        connection.close()
+    return counts
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
