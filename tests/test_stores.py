@@ -94,3 +94,25 @@ def test_running_rows_over_blocks(spark, monkeypatch):
     for n, t, r in rows:
         sums[t] = want[n] = sums.get(t, 0) + r
     assert {r["n"]: r["written"] for r in got} == want and len(got) == 60
+
+
+def test_replay_without_rows(spark, tmp_path):
+    """A bundle without rows gives, from its configuration and seed, the tables that it was exported from; other rows are told."""
+    from weftline.operators.generate import generate_tables
+    from weftline.plans.build import build_plan
+
+    config = {"tables": {"users": {"count": 25}, "products": {"count": 12}, "tags": {"count": 6}, "orders": {"countPerParent": {"kind": "uniformInt", "min": 1, "max": 3}}, "order_items": {"countPerParent": 2}, "product_tags": {"countPerParent": 1}}, "seed": 7}
+    plan, path = build_plan(shop_schema(), config), f"file://{tmp_path}/bundle"
+    made = generate_tables(spark, plan)
+    for snapshot, kind in ((False, "parquet"), (True, "json")):
+        stores.export_bundle(spark, f"{path}-{kind}", plan.schema, config, make_lock(plan, config, {}), made, kind, snapshot)
+        back = stores.import_bundle(spark, f"{path}-{kind}", plan.schema)
+        assert set(back) == set(made) and stores.differing(back, stores.read_part(spark, f"{path}-{kind}", "manifest")["prints"]) == []
+    assert back["orders"].exceptAll(made["orders"].select(back["orders"].columns)).isEmpty()
+    assert not stores.exists(spark, f"{path}-parquet/data")
+    stores.export_bundle(spark, path, plan.schema, config, {**make_lock(plan, config, {}), "seed": 8}, made, snapshot=False)
+    with pytest.raises(stores.WriteError, match="other rows.*users"):
+        stores.import_bundle(spark, path, plan.schema)
+    assert stores.import_bundle(spark, path, plan.schema, verify=False)["users"].count() == 25
+    with pytest.raises(stores.WriteError, match="functions"):
+        stores.export_bundle(spark, path, plan.schema, {"tables": {"users": {"columns": {"email": lambda c: None}}}}, {})

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from weftline.functions import distributions as D
 from weftline.functions.generators import Context, generate, numbered_values, unique_value
 from weftline.functions.permute import MOST, permuted
-from weftline.functions.rng import SEP, Digits, State, fold_text, number, stream, uniform
+from weftline.functions.rng import SEP, Digits, State, fold_text, let, number, stream, uniform
 from weftline.plans.graph import build
 from weftline.plans.hooks import through
 from weftline.plans.model import Field, Plan, Table, TablePlan, Timeline
@@ -403,6 +404,8 @@ def layers(fields: dict[str, Field]) -> list[dict[str, Field]]:
 
 def inverse_growth(line: Timeline, q: Column) -> Column:
     """The share of the time span at which growth has reached the share q of its total."""
+    if line.season:
+        return inverse_growth(replace(line, season=None), let(q, lambda v: piecewise(v, [(c, g, (h - g) / m) for c, m, g, h, _ in seasons(line)])))
     months = (line.end_ms - line.start_ms) / MONTH_MS
     if not months > 0:
         raise ValueError("a timeline must end after it starts")
@@ -421,6 +424,8 @@ def inverse_growth(line: Timeline, q: Column) -> Column:
 
 def growth(line: Timeline, at: Column) -> Column:
     """The share of its total that growth has reached at a share of the time span; inverse_growth turned round."""
+    if line.season:
+        return let(growth(replace(line, season=None), at), lambda v: piecewise(v, [(g, c, m / (h - g)) for c, m, g, h, _ in seasons(line)]))
     t = F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0))
     months = (line.end_ms - line.start_ms) / MONTH_MS
     if line.growth == "linear":
@@ -435,6 +440,52 @@ def growth(line: Timeline, at: Column) -> Column:
     raise ValueError(f"unknown growth {line.growth!r}")
 
 
+def grown(line: Timeline, t: float) -> float:
+    """growth of a number on the driver, without the season."""
+    months = (line.end_ms - line.start_ms) / MONTH_MS
+    if line.growth == "linear":
+        g = line.total_growth
+        return (2 * t + (g - 1) * t * t) / (g + 1)
+    if line.growth == "compound":
+        k = math.log1p(line.rate) * months
+        return t if k == 0 else math.expm1(t * k) / math.expm1(k)
+    if line.growth == "scurve":
+        k, low, high = line.curve
+        return (1 / (1 + math.exp((line.inflection - t) * k)) - low) / (high - low)
+    raise ValueError(f"unknown growth {line.growth!r}")
+
+
+def seasons(line: Timeline) -> list[tuple[float, float, float, float, int]]:
+    """The calendar months of a timeline with any weight: (share of all rows before it, its own share, growth at its start and at its
+    end, month). The one table that a season needs; it is as long as the timeline has months."""
+    weights = SEASON if line.season == "holiday" else {int(m): float(w) for m, w in line.season.items()}
+    span, parts = line.end_ms - line.start_ms, []
+    month = datetime.fromtimestamp(line.start_ms / 1000, timezone.utc).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    while month.timestamp() * 1000 < line.end_ms:
+        after = (month + timedelta(days=32)).replace(day=1)
+        lo, hi = (min(1.0, max(0.0, (x.timestamp() * 1000 - line.start_ms) / span)) for x in (month, after))
+        low, high = grown(line, lo), grown(line, hi)
+        if (weight := weights.get(month.month, 1.0) * (high - low)) > 0:
+            parts.append((weight, low, high, month.month))
+        month = after
+    total, before, out = math.fsum(w for w, *_ in parts), 0.0, []
+    if not total > 0:
+        raise ValueError("a season must give some month of the timeline weight")
+    for weight, low, high, number_ in parts:
+        out.append((before, weight / total, low, high, number_))
+        before += weight / total
+    return out
+
+
+def piecewise(x: Column, parts: list[tuple[float, float, float]]) -> Column:
+    """A function that is linear between steps, (from, value there, slope), in rising order: a binary search as an expression."""
+    if len(parts) == 1:
+        start, value, slope = parts[0]
+        return (x - start) * slope + value
+    middle = len(parts) // 2
+    return F.when(x < parts[middle][0], piecewise(x, parts[:middle])).otherwise(piecewise(x, parts[middle:]))
+
+
 #: A year's weights by month; the other months weigh 1.
 SEASON = {1: 0.7, 2: 0.85, 10: 0.8, 11: 1.8, 12: 2.0}
 

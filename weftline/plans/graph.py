@@ -190,3 +190,51 @@ def inferred_keys(tables: dict[str, DataFrame], keys: dict[str, str], least: flo
     if out is None:
         raise ValueError("no column's name points to a table")
     return out.filter(F.col("ratio") >= least)
+
+
+#: Columns whose membership one number holds.
+WIDTH = 62
+#: What values are compared as: whole numbers, or texts.
+KINDS = {"bigint": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "string": (T.StringType,)}
+
+
+def inclusions(tables: dict[str, DataFrame], least: float = 1.0) -> DataFrame:
+    """(child, column, parent, key, n_distinct, n_found, ratio) of all pairs of columns, of whole numbers or of texts, of which the second
+    holds the share least or more of the first's distinct values; nulls are no values, and a column without values is in no pair.
+
+    All pairs at once: each table is read once, and each value is shuffled once, with the set of columns that hold it, put together
+    before and after the shuffle, so that frequent values weigh nothing. Values with the same set are counted; from then on
+    there are only as many rows as different sets."""
+    out = [of_kind(tables, kind, types, least) for kind, types in KINDS.items()]
+    out = [x for x in out if x is not None]
+    if not out:
+        raise ValueError("no table has a column of whole numbers or texts")
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def of_kind(tables: dict[str, DataFrame], kind: str, types: tuple, least: float) -> DataFrame | None:
+    columns = [(t, f.name) for t, df in tables.items() for f in df.schema.fields if isinstance(f.dataType, types)]
+    if not columns:
+        return None
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    values = None
+    for t, df in tables.items():
+        own = [F.struct(quoted(c).cast(kind).alias("v"), F.lit(i).alias("c")) for i, (name, c) in enumerate(columns) if name == t]
+        if own:
+            each = df.select(F.inline(F.array(*own)))
+            values = each if values is None else values.unionByName(each)
+    spark, masks = values.sparkSession, [f"m{w}" for w in range(1 + (len(columns) - 1) // WIDTH)]
+    bit = lambda w: F.bit_or(F.when(F.floor(F.col("c") / WIDTH) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c") % WIDTH)).otherwise(F.lit(0).cast("long")))
+    sets = values.filter("v is not null").groupBy("v").agg(*[bit(w).alias(m) for w, m in enumerate(masks)]).groupBy(*masks).agg(F.count("*").alias("n"))
+
+    def members(w: int) -> Column:
+        numbers = F.sequence(F.lit(w * WIDTH), F.lit(min(len(columns), (w + 1) * WIDTH) - 1))
+        return F.filter(numbers, lambda i: F.call_function("shiftright", F.col(masks[w]), i % WIDTH).bitwiseAND(1) == 1)
+
+    both = sets.select("n", F.flatten(F.array(*map(members, range(len(masks))))).alias("in")).select("n", "in", F.explode("in").alias("a")).select("n", "a", F.explode("in").alias("b"))
+    shared = both.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    names = F.broadcast(spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(columns)], "i int, table string, name string"))  # the schema's columns
+    sizes = F.broadcast(shared.filter("a = b").select(F.col("a").alias("of"), F.col("n").alias("n_distinct")))
+    pairs = shared.filter("a <> b").join(sizes, F.col("a") == F.col("of")).withColumn("ratio", F.col("n") / F.col("n_distinct")).filter(F.col("ratio") >= least)
+    named = pairs.join(names.select(F.col("i").alias("a"), F.col("table").alias("child"), F.col("name").alias("column")), "a").join(names.select(F.col("i").alias("b"), F.col("table").alias("parent"), F.col("name").alias("key")), "b")
+    return named.select("child", "column", "parent", "key", "n_distinct", F.col("n").alias("n_found"), "ratio")

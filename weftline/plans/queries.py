@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,28 @@ def seasonal_revenue(spark, sf_dir):
     return orders.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum(seasonal_weight(F.col("o_orderdate"))), 4).alias("weight"))
 
 
+SEASONAL = (1704931200000, 1750550400000)  # from within a month to within another
+SEASON_MONTHS = (SEASONAL[1] - SEASONAL[0]) / (86_400_000 * 30.436875)
+GROWN = "(exp({t} * ln(1.05) * " + repr(SEASON_MONTHS) + ") - 1) / (exp(ln(1.05) * " + repr(SEASON_MONTHS) + ") - 1)"
+SEASON_SQL = f"""
+WITH m AS (SELECT s AS first, greatest(0, (epoch_ms(s) - {SEASONAL[0]}) / {float(SEASONAL[1] - SEASONAL[0])!r}) AS lo, least(1, (epoch_ms(s + INTERVAL 1 MONTH) - {SEASONAL[0]}) / {float(SEASONAL[1] - SEASONAL[0])!r}) AS hi, CASE month(s) WHEN 1 THEN 0.7 WHEN 2 THEN 0.85 WHEN 10 THEN 0.8 WHEN 11 THEN 1.8 WHEN 12 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2025-06-01', INTERVAL 1 MONTH)) AS s)),
+mass AS (SELECT first, w * ({GROWN.format(t='hi')} - {GROWN.format(t='lo')}) AS x FROM m),
+cum AS (SELECT first, (sum(x) OVER (ORDER BY first) - x) / sum(x) OVER () AS c, sum(x) OVER (ORDER BY first) / sum(x) OVER () AS d, max(first) OVER () AS last FROM mass),
+q AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) / greatest((SELECT count(*) FROM orders) - 1, 1)::DOUBLE AS q FROM orders)
+SELECT (year(first) * 100 + month(first))::INT AS month, count(*) AS n FROM q JOIN cum ON q >= c AND (q < d OR first = last) GROUP BY 1"""
+
+
+@query("seasonal_timeline", SEASON_SQL)
+def seasonal_timeline(spark, sf_dir):
+    """As many rows as there are orders, made along a growth that the year's months weigh, by month."""
+    schema = Schema.of(Table("visit", (Column("id", "integer", primary=True), Column("created_at", "timestamp")), ("id",)))
+    line = Timeline(*SEASONAL, growth="compound", rate=0.05, jitter=0.0, season="holiday")
+    plan = TablePlan("visit", table(spark, sf_dir, "orders").count(), {"id": Field("row-number")}, timeline=line)
+    day = F.date_from_unix_date(F.floor(F.unix_millis(F.col("created_at").cast("timestamp")) / 86_400_000).cast("int"))
+    made = generate_tables(spark, Plan(schema, {"visit": plan}, SEED))["visit"]
+    return made.groupBy((F.year(day) * 100 + F.month(day)).alias("month")).agg(F.count("*").alias("n"))
+
+
 # The engine: a small plan with as many rows as the tables have, made by the generator; the SQL is written apart from it.
 
 
@@ -293,9 +317,13 @@ def generated_shop(spark, sf_dir):
 # Quality
 
 
-@query("verify_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {lo} AS at_least, {hi} AS at_most, count(*) BETWEEN {lo} AND {hi} AS ok FROM {t}" for t, lo, hi in (("region", 5, 5), ("nation", 25, 25), ("customer", 1, 1000))))
+#: Rows that the tables of the folder should have: exactly, or within a range.
+EXPECTED = {"region": (5, 5), "nation": (25, 25), "customer": (1, 1000), "supplier": (1, 10**9), "part": (500, 10**9), "orders": (1, 10**12), "lineitem": (1, 10**12)}
+
+
+@query("verify_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {lo}::BIGINT AS at_least, {hi}::BIGINT AS at_most, count(*) BETWEEN {lo} AND {hi} AS ok FROM {t}" for t, (lo, hi) in EXPECTED.items()))
 def verify_row_counts(spark, sf_dir):
-    return quality.row_counts(spark, tables(spark, sf_dir), {"region": (5, 5), "nation": (25, 25), "customer": (1, 1000)})
+    return quality.row_counts(spark, tables(spark, sf_dir), EXPECTED)
 
 
 @query("verify_references", " UNION ALL ".join(f"SELECT '{t}' AS child, '{c}' AS \"column\", '{p}' AS parent, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM {t} WHERE {c} IS NULL) AS n_null, (SELECT count(*) FROM {t} WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.{k} = {t}.{c})) AS n_orphans" for t, d in KEYS.items() for c, (p, k) in d.get("foreign_keys", {}).items()))
@@ -304,19 +332,45 @@ def verify_references(spark, sf_dir):
     return quality.reference_report(all_tables, catalog.from_frames(all_tables, KEYS))
 
 
-@query("profile_null_rates", " UNION ALL ".join(f"SELECT 'orders' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, (count(*) - count({c})) / count(*) AS null_rate FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
+CELLS = [(t, c) for t, columns in COLUMNS.items() for c in columns.split()]
+
+
+@query("profile_null_rates", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, (count(*) - count({c})) / count(*) AS null_rate FROM {t}" for t, c in CELLS))
 def profile_null_rates(spark, sf_dir):
-    return quality.null_rates(table(spark, sf_dir, "orders"), "orders")
+    return quality.union_all([quality.null_rates(df, n) for n, df in tables(spark, sf_dir).items()])
 
 
-@query("profile_distinct", " UNION ALL ".join(f"SELECT 'customer' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, count(*) = count(DISTINCT {c}) AS \"unique\" FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+@query("profile_distinct", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, count(*) = count(DISTINCT {c}) AS \"unique\" FROM {t}" for t, c in CELLS if t in ("customer", "part", "orders")))
 def profile_distinct(spark, sf_dir):
-    return quality.distinct_counts(table(spark, sf_dir, "customer"), "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    """All columns of a table in one scan."""
+    return quality.union_all([quality.distinct_counts(table(spark, sf_dir, n), n) for n in ("customer", "part", "orders")])
+
+
+def keys_sql(name: str, columns: list[str], most: int = 3) -> str:
+    """The smallest sets of columns without nulls and repetitions, by counting every set."""
+    from itertools import combinations
 
+    sets = [x for n in range(1, most + 1) for x in combinations(columns, n)]
+    whole = lambda x: " AND ".join(f"{c} IS NOT NULL" for c in x)
+    each = " UNION ALL ".join(f"SELECT {list(x)} AS s, count(*) AS n_rows, count(DISTINCT ({', '.join(x)})) FILTER ({whole(x)}) AS n_distinct, count_if(NOT ({whole(x)})) AS nulls FROM {name}" for x in sets)
+    return f"WITH k AS (SELECT * FROM ({each}) WHERE n_rows = n_distinct AND nulls = 0 AND n_rows > 0) SELECT '{name}' AS \"table\", array_to_string(s, ',') AS columns, n_rows, n_distinct FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE len(o.s) < len(k.s) AND list_has_all(k.s, o.s))"
 
-@query("profile_candidate_keys", "SELECT 'conversations' AS \"table\", 'conv_id,turn' AS columns, count(*) AS n_rows, count(DISTINCT (conv_id, turn)) AS n_distinct FROM conversations HAVING count(*) = count(DISTINCT (conv_id, turn))")
+
+@query("profile_candidate_keys", keys_sql("conversations", ["conv_id", "turn", "role", "text"]))
 def profile_candidate_keys(spark, sf_dir):
-    return quality.candidate_keys(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conversations")
+    return quality.candidate_keys(table(spark, sf_dir, "conversations"), "conversations")
+
+
+@query("profile_keys_lineitem", keys_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]))
+def profile_keys_lineitem(spark, sf_dir):
+    """Keys of up to three of a table's columns, found by sketches of all sets in one scan."""
+    return quality.candidate_keys(table(spark, sf_dir, "lineitem"), "lineitem")
 
 
 @query("profile_domain", "SELECT o_orderpriority AS value, count(*) AS n, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY 1")
@@ -341,10 +395,25 @@ def infer_inclusion(spark, sf_dir):
 
 @query("infer_keys", "SELECT 'labels' AS child, 'doc_id' AS \"column\", 'docs' AS parent, 'doc_id' AS key, count(*) AS n_distinct, count(k) AS n_found, count(k) / count(*) AS ratio FROM (SELECT DISTINCT doc_id AS v FROM labels) LEFT JOIN (SELECT DISTINCT doc_id AS k FROM documents) ON v = k")
 def infer_keys(spark, sf_dir):
-    named = {"docs": table(spark, sf_dir, "documents").select("doc_id"), "labels": table(spark, sf_dir, "labels")}
+    named = {"docs": table(spark, sf_dir, "documents"), "labels": table(spark, sf_dir, "labels")}
     return graph.inferred_keys(named, {"docs": "doc_id"})
 
 
+WHOLE = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+TEXTS = {t: [c for c in columns.split() if c in ("r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus")] for t, columns in COLUMNS.items()}
+
+
+def inclusions_sql(columns: dict[str, list[str]], kind: str, least: float) -> str:
+    values = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {c}::{kind} AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in columns.items() for c in cs)
+    return f"(WITH v AS ({values}), n AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL) SELECT a.t AS child, a.c AS \"column\", b.t AS parent, b.c AS key, any_value(n.n) AS n_distinct, count(*) AS n_found, count(*) / any_value(n.n) AS ratio FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c) JOIN n ON n.t = a.t AND n.c = a.c GROUP BY ALL HAVING count(*) >= {least} * any_value(n.n))"
+
+
+@query("infer_all_inclusions", inclusions_sql(WHOLE, "BIGINT", 0.9) + " UNION ALL " + inclusions_sql(TEXTS, "VARCHAR", 0.9))
+def infer_all_inclusions(spark, sf_dir):
+    """Which columns of whole numbers or texts, of all tables, lie in which others to nine tenths: one shuffle for all pairs."""
+    return graph.inclusions(tables(spark, sf_dir), 0.9)
+
+
 # Metadata
 
 
@@ -364,30 +433,58 @@ def semantic_meanings(spark, sf_dir):
     return spark.createDataFrame(found, "table string, column string, meaning string")
 
 
-def drifted() -> tuple[Schema, Schema]:
-    old = Schema.of(Table("users", (Column("id", "integer", primary=True), Column("name", "string"), Column("age", "integer", nullable=True))), Table("gone", (Column("id", "integer"),)))
-    new = Schema.of(Table("users", (Column("id", "uuid", primary=True), Column("name", "string", nullable=True), Column("email", "string"))), Table("added", (Column("id", "integer"),)))
-    return old, new
+def changed(schema: Schema) -> Schema:
+    """The folder's schema with declared changes: a table and a column less, a column more, another type, another nullability, a new table."""
+    out = dict(schema.tables)
+    del out["region"]
+    new = lambda t, change: replace(t, columns=tuple(x for c in t.columns if (x := change(c))))
+    out["nation"] = replace(out["nation"], foreign_keys=())
+    out["customer"] = new(out["customer"], lambda c: None if c.name == "c_acctbal" else c)
+    out["part"] = new(out["part"], lambda c: replace(c, type="string") if c.name == "p_size" else c)
+    out["supplier"] = new(out["supplier"], lambda c: replace(c, nullable=not c.nullable) if c.name == "s_name" else c)
+    out["orders"] = replace(out["orders"], columns=(*out["orders"].columns, Column("o_channel", "string")))
+    out["returns"] = Table("returns", (Column("id", "integer", primary=True),), ("id",))
+    return Schema(out, schema.dialect)
+
+
+TYPE_SQL = "CASE WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'integer' WHEN data_type = 'DOUBLE' THEN 'float' WHEN data_type = 'VARCHAR' THEN 'string' END"
+OF_TABLE = lambda t, c: f"FROM information_schema.columns WHERE table_name = '{t}' AND column_name = '{c}'"
 
 
-@query("schema_diff", "SELECT * FROM (VALUES ('users', 'id', 'type changed', 'integer', 'uuid'), ('users', 'name', 'nullability changed', 'false', 'true'), ('users', 'age', 'column removed', 'integer', NULL), ('users', 'email', 'column added', NULL, 'string'), ('gone', NULL, 'table removed', NULL, NULL), ('added', NULL, 'table added', NULL, NULL)) t(\"table\", \"column\", change, was, now)")
+@query("schema_diff", f"""SELECT 'region' AS "table", NULL AS "column", 'table removed' AS change, NULL AS was, NULL AS now FROM information_schema.tables WHERE table_name = 'region'
+UNION ALL SELECT 'returns', NULL, 'table added', NULL, NULL
+UNION ALL SELECT table_name, column_name, 'column removed', {TYPE_SQL}, NULL {OF_TABLE('customer', 'c_acctbal')}
+UNION ALL SELECT table_name, column_name, 'type changed', {TYPE_SQL}, 'string' {OF_TABLE('part', 'p_size')}
+UNION ALL SELECT table_name, column_name, 'nullability changed', lower(CASE is_nullable WHEN 'YES' THEN 'true' ELSE 'false' END), lower(CASE is_nullable WHEN 'YES' THEN 'false' ELSE 'true' END) {OF_TABLE('supplier', 's_name')}
+UNION ALL SELECT 'orders', 'o_channel', 'column added', NULL, 'string'""")
 def schema_diff(spark, sf_dir):
-    old, new = drifted()
-    return drift.diff_columns(drift.columns_frame(spark, old), drift.columns_frame(spark, new))
+    """The schema of the folder's tables against one with declared changes."""
+    schema = schema_of(spark, sf_dir)
+    return drift.diff_columns(drift.columns_frame(spark, schema), drift.columns_frame(spark, changed(schema)))
 
 
-@query("import_compat", "SELECT 'gone' AS missing")
+@query("import_compat", "SELECT 'region' AS missing, (SELECT count(*) FROM region) AS n_rows UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem)")
 def import_compat(spark, sf_dir):
-    old, new = drifted()
-    manifest = {"tables": list(old.tables), "schemaHash": "x"}
-    return spark.createDataFrame([(m,) for m in stores.check_import(manifest, new).missing], "missing string")
+    """Tables of a bundle of the folder that a target lacks, and how many rows would find no place."""
+    schema = schema_of(spark, sf_dir)
+    target = Schema({n: t for n, t in schema.tables.items() if n not in ("region", "lineitem")})
+    missing = stores.check_import({"tables": list(schema.tables), "schemaHash": "x"}, target).missing
+    return quality.union_all([table(spark, sf_dir, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("missing"), "n_rows") for n in missing])
 
 
-@query("preflight_findings", "SELECT * FROM (VALUES ('error', 't', 'code'), ('error', 't', 'kind')) v(level, \"table\", \"column\")")
+@query("preflight_findings", """SELECT CASE WHEN max(p_size) - min(p_size) + 1 < 0.1 * count(*) THEN 'error' ELSE 'warning' END AS level, 'part' AS "table", 'p_size' AS "column" FROM part HAVING max(p_size) - min(p_size) + 1 < count(*)
+UNION ALL SELECT 'error', 'orders', 'o_orderpriority' WHERE 'NONE' NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL)""")
 def preflight_findings(spark, sf_dir):
-    schema = Schema.of(Table("t", (Column("id", "integer", primary=True), Column("code", "integer", unique=True), Column("kind", "enum", enum_values=("a", "b"))), ("id",)))
-    plan = build_plan(schema, {"tables": {"t": {"count": 1000, "columns": {"code": {"kind": "uniformInt", "min": 0, "max": 3}, "kind": {"kind": "enum", "values": ["a", "z"]}}}}})
-    return spark.createDataFrame([(f.level, f.table, f.column) for f in preflight(plan)], "level string, table string, column string")
+    """A plan as large as the folder's tables, with a unique column of the numbers that p_size spans and an enum of the priorities that
+    occur: what would go wrong."""
+    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    size = part.agg(F.count("*").alias("n"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi")).first()
+    priorities = tuple(sorted(r["value"] for r in quality.domain(orders, "o_orderpriority").filter("value is not null").collect()))
+    key = lambda n: Column(n, "integer", primary=True)
+    schema = Schema.of(Table("part", (key("p_partkey"), Column("p_size", "integer", unique=True)), ("p_partkey",)), Table("orders", (key("o_orderkey"), Column("o_orderpriority", "enum", enum_values=priorities)), ("o_orderkey",)))
+    config = {"part": {"count": size["n"], "columns": {"p_size": {"kind": "uniformInt", "min": size["lo"], "max": size["hi"]}}}, "orders": {"count": 10, "columns": {"o_orderpriority": {"kind": "enum", "values": [*priorities, "NONE"]}}}}
+    found = preflight(build_plan(schema, {"tables": config}))
+    return spark.createDataFrame([(f.level, f.table, f.column) for f in found], "level string, table string, column string")
 
 
 # Sources, clones and writes

@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.graph import build
@@ -178,19 +178,58 @@ class Import:
     missing: tuple[str, ...]
 
 
-def export_bundle(spark: SparkSession, path: str, schema: Schema, config: dict, lock: dict, tables: dict[str, DataFrame] | None = None, kind: str = "parquet") -> None:
-    """A folder with manifest, configuration and lockfile, and with tables their rows: Parquet, or gzipped JSON lines."""
-    counts = {}
+def fingerprint(df: DataFrame) -> list[Column]:
+    """Aggregates that tell whether two tables hold the same rows, in whatever order and partitions: their number and two
+    combinations of the rows' hashes."""
+    row = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in sorted(df.columns)])
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("s")]
+
+
+def as_print(found: dict) -> list:
+    return [found["n"], found["x"] or 0, found["s"] or 0]
+
+
+def export_bundle(spark: SparkSession, path: str, schema: Schema, config: dict, lock: dict, tables: dict[str, DataFrame] | None = None, kind: str = "parquet", snapshot: bool = True) -> None:
+    """A folder with manifest, configuration and lockfile, and with tables their rows: Parquet, or gzipped JSON lines. Without
+    snapshot only what tells the tables' rows apart is kept of them, and import makes them again from configuration and seed."""
+    prints = {}
+    if not (snapshot and tables) and functions_in(config):
+        raise WriteError("a configuration with functions cannot be kept to make the rows again; keep the rows")
     for n, df in (tables or {}).items():
-        seen = Observation(f"rows of {n}")
-        writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-        (writer.option("compression", "gzip").json if kind == "json" else writer.parquet)(f"{path}/data/{n}")
-        counts[n] = seen.get["n"]
-    manifest = {"version": 1, "schemaHash": schema_hash(schema), "tables": list(schema.tables), "rows": counts, "snapshot": bool(tables), "format": kind, "schema": schema.as_dict()}
+        if snapshot:
+            seen = Observation(f"rows of {n}")
+            writer = df.observe(seen, *fingerprint(df)).write.mode("overwrite")
+            (writer.option("compression", "gzip").json if kind == "json" else writer.parquet)(f"{path}/data/{n}")
+            prints[n] = as_print(seen.get)
+        else:
+            prints[n] = as_print(df.agg(*fingerprint(df)).first().asDict())
+    manifest = {"version": 1, "schemaHash": schema_hash(schema), "tables": list(schema.tables), "rows": {n: x[0] for n, x in prints.items()}, "prints": prints, "snapshot": bool(tables) and snapshot, "format": kind, "schema": schema.as_dict()}
     for name, value in (("manifest", manifest), ("config", config), ("lockfile", lock)):
         spark.createDataFrame([(json.dumps(value, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
+def functions_in(value) -> bool:
+    if isinstance(value, dict):
+        value = list(value.values())
+    return any(map(functions_in, value)) if isinstance(value, (list, tuple)) else callable(value)
+
+
+def replay(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a bundle made again: the plan from its schema and configuration, the seed from its lockfile."""
+    from weftline.operators.generate import generate_tables
+    from weftline.plans.build import build_plan
+
+    config, lock = read_part(spark, path, "config"), read_part(spark, path, "lockfile")
+    schema = Schema.from_dict(read_part(spark, path, "manifest")["schema"])
+    plan = build_plan(schema, {**config, "seed": lock["seed"]})
+    return generate_tables(spark, plan)
+
+
+def differing(tables: dict[str, DataFrame], prints: dict[str, list]) -> list[str]:
+    """The tables that are missing or do not hold the rows that a bundle's prints stand for."""
+    return [n for n, p in prints.items() if n not in tables or as_print(tables[n].agg(*fingerprint(tables[n])).first().asDict()) != p]
+
+
 def read_part(spark: SparkSession, path: str, name: str) -> dict:
     return json.loads(spark.read.text(f"{path}/{name}", wholetext=True).first()["value"])
 
@@ -202,21 +241,25 @@ def check_import(manifest: dict, schema: Schema, force: bool = False) -> Import:
     return Import(not missing and (force or not changed), ("the schema has changed since the export",) if changed else (), missing)
 
 
-def import_bundle(spark: SparkSession, path: str, schema: Schema, force: bool = False) -> dict[str, DataFrame]:
-    """The rows of a bundle's tables, with the types that the bundle's schema says."""
+def import_bundle(spark: SparkSession, path: str, schema: Schema, force: bool = False, verify: bool = True) -> dict[str, DataFrame]:
+    """The rows of a bundle's tables, with the types that the bundle's schema says; if it has none, the tables are made again from its
+    configuration and seed. verify compares every table's rows with those that were exported."""
     manifest = read_part(spark, path, "manifest")
     found = check_import(manifest, schema, force)
     if not found.ok:
         raise WriteError(f"cannot import: {', '.join(found.missing) or found.warnings[0]}")
-    if not manifest["snapshot"]:
-        raise WriteError("the bundle has no rows; generate them from its configuration and seed")
-    out = {}
-    for n in manifest["rows"]:
-        if manifest["format"] == "json":
-            fields = ", ".join(f"`{c.name}` {c.spark_type.simpleString()}" for c in Schema.from_dict(manifest["schema"]).tables[n].columns)
-            out[n] = spark.read.schema(fields).json(f"{path}/data/{n}")
-        else:
-            out[n] = spark.read.parquet(f"{path}/data/{n}")
+    if manifest["snapshot"]:
+        out = {}
+        for n in manifest["rows"]:
+            if manifest["format"] == "json":
+                fields = ", ".join(f"`{c.name}` {c.spark_type.simpleString()}" for c in Schema.from_dict(manifest["schema"]).tables[n].columns)
+                out[n] = spark.read.schema(fields).json(f"{path}/data/{n}")
+            else:
+                out[n] = spark.read.parquet(f"{path}/data/{n}")
+    else:
+        out = replay(spark, path)
+    if verify and (wrong := differing(out, manifest.get("prints", {}))):
+        raise WriteError(f"other rows than were exported: {', '.join(wrong)}")
     return out
 
 
