@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import words
 from weftline.functions.distributions import exponential, half_up, normal, pareto_int, recency, uniform_int, uniform_real, weighted, zipf
-from weftline.functions.rng import State, bits, let, uniform
+from weftline.functions.rng import MASK, STEP, State, bits, let, uniform
 
 WEEK_MS = 7 * 86_400_000
 
@@ -33,6 +34,8 @@ class Kind:
     distinct: Callable[[dict], int | None]
     #: Its nth value, from 0, all different: what a unique column is made of. None if values cannot be numbered.
     nth: Callable[[dict, Column], Column] | None = None
+    #: Whether make is a function of Arrow arrays, which cannot stand inside other expressions' functions.
+    arrow: bool = False
 
 
 KINDS: dict[str, Kind] = {}
@@ -49,11 +52,38 @@ def register(*names: str, types: tuple[str, ...] = ("*",), distinct: Callable[[d
     return add
 
 
+def register_arrow(name: str, returns: str, types: tuple[str, ...] = ("*",), distinct: Callable[[dict], int | None] = lambda p: -1):
+    """Registers a generator in Python: its function gets the parameters and an Arrow array of stream states, a batch of rows at a time,
+    and gives an array of as many values of the Spark type returns. random_numbers draws from the states."""
+
+    def add(fn):
+        def make(params: dict, state: Column, context: Context) -> Column:
+            return F.arrow_udf(lambda states: fn(params, states), returns)(state)
+
+        KINDS[name] = Kind(make, types, distinct, arrow=True)
+        return fn
+
+    return add
+
+
+def random_numbers(states, draw: int = 1):
+    """The numbers, from 0 to below 1, that uniform draws from the states, as a numpy array."""
+    import numpy as np
+
+    mask = np.uint64(MASK)
+    s = (np.asarray(states).astype(np.uint64) + np.uint64(draw * STEP & MASK)) & mask
+    t = s ^ s >> np.uint64(15)
+    t = (t + ((t ^ t >> np.uint64(7)) * (t | np.uint64(61)) & mask)) & mask
+    return (t ^ t >> np.uint64(14)) / 4294967296.0
+
+
 def generate(kind: str, params: dict[str, Any], state: Column | State, context: Context) -> Column:
     name = kind.removeprefix("faker.") if kind.startswith("faker.") else kind
     if name not in KINDS:
         raise ValueError(f"unknown generator {kind!r}")
     make = KINDS[name].make
+    if KINDS[name].arrow:
+        return make(params, state.column if isinstance(state, State) else state, context)
     if isinstance(state, State):  # generators from elsewhere get the column itself
         return make(params, state if make.__module__ == __name__ and name != "derived" else state.column, context)
     return let(state, lambda s: make(params, s, context))
@@ -296,6 +326,35 @@ def geo_city(params: dict, state: Column, context: Context) -> Column:
     return F.element_at(rows, uniform_int(state, 1, len(pool)).cast("int"))
 
 
+def alias_table(weights: list[float]) -> tuple[list[float], list[int]]:
+    """For each choice the share of its cell that is its own, and the choice that has the rest: two draws choose by weight, however
+    many choices there are."""
+    n, total = len(weights), math.fsum(weights)
+    if not total > 0 or min(weights) < 0:
+        raise ValueError("weights must have a positive sum and none below 0")
+    share, other = [w * n / total for w in weights], list(range(n))
+    small, large = ([i for i, x in enumerate(share) if (x < 1) == low] for low in (True, False))
+    while small and large:
+        i, j = small.pop(), large.pop()
+        other[i] = j
+        share[j] -= 1 - share[i]
+        (small if share[j] < 1 else large).append(j)
+    for i in small + large:
+        share[i] = 1.0
+    return share, other
+
+
+@register("choice", types=("*",), distinct=lambda p: len(p.get("rows", ())))
+def choice(params: dict, state: Column, context: Context) -> Column:
+    """One of rows, mappings with the same names, as a struct: what belongs together stays together. weight names the field that holds
+    weights; without it all are equal."""
+    rows = params["rows"]
+    share, other = alias_table([float(r[params["weight"]]) if params.get("weight") else 1.0 for r in rows])
+    cell = (F.floor(uniform(state, 1) * len(rows)) + 1).cast("int")
+    chosen = F.when(uniform(state, 2) < F.element_at(F.lit(share), cell), cell).otherwise(F.element_at(F.lit(other), cell) + 1)
+    return F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.items()]) for r in rows]), chosen)
+
+
 def unique_value(kind: str, params: dict[str, Any], n: Column) -> Column:
     """The nth value of a kind whose values can be numbered; n is computed once."""
     return let(n, lambda i: KINDS[kind.removeprefix("faker.")].nth(params, i))

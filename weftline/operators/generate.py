@@ -104,6 +104,10 @@ class Generator:
         elif not retry and (size := self.capacity(table, name)):
             at = permuted(row, size, self.plan.seed, table, "__unique__", name)
             out = F.when(row < size, unique_value(f.kind, f.params, at)).otherwise(F.raise_error(F.lit(f"{table}.{name}: more rows than the {size} values of a unique column")))
+        elif f.kind == "record":
+            group = f"__record__{SEP}{f.params.get('group', '')}"
+            drawn = generate(f.params["of"], {k: v for k, v in f.params.items() if k not in ("of", "group", "field")}, self.cell(table, row, group), Context(self.plan.reference_ms, columns))
+            out = drawn.getField(f.params["field"])
         elif f.kind == "fk-reference":
             target = f.params["referencedTable"]
             out = self.key(target, self.pick(target, state or self.cell(table, row, name)))

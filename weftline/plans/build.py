@@ -11,7 +11,7 @@ from weftline.plans.graph import Graph, build
 from weftline.plans.model import Field, Persona, Plan, Schema, Table, TablePlan, Timeline
 from weftline.plans.semantic import analyze, bounds
 
-ENGINE = {"fk-reference"}
+ENGINE = {"fk-reference", "record"}
 
 
 class PlanError(ValueError):

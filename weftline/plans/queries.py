@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import distributions as D
 from weftline.functions import words
-from weftline.functions.generators import Context, generate, pick
+from weftline.functions.generators import Context, alias_table, generate
 from weftline.functions.rng import number, stream, uniform
 from weftline.operators import anonymize, quality
 from weftline.operators.generate import Generator, generate_tables, growth, inverse_growth, seasonal_weight
@@ -18,7 +18,7 @@ from weftline.plans.build import as_field, build_plan, preflight
 from weftline.plans.model import Check, Column, Field, ForeignKey, Persona, Plan, Schema, Table, TablePlan, Timeline
 from weftline.plans.registry import query, table
 from weftline.plans.semantic import analyze, coverage
-from weftline.sources import catalog, stores
+from weftline.sources import catalog, documents, stores
 
 SEED, REFERENCE = 42, 1_720_000_000_000
 CONTEXT = Context(REFERENCE)
@@ -124,6 +124,21 @@ def gen_fk_pick(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", at.alias("at")).join(numbered, "at").select("c_custkey", "n_nationkey", "n_name")
 
 
+#: Places with weights, in fixed order: what a record's columns are drawn from together.
+PLACES = [{"city": "Aster", "country": "North", "lat": 61.5, "people": 5}, {"city": "Birch", "country": "North", "lat": 58.25, "people": 1}, {"city": "Clove", "country": "South", "lat": -12.75, "people": 3}]
+SHARE, OTHER = alias_table([p["people"] for p in PLACES])
+AT_SQL = f"CASE WHEN u2 < {SHARE}[floor(u1 * 3)::INT + 1] THEN floor(u1 * 3)::INT + 1 ELSE {OTHER}[floor(u1 * 3)::INT + 1] + 1 END"
+
+
+@query("correlated_places", f"SELECT i + 1 AS id, {[p['city'] for p in PLACES]}[nth] AS city, {[p['country'] for p in PLACES]}[nth] AS country, {[p['lat'] for p in PLACES]}[nth]::DOUBLE AS lat FROM (SELECT i, {AT_SQL} AS nth FROM {sql.draws('(SELECT c_custkey AS i FROM customer)', 'i', (chr(39) + '42' + chr(39), chr(39) + 'person' + chr(39), chr(39) + '__row__' + chr(39), 'i::VARCHAR', chr(39) + '__record__' + chr(39), chr(39) + 'home' + chr(39)), 2)})")
+def correlated_places(spark, sf_dir):
+    """City, country and latitude of as many rows as there are customers: one draw for the three, by weight."""
+    of = lambda f: Field("record", {"of": "choice", "rows": PLACES, "weight": "people", "group": "home", "field": f})
+    schema = Schema.of(Table("person", (Column("id", "integer", primary=True), Column("city"), Column("country"), Column("lat", "float")), ("id",)))
+    plan = TablePlan("person", table(spark, sf_dir, "customer").count(), {"id": Field("row-number")} | {c: of(c) for c in ("city", "country", "lat")})
+    return generate_tables(spark, Plan(schema, {"person": plan}, SEED))["person"].withColumn("id", F.col("id").cast("long"))
+
+
 # Rows
 
 
@@ -497,6 +512,19 @@ def json_schema(spark, sf_dir):
     return spark.createDataFrame([("events", c.name, c.type, c.nullable) for c in found], "table string, column string, type string, nullable boolean")
 
 
+MIXED = """CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'float' ELSE 'string' END"""
+
+
+@query("document_types", f"""WITH k AS (SELECT {MIXED} AS kind, count(*) AS n FROM events GROUP BY 1), b AS (SELECT sum(n)::BIGINT AS n, count(*) AS kinds, max_by(kind, n * 10 + CASE kind WHEN 'string' THEN 2 WHEN 'integer' THEN 1 ELSE 0 END) AS majority, max(n) / sum(n)::DOUBLE AS share, bool_or(kind = 'string') AS texts FROM k)
+SELECT 'id' AS path, (SELECT count(*) FROM events) AS n, 'integer' AS majority, 1.0::DOUBLE AS share, 'integer' AS type, false AS conflict UNION ALL SELECT 'props', count(*), 'object', 1.0, 'object', false FROM events
+UNION ALL SELECT 'props.k', count(*), 'integer', 1.0, 'integer', false FROM events UNION ALL SELECT 'v', n, majority, share, CASE WHEN texts AND kinds > 1 THEN 'string' WHEN kinds > 1 THEN 'float' ELSE majority END, texts AND kinds > 1 FROM b""")
+def document_types(spark, sf_dir):
+    """The types of the paths of documents made of events, in which one path holds numbers and texts."""
+    value = F.when(F.col("event_type") == "click", F.col("event_id").cast("string")).when(F.col("event_type") == "view", "1.5").otherwise('"text"')
+    text = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "v": '), value, F.lit(', "props": '), F.col("props"), F.lit("}"))
+    return documents.document_types(table(spark, sf_dir, "events").select(text.alias("value")))
+
+
 @query("sample_rows", "SELECT c_custkey, c_name FROM customer ORDER BY md5(c_custkey::VARCHAR || ':42'), c_custkey LIMIT 100")
 def sample_rows(spark, sf_dir):
     return anonymize.sample(table(spark, sf_dir, "customer"), "c_custkey", 100).select("c_custkey", "c_name")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.plans.model import Check, Column, ForeignKey, Schema, Table
+from weftline.sources.documents import leaves_of, path_types
 
 SOURCES: dict[str, Callable[..., Schema]] = {}
 TYPES = {"string": "string", "bigint": "integer", "int": "integer", "smallint": "integer", "tinyint": "integer", "double": "float", "float": "float", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp", "binary": "binary"}
@@ -186,32 +187,16 @@ def assemble(rows: dict[str, list[dict]], dialect: str = "jdbc") -> Schema:
 
 @source("documents")
 def from_documents(collections: dict[str, DataFrame], column: str = "value") -> Schema:
-    """Collections of JSON documents, a text column each: the schema of all documents is inferred by the cluster, nested
+    """Collections of JSON documents, a text column each: the types of all documents' paths are counted by the cluster and merged, nested
     fields become dotted names, arrays of objects get [] behind theirs, and a field that any document lacks may be null."""
     out = []
     for name, df in collections.items():
         text = df.select(F.col(column).alias("j")).filter("j is not null")
-        found = text.agg(F.schema_of_variant_agg(F.parse_json("j")).alias("s"), F.count("*").alias("n")).first()
-        if not found["n"]:
+        fields, n = leaves_of(path_types(text, "j")), text.count()
+        if not n:
             out.append(Table(name, ()))
             continue
-        shape = T.StructType.fromDDL("d " + found["s"].replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING"))["d"].dataType
-        fields = sorted(flatten(shape))
         present = text.agg(*[F.count_if(F.get_json_object("j", "$." + p.replace("[].", "[*].")).isNotNull()).alias(f"c{i}") for i, (p, _) in enumerate(fields)]).first()
-        columns = tuple(Column(p, kind, kind, nullable=present[f"c{i}"] < found["n"], primary=p == "_id", unique=p == "_id") for i, (p, kind) in enumerate(fields))
+        columns = tuple(Column(p, kind, kind, nullable=present[f"c{i}"] < n, primary=p == "_id", unique=p == "_id") for i, (p, kind) in enumerate(fields))
         out.append(Table(name, columns, ("_id",) if any(c.primary for c in columns) else ()))
     return Schema.of(*out, dialect="documents")
-
-
-def flatten(shape: T.DataType, at: str = "") -> list[tuple[str, str]]:
-    """(dotted name, logical type) of every leaf; {"$oid"} is a uuid and {"$date"} a timestamp."""
-    if isinstance(shape, T.StructType):
-        names = shape.fieldNames()
-        if names == ["$oid"]:
-            return [(at, "uuid")]
-        if names == ["$date"]:
-            return [(at, "timestamp")]
-        return [x for f in shape.fields for x in flatten(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    if isinstance(shape, T.ArrayType):
-        return flatten(shape.elementType, f"{at}[]") if isinstance(shape.elementType, T.StructType) else [(at, "array")]
-    return [(at, "float" if isinstance(shape, T.DecimalType) and shape.scale else "integer" if isinstance(shape, T.DecimalType) else TYPES.get(shape.simpleString(), "string"))]
