@@ -236,6 +236,28 @@ def constant(params: dict, state: Column, context: Context) -> Column:
     return F.lit(params.get("value"))
 
 
+@register("faker", types=("*",))
+def by_method(params: dict, state: Column, context: Context) -> Column:
+    """The generator that method names, with args as its parameters; a text that says so where there is none."""
+    name = params.get("method", "").removeprefix("faker.")
+    if name not in KINDS or KINDS[name].arrow:
+        return F.lit(f"[unresolved-faker:{name}]")
+    return KINDS[name].make(params.get("args", {}), state, context)
+
+
+@register("path", types=("*",), distinct=lambda p: -1)
+def at_path(params: dict, state: Column, context: Context) -> Column:
+    """What lies at a dotted path of another column, sourceColumn: fields of structs, or of a JSON text (json); null where there is none."""
+    source = context.columns.get(params["sourceColumn"])
+    if source is None:
+        return F.lit(None)
+    if params.get("json"):
+        return F.get_json_object(source, "$." + params["path"])
+    for part in params["path"].split("."):
+        source = source.getField(part)
+    return source
+
+
 @register("firstName", "person.firstName", types=("string",), distinct=lambda p: len(words.FIRST), nth=lambda p, n: at(words.FIRST, n))
 def first_name(params: dict, state: Column, context: Context) -> Column:
     return pick(state, words.FIRST)

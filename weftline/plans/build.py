@@ -10,6 +10,7 @@ from weftline.functions.generators import KINDS, distinct_values
 from weftline.plans.graph import Graph, build
 from weftline.plans.model import Field, Persona, Plan, Schema, Table, TablePlan, Timeline
 from weftline.plans.semantic import analyze, bounds
+from weftline.plans.shape import shape_issues
 
 ENGINE = {"fk-reference", "record"}
 
@@ -44,8 +45,10 @@ def as_field(value) -> Field:
 
 
 def validate_config(config: dict, schema: Schema) -> list[str]:
-    """Unknown tables, columns, parents and persona columns; kinds that do not exist or do not fit a column's type."""
-    issues = []
+    """Values of the wrong shape; unknown tables, columns, parents and persona columns; kinds that do not exist or do not fit a
+    column's type."""
+    if issues := shape_issues(config):
+        return issues
     for name, t in config.get("tables", {}).items():
         table = schema.tables.get(name)
         if not table:
@@ -73,6 +76,8 @@ def build_plan(schema: Schema, config: dict | None = None, least: float = 0.6) -
     """Each column by the configuration, else by a rule, else null if it may be; what is left is an error, as is a cycle of
     several tables. Ids of rows that no rule covers but that are integer keys are numbered."""
     config = config or {}
+    if shape := shape_issues(config):
+        raise PlanError(shape)
     issues = validate_config(config, schema)
     graph = build(schema)
     issues += [f"tables in a cycle of foreign keys: {' -> '.join(c)}" for c in graph.cycles if len(c) > 1]

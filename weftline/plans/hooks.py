@@ -2,7 +2,8 @@
 
 A plugin has any of these; each may give back a changed value, or None to leave it as it is:
 on_schema(schema), before_generate(plan), after_generate(tables), before_insert(table, rows), with rows a DataFrame. What they
-change are plans and DataFrames, so the work stays on the cluster. register_generators(register) adds generators when the plugin
+change are plans and DataFrames, so the work stays on the cluster. before_insert_batch(table, batch) sees the rows on their way, a
+batch of Arrow at a time in the tasks that write them, and gives back a batch of the same columns. register_generators(register) adds generators when the plugin
 is loaded; after_insert(table, n) hears how many rows a table got.
 """
 
@@ -14,7 +15,7 @@ from typing import Any
 
 from weftline.functions.generators import register
 
-HOOKS = ("on_schema", "register_generators", "before_generate", "after_generate", "before_insert", "after_insert")
+HOOKS = ("on_schema", "register_generators", "before_generate", "after_generate", "before_insert", "before_insert_batch", "after_insert")
 
 
 class PluginError(ValueError):
@@ -47,3 +48,11 @@ def through(plugins: Iterable, hook: str, value: Any, *before: Any) -> Any:
             out = fn(*before, value)
             value = value if out is None else out
     return value
+
+
+def batchwise(plugins: Iterable, table: str, rows: Any) -> Any:
+    """rows (a DataFrame) with every batch put through the plugins that see batches."""
+    seeing = [p for p in plugins if callable(getattr(p, "before_insert_batch", None))]
+    if not seeing:
+        return rows
+    return rows.mapInArrow(lambda batches: (through(seeing, "before_insert_batch", b, table) for b in batches), rows.schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import tomllib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.graph import build
-from weftline.plans.hooks import through
+from weftline.plans.hooks import batchwise, through
 from weftline.plans.model import Schema, schema_hash
 from weftline.sources.commits import Commit, Files, WriteError, recover
 
@@ -51,7 +53,7 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], schema: Sche
     try:
         for n in order:
             seen = Observation(f"rows of {n}")
-            df = through(plugins, "before_insert", tables[n], n).observe(seen, F.count(F.lit(1)).alias("n"))
+            df = batchwise(plugins, n, through(plugins, "before_insert", tables[n], n)).observe(seen, F.count(F.lit(1)).alias("n"))
             (encoded(df) if kind == "csv" else df).write.format(kind).options(**options).save(f"{commit.new}/{n}")
             counts[n] = seen.get["n"]
             if progress and progress(n, counts[n]) is False:
@@ -270,12 +272,52 @@ def bundles(spark: SparkSession, root: str) -> DataFrame:
     return found.select(part(1).alias("name"), part(2).alias("version"), "created").orderBy("name", F.desc("version"))
 
 
+#: What an address begins with, and the dialect that it says.
+DIALECTS = {"postgres": ("postgres://", "postgresql://", "jdbc:postgresql:"), "mysql": ("mysql://", "mysql2://", "jdbc:mysql:"), "documents": ("mongodb://", "mongodb+srv://"), "sqlite": ("sqlite:", "jdbc:sqlite:"), "jdbc": ("jdbc:",)}
+
+
+def dialect_of(address: str) -> str:
+    """The dialect of a database's address, or of a file's; files where nothing says another."""
+    found = next((d for d, starts in DIALECTS.items() if address.startswith(starts)), None)
+    return found or ("sqlite" if address.endswith((".sqlite", ".db")) else "files")
+
+
 def load_config(path: str) -> dict:
-    """A JSON configuration; none where there is no file. WEFTLINE_URL overrides where it connects to."""
+    """A configuration in JSON or TOML; none where there is no file. WEFTLINE_SEED, WEFTLINE_URL and WEFTLINE_DIALECT override its seed
+    and where it connects to."""
     config = {}
     if os.path.exists(path):
-        with open(path) as f:
-            config = json.load(f)
+        with open(path, "rb") as f:
+            config = tomllib.load(f) if path.endswith(".toml") else json.load(f)
     if url := os.environ.get("WEFTLINE_URL"):
         config = {**config, "url": url}
+    if seed := os.environ.get("WEFTLINE_SEED"):
+        config = {**config, "seed": int(seed) if seed.lstrip("-").isdigit() else seed}
     return config
+
+
+def connection(config: dict) -> dict:
+    """Where to connect: address, dialect (by the address where none is named) and database, if there is one."""
+    own = config.get("connection", {})
+    url = config.get("url") or own.get("url")
+    dialect = os.environ.get("WEFTLINE_DIALECT") or own.get("dialect") or dialect_of(url or "")
+    return {k: v for k, v in (("dialect", dialect), ("url", url), ("database", own.get("database"))) if v}
+
+
+class Tap:
+    """Hears of a write's tables: give it as a plugin and its progress. seen[table] has began and ended (seconds since the epoch) and rows."""
+
+    name = "tap"
+
+    def __init__(self):
+        self.seen: dict[str, dict] = {}
+
+    def before_insert(self, table: str, rows: DataFrame) -> None:
+        self.seen[table] = {"began": time.time(), "ended": None, "rows": None}
+
+    def progress(self, table: str, rows: int) -> None:
+        self.seen[table] |= {"ended": time.time(), "rows": rows}
+
+    def rates(self) -> dict[str, float]:
+        """Rows a second by table."""
+        return {n: x["rows"] / max(x["ended"] - x["began"], 1e-9) for n, x in self.seen.items() if x["ended"]}
