@@ -12,13 +12,14 @@ from weftline.functions import words
 from weftline.functions.generators import Context, alias_table, generate
 from weftline.functions.rng import number, stream, uniform
 from weftline.operators import anonymize, quality
-from weftline.operators.generate import Generator, generate_tables, growth, inverse_growth, seasonal_weight
+from weftline.operators.generate import Generator, generate_tables, growth, inverse_growth, preview, seasonal_weight
 from weftline.plans import drift, graph, sql
 from weftline.plans.build import as_field, build_plan, preflight
 from weftline.plans.model import Check, Column, Field, ForeignKey, Persona, Plan, Schema, Table, TablePlan, Timeline
 from weftline.plans.registry import query, table
 from weftline.plans.semantic import analyze, coverage
 from weftline.sources import catalog, documents, stores
+from weftline.streaming import sinks
 
 SEED, REFERENCE = 42, 1_720_000_000_000
 CONTEXT = Context(REFERENCE)
@@ -124,6 +125,28 @@ def gen_fk_pick(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", at.alias("at")).join(numbered, "at").select("c_custkey", "n_nationkey", "n_name")
 
 
+def one_of_sql(values: list[str], u: str) -> str:
+    return f"{values}[floor({u} * {len(values)})::INT + 1]"
+
+
+@query("gen_contacts", f"SELECT c_custkey, '+1-555-' || lpad(floor(u1 * 1000)::INT::VARCHAR, 3, '0') || '-' || lpad(floor(u2 * 10000)::INT::VARCHAR, 4, '0') AS phone, lpad(floor(u1 * 100000)::INT::VARCHAR, 5, '0') AS zip, (floor(u1 * 999)::INT + 1) || ' ' || {one_of_sql(words.STREETS, 'u2')} || ' Street' AS street, (floor(u1 * 254)::INT + 1) || '.' || floor(u2 * 255)::INT || '.' || floor(u3 * 255)::INT || '.' || floor(u4 * 255)::INT AS ip, 'https://' || {one_of_sql(words.DOMAINS, 'u1')} || '/' || {one_of_sql(words.WORDS, 'u2')} AS url FROM {cell_sql('customer', 'c_custkey', 'contact', 4)}")
+def gen_contacts(spark, sf_dir):
+    s = cell("customer", "c_custkey", "contact")
+    return table(spark, sf_dir, "customer").select("c_custkey", *[generate(k, {}, s, CONTEXT).alias(k) for k in ("phone", "zip", "street", "ip", "url")])
+
+
+LETTER = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', floor(u{k} * 36)::INT + 1, 1)"
+WORDY = " || ' ' || ".join(one_of_sql(words.WORDS, f"u{k}") for k in range(2, 6))
+TITLE = lambda w: f"upper(substr({w}, 1, 1)) || substr({w}, 2)"
+
+
+@query("gen_texts", f"SELECT p_partkey, {' || '.join(LETTER.format(k=k) for k in range(1, 5))} AS sku, lower({one_of_sql(words.FIRST, 'u1')}) || '.' || lower({one_of_sql(words.LAST, 'u2')}) || lpad(lower(to_hex(x3)), 8, '0') || '@' || {one_of_sql(words.DOMAINS, 'u4')} AS email, {TITLE(one_of_sql(words.WORDS, 'u1'))} || ' ' || {WORDY} || '.' AS longText, {TITLE(one_of_sql(words.WORDS, 'u1'))} || ' ' || {TITLE(one_of_sql(words.WORDS, 'u2'))} AS word, {one_of_sql([c[0] for c in words.CITIES], 'u1')} AS city, {one_of_sql(words.STATES, 'u1')} AS state FROM {cell_sql('part', 'p_partkey', 'text', 5)}")
+def gen_texts(spark, sf_dir):
+    s = cell("part", "p_partkey", "text")
+    kinds = {"sku": {"length": 4}, "email": {}, "longText": {"count": 5}, "word": {}, "city": {}, "state": {}}
+    return table(spark, sf_dir, "part").select("p_partkey", *[generate(k, p, s, CONTEXT).alias(k) for k, p in kinds.items()])
+
+
 #: Places with weights, in fixed order: what a record's columns are drawn from together.
 PLACES = [{"city": "Aster", "country": "North", "lat": 61.5, "people": 5}, {"city": "Birch", "country": "North", "lat": 58.25, "people": 1}, {"city": "Clove", "country": "South", "lat": -12.75, "people": 3}]
 SHARE, OTHER = alias_table([p["people"] for p in PLACES])
@@ -311,6 +334,107 @@ def unique_codes(spark, sf_dir):
     return made.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).join(F.broadcast(different))
 
 
+@query("replayed_rows", f"SELECT p + 1 AS id, x + 1 AS code FROM {sql.permuted('(SELECT p_partkey AS p FROM part)', 'p', UNIQUE, ('42', 'part', '__unique__', 'code'))}")
+def replayed_rows(spark, sf_dir):
+    """A bundle that keeps no rows gives, from its configuration and seed, those that it was exported from; import compares them."""
+    schema = Schema.of(Table("part", (Column("id", "integer", primary=True), Column("code", "integer", unique=True)), ("id",)))
+    config = {"seed": SEED, "tables": {"part": {"count": table(spark, sf_dir, "part").count(), "columns": {"code": {"kind": "uniformInt", "min": 1, "max": UNIQUE}}}}}
+    plan, path = build_plan(schema, config), stores.scratch(spark, "bundle")
+    stores.export_bundle(spark, path, schema, config, drift.make_lock(plan, config, {}), generate_tables(spark, plan), snapshot=False)
+    return stores.import_bundle(spark, path, schema)["part"].select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code"))
+
+
+@query("bundled_rows", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def bundled_rows(spark, sf_dir):
+    """Rows that were exported as JSON lines and imported again, compared by count and hashes."""
+    own = {n: table(spark, sf_dir, n) for n in ("nation", "region")}
+    wide = {n: df.select(*[F.col(c).cast("long") if t == "int" else F.col(c) for c, t in df.dtypes]) for n, df in own.items()}
+    schema, path = catalog.from_frames(wide, {n: KEYS[n] for n in own}), stores.scratch(spark, "bundle")
+    stores.export_bundle(spark, path, schema, {}, {}, wide, "json")
+    return stores.import_bundle(spark, path, schema)["nation"].select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+class Shout:
+    """A plugin that changes the names of a batch on its way to the store."""
+
+    name = "shout"
+
+    def before_insert_batch(self, of: str, batch):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        upper = [pc.utf8_upper(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in batch.columns]
+        return pa.RecordBatch.from_arrays(upper, batch.schema.names)
+
+
+@query("written_rows", "SELECT 'customer' AS \"table\", c_custkey AS id, upper(c_name) AS name, n AS copies FROM customer, (SELECT unnest([1, 2]) AS n) UNION ALL SELECT 'supplier', s_suppkey, upper(s_name), 1 FROM supplier")
+def written_rows(spark, sf_dir):
+    """Tables written as a whole, one of them added to, another replaced, past a plugin; and read again."""
+    customer, supplier = (table(spark, sf_dir, n).select(F.col(k).alias("id"), F.col(v).alias("name"), F.lit(1).alias("copies")) for n, k, v in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")))
+    schema, path = Schema.of(*[Table(n, (Column("id", "integer"), Column("name"), Column("copies", "integer"))) for n in ("customer", "supplier")]), stores.scratch(spark, "written")
+    stores.write_tables(spark, {"customer": customer, "supplier": supplier.union(supplier)}, schema, path, "fresh", plugins=[Shout()])
+    stores.write_tables(spark, {"customer": customer.withColumn("copies", F.lit(2))}, schema, path, "append", plugins=[Shout()])
+    stores.write_tables(spark, {"supplier": supplier}, schema, path, "truncate", plugins=[Shout()])
+    return quality.union_all([spark.read.parquet(f"{path}/{n}").withColumn("table", F.lit(n)) for n in ("customer", "supplier")])
+
+
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("streamed_upserts", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def streamed_upserts(spark, sf_dir):
+    """Each user's last event, from a stream of all events that is put into a table batch by batch. The pattern lets the stream read a
+    table of one file as well as one of many."""
+    path = stores.scratch(spark, "stream")
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type")
+    sink = sinks.upsert_sink(f"{path}/table", ["user_id"], "event_id", 8)
+    events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return sinks.read_table(spark, f"{path}/table")
+
+
+@query("streamed_counts", 'SELECT event_type AS "table", count(*) AS rows FROM events GROUP BY 1')
+def streamed_counts(spark, sf_dir):
+    """Rows by type of event, kept as a stream's state and put into a table."""
+    path = stores.scratch(spark, "stream")
+    events = spark.readStream.schema(EVENT).parquet(f"{sf_dir}/events.parquet*").select("event_type", "event_id")
+    counts = sinks.running_counts(events, "event_type", 4)
+    sink = sinks.upsert_sink(f"{path}/table", ["table", "part"], "batches", 4)
+    counts.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return sinks.totals(sinks.read_table(spark, f"{path}/table"))
+
+
+@query("previewed_rows", "SELECT i + 1 AS id, (i + 1 + floor(u1 * (n - 1))::BIGINT) % n + 1 AS referrer FROM " + sql.draws(CUSTOMERS, "i, n", ("'42'", "'customer'", "'__selfref__'", "i::VARCHAR")) + " WHERE i < 7")
+def previewed_rows(spark, sf_dir):
+    """The first rows of a plan as large as the table, computed alone: a preview is its feature."""
+    schema = Schema.of(Table("customer", (Column("id", "integer", primary=True), Column("referrer", "integer", nullable=True)), ("id",), (ForeignKey(("referrer",), "customer", ("id",)),)))
+    plan = Plan(schema, {"customer": TablePlan("customer", table(spark, sf_dir, "customer").count(), {"id": Field("row-number")})}, SEED)
+    return preview(spark, plan, 7)["customer"].select(F.col("id").cast("long").alias("id"), F.col("referrer").cast("long").alias("referrer"))
+
+
+def blank_sql(column: str, share: float, value: str) -> str:
+    return f"SELECT i, CASE WHEN u1 >= {share} THEN {value} END AS {column} FROM " + sql.draws(CUSTOMERS, "i", ("'42'", "'customer'", "'__nullable__'", f"'{column}'", "i::VARCHAR"))
+
+
+@query("nulls_by_type", f"SELECT i + 1 AS id, whole, text FROM ({blank_sql('whole', 0.1, 'i + 1')}) JOIN ({blank_sql('text', 0.15, repr('x'))}) USING (i)")
+def nulls_by_type(spark, sf_dir):
+    """Nulls of columns that were not configured, in shares by their types."""
+    schema = Schema.of(Table("customer", (Column("id", "integer", primary=True), Column("whole", "integer", nullable=True), Column("text", nullable=True)), ("id",)))
+    fields = {"id": Field("row-number"), "whole": Field("row-number", {}, "inferred"), "text": Field("constant", {"value": "x"}, "inferred")}
+    plan = Plan(schema, {"customer": TablePlan("customer", table(spark, sf_dir, "customer").count(), fields)}, SEED, null_probability="by type")
+    return generate_tables(spark, plan)["customer"].select(F.col("id").cast("long").alias("id"), F.col("whole").cast("long").alias("whole"), "text")
+
+
+SIZED = ("customer", "supplier", "part")
+
+
+@query("scaled_counts", f"WITH c AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS t, count(*) AS n FROM {n}' for n in SIZED)}) SELECT t AS \"table\", greatest(1, floor(n * 5000 / (SELECT sum(n) FROM c)::DOUBLE + 0.5))::BIGINT AS n_rows FROM c")
+def scaled_counts(spark, sf_dir):
+    """Rows of a plan in proportion to the folder's tables, scaled to five thousand in all, and made."""
+    tables_ = [Table(n, (Column("id", "integer", primary=True),), ("id",)) for n in SIZED]
+    plan = Plan(Schema.of(*tables_), {n: TablePlan(n, table(spark, sf_dir, n).count(), {"id": Field("row-number")}) for n in SIZED}, SEED).scaled(5000)
+    return quality.union_all([df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table"), "n_rows") for n, df in generate_tables(spark, plan).items()])
+
+
 @query("unique_conflicts", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def unique_conflicts(spark, sf_dir):
     return quality.key_violations(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 import tomllib
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -25,6 +27,17 @@ def encoded(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "map", "array")) else F.col(c) for c, t in df.dtypes])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a run keeps on the way: in the folder of spark.checkpoint.dir, which executors share; only where none is set,
+    as in tests on one machine, a local one."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        set_dir = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return f"{set_dir}/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
