@@ -8,7 +8,7 @@ The part of the path that is the same for all rows is hashed on the driver; draw
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +21,11 @@ SEP = "\0"
 @dataclass(frozen=True)
 class State:
     """A stream's state that stands in a column of its own. What is drawn from it is plain arithmetic on that column, which the
-    engine compiles, and of which it computes common parts once."""
+    engine compiles, and of which it computes common parts once. Draws are kept, so that an expression is built once for all
+    tables that name their columns alike."""
 
     name: str
+    drawn: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def column(self) -> Column:
@@ -95,10 +97,15 @@ def multiply(a: Column, b: Column) -> Column:
 def bits(state: Column | State, draw: int = 1) -> Column:
     """The 32-bit output of the stream's draw, counted from 1."""
     leaf = isinstance(state, State)
+    if leaf and draw in state.drawn:
+        return state.drawn[draw]
     once = (lambda value, body: body(value)) if leaf else let
     jumped = ((state.column if leaf else state) + (draw * STEP & MASK)).bitwiseAND(MASK)
     turn = lambda t: (t + multiply(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK)
-    return once(once(once(jumped, lambda s: s.bitwiseXOR(F.shiftright(s, 15))), turn), lambda t: t.bitwiseXOR(F.shiftright(t, 14)))
+    out = once(once(once(jumped, lambda s: s.bitwiseXOR(F.shiftright(s, 15))), turn), lambda t: t.bitwiseXOR(F.shiftright(t, 14)))
+    if leaf:
+        state.drawn[draw] = out
+    return out
 
 
 def uniform(state: Column | State, draw: int = 1) -> Column:

@@ -67,6 +67,7 @@ class Generator:
             raise GenerationError(f"tables in a cycle of foreign keys, or behind one: {', '.join(missing)}")
         self.made: dict[str, Made] = {}
         self.own_row: Column | None = None
+        self.states: dict[str, State] = {}
 
     # Expressions of a row's number
 
@@ -80,6 +81,9 @@ class Generator:
             return stream(self.plan.seed, table, "__row__", Digits(row), *path)
         return fold_text(stream(self.plan.seed, table, "__row__", row.cast("string")), SEP + SEP.join(path))
 
+    def state(self, name: str = "__state") -> State:
+        return self.states.setdefault(name, State(name))
+
     def by_row(self, *path: str, row: str = ROW) -> Column:
         """The stream whose path ends with the digits of a column."""
         return stream(self.plan.seed, *path, Digits(row))
@@ -118,7 +122,7 @@ class Generator:
 
     def referred(self, out: DataFrame, column: str, table: str, name: str, row: str) -> DataFrame:
         """out with a column of another table's row, whose number is the column row: its stream first, then what is drawn from it."""
-        state = State("__state")
+        state = self.state()
         with_state = out.withColumn(state.name, self.cell(table, row, name))
         f = self.plan.tables[table].fields.get(name)
         if f is None:
@@ -127,7 +131,7 @@ class Generator:
 
     def drawn_parent(self, out: DataFrame, column: str, table: str, *path: str) -> DataFrame:
         """out with a row number of a table, drawn from the stream of path and the row."""
-        state = State("__state")
+        state = self.state()
         return out.withColumn(state.name, self.by_row(*path)).withColumn(column, self.pick(table, state)).drop(state.name)
 
     def capacity(self, table: str, name: str) -> int | None:
@@ -185,7 +189,7 @@ class Generator:
         """(__parent0, __n): how many children each row of the parent has; personas multiply, churn tapers."""
         p = self.made[parent].frame.withColumn("__state", self.by_row(t.table, "__parent__", parent))
         row = F.col(ROW)
-        n = D.count_of(t.count_per_parent if t.count_per_parent is not None else default, State("__state")).cast("double")
+        n = D.count_of(t.count_per_parent if t.count_per_parent is not None else default, self.state()).cast("double")
         factors = {x.name: x.cascades[t.table] for x in self.plan.tables[parent].personas if t.table in x.cascades}
         if factors:
             by = F.lit(1.0)
@@ -234,7 +238,7 @@ class Generator:
             stride = 1 + int(number(self.plan.seed, t.table, "__stride__") * size)
             while math.gcd(stride, size) != 1:
                 stride += 1
-            start = F.floor(uniform(State("__state")) * float(size)).cast("long")
+            start = F.floor(uniform(self.state()) * float(size)).cast("long")
             drawn = out.withColumn("__state", self.by_row(t.table, "__junction__", row="__parent0"))
             out = drawn.withColumn("__parent1", F.pmod(start + F.col("__k") * F.lit(stride), F.lit(size))).drop("__state")
         else:
@@ -265,7 +269,7 @@ class Generator:
         bound = set(out.columns) - {OWN}
         for layer in layers({c: f for c, f in t.fields.items() if c not in bound}):
             have = {c: F.col(c) for c in out.columns if c != OWN}
-            states = {c: State(f"__state{i}") for i, c in enumerate(layer)}
+            states = {c: self.state(f"__state{i}") for i, c in enumerate(layer)}
             out = out.withColumns({s.name: self.cell(name, ROW, c) for c, s in states.items()})
             out = out.withColumns({c: self.personal(t, c, self.value(name, c, f, row, have, state=states[c]), have) for c, f in layer.items()})
             out = out.drop(*[s.name for s in states.values()])
@@ -308,7 +312,7 @@ class Generator:
 
     def on_timeline(self, out: DataFrame, t: TablePlan, table: Table, n: int) -> DataFrame:
         """Times of creation along the growth curve, and of leaving after an exponential life."""
-        out, state = out.withColumn("__state", self.by_row(t.table, "__timeline__")), State("__state")
+        out, state = out.withColumn("__state", self.by_row(t.table, "__timeline__")), self.state()
         q = F.lit(0.0) if n <= 1 else F.col(ROW) / float(n - 1)
         q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), q + (uniform(state) - 0.5) * t.timeline.jitter))
         ms = F.lit(float(t.timeline.start_ms)) + inverse_growth(t.timeline, q) * float(t.timeline.end_ms - t.timeline.start_ms)
@@ -318,7 +322,7 @@ class Generator:
         left = next((c for c in CHURNED if table.column(c)), None)
         if left and created and t.churn_rate:
             out = out.withColumn("__state", self.by_row(t.table, "__churn__"))
-            life = D.exponential(State("__state"), t.churn_rate) * MONTH_MS
+            life = D.exponential(self.state(), t.churn_rate) * MONTH_MS
             gone = F.unix_millis(F.col(created).cast("timestamp")) + life
             out = out.withColumn(left, F.when(gone < t.timeline.end_ms, F.timestamp_millis(F.floor(gone).cast("long"))).cast(table.column(left).spark_type))
         return out.drop("__state")
@@ -384,7 +388,7 @@ class Generator:
         """Another row's key: never the row's own, unless there is but one."""
         row = F.col(ROW)
         out = out.withColumn("__state", self.by_row(name, "__selfref__"))
-        step = F.floor(uniform(State("__state")) * float(max(n - 1, 1))).cast("long")
+        step = F.floor(uniform(self.state()) * float(max(n - 1, 1))).cast("long")
         out = out.withColumn("__other", F.pmod(row + 1 + step, F.lit(n)) if n > 1 else row).drop("__state")
         return self.referred(out, column, name, self.key_name(name), "__other").drop("__other")
 
