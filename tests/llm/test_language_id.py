@@ -42,3 +42,19 @@ def test_long_texts_in_parts(spark, docs, monkeypatch):
     table = docs.select("doc_id", "text", F.lit(1).alias("__letters"), F.lit(None).cast("string").alias("letters"))
     kept = language_id.accepted(table, net, 0.0)
     assert kept.columns == table.columns and kept.count() > 100
+
+
+def test_probabilities_by_plain_convolution(docs):
+    """Every filter at every place of a window, byte by byte; the largest output, and a softmax of the last layer."""
+    net = language_id.fit(docs, per_language=20)
+    rng, dims = np.random.default_rng(3), net.emb.shape[1]
+    windows = np.concatenate([rng.integers(0, 256, (4, net.window), dtype=np.uint8), np.zeros((1, net.window), np.uint8)])
+    got = net.probabilities(windows, net.tables())
+    for row, x in zip(got, windows, strict=True):
+        hidden = []
+        for w in language_id.WIDTHS:
+            places = [sum(net.emb[x[p + k]] @ net.conv[w][k * dims : (k + 1) * dims] for k in range(w)) for p in range(net.window - w + 1)]
+            hidden.append(np.maximum(np.max(places, 0) + net.bias[w], 0))
+        logits = np.concatenate(hidden).astype(float) @ net.out + net.out_bias
+        want = np.exp(logits - logits.max())
+        assert np.allclose(row, want / want.sum(), atol=1e-5)

@@ -80,3 +80,16 @@ def test_repeated_ids_with_other_texts(spark):
     assert got == [(0, 0, 0, 0), (1, 1, 1, 1), (1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (3, 3, 1, 2), (4, 4, 4, 0), (5, 5, 5, 0), (5, 5, 5, 0)]
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.keep_first(table).collect())
     assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, "alone here"), (0, near(b)), (5, " "), (5, " ")])
+
+
+def test_many_long_near_copies_in_one_bucket(spark):
+    """Texts of 15,000 words, of which each changes a few: all link, none with a long text of its own words."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(15_000)]
+    texts = []
+    for i in range(30):
+        own = list(words)
+        own[i * 400 : i * 400 + 3] = [f"x{i}", f"y{i}", f"z{i}"]
+        texts.append((i, " ".join(own)))
+    texts.append((99, " ".join(f"v{i}" for i in range(15_000))))
+    got = {r["doc_id"]: r for r in ngram_join.link(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()}
+    assert all((got[i]["class_id"], got[i]["n_links"]) == (0, 29) for i in range(30)) and (got[99]["class_id"], got[99]["n_links"]) == (99, 0)

@@ -104,7 +104,7 @@ def resample(docs: DataFrame, good_ids: DataFrame, share: float, id_col: str = "
     good_ids (doc_id) names labelled good texts; at most most_targets of them, by a hash of the id, make the target model, the
     one thing that is fitted on a sample. temper is a power of the weights; 1 draws by the ratio itself. The raw model counts every text. Of equal keys the smaller id is selected. A text
     that is null or has no word has no features, a null key and is never selected; so is a row with a null id. Rows that
-    repeat an id get the same noise. With no good id the models differ by nothing but smoothing. An empty table gives no rows;
+    repeat an id get the same noise. Very long texts count with all their words, and weigh as much more. With no good id the models differ by nothing but smoothing. An empty table gives no rows;
     other columns are not read. Ids must be integers."""
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
     chosen = good_ids.select(F.col(good_ids.columns[0]).cast("long").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(most_targets)

@@ -254,7 +254,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     empty text contains nothing. Rows are judged alone, so repeated rows repeat their hits; null ids are kept. Ids of items
     must be integers. An empty table on either side gives no rows; other columns are not read. The statistics come from all
     passages of docs; items go to the tasks in blocks of at most ITEMS, a pass over docs for each block. Of two texts that
-    repeat an id each has its own hits."""
+    repeat an id each has its own hits. A very long text is looked through from end to end and makes
+    a slice of its own in its task."""
     rows = pick(docs, id=id_col, text=text_col)
     space = space or LatentSpace.fit(rows)
     kind = docs.schema[id_col].dataType.simpleString()

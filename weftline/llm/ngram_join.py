@@ -196,7 +196,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     under a null class, a row with a null id. Rows that repeat a text, with the same id or another, count as copies; rows that
     repeat an id with other texts are told apart, and each links as its own text does. An empty table gives no rows;
     other columns are not read. Work grows with the number of links between different texts, as they are counted one by one
-    inside tasks; rows that are shuffled grow with the number of texts and, for a bucket of g texts, with g * g / BLOCK."""
+    inside tasks; rows that are shuffled grow with the number of texts and, for a bucket of g texts, with g * g / BLOCK. Very long texts are
+    compared on all their sequences; a task holds the texts of two blocks, so memory grows with what BLOCK such texts hold."""
     rows, classes = linked(docs, id_col, text_col, n, threshold, recall)
     out = rows.join(classes.select("digest", "text_id", "class_id", "n_links"), "digest", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("text_id", "id").alias("text_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -207,7 +208,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     under that id the one with the smallest digest, and of rows that repeat both any one.
 
     Rows that link with nothing stay as they are: those without a word and those with a null id, also where they repeat. Other
-    columns may have any names; a null in them changes nothing. An empty table gives no rows."""
+    columns may have any names; a null in them changes nothing. Very long texts are compared as a whole, as link does it. An empty
+    table gives no rows."""
     _, classes = linked(docs, id_col, text_col, n, threshold, recall)
     winners = classes.groupBy("root").agg(F.min(F.struct("text_id", "digest")).alias("first")).select("first.text_id", "first.digest")
     text, id_ = docs[f"`{text_col}`"], docs[f"`{id_col}`"]

@@ -261,6 +261,8 @@ def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "tex
     told apart by a number of their own. Without training rows every score is still defined (uniform symbols). An empty table
     gives no rows; other columns are not read.
 
+    Very long texts are scored as a whole, symbol by symbol, and make a slice of their own in their task.
+
     To tasks go a part of the tree, about PART entries, the sums of at most 256 ** HEAD heads, and the counts of words of a share
     of FREQUENT or more, at most 1 / FREQUENT; the counts of rarer words are joined by hash, one row for each of their
     occurrences. A tree of more parts has the texts written once and read once for each part."""
