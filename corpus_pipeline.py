@@ -52,8 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows are handled by their own text, also where ids repeat or are null: a null, empty or letterless text goes in the first
     stage; of rows that repeat id and text one stays, of rows that repeat an id with other texts each that is the first of its
     class; rows with a null id are compared with nothing and stay unless they have no language or hold a benchmark item. Other
-    columns of docs pass through the stages before the last, whatever their names and nulls. An empty table gives no rows, with
-    the same columns."""
+    columns of docs pass through the stages before the last, whatever their names and nulls. Very long texts pass every stage as a whole.
+    An empty table gives no rows, with the same columns."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
