@@ -27,6 +27,13 @@ def test_seasons_invert(spark, more):
     assert november[1] / plain[11] == pytest.approx(1.8 * [p[1] for p in parts if p[4] == 8][0] / plain[8])
 
 
+def test_seasons_by_a_function_of_the_date():
+    """Weekends weigh nothing; a date without a weight counts as one."""
+    line = Timeline(START, START + 28 * 86_400_000, season=lambda d: 0 if d.weekday() > 4 else None if d.day % 2 else 1)
+    parts = seasons(line)
+    assert len(parts) in (20, 21) and math.isclose(sum(p[1] for p in parts), 1)
+
+
 def test_a_seasonal_table_from_configuration(spark):
     schema = Schema.of(Table("t", (Column("id", "integer", primary=True), Column("created_at", "timestamp")), ("id",)))
     config = {"tables": {"t": {"count": 6000, "timeline": {"start_ms": 1_704_067_200_000, "end_ms": 1_735_689_600_000, "jitter": 0.0, "season": "holiday"}}}}

@@ -464,18 +464,22 @@ def grown(line: Timeline, t: float) -> float:
 
 
 def seasons(line: Timeline) -> list[tuple[float, float, float, float, int]]:
-    """The calendar months of a timeline with any weight: (share of all rows before it, its own share, growth at its start and at its
-    end, month). The one table that a season needs; it is as long as the timeline has months."""
-    weights = SEASON if line.season == "holiday" else {int(m): float(w) for m, w in line.season.items()}
+    """The calendar months (days, if the season is a function of dates) of a timeline with any weight: (share of all rows before it, its
+    own share, growth at its start and at its end, month). The one table that a season needs; it is as long as the timeline has
+    months or days."""
+    daily, given = callable(line.season), SEASON if line.season == "holiday" else line.season
+    weight_of = given if daily else lambda day, by={int(m): float(w) for m, w in given.items()}: by.get(day.month, 1.0)
     span, parts = line.end_ms - line.start_ms, []
-    month = datetime.fromtimestamp(line.start_ms / 1000, timezone.utc).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
-    while month.timestamp() * 1000 < line.end_ms:
-        after = (month + timedelta(days=32)).replace(day=1)
-        lo, hi = (min(1.0, max(0.0, (x.timestamp() * 1000 - line.start_ms) / span)) for x in (month, after))
+    at = datetime.fromtimestamp(line.start_ms / 1000, timezone.utc).replace(hour=0, minute=0, second=0, microsecond=0)
+    at = at if daily else at.replace(day=1)
+    while at.timestamp() * 1000 < line.end_ms:
+        after = at + timedelta(days=1) if daily else (at + timedelta(days=32)).replace(day=1)
+        lo, hi = (min(1.0, max(0.0, (x.timestamp() * 1000 - line.start_ms) / span)) for x in (at, after))
         low, high = grown(line, lo), grown(line, hi)
-        if (weight := weights.get(month.month, 1.0) * (high - low)) > 0:
-            parts.append((weight, low, high, month.month))
-        month = after
+        wanted = weight_of(at.date())
+        if (weight := (1.0 if wanted is None else float(wanted)) * (high - low)) > 0:
+            parts.append((weight, low, high, at.month))
+        at = after
     total, before, out = math.fsum(w for w, *_ in parts), 0.0, []
     if not total > 0:
         raise ValueError("a season must give some month of the timeline weight")

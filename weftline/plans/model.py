@@ -150,7 +150,7 @@ class Timeline:
 
     compound grows by rate a month; linear ends at total_growth times the rows a month that it starts with; scurve is steepest at
     inflection, a share of the time, with steepness (10 * rate where none is given). season weighs each calendar month's part of the
-    growth: weights by month (1 where a month has none), or "holiday" for the year's fixed ones."""
+    growth: weights by month (1 where a month has none), "holiday" for the year's fixed ones, or a function of the date, by day."""
 
     start_ms: int
     end_ms: int
@@ -160,7 +160,7 @@ class Timeline:
     total_growth: float = 1.0
     steepness: float | None = None
     inflection: float = 0.5
-    season: dict | str | None = None
+    season: Any = None
 
     @property
     def curve(self) -> tuple[float, float, float]:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import distributions as D
 from weftline.functions import words
-from weftline.functions.generators import Context, alias_table, generate
+from weftline.functions.generators import Context, alias_table, generate, random_numbers, register_arrow
 from weftline.functions.rng import number, stream, uniform
 from weftline.operators import anonymize, quality
 from weftline.operators.generate import Generator, generate_tables, growth, inverse_growth, preview, seasonal_weight
+from weftline.operators.runs import clone, reset
 from weftline.plans import drift, graph, sql
 from weftline.plans.build import as_field, build_plan, preflight
 from weftline.plans.model import Check, Column, Field, ForeignKey, Persona, Plan, Schema, Table, TablePlan, Timeline
@@ -334,6 +335,68 @@ def unique_codes(spark, sf_dir):
     return made.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).join(F.broadcast(different))
 
 
+NAME_SQL = f"{TITLE(one_of_sql(words.WORDS, 'u1'))} || ' ' || {TITLE(one_of_sql(words.WORDS, 'u2'))}"
+
+
+@query("derived_columns", f"SELECT i + 1 AS id, name, replace(lower(name), ' ', '-') AS slug, name || '!' AS loud FROM (SELECT i, {NAME_SQL} AS name FROM {sql.draws('(SELECT p_partkey AS i FROM part)', 'i', (chr(39) + '42' + chr(39), chr(39) + 'part' + chr(39), chr(39) + '__row__' + chr(39), 'i::VARCHAR', chr(39) + 'name' + chr(39)), 2)})")
+def derived_columns(spark, sf_dir):
+    """Columns that are made of other generated columns, whatever the order in which they are declared."""
+    schema = Schema.of(Table("part", (Column("id", "integer", primary=True), Column("slug"), Column("loud"), Column("name")), ("id",)))
+    fields = {"slug": Field("derived-slug", {"sourceColumn": "name"}), "loud": Field("derived", {"fn": lambda columns, state, context: F.concat(columns["name"], F.lit("!"))}), "name": Field("word"), "id": Field("row-number")}
+    plan = Plan(schema, {"part": TablePlan("part", table(spark, sf_dir, "part").count(), fields)}, SEED)
+    return generate_tables(spark, plan)["part"].select(F.col("id").cast("long").alias("id"), "name", "slug", "loud")
+
+
+@query("cloned_rows", f"SELECT id, {words.FIRST}[floor(u1 * {len(words.FIRST)})::INT + 1] || ' ' || {words.LAST}[floor(u2 * {len(words.LAST)})::INT + 1] AS full_name, segment FROM " + sql.draws("(SELECT c_custkey AS id, c_name, c_mktsegment AS segment FROM customer ORDER BY md5(c_custkey::VARCHAR || ':42'), c_custkey LIMIT 60)", "id, segment", ("'42'", "'__anonymize__'", "'fullName'", "sha256(c_name)"), 2))
+def cloned_rows(spark, sf_dir):
+    """A clone as JSON lines, with names replaced and keys kept; some rows of each table are its feature."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("segment"))
+    schema, path = catalog.from_frames({"people": people}, {"people": {"primary_key": ["id"]}}), stores.scratch(spark, "clone")
+    clone(spark, {"people": people}, schema, path, 60, SEED)
+    return spark.read.schema("id long, full_name string, segment string").json(f"{path}/people")
+
+
+@query("reset_rows", "SELECT r + 1 AS id, floor(u1 * 100)::BIGINT + 1 AS code FROM " + sql.draws("(SELECT s_suppkey AS r FROM supplier)", "r", ("'9'", "'supplier'", "'__row__'", "r::VARCHAR", "'code'")))
+def reset_rows(spark, sf_dir):
+    """Tables put back to what a lockfile's seed gives, in place of what has been added to them since."""
+    schema = Schema.of(Table("supplier", (Column("id", "integer", primary=True), Column("code", "integer")), ("id",)))
+    config = {"tables": {"supplier": {"count": table(spark, sf_dir, "supplier").count(), "columns": {"code": {"kind": "uniformInt", "min": 1, "max": 100}}}}}
+    plan, path = build_plan(schema, config), stores.scratch(spark, "reset")
+    stores.write_tables(spark, generate_tables(spark, plan), schema, path)
+    stores.write_tables(spark, generate_tables(spark, plan), schema, path, "append")
+    reset(spark, plan, drift.make_lock(replace(plan, seed=9), config, {}), path)
+    return spark.read.parquet(f"{path}/supplier").select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code"))
+
+
+class Halved:
+    """A plugin that plans half of the rows, brings a generator on Arrow arrays, and leaves out some of what is made."""
+
+    name = "halved"
+
+    def register_generators(self, register) -> None:
+        import pyarrow as pa
+
+        @register_arrow("letter", "string", types=("string",), distinct=lambda p: 26)
+        def letter(params, states):
+            return pa.array([chr(65 + int(u * 26)) for u in random_numbers(states)])
+
+    def before_generate(self, plan):
+        return replace(plan, tables={n: replace(t, count=t.count // 2, fields=t.fields | {"letter": Field("letter")}) for n, t in plan.tables.items()})
+
+    def after_generate(self, made):
+        return {n: df.filter("id % 3 <> 0") for n, df in made.items()}
+
+
+@query("plugged_rows", "SELECT i + 1 AS id, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', floor(u1 * 26)::INT + 1, 1) AS letter FROM " + sql.draws("(SELECT c_custkey AS i FROM customer)", "i", ("'42'", "'customer'", "'__row__'", "i::VARCHAR", "'letter'")) + " WHERE i < (SELECT count(*) // 2 FROM customer) AND (i + 1) % 3 <> 0")
+def plugged_rows(spark, sf_dir):
+    """What a plugin makes of a plan and of the tables that come of it, with a generator of its own."""
+    plugin = Halved()
+    plugin.register_generators(None)
+    schema = Schema.of(Table("customer", (Column("id", "integer", primary=True), Column("letter")), ("id",)))
+    plan = Plan(schema, {"customer": TablePlan("customer", table(spark, sf_dir, "customer").count(), {"id": Field("row-number")})}, SEED)
+    return generate_tables(spark, plan, plugins=[plugin])["customer"].select(F.col("id").cast("long").alias("id"), "letter")
+
+
 @query("replayed_rows", f"SELECT p + 1 AS id, x + 1 AS code FROM {sql.permuted('(SELECT p_partkey AS p FROM part)', 'p', UNIQUE, ('42', 'part', '__unique__', 'code'))}")
 def replayed_rows(spark, sf_dir):
     """A bundle that keeps no rows gives, from its configuration and seed, those that it was exported from; import compares them."""

@@ -36,6 +36,10 @@ def one_of(*values: Any) -> Check:
     return check
 
 
+def one_of_texts(*values: str) -> Check:
+    return lambda value, at: one_of(*values)(value if isinstance(value, str) else repr(value), at)
+
+
 def either(*checks: Check) -> Check:
     """The issues of none, if one of the checks has none; else those of the last."""
 
@@ -79,7 +83,7 @@ GENERATOR = either(TEXT, of(Callable, "a function"), lambda v, at: fields(("kind
 COUNT = either(number(0, whole=True), one_of("timeline"), fields(("kind",), kind=TEXT))
 PERSONA = fields(("name", "weight"), name=TEXT, weight=number(0), overrides=each(ANY), cascades=each(number(0)))
 GROWTH = one_of("linear", "compound", "scurve")
-SEASON = either(one_of("holiday"), each(number(0)))
+SEASON = either(of(Callable, "a function"), one_of_texts("holiday"), each(number(0)))
 TIMELINE = fields(("start_ms", "end_ms"), start_ms=number(), end_ms=number(), growth=GROWTH, rate=number(0), jitter=SHARE, total_growth=number(0, above=True), steepness=number(0, above=True), inflection=SHARE, season=SEASON)
 TABLE = fields(count=COUNT, columns=each(GENERATOR), parent=TEXT, countPerParent=COUNT, personas=each(PERSONA, list), timeline=TIMELINE, churnRate=number(0), rows=each(of(dict, "a mapping"), list))
 CONNECTION = fields(dialect=one_of("files", "postgres", "mysql", "sqlite", "jdbc", "documents"), url=TEXT, database=TEXT, port=number(1, 65535, whole=True))
