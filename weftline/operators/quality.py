@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.plans.model import Schema
 
@@ -115,20 +116,23 @@ def reference_report(tables: dict[str, DataFrame], schema: Schema) -> DataFrame:
         raise ValueError("no foreign key of these tables")
     entries: dict[str, list[Column]] = {}
 
-    def value(columns, kinds) -> Column:
-        parts = [F.col(c).cast(k).cast("string") for c, k in zip(columns, kinds, strict=True)]
+    def entry(i: int, columns, kinds, child: int) -> Column:
+        """A row's value of a reference or key: whole numbers as such, all else as text; null if any of its columns is."""
+        parts = [F.col(c).cast(k) for c, k in zip(columns, kinds, strict=True)]
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-        return F.when(whole, parts[0] if len(parts) == 1 else F.to_json(F.array(*parts)))
+        number = len(parts) == 1 and isinstance(kinds[0], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        text = parts[0].cast("string") if len(parts) == 1 else F.to_json(F.array(*[p.cast("string") for p in parts]))
+        none = F.lit(None)
+        return F.struct(F.lit(i).alias("fk"), (parts[0] if number else none).cast("long").alias("v"), (none if number else F.when(whole, text)).cast("string").alias("t"), F.lit(child).cast("long").alias("n"))
 
     for i, (name, fk) in enumerate(keys):
         kinds = [tables[fk.table].schema[r].dataType for r in fk.references]
-        entry = lambda v, child: F.struct(F.lit(i).alias("fk"), v.alias("v"), F.lit(child).cast("long").alias("n"))  # noqa: E731, B023
-        entries.setdefault(name, []).append(entry(value(fk.columns, kinds), 1))
-        entries.setdefault(fk.table, []).append(entry(value(fk.references, kinds), 0))
+        entries.setdefault(name, []).append(entry(i, fk.columns, kinds, 1))
+        entries.setdefault(fk.table, []).append(entry(i, fk.references, kinds, 0))
     each = union_all([tables[t].select(F.inline(F.array(*own))) for t, own in entries.items()])
-    met = each.groupBy("fk", "v").agg(F.sum("n").alias("n"), F.bool_or(F.col("n") == 0).alias("known"))
-    null = F.col("v").isNull()
-    sums = met.groupBy("fk").agg(F.sum("n").alias("n_rows"), F.sum(F.when(null, F.col("n"))).alias("n_null"), F.sum(F.when(~null & ~F.col("known"), F.col("n"))).alias("n_orphans"))
+    met = each.groupBy("fk", "v", "t").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    null, known = F.col("v").isNull() & F.col("t").isNull(), F.col("least") == 0
+    sums = met.groupBy("fk").agg(F.sum("n").alias("n_rows"), F.sum(F.when(null, F.col("n"))).alias("n_null"), F.sum(F.when(~null & ~known, F.col("n"))).alias("n_orphans"))
     names = tables[keys[0][0]].sparkSession.createDataFrame([(i, n, ",".join(fk.columns), fk.table) for i, (n, fk) in enumerate(keys)], "fk int, child string, column string, parent string")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return names.join(F.broadcast(sums), "fk", "left").select("child", "column", "parent", zero("n_rows"), zero("n_null"), zero("n_orphans"))
