@@ -34,11 +34,18 @@ def test_base_and_counts(docs, texts):
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_model_beats_base_on_held_out_texts(spark, sf):
+    """The base takes all words never seen as one and does not spell them, so that part of the score is left out here."""
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
-    sums = suffix_tree_lm.score(docs, queries.id_crc(7) != 2).groupBy("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).collect()
+    got = suffix_tree_lm.score(docs, queries.id_crc(7) != 2)
+    sums = got.groupBy("held_out").agg(F.sum(F.col("score") - F.col("unseen_score")).alias("model"), F.sum("unseen_score").alias("spelled"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") - F.col("n_known")).alias("unseen")).collect()
     assert len(sums) == 2
     for r in sums:
+        print(sf, r["held_out"], "model", r["model"] / r["n"], "with spelling", (r["model"] + r["spelled"]) / r["n"], "base", r["base"] / r["n"])
         assert r["model"] / r["n"] > r["base"] / r["n"] + (0.3 if r["held_out"] else 0)
+        if r["held_out"]:
+            assert -6.5 < r["spelled"] / r["unseen"] < -3  # some seven bytes each, at less than a log10 of one
+        else:
+            assert abs(r["spelled"]) < 1e-6
 
 
 def plain_score(texts, train, least=8, divergence=0.005, evidence=12.0, each=2.0):
@@ -54,10 +61,14 @@ def plain_score(texts, train, least=8, divergence=0.005, evidence=12.0, each=2.0
             before = (before + spelled)[-depth:]
         return out
 
+    def further(w):
+        spelled = b" " * depth + w + b" "
+        return [(spelled[i - depth : i], spelled[i]) for i in range(depth + head, len(spelled))]
+
     counts = [defaultdict(Counter) for _ in range(depth + 1)]
     words = Counter(w for t in train for w in tokens(t) if w is not None and len(w) >= head)
     for t in train:
-        for context, x in symbols(t):
+        for context, x in symbols(t) + [s for w in tokens(t)[:-1] for s in further(w)]:
             for d in range(depth + 1):
                 counts[d][context[depth - d :]][x] += 1
     tree = set()
@@ -75,18 +86,19 @@ def plain_score(texts, train, least=8, divergence=0.005, evidence=12.0, each=2.0
         c = counts[len(context)][context]
         return (c[x] + len(c) * p(context[1:], x)) / (sum(c.values()) + len(c))
 
+    def state(context):
+        return next((context[i:] for i in range(depth) if context[i:] in tree), b"")
+
     begun = defaultdict(list)
     for w, n in words.items():
         begun[w[:head]].append(n)
     out = []
     for t in texts:
-        s = 0.0
-        for context, x in symbols(t):
-            state = next((context[i:] for i in range(depth) if context[i:] in tree), b"")
-            s += math.log10(p(state, x))
+        s = sum(math.log10(p(state(context), x)) for context, x in symbols(t))
         for w in tokens(t)[:-1]:
-            if len(w) >= head and (b := begun.get(w[:head])):
-                s += math.log10((words[w] or len(b)) / (sum(b) + len(b)))
+            if len(w) >= head:
+                b, spelled = begun.get(w[:head], []), math.prod(p(state(context), x) for context, x in further(w))
+                s += math.log10((words[w] + max(len(b), 1) * spelled) / (sum(b) + max(len(b), 1)))
         out.append(s)
     return out, len(tree)
 
@@ -114,6 +126,59 @@ def test_symbols():
     assert got == sorted([(0, b"\n" * 7, 97), (0, b"\n" * 6 + b"a", 98), (0, b"\n\n\nabc ", 100), (0, b"\n\nabc d", 32), (0, b"\nabc d ", 10), (1, b"\n" * 7, 10)])
 
 
+def test_spellings():
+    data = np.frombuffer(b"abc d ef", np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, 8]))
+    long = ends - starts >= 2
+    codes, of = suffix_tree_lm.spellings(data, starts[long], ends[long])
+    got = [(int(r), (int(c) >> 8).to_bytes(7, "big"), int(c) & 255) for c, r in zip(codes, of, strict=True)]
+    assert got == [(0, b"     ab", 99), (0, b"    abc", 32), (1, b"     ef", 32)]
+
+
+def scores_of(spark, train, texts):
+    rows = [(i, t, True) for i, t in enumerate(train)] + [(-1 - i, t, False) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(docs, F.col("teaches")).collect()}
+    return [got[-1 - i] for i in range(len(texts))]
+
+
+def test_every_byte_of_an_unseen_word_costs(spark, texts):
+    train = [t[:3000] for _, t in texts[:80]]
+    rng = np.random.default_rng(3)
+    letters = "".join(chr(97 + k) for k in rng.integers(0, 26, 400))
+    made = [["th" + letters[:n] for n in (8, 20, 80, 400)], ["\u5b57" * n for n in (1, 2, 20, 2000)], ["zq" + "e" * n for n in (1, 10, 100)]]
+    for words in made:
+        got = scores_of(spark, train, words)
+        assert all(b < a - 0.02 for a, b in zip(got, got[1:], strict=False)), got
+    one, other = scores_of(spark, train, ["thzzqq", "thenin"])  # they differ only in how an unseen word goes on
+    assert one < other
+
+
+def test_probabilities_sum_to_one_in_every_state(spark, texts):
+    docs = spark.createDataFrame([(t[:3000],) for _, t in texts[:80]], "text string").withColumn("teaches", F.lit(True))
+    rows = suffix_tree_lm.tree_rows(suffix_tree_lm.statistics(docs).filter(F.col("kind") == suffix_tree_lm.GRAM).select("key", "n"))
+    tree = suffix_tree_lm.tree_part(rows, 0, 1)
+    bytes_ = np.arange(256, dtype=np.uint64)
+    for d in range(suffix_tree_lm.DEPTH + 1):
+        for context in tree.contexts[d]:
+            assert math.isclose((10.0 ** tree.find((context << np.uint64(8)) | bytes_, d)).sum(), 1, abs_tol=1e-9)
+
+
+def test_rests_of_a_head_sum_to_less_than_one_and_grow(spark):
+    """Words over two letters, all up to a length; what is missing is what longer words have, which shrinks with the length."""
+    train = ["ab aba abb abab abab ba abba", "ab ab aba bab"]
+    left = []
+    for longest in (4, 8):
+        words = ["ab" + "".join("ab"[n >> i & 1] for i in range(k)) for k in range(longest - 1) for n in range(1 << k)]
+        tails = ["ab" + "\u00e9"]  # a byte outside the letters: only its smoothing remains
+        got = scores_of(spark, train, ["ab", *words, *tails])
+        # all these texts are one word and an end: the head's symbols are the same, and so is the end mark but for its state
+        least = min(got[1 : len(words) + 1])
+        assert got[-1] < max(got[:-1]) and least > -40
+        left.append(sum(10.0**x for x in got[1 : len(words) + 1]))
+    assert left[0] < left[1] < 1
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = suffix_tree_lm.score(odd_docs, F.col("doc_id") % 2 == 0).collect()
     assert len(got) == odd_docs.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)

@@ -1,21 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-A text is lower-cased (A-Z) and read as its words and an end. A token's first HEAD bytes are symbols of their own, a token that is
-shorter ends with a space or, at the end of the text, with an end mark; what is left of a longer word is one more symbol.
-
-Head symbols are scored in the tree: the corpus gives counts of every head symbol after the bytes before it, up to DEPTH of them
-and across words. A context stays in the tree if its next-symbol distribution diverges from that of its suffix, with the
-evidence of an absolute number of symbols; suffixes of what stays also stay. A symbol is scored in the state of the longest
-context in the tree that the text so far ends in; a state's distribution is smoothed by its parent's, with as much weight as it
-has different symbols. The rest of a word is scored in the state of the word's own beginning, its head: by the counts of the
-words that begin so, of which as many more as there are different ones are set aside for words never seen.
+A text is lower-cased (A-Z) and read as its words, each with a space behind, and an end. A token's first HEAD bytes are symbols of
+their own, a token that is shorter ends with a space or, at the end of the text, with an end mark; what is left of a longer word is
+one more symbol, or escapes to its bytes.
+
+Bytes are scored in the tree: the corpus gives counts of every byte after the bytes before it, up to DEPTH of them; before a head's
+bytes stand the words before, before a later byte of a word only the word itself. A context stays in the tree if its next-symbol
+distribution diverges from that of its suffix, with the evidence of an absolute number of symbols; suffixes of what stays also
+stay. A byte is scored in the state of the longest context in the tree that the text so far ends in; a state's distribution is
+smoothed by its parent's, with as much weight as it has different symbols. The rest of a word is scored in the state of the word's
+own beginning, its head: by the counts of the words that begin so, smoothed, with as much weight as there are different ones, by the
+probability that the tree gives to the word's further bytes and its space. So every byte of a word never seen counts, and the
+probabilities of all rests of a head sum to one.
 
 The score of a text is the sum of log10 P(symbol | longest suffix state) over all its symbols.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from weftline.llm.frames import cut, lists, map_arrow
 from weftline.llm.tokens import LOWER, row_of, signed, slices, word_bounds, word_hashes
 
-#: Bytes of the longest context, and bytes of a word that are symbols of the tree.
+#: Bytes of the longest context, and bytes of a word before its rest.
 DEPTH, HEAD = 7, 2
 END = 0x0A
 #: The end token stands in the word counts under this key.
@@ -44,7 +47,7 @@ HELD = 500_000
 
 
 def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (context, symbol), eight bits each, for every head symbol of every row, and each one's row.
+    """Codes of (context, symbol), eight bits each, for every symbol of a head of every row, and each one's row.
 
     A row is spelled as its words, each with a space behind, and an end mark. Before its first symbol stand end marks."""
     rows, n = row_of(first), len(first) - 1
@@ -56,19 +59,46 @@ def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nd
         out[at + k] = END
     out[at + full - 1] = END
     word_at = np.cumsum(sizes + 1) - (sizes + 1) + (rows + 1) * DEPTH + rows
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[word_at[which] + nth] = data[starts[which] + nth]
+    put(out, word_at, data, starts, sizes)
     heads, of = [at + full - 1], [np.arange(n)]
     for k in range(HEAD):
         long = sizes >= k  # a word of k bytes ends with its space here
         heads.append(word_at[long] + k)
         of.append(rows[long])
-    heads, of = np.concatenate(heads), np.concatenate(of)
-    codes = np.zeros(len(heads), np.uint64)
+    return codes_at(out, np.concatenate(heads)), np.concatenate(of)
+
+
+def spellings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of (context, symbol) for every byte behind the head and the space of words of HEAD bytes or more, and each one's word.
+
+    Before a word stand spaces, so contexts that reach further back than one tell nothing more and never enter the tree."""
+    sizes = ends - starts
+    full = sizes + DEPTH + 1
+    at = np.cumsum(full) - full
+    out = np.full(int(full.sum()), 0x20, np.uint8)
+    put(out, at + DEPTH, data, starts, sizes)
+    of, nth = counted(sizes - HEAD + 1)
+    return codes_at(out, at[of] + DEPTH + HEAD + nth), of
+
+
+def counted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owner of each of sizes[i] things of every i, and its number among the owner's."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def put(out: np.ndarray, to: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    """Copies the words to their places in out."""
+    of, nth = counted(sizes)
+    out[to[of] + nth] = data[starts[of] + nth]
+
+
+def codes_at(out: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The byte at each place with the DEPTH bytes before it."""
+    codes = np.zeros(len(places), np.uint64)
     for k in range(DEPTH + 1):
-        codes = (codes << np.uint64(8)) | out[heads - DEPTH + k]
-    return codes, of
+        codes = (codes << np.uint64(8)) | out[places - DEPTH + k]
+    return codes
 
 
 def head_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -110,6 +140,8 @@ def statistics(docs: DataFrame) -> DataFrame:
             head[long] = head_of(data, starts[at[long]])
             words.append((h, head, n))
             grams.append(np.unique(symbols(data, starts, ends, first)[0], return_counts=True))
+            codes, of = spellings(data, starts[at[long]], ends[at[long]])
+            grams.append(summed(codes, n[long][of]))
             if sum(len(k) for k, _ in grams) > HELD:
                 yield from told(words, grams)
                 words, grams = [], []
@@ -187,19 +219,24 @@ class SuffixTree:
 
 
 class Memo:
-    """Scores of codes met before, by a slot of fixed number; a slot holds the last code."""
-
-    def __init__(self, tree: SuffixTree):
-        self.tree, self.keys, self.values = tree, np.full(1 << SLOTS, np.uint64((1 << 64) - 1)), np.zeros(1 << SLOTS, np.float64)
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        out, miss = self.values[slot], self.keys[slot] != codes
-        if miss.any():
-            new, back = np.unique(codes[miss], return_inverse=True)
-            got = self.tree.score(new)
+    """Values of keys met before, by a slot of fixed number; a slot holds the last key."""
+
+    def __init__(self):
+        self.keys, self.values = np.full(1 << SLOTS, np.uint64((1 << 64) - 1)), np.zeros(1 << SLOTS, np.float64)
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The value of each key; make gives those of the keys at some places."""
+        slot = self.slot(keys)
+        out, miss = self.values[slot], np.flatnonzero(self.keys[slot] != keys)
+        if len(miss):
+            new, at, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            got = make(miss[at])
             out[miss] = got[back]
-            at, last = np.unique(((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64), return_index=True)
+            at, last = np.unique(self.slot(new), return_index=True)
             self.keys[at], self.values[at] = new[last], got[last]
         return out
 
@@ -238,17 +275,36 @@ def tree_part(rows: DataFrame, part: int, parts: int) -> SuffixTree:
     return SuffixTree.build(*(got[c].to_numpy() for c in ("depth", "context", "symbol", "n")))
 
 
-def tree_sums(tree: SuffixTree, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, part: int, parts: int) -> np.ndarray:
-    """The sum of log10 probabilities of each row's head symbols whose contexts fall into a part of the tree."""
-    memo = _memos.get(id(tree))
-    if memo is None:
-        _memos.clear()
-        memo = _memos[id(tree)] = Memo(tree)
-    codes, of = symbols(data, starts, ends, first)
-    if parts > 1:
-        mine = part_of(codes >> np.uint64(8), parts) == part
-        codes, of = codes[mine], of[mine]
-    return np.bincount(of, memo.score(codes), minlength=len(first) - 1)
+class Scorer:
+    """A part of the tree, with what a task has looked up in it."""
+
+    def __init__(self, tree: SuffixTree, part: int, parts: int):
+        self.tree, self.part, self.parts, self.of_codes, self.of_words = tree, part, parts, Memo(), Memo()
+
+    def sums(self, codes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """The sums of log10 probabilities of the codes whose contexts fall into the part, by owner."""
+        if self.parts > 1:
+            mine = part_of(codes >> np.uint64(8), self.parts) == self.part
+            codes, of = codes[mine], of[mine]
+        return np.bincount(of, self.of_codes.get(codes, lambda at: self.tree.score(codes[at])), minlength=n)
+
+    def heads(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The sum over each row's head symbols."""
+        return self.sums(*symbols(data, starts, ends, first), len(first) - 1)
+
+    def rests(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The sum over the bytes behind each word's head; 0 for words that are shorter. h: hashes of the words."""
+        out, long = np.zeros(len(h)), np.flatnonzero(ends - starts >= HEAD)
+        out[long] = self.of_words.get(h[long], lambda at: self.sums(*spellings(data, starts[long[at]], ends[long[at]]), len(at)))
+        return out
+
+
+def scorer(tree: SuffixTree, part: int, parts: int) -> Scorer:
+    """One for each part that a Python worker meets; the last is kept."""
+    if id(tree) not in _scorers:
+        _scorers.clear()
+        _scorers[id(tree)] = Scorer(tree, part, parts)
+    return _scorers[id(tree)]
 
 
 def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,8 +312,9 @@ def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "tex
 
     Returns doc_id, held_out (the condition does not hold), n_tokens (words and one end), n_known (tokens that occur in
     training), train_tokens, base_score (add-one unigram log10 probability of the tokens), score (the model's log10 probability
-    of the text; all words never seen that share a head count as one word there, as the base has one for all of them). A null or
-    empty text has the end token alone. A null condition counts as false. Repeated rows, ties and null ids are allowed: rows are
+    of the text, every byte of it, also of words never seen), unseen_score (the part of score that spells the
+    further bytes of words never seen; score without it takes the words never seen that share a head as one, as the base takes them
+    all). A null or empty text has the end token alone. A null condition counts as false. Repeated rows, ties and null ids are allowed: rows are
     told apart by a number of their own. Without training rows every score is still defined (uniform symbols). An empty table
     gives no rows; other columns are not read.
 
@@ -265,7 +322,7 @@ def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "tex
 
     To tasks go a part of the tree, about PART entries, the sums of at most 256 ** HEAD heads, and the counts of words of a share
     of FREQUENT or more, at most 1 / FREQUENT; the counts of rarer words are joined by hash, one row for each of their
-    occurrences. A tree of more parts has the texts written once and read once for each part."""
+    occurrences. A tree of more parts has the texts written once and read once for each part, with the sums so far beside them."""
     spark = docs.sparkSession
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"))
     stats = cut(statistics(rows))
@@ -294,14 +351,22 @@ def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "tex
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             seen = counts[at[hit]].astype(np.float64)
-            base, rest, kinds = np.zeros(len(h)), np.zeros(len(h)), np.full(len(h), -1.0)
+            base, rest = np.zeros(len(h)), np.zeros(len(h))
             base[hit] = np.log10(seen + 1)
             long = ends - starts >= HEAD
-            all_n, all_kinds = heads[:, head_of(data, starts[long])]
-            some = np.maximum(all_kinds, 1)
-            kinds[long] = np.log10(some)
-            rest[long] = np.where(all_kinds > 0, np.log10(some) - np.log10(all_n + some), 0)
-            rest[long & hit] += (np.log10(counts[at]) if len(counts) else np.zeros(len(h)))[long & hit] - kinds[long & hit]
+            byte = scorer(tree, 0, parts)
+            model, spelled = byte.heads(data, starts, ends, first), byte.rests(data, starts, ends, h)
+            if parts > 1:
+                model += batch.column(4).slice(lo, n).to_numpy()
+                spelled += batch.column(5).slice(lo, n).flatten().to_numpy()
+            all_n, kinds = np.zeros(len(h)), np.zeros(len(h))
+            all_n[long], kinds[long] = heads[:, head_of(data, starts[long])]
+            kinds[long] = np.maximum(kinds[long], 1)
+            rest[long] = np.log10(kinds[long]) + spelled[long]
+            rest[hit] = np.log10(seen + kinds[hit] * 10.0 ** spelled[hit])
+            rest[long] -= np.log10(all_n[long] + kinds[long])
+            rest[~long] = 0
+            other = pa.StructArray.from_arrays([pa.array(signed(h[~hit])), pa.array(kinds[~hit].astype(np.int64)), pa.array(spelled[~hit])], ["key", "kinds", "spelled"])
             yield {
                 "row": batch.column(3).slice(lo, n),
                 "doc_id": batch.column(0).slice(lo, n),
@@ -309,20 +374,22 @@ def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "tex
                 "n_tokens": np.diff(first) + 1,
                 "known": np.bincount(of[hit], minlength=n) + (ends_n > 0),
                 "base": np.bincount(of, base, minlength=n) + np.log10(ends_n + 1.0),
-                "model": np.bincount(of, rest, minlength=n) + tree_sums(tree, data, starts, ends, first, 0, parts),
-                "rare": lists(pa.StructArray.from_arrays([pa.array(signed(h[~hit])), pa.array(kinds[~hit])], ["key", "kinds"]), np.bincount(of[~hit], minlength=n)),
+                "model": np.bincount(of, rest, minlength=n) + model,
+                "unseen": np.bincount(of[~hit], spelled[~hit], minlength=n),
+                "rare": lists(other, np.bincount(of[~hit], minlength=n)),
             }
 
     kind = docs.schema[id_col].dataType.simpleString()
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "teaches", "row")
-    numbered = cut(numbered) if parts > 1 else numbered
-    scored = cut(map_arrow(numbered, run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<struct<key:bigint,kinds:double>>"))
+    if parts > 1:
+        numbered = cut(numbered.withColumns({"tree": F.lit(0.0), "rests": F.lit(None).cast("array<double>")}))
+    for k in range(1, parts):
+        numbered = further(numbered, kind, tree_part(grown, k, parts), k, parts)
+    scored = cut(map_arrow(numbered, run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double, unseen double, rare array<struct<key:bigint,kinds:bigint,spelled:double>>"))
     rare = scored.select("row", F.inline("rare"))
-    told = F.when(F.col("kinds") >= 0, F.log10("n") - F.col("kinds")).otherwise(0.0)
-    found = rare.join(words.filter((F.col("n") < least) & (F.col("key") != END_KEY)), "key").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_base"), F.sum(told).alias("more_model"))
+    told = F.when(F.col("kinds") > 0, F.log10(F.col("n") + F.col("kinds") * F.pow(F.lit(10.0), "spelled")) - F.log10("kinds") - F.col("spelled")).otherwise(0.0)
+    found = rare.join(words.filter((F.col("n") < least) & (F.col("key") != END_KEY)), "key").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_base"), F.sum(told).alias("more_model"), F.sum("spelled").alias("more_spelled"))
     out = scored.drop("rare").join(found, "row", "left")
-    for k in range(1, parts):
-        out = out.join(further(numbered, tree_part(grown, k, parts), k, parts), "row").withColumn("model", F.col("model") + F.col("tree")).drop("tree")
     return out.select(
         "doc_id",
         "held_out",
@@ -331,22 +398,29 @@ def score(docs: DataFrame, teaches, id_col: str = "doc_id", text_col: str = "tex
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + kinds + 1))).alias("base_score"),
         (F.col("model") + F.coalesce("more_model", F.lit(0.0))).alias("score"),
+        (F.col("unseen") - F.coalesce("more_spelled", F.lit(0.0))).alias("unseen_score"),
     )
 
 
-def further(numbered: DataFrame, tree: SuffixTree, part: int, parts: int) -> DataFrame:
-    """(row, tree): the sums of the symbols that fall into a further part of the tree."""
+def further(numbered: DataFrame, kind: str, tree: SuffixTree, part: int, parts: int) -> DataFrame:
+    """numbered(doc_id, text, teaches, row, tree, rests) with what falls into a further part of the tree added: to tree, the sum of
+    a row's head symbols, and to rests, those of the further bytes of each of its words (null: none so far)."""
     shared = numbered.sparkSession.sparkContext.broadcast(tree)
 
     def run(batch: pa.RecordBatch):
+        byte = scorer(shared.value, part, parts)
         for lo, hi, data, offsets in slices(batch.column(1)):
-            data = LOWER[data]
+            data, n = LOWER[data], hi - lo
             starts, ends, first = word_bounds(data, offsets)
-            yield {"row": batch.column(0).slice(lo, hi - lo), "tree": tree_sums(shared.value, data, starts, ends, first, part, parts)}
+            rests, before = byte.rests(data, starts, ends, word_hashes(data, starts, ends)), batch.column(5).slice(lo, n)
+            if not before.null_count:
+                rests += before.flatten().to_numpy()
+            same = dict(zip(("doc_id", "text", "teaches", "row"), (batch.column(i).slice(lo, n) for i in range(4)), strict=True))
+            yield {**same, "tree": byte.heads(data, starts, ends, first) + batch.column(4).slice(lo, n).to_numpy(), "rests": lists(rests, np.diff(first))}
 
-    done = cut(map_arrow(numbered.select("row", "text"), run, "row bigint, tree double"))
+    done = cut(map_arrow(numbered, run, f"doc_id {kind}, text string, teaches boolean, row bigint, tree double, rests array<double>"))
     shared.unpersist()
     return done
 
 
-_memos: dict = {}
+_scorers: dict = {}
