@@ -63,14 +63,16 @@ def plain_score(texts, train, least=8, divergence=0.005, evidence=12.0, each=2.0
 
     def further(w):
         spelled = b" " * depth + w + b" "
-        return [(spelled[i - depth : i], spelled[i]) for i in range(depth + head, len(spelled))]
+        reach = suffix_tree_lm.REACH
+        return [(b"\xff" * (depth - reach) + spelled[i - reach : i], spelled[i]) for i in range(depth + head, len(spelled))]
 
     counts = [defaultdict(Counter) for _ in range(depth + 1)]
     words = Counter(w for t in train for w in tokens(t) if w is not None and len(w) >= head)
     for t in train:
         for context, x in symbols(t) + [s for w in tokens(t)[:-1] for s in further(w)]:
             for d in range(depth + 1):
-                counts[d][context[depth - d :]][x] += 1
+                if context[depth - d : depth - d + 1] != b"\xff":
+                    counts[d][context[depth - d :]][x] += 1
     tree = set()
     for d in range(1, depth + 1):
         for context, c in counts[d].items():
@@ -132,7 +134,7 @@ def test_spellings():
     long = ends - starts >= 2
     codes, of = suffix_tree_lm.spellings(data, starts[long], ends[long])
     got = [(int(r), (int(c) >> 8).to_bytes(7, "big"), int(c) & 255) for c, r in zip(codes, of, strict=True)]
-    assert got == [(0, b"     ab", 99), (0, b"    abc", 32), (1, b"     ef", 32)]
+    assert got == [(0, b"\xff\xff\xff  ab", 99), (0, b"\xff\xff\xff abc", 32), (1, b"\xff\xff\xff  ef", 32)]
 
 
 def scores_of(spark, train, texts):

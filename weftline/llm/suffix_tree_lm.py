@@ -5,7 +5,7 @@ their own, a token that is shorter ends with a space or, at the end of the text,
 one more symbol, or escapes to its bytes.
 
 Bytes are scored in the tree: the corpus gives counts of every byte after the bytes before it, up to DEPTH of them; before a head's
-bytes stand the words before, before a later byte of a word only the word itself. A context stays in the tree if its next-symbol
+bytes stand the words before, before a later byte of a word only the last REACH bytes of the word itself. A context stays in the tree if its next-symbol
 distribution diverges from that of its suffix, with the evidence of an absolute number of symbols; suffixes of what stays also
 stay. A byte is scored in the state of the longest context in the tree that the text so far ends in; a state's distribution is
 smoothed by its parent's, with as much weight as it has different symbols. The rest of a word is scored in the state of the word's
@@ -32,6 +32,8 @@ from weftline.llm.tokens import LOWER, row_of, signed, slices, word_bounds, word
 
 #: Bytes of the longest context, and bytes of a word before its rest.
 DEPTH, HEAD = 7, 2
+#: Bytes of the longest context inside a word. In place of the further ones stands a byte that no text in UTF-8 has.
+REACH, BLANK = 4, 0xFF
 END = 0x0A
 #: The end token stands in the word counts under this key.
 END_KEY = -(1 << 63)
@@ -71,14 +73,16 @@ def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nd
 def spellings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of (context, symbol) for every byte behind the head and the space of words of HEAD bytes or more, and each one's word.
 
-    Before a word stand spaces, so contexts that reach further back than one tell nothing more and never enter the tree."""
+    Before a word stand spaces, so contexts that reach further back than one tell nothing more and never enter the tree; what lies
+    further back than REACH is blank."""
     sizes = ends - starts
     full = sizes + DEPTH + 1
     at = np.cumsum(full) - full
     out = np.full(int(full.sum()), 0x20, np.uint8)
     put(out, at + DEPTH, data, starts, sizes)
     of, nth = counted(sizes - HEAD + 1)
-    return codes_at(out, at[of] + DEPTH + HEAD + nth), of
+    blank = np.uint64(int.from_bytes(bytes([BLANK] * (DEPTH - REACH)) + bytes(REACH + 1), "big"))
+    return codes_at(out, at[of] + DEPTH + HEAD + nth) | blank, of
 
 
 def counted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,28 +113,43 @@ def head_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys, their sums of counts, and more columns of each one's first place."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts, *(x[order[at]] for x in more)
+
+
+class Tally:
+    """Counts by key of one kind that a task gathers, handed on as rows when HELD different keys have come together."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.size = kind, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[dict]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size > 2 * HELD:
+            self.parts = [summed(*map(np.concatenate, zip(*self.parts, strict=True)))]
+            self.size = len(self.parts[0][0])
+            if self.size > HELD:
+                yield from self.rows()
+
+    def rows(self) -> Iterator[dict]:
+        if self.parts:
+            keys, counts, *head = summed(*map(np.concatenate, zip(*self.parts, strict=True)))
+            yield {"kind": np.full(len(keys), self.kind, np.int8), "key": signed(keys), "head": head[0] if head else np.full(len(keys), -1), "n": counts}
+        self.parts, self.size = [], 0
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """(kind, key, head, n) over the rows of docs(text, teaches) that teach: counts of words by hash, with their heads (-1: none), the
     end token under END_KEY, and counts of codes of context and symbol. Counts are summed in the task, before the shuffle."""
 
-    def told(words: list, grams: list) -> Iterator[dict]:
-        h, head, n = (np.concatenate([x[i] for x in words]) for i in range(3))
-        keys, counts = summed(h, n)
-        every, place = np.unique(h, return_index=True)
-        yield {"kind": np.full(len(keys), WORD, np.int8), "key": signed(keys), "head": head[place[np.searchsorted(every, keys)]], "n": counts}
-        keys, counts = summed(*(np.concatenate([x[i] for x in grams]) for i in range(2)))
-        yield {"kind": np.full(len(keys), GRAM, np.int8), "key": signed(keys), "head": np.full(len(keys), -1), "n": counts}
-
     def run(batch: pa.RecordBatch):
         yield {"kind": [WORD], "key": [END_KEY], "head": [-1], "n": [batch.num_rows]}
-        words, grams = [], []
+        words, heads, rests = Tally(WORD), Tally(GRAM), Tally(GRAM)
         for _, _, data, offsets in slices(batch.column(0)):
             data = LOWER[data]
             starts, ends, first = word_bounds(data, offsets)
@@ -138,15 +157,12 @@ def statistics(docs: DataFrame) -> DataFrame:
             long = (ends - starts)[at] >= HEAD
             head = np.full(len(h), -1)
             head[long] = head_of(data, starts[at[long]])
-            words.append((h, head, n))
-            grams.append(np.unique(symbols(data, starts, ends, first)[0], return_counts=True))
+            yield from words.add(h, n, head)
+            yield from heads.add(*np.unique(symbols(data, starts, ends, first)[0], return_counts=True))
             codes, of = spellings(data, starts[at[long]], ends[at[long]])
-            grams.append(summed(codes, n[long][of]))
-            if sum(len(k) for k, _ in grams) > HELD:
-                yield from told(words, grams)
-                words, grams = [], []
-        if words:
-            yield from told(words, grams)
+            yield from rests.add(*summed(codes, n[long][of]))
+        for tally in (words, heads, rests):
+            yield from tally.rows()
 
     return map_arrow(docs.filter("teaches").select("text"), run, "kind tinyint, key bigint, head int, n bigint").groupBy("kind", "key").agg(F.min("head").alias("head"), F.sum("n").alias("n"))
 
@@ -249,7 +265,8 @@ def tree_rows(grams: DataFrame, least: int = 8, divergence: float = 0.005, evide
     more symbols has more to fit to chance. Its suffixes stay too; the root always does. All are
     absolute, so more text makes a larger tree."""
     below = lambda depth: F.expr(f"shiftleft(1L, ({depth}) * 8) - 1")
-    spread = grams.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+    reach = F.when(F.shiftrightunsigned("key", 56) == BLANK, F.lit(REACH)).otherwise(F.lit(DEPTH))
+    spread = grams.select(F.explode(F.sequence(F.lit(0), reach)).alias("depth"), F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
     rows = cut(spread.withColumn("context", F.col("context").bitwiseAND(below("depth"))).groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")))
     totals = rows.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     child = rows.join(totals.filter((F.col("depth") > 0) & (F.col("total") >= least)), ["depth", "context"])
