@@ -80,6 +80,37 @@ def test_keys_by_sketches(spark):
     assert quality.candidate_keys(df.limit(0), "t").count() == 0
 
 
+def test_keys_shuffle_little(spark):
+    """Of sets that nearly are keys most fall in a slice; only what may be a key is shuffled whole."""
+    n = 40_000
+    of = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).alias(f"c{k}")
+    df = spark.range(n).select((F.col("id") / 4).cast("long").alias("o"), of(1, 100), of(2, 90), of(3, 80), (F.col("id") % 4).alias("line"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    empty = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, empty, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {r["columns"] for r in quality.candidate_keys(df, "t").collect()}
+    assert shuffled() - before < 5 * n  # once 7: every set's values of all rows
+    rows = df.collect()
+    distinct = lambda x: len({tuple(r[c] for c in x) for r in rows}) == n
+    keys = [x for k in (1, 2, 3) for x in combinations(df.columns, k) if distinct(x)]
+    assert got == {",".join(x) for x in keys if not any(set(y) < set(x) for y in keys)} and "o,line" in got
+
+
+def test_single_repetitions(spark, monkeypatch):
+    """One pair of equal rows is found in any slice; equal hashes of other values are no repetition."""
+    df = spark.range(2000).withColumn("b", F.col("id").cast("string"))
+    for k in (0, 3, 1234):
+        assert quality.repeating(df.union(df.filter(F.col("id") == k)), [("id",), ("id", "b")]) == {("id",), ("id", "b")}
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: c[0] % 50)
+    assert quality.repeating(df, [("id",), ("id", "b")]) == set()
+    assert quality.repeating(df.withColumn("c", F.col("id") % 1999), [("id",), ("c",)]) == {("c",)}
+
+
 def test_references_of_all_kinds(spark):
     """Keys of two columns, of other types, of the table itself, with nulls; one scan a table."""
     s = Schema.of(

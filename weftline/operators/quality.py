@@ -52,12 +52,16 @@ REGISTERS = 12
 OFF = 4 * 1.04 / 2 ** (REGISTERS / 2)
 
 
+#: Of a set's values, told apart by their hashes, the share in which repetitions are looked for before all of them are compared: one in so many.
+SLICE = 16
+
+
 def candidate_keys(df: DataFrame, name: str, most: int = 3) -> DataFrame:
     """(table, columns, n_rows, n_distinct) of the smallest sets of up to most columns that have no null and no repetition.
 
     One scan sketches every column, a second one all sets that these do not rule out: whose parts are no key, have no null and
-    enough values together; a third counts exactly what the sketches leave. Should a set fail there, the sets around it are
-    counted too. Columns of floating point, arrays, maps and structs are no part of keys."""
+    enough values together; then all rows decide on what the sketches leave. Should a set fail there, the sets around it are
+    looked at too. Columns of floating point, arrays, maps and structs are no part of keys."""
     usable = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "double", "float"))]
     quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in usable}
     estimate = lambda columns: F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[quoted[c] for c in columns]), REGISTERS))
@@ -76,14 +80,46 @@ def candidate_keys(df: DataFrame, name: str, most: int = 3) -> DataFrame:
                 waiting.append(x)
     keys: list[tuple[str, ...]] = []
     while waiting:
-        found = dict(zip(waiting, df.agg(*[F.count_distinct(*[quoted[c] for c in x]) for x in waiting]).first(), strict=True))
-        keys += [x for x in waiting if found[x] == n]
-        wider = {tuple(c for c in whole if c in x or c == more) for x in waiting if found[x] < n and len(x) < most for more in whole if more not in x}
+        failed = repeating(df, waiting)
+        keys += [x for x in waiting if x not in failed]
+        wider = {tuple(c for c in whole if c in x or c == more) for x in failed if len(x) < most for more in whole if more not in x}
         waiting = sorted(x for x in wider if not over(keys, x))
     keys = [x for x in keys if not any(set(y) < set(x) for y in keys)]
     return df.sparkSession.createDataFrame([(name, ",".join(x), n, n) for x in keys], "table string, columns string, n_rows long, n_distinct long")
 
 
+def repeating(df: DataFrame, sets: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Those of the sets of columns, without nulls, whose values repeat in some row: exact, over all rows.
+
+    Only a hash of a row's values is shuffled for each set: values without equal hashes do not repeat. A slice of the hashes comes first;
+    most sets that repeat do so there, and only the others are shuffled whole. For each set with equal hashes the values behind one
+    of them are compared; should they differ, the set's values are counted."""
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for x in sets for c in x}
+    hashed = lambda x: F.xxhash64(*[quoted[c] for c in x])
+    kinds = dict(df.dtypes)
+    plain = [x for x in sets if not any("collate" in kinds[c].lower() for c in x)]  # equal strings of other collations have different hashes
+    met: dict[tuple[str, ...], int] = {}
+    for inside in (True, False):
+        left = [x for x in plain if x not in met]
+        if left:
+            each = F.array(*[F.struct(F.lit(i).alias("of"), hashed(x).alias("h")) for i, x in enumerate(left)])
+            rows = df.select(F.inline(F.filter(each, lambda s: (F.pmod(s["h"], F.lit(SLICE)) == 0) == F.lit(inside))))  # noqa: B023
+            # Dealt out before they are counted: next to no row has an equal one in its task, so sums before the shuffle would only fill memory.
+            again = rows.repartition("of", "h").groupBy("of", "h").agg(F.count("*").alias("n")).filter("n > 1")
+            met |= {left[r["of"]]: r["h"] for r in again.groupBy("of").agg(F.min("h").alias("h")).collect()}
+    failed: set[tuple[str, ...]] = set()
+    if met:
+        behind = [F.when(hashed(x) == h, F.struct(*[quoted[c] for c in x])) for x, h in met.items()]
+        some = df.filter(reduce(lambda a, b: a | b, [b.isNotNull() for b in behind]))
+        found = some.agg(*[F.count_distinct(b) for b in behind], *[F.count(b) for b in behind]).first()
+        failed = {x for i, x in enumerate(met) if found[i] < found[len(met) + i]}
+    rest = [x for x in sets if x not in plain or x in met and x not in failed]
+    if rest:
+        found = df.agg(F.count("*"), *[F.count_distinct(*[quoted[c] for c in x]) for x in rest]).first()
+        failed |= {x for i, x in enumerate(rest) if found[1 + i] < found[0]}
+    return failed
+
+
 def domain(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share) of a column with few values."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
