@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def test_probabilities_by_plain_convolution(docs):
         logits = np.concatenate(hidden).astype(float) @ net.out + net.out_bias
         want = np.exp(logits - logits.max())
         assert np.allclose(row, want / want.sum(), atol=1e-5)
+
+
+def test_only_the_net_is_sent(spark, monkeypatch):
+    """The driver holds no tables of the net, which are a hundred times its size."""
+    net = language_id.ByteNet.fit(np.frombuffer(b"ab" * 8 + b"cd" * 8, np.uint8).reshape(2, 16), ["x", "y"], epochs=1)
+    sent, put = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), put(self, value))[1])
+    docs = spark.createDataFrame([(1, "abab"), (2, None)], "doc_id long, text string")
+    assert language_id.predict(docs, net).count() == 2 and language_id.accepted(docs, net, 0.0).count() == 1
+    assert len(sent) == 2 and max(sent) < 1e6  # once 17 MB

@@ -185,11 +185,14 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
 
     A text that is null, empty or without a letter gets 'und' and the score 0. Repeated rows and ids, null ids and any other
     columns are allowed: rows are handled alone and only the two named columns are read. An empty table gives no rows. A very
-    long text is cut into windows like any other, AT_ONCE of them at a time. The net, a few MB whatever the table, is sent to the executors."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
+    long text is cut into windows like any other, AT_ONCE of them at a time. The net, some KB whatever the table, is sent to the executors; tasks make its tables."""
+    shared, held = docs.sparkSession.sparkContext.broadcast(net), []
 
     def run(batch: pa.RecordBatch):
-        model, tables = shared.value
+        model = shared.value
+        if not held:  # a task makes the tables, a hundred times the net, for itself
+            held.append(model.tables())
+        tables = held[0]
         for lo, hi, data, offsets in slices(batch.column(1)):
             mean = scores(model, tables, data, offsets)
             best = mean.argmax(1)
@@ -204,11 +207,12 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
 def accepted(docs: DataFrame, net: ByteNet, least: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text has a letter and a language with the score least or more, as predict scores
     it. Other columns pass through the tasks untouched, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables = shared.value
+        model = shared.value
+        tables = model.tables()
         for batch in batches:
             keep = [scores(model, tables, data, offsets).max(1) >= least for _, _, data, offsets in slices(batch.column(at))]
             letters = batch.column(last).to_numpy(zero_copy_only=False)
